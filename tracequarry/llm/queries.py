@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import blob_ledger, line_quality, line_templates
+from . import blob_ledger, decontam, host_suffix, langid, line_quality, line_templates, piece_viterbi, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 
+def op1_boosted_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_wand_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_log_template_lines(spark, sf_dir):
     return line_templates.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -15,15 +23,32 @@ def op5_line_frequency_quality(spark, sf_dir):
     return line_quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_host_suffix_text(spark, sf_dir):
+    return host_suffix.page_report(table(spark, sf_dir, "pages"))
+
+
 def op7_blob_ledger_secrets(spark, sf_dir):
     return blob_ledger.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_subword_language(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op10_piece_viterbi_tokens(spark, sf_dir):
+    return piece_viterbi.token_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_boosted_toxicity,
+        op2_wand_decontamination,
         op4_log_template_lines,
         op5_line_frequency_quality,
+        op6_host_suffix_text,
         op7_blob_ledger_secrets,
+        op8_subword_language,
+        op10_piece_viterbi_tokens,
     )
 }
