@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,3 +50,23 @@ def crc_mod(column: Column, n: int) -> Column:
 
 def crc_of(value: object, n: int) -> int:
     return zlib.crc32(str(value).encode()) % n
+
+
+def saved(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written once as a table in the shared checkpoint folder and read back, and its path."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a saved table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has anything but ASCII white space; null: no."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE)) != ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blob_ledger, decontam, host_suffix, langid, line_quality, line_templates, piece_viterbi, toxicity
+from . import blob_ledger, block_anchors, decontam, host_suffix, langid, line_quality, line_templates, ngram_join, piece_viterbi, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -15,6 +15,10 @@ def op2_wand_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_adaptive_prefix_join(spark, sf_dir):
+    return ngram_join.link_report(table(spark, sf_dir, "documents"))
+
+
 def op4_log_template_lines(spark, sf_dir):
     return line_templates.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op8_subword_language(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op9_block_anchor_repeats(spark, sf_dir):
+    return block_anchors.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_viterbi_tokens(spark, sf_dir):
     return piece_viterbi.token_report(table(spark, sf_dir, "documents"))
 
@@ -44,11 +52,13 @@ QUERIES = {
     for f in (
         op1_boosted_toxicity,
         op2_wand_decontamination,
+        op3_adaptive_prefix_join,
         op4_log_template_lines,
         op5_line_frequency_quality,
         op6_host_suffix_text,
         op7_blob_ledger_secrets,
         op8_subword_language,
+        op9_block_anchor_repeats,
         op10_piece_viterbi_tokens,
     )
 }
