@@ -15,23 +15,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, words
+from .common import GAP_PATTERN, WHITE, words
 
 #: A line is boilerplate of its host in more documents than this.
 LINE_LIMIT = 50
 #: A document is depleted if less than this percentage of its words is left.
 LEAST_LEFT = 30
 WINDOW = 8
+SYMBOLS = "#*$%&|<>"
 
 
 def has_word(line: Column) -> Column:
-    return F.translate(line, WHITE, "") != ""
+    return F.btrim(line, F.lit(WHITE)) != ""
 
 
 def normalise(line: Column) -> Column:
-    """White space goes to one space, digits to 0, letters to lower case."""
-    plain = F.lower(F.translate(line, "123456789" + WHITE[1:], "0" * 9 + " " * 5))
-    return F.trim(F.regexp_replace(plain, " {2,}", " "))
+    """White space goes to one space, digits to 0, letters to lower case; the replacements run only where they find something."""
+    low = F.lower(line)
+    spaced = F.when(F.regexp_like(low, F.lit(r"[\x09-\x0D]|  ")), F.regexp_replace(low, GAP_PATTERN, " ")).otherwise(low)
+    return F.btrim(F.when(F.regexp_like(spaced, F.lit("[1-9]")), F.regexp_replace(spaced, "[1-9]", "0")).otherwise(spaced))
+
+
+def symbols(text: Column) -> Column:
+    """Number of the characters of SYMBOLS in a text."""
+    left = text
+    for c in SYMBOLS:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(left)
 
 
 def repeated_window_words(ws: Column, keys: Column, n: Column) -> Column:
@@ -54,17 +64,16 @@ def repeated_window_words(ws: Column, keys: Column, n: Column) -> Column:
 def base_stats(docs: DataFrame) -> DataFrame:
     """doc_id, source and the per-document statistics."""
     body = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("_t"))
-    solid = body.withColumn("_solid", F.translate("_t", WHITE, ""))
-    listed = solid.withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n", -1), has_word))
+    listed = body.withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n", -1), has_word))
     hashed = listed.withColumn("_wh", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_n", F.size("_w"))
     no = F.array().cast("array<bigint>")
     wins = F.when(F.col("_n") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_wh", i, WINDOW)))).otherwise(no)
     keyed = hashed.withColumn("_k", wins)
     again = F.when(F.size(F.array_distinct("_k")) < F.size("_k"), repeated_window_words(F.col("_w"), F.col("_k"), F.col("_n"))).otherwise(F.lit(0))
     long = lambda c: c.cast("long")
+    chars = F.aggregate("_w", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
     return keyed.select(
-        "doc_id", "source", long(F.col("_n")).alias("n_words"), long(F.length("_solid")).alias("word_chars"),
-        long(F.length("_solid") - F.length(F.translate("_solid", "#*$%&|<>", ""))).alias("n_symbols"),
+        "doc_id", "source", long(F.col("_n")).alias("n_words"), long(chars).alias("word_chars"), long(symbols(F.col("_t"))).alias("n_symbols"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"), long(again).alias("n_repeat_words"),
     )
 
