@@ -46,24 +46,40 @@ def index_fields(passages: DataFrame) -> DataFrame:
 
 def corpus_stats(indexed: DataFrame) -> DataFrame:
     """One row: n rows and their mean token count over all columns."""
-    size = sum((F.size(f"tok_{n}") for n in ("title", "uri", "body")), F.lit(0))
+    size = sum((F.size(n) for n in FIELDS), F.lit(0))
     return indexed.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg_len"))
 
 
-def phrase_count(phrase: list[str]) -> Column:
-    """How often a token phrase occurs in the three columns of an indexed table; phrases do not run across columns."""
+FIELDS = ("tok_title", "tok_uri", "tok_body")
+
+
+def phrase_count(phrase: list[str], fields=FIELDS) -> Column:
+    """How often a token phrase occurs in the columns of an indexed table; phrases do not run across columns."""
     if not phrase:
         return F.lit(0)
-    total = F.lit(0)
-    for n in ("title", "uri", "body"):
-        col = F.col(f"tok_{n}")
-        if len(phrase) == 1:
-            total = total + F.size(F.filter(col, lambda t: t == phrase[0]))
-        else:
-            places = F.sequence(F.lit(1), F.greatest(F.size(col) - len(phrase) + 1, F.lit(1)))
-            want = F.array(*[F.lit(t) for t in phrase])
-            total = total + F.size(F.filter(places, lambda i, col=col, want=want: F.slice(col, i, len(phrase)) == want))
-    return total
+
+    def in_field(name: str) -> Column:
+        tok = F.col(name)
+        ahead = [F.slice(tok, j + 1, F.greatest(F.size(tok), F.lit(1))).alias(f"t{j}") for j in range(len(phrase))]
+        return F.size(F.filter(F.arrays_zip(*ahead), lambda x: reduce(lambda a, b: a & b, [x[f"t{j}"].eqNullSafe(t) for j, t in enumerate(phrase)])))
+
+    return sum(map(in_field, fields), F.lit(0))
+
+
+def term_counts(indexed: DataFrame, phrases: list[tuple[str, ...]], keys: list[str]) -> DataFrame:
+    """(keys, len, term, f): how often a row has each phrase, for the rows that have it. Tokens that
+    are no query term go before anything is dealt out."""
+    size = sum((F.size(n) for n in FIELDS), F.lit(0)).alias("len")
+    single = sorted({p[0] for p in phrases if len(p) == 1})
+    longer = [p for p in phrases if len(p) > 1]
+    rows = []
+    if single:
+        own = F.filter(F.concat(*FIELDS), lambda t: t.isin(single))
+        rows.append(indexed.select(*keys, size, F.explode(own).alias("term")).groupBy(*keys, "len", "term").agg(F.count(F.lit(1)).alias("f")))
+    if longer:
+        each = F.array(*[F.struct(F.lit(" ".join(p)).alias("term"), phrase_count(list(p)).cast("long").alias("f")) for p in longer])
+        rows.append(indexed.select(*keys, size, F.inline(each)).where("f > 0"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -74,36 +90,26 @@ def idf(n: Column, df: Column) -> Column:
 def bm25_scores(indexed: DataFrame, queries: dict[str, str], keys: list[str] = IDENTITY) -> DataFrame:
     """(query_id, keys..., score) of the rows that hold all terms of a query; lower scores are better.
 
-    Frequencies of all query terms are counted in one scan, without exploding the texts. Their
-    document frequencies and the table's size and mean length come from one aggregate of that scan,
-    a single row which is joined back, and a row's contributions are summed in order of the terms.
+    Frequencies of the terms of all queries come from one scan. Their document frequencies, the
+    table's size and its mean length (of the whole table) join by term; a row's contributions are
+    summed in order of the query's terms, so that a score has the same bits every time.
     """
     spark = indexed.sparkSession
-    parsed = _check(queries)
-    phrases = sorted({tuple(fold_token(t)) for q in parsed.values() for t in q.terms or []})
+    terms = [(k, i, " ".join(fold_token(t)), len(q.terms)) for k, q in _check(queries).items() for i, t in enumerate(q.terms or [])]
+    phrases = sorted({tuple(t.split(" ")) for _, _, t, _ in terms if t})
     if not phrases:
-        return spark.createDataFrame([], "query_id string, score double").select("query_id", *(F.lit(None).cast(indexed.schema[k].dataType).alias(k) for k in keys), "score")
-    slot = {p: i for i, p in enumerate(phrases)}
-    size = sum((F.size(f"tok_{n}") for n in ("title", "uri", "body")), F.lit(0))
-    counted = indexed.select(*keys, size.alias("_len"), F.array(*[phrase_count(list(p)) for p in phrases]).alias("_f"))
-    dfs = [F.count_if(F.col("_f")[i] > 0).alias(f"df{i}") for i in range(len(phrases))]
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *dfs)
-    hits = counted.where(F.exists("_f", lambda f: f > 0)).join(F.broadcast(stats))  # stats is one row
-
-    def score(q: Query) -> Column:
-        total = F.lit(0.0)
-        for t in q.terms or []:
-            i = slot[tuple(fold_token(t))]
-            f = F.col("_f")[i]
-            norm = f + formats.BM25_K1 * (1 - formats.BM25_B + formats.BM25_B * F.col("_len") / F.col("_avg"))
-            total = total + idf(F.col("_n"), F.col(f"df{i}")) * (f * (formats.BM25_K1 + 1) / norm)
-        return -total
-
-    def holds(q: Query) -> Column:
-        return reduce(lambda a, b: a & b, [F.col("_f")[slot[tuple(fold_token(t))]] > 0 for t in q.terms])
-
-    each = [F.when(holds(q), F.struct(F.lit(k).alias("query_id"), score(q).alias("score"))) for k, q in parsed.items() if q.terms]
-    return hits.select(*keys, F.explode(F.array_compact(F.array(*each))).alias("_q")).select("_q.query_id", *keys, "_q.score")
+        empty = spark.createDataFrame([], "query_id string, score double")
+        return empty.select("query_id", *(F.lit(None).cast(indexed.schema[k].dataType).alias(k) for k in keys), "score")
+    wanted = spark.createDataFrame(terms, "query_id string, pos int, term string, need int")
+    counts = term_counts(indexed, phrases, keys)
+    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = wanted.join(frequency, "term").join(F.broadcast(corpus_stats(indexed)))  # statistics are one row
+    norm = F.col("f") + formats.BM25_K1 * (1 - formats.BM25_B + formats.BM25_B * F.col("len") / F.col("avg_len"))
+    part = idf(F.col("n"), F.col("df")) * (F.col("f") * (formats.BM25_K1 + 1) / norm)
+    hits = counts.join(F.broadcast(weights), "term")  # a row for each query term: at most MAX_QUERIES times the terms of a query
+    each = hits.groupBy("query_id", *keys).agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"), F.max("need").alias("need"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["part"])
+    return each.where(F.size("parts") == F.col("need")).select("query_id", *keys, (-total).alias("score"))
 
 
 def lexical_top(indexed: DataFrame, queries: dict[str, str], k: int = formats.CANDIDATES_MAX) -> DataFrame:
