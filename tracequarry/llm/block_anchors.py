@@ -9,7 +9,7 @@ words are removed. Blocks and probes, and then runs, are exchanged packed (see p
 are dealt out once, by batch, and stay put.
 
 Equality of runs is equality of 64-bit hashes of their words. Defined results: null and blank texts
-have no words; of documents with the same run the smallest doc_id keeps it; rows that repeat a
+have no words; a row without doc_id is no document: it keeps all its words and takes none; of documents with the same run the smallest doc_id keeps it; rows that repeat a
 doc_id keep what they share with each other; repeats inside a document stay.
 """
 
@@ -70,7 +70,7 @@ def removal(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _pipeline(docs: DataFrame, block: int, digest: bool) -> DataFrame:
-    dealt, _, n_parts = plan(docs)
+    dealt, _, n_parts = plan(docs.where("doc_id is not null"))
     by_batch = dealt.groupBy("batch")
     whole = 2 * block
 
@@ -178,11 +178,20 @@ def _pipeline(docs: DataFrame, block: int, digest: bool) -> DataFrame:
             out.append((int(w.ids[k]), e - s, n, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8")))
         return _table(out, "doc_id n_words n_removed kept", (pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
+    def untouched(batches):
+        for b in batches:
+            kept = [b" ".join((t or "").encode("utf-8", "replace").split()) for t in b.column(1).to_pylist()]
+            text = [hashlib.sha256(k).hexdigest() if digest else k.decode("utf-8") for k in kept]
+            sizes = pa.array([len(k.split()) for k in kept], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([0] * b.num_rows, pa.int64()), pa.array(text, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
     probes = by_batch.applyInArrow(emit_probes, _SENT)
     hits = probes.groupBy("part").applyInArrow(answer_probes, _SENT)
     runs = by_batch.cogroup(hits.groupBy("batch")).applyInArrow(emit_runs, _SENT)
     earlier = runs.groupBy("part").applyInArrow(answer_runs, _SENT)
-    return by_batch.cogroup(earlier.groupBy("batch")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    others = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(untouched, schema)
+    return by_batch.cogroup(earlier.groupBy("batch")).applyInArrow(finish, schema).unionByName(others)
 
 
 def removal_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:

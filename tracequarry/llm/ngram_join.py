@@ -13,7 +13,8 @@ one task is dealt in pairs of blocks. Tasks report, for each node, its links and
 so no list of pairs is ever made; the forest's components are found with DataFrame joins.
 
 Defined results: texts without words have no tokens and link with nothing; rows that repeat a
-doc_id are one node with each row's set; ties in order are broken by hash; an empty table gives an
+doc_id are one node with each row's set; rows without doc_id link with nothing and have no
+component_id; ties in order are broken by hash; an empty table gives an
 empty result; extra columns pass through the filter. Shingles are equal if their 64-bit hashes are.
 """
 
@@ -81,7 +82,7 @@ def choose(df: np.ndarray, n: int, least: int) -> int:
 def document_sets(docs: DataFrame, words: int, num: int, den: int, fold_case: bool) -> DataFrame:
     """A row for each document: its number of tokens, a key of its set, and for documents that may
     link the chosen l, the prefix and the tokens that other documents have."""
-    dealt, _, n_parts = plan(docs)
+    dealt, _, n_parts = plan(docs.where("doc_id is not null"))
     by_batch = dealt.groupBy("batch")
 
     def emit(t: pa.Table) -> pa.Table:
@@ -265,8 +266,15 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, fold_ca
     whole, _ = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     classed = rows.select("doc_id", "n", "key").join(reps, "key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    def count(batches):
+        for b in batches:
+            d, _ = shingle_sets(b.column(1).to_pylist(), words, fold_case)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(d, minlength=b.num_rows).astype(np.int64))], ["doc_id", "n_shingles"])
+
     labelled = classed.join(whole.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    nameless = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long")
+    out = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def link_report(docs: DataFrame) -> DataFrame:
@@ -275,6 +283,6 @@ def link_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; texts without words stay."""
+    """docs with one document of each component, that of the smallest doc_id; texts without words and rows without doc_id stay."""
     first = join(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
