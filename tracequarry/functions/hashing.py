@@ -123,11 +123,18 @@ def bloom_positions(trigram: bytes) -> list[int]:
     return [(h1 + i * h2) % 2**32 % formats.BLOOM_BITS for i in range(formats.BLOOM_HASHES)]
 
 
-def quote_bloom(content: bytes) -> bytes:
+def quote_bloom(content: bytes, known: dict[bytes, int] | None = None) -> bytes:
+    """Bloom of a text's byte trigrams; known keeps their bits from one text to the next."""
+    known = {} if known is None else known
     bits = 0
     for t in {content[i : i + 3] for i in range(len(content) - 2)}:
-        for p in bloom_positions(t):
-            bits |= 1 << p
+        mask = known.get(t)
+        if mask is None:
+            mask = 0
+            for p in bloom_positions(t):
+                mask |= 1 << p
+            known[t] = mask
+        bits |= mask
     return bits.to_bytes(formats.BLOOM_BITS // 8, "little")
 
 
@@ -139,7 +146,8 @@ def bloom_may_contain(bloom: bytes, quoted: bytes) -> bool:
 @F.pandas_udf(BinaryType())
 def quote_bloom_column(content: pd.Series) -> pd.Series:
     """Bloom of a string column's UTF-8 bytes."""
-    return content.map(lambda t: quote_bloom((t or "").encode()))
+    known: dict[bytes, int] = {}
+    return content.map(lambda t: quote_bloom((t or "").encode(), known))
 
 
 def citation(index_id: Column, source_id: Column, document_id: Column, revision: Column, start: Column, end: Column) -> Column:
