@@ -79,7 +79,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP3 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS u(i)),
+sets AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM sh GROUP BY 1),
+cls AS MATERIALIZED (SELECT k, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY 1),
+cs AS MATERIALIZED (SELECT rep, n, s FROM cls JOIN sh ON sh.doc_id = cls.rep),
+links AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM cs a JOIN cs b ON a.s = b.s AND a.rep <> b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(a, c) AS (SELECT rep, rep FROM cls UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.c),
+comp AS (SELECT a, min(c) AS c FROM reach GROUP BY 1),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT d.doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(deg.n, 0)::BIGINT AS n_links
+FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN cls ON cls.k = sets.k LEFT JOIN comp ON comp.a = cls.rep LEFT JOIN deg ON deg.a = cls.rep
+"""
+
+OP9 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_words("text")} AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+late AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, p FROM late, unnest(range(i, i + 50)) AS u(p)),
+left_over AS (SELECT d.doc_id, string_agg(w[i], ' ' ORDER BY i) AS t FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = d.doc_id AND gone.p = i) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
 ORACLES = {
+    "op3_adaptive_prefix_join": OP3,
+    "op9_block_anchor_repeats": OP9,
     "op4_log_template_lines": OP4,
     "op5_line_frequency_quality": OP5,
     "op7_blob_ledger_secrets": OP7,
