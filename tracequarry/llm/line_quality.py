@@ -29,11 +29,13 @@ def has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITE)) != ""
 
 
-def normalise(line: Column) -> Column:
-    """White space goes to one space, digits to 0, letters to lower case; the replacements run only where they find something."""
-    low = F.lower(line)
-    spaced = F.when(F.regexp_like(low, F.lit(r"[\x09-\x0D]|  ")), F.regexp_replace(low, GAP_PATTERN, " ")).otherwise(low)
-    return F.btrim(F.when(F.regexp_like(spaced, F.lit("[1-9]")), F.regexp_replace(spaced, "[1-9]", "0")).otherwise(spaced))
+def normalise(lines: Column) -> Column:
+    """Lines with white space as one space, digits as 0 and letters in lower case. Each step has its own
+    pass over the array, so nothing is computed twice; replacements run only where they find something."""
+    low = F.transform(lines, F.lower)
+    spaced = F.transform(low, lambda x: F.when(F.regexp_like(x, F.lit(r"[\x09-\x0D]|  ")), F.regexp_replace(x, GAP_PATTERN, " ")).otherwise(x))
+    plain = F.transform(spaced, lambda x: F.when(F.regexp_like(x, F.lit("[1-9]")), F.regexp_replace(x, "[1-9]", "0")).otherwise(x))
+    return F.transform(plain, F.btrim)
 
 
 def symbols(text: Column) -> Column:
@@ -67,8 +69,11 @@ def base_stats(docs: DataFrame) -> DataFrame:
     listed = body.withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n", -1), has_word))
     hashed = listed.withColumn("_wh", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_n", F.size("_w"))
     no = F.array().cast("array<bigint>")
-    wins = F.when(F.col("_n") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_wh", i, WINDOW)))).otherwise(no)
-    keyed = hashed.withColumn("_k", wins)
+    # the hash of 8 words by joining those of halves three times; slots past the end pair with null and are cut off
+    halves = hashed.withColumn("_h2", F.zip_with("_wh", F.slice("_wh", 2, F.greatest(F.col("_n"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    quarters = halves.withColumn("_h4", F.zip_with("_h2", F.slice("_h2", 3, F.greatest(F.col("_n"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    eighths = F.zip_with("_h4", F.slice("_h4", 5, F.greatest(F.col("_n"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    keyed = quarters.withColumn("_k", F.when(F.col("_n") >= WINDOW, F.slice(eighths, 1, F.col("_n") - (WINDOW - 1))).otherwise(no))
     again = F.when(F.size(F.array_distinct("_k")) < F.size("_k"), repeated_window_words(F.col("_w"), F.col("_k"), F.col("_n"))).otherwise(F.lit(0))
     long = lambda c: c.cast("long")
     chars = F.aggregate("_w", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
@@ -78,9 +83,9 @@ def base_stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_keys(docs: DataFrame) -> Column:
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), has_word)
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(normalise(x)).alias("key"), F.size(words(x)).alias("words")))
+def text_lines(docs: DataFrame) -> DataFrame:
+    """docs with _lines, the lines that have a word."""
+    return docs.withColumn("_lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), has_word))
 
 
 def host_of(docs: DataFrame) -> Column:
@@ -92,14 +97,15 @@ def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
     Map-side partial counts keep a line that a third of all documents hold to a row for each task.
     """
-    lines = F.transform(line_keys(docs), lambda x: x["key"])
-    each = docs.select(host_of(docs), F.explode(F.array_distinct(lines)).alias("key"))
+    keys = F.transform(normalise(F.col("_lines")), lambda x: F.xxhash64(x))
+    each = text_lines(docs).select(host_of(docs), F.explode(F.array_distinct(keys)).alias("key"))
     return each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > limit).select("source", "key")
 
 
 def removed_words(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """(doc_id, n_removed) for documents that lose a line: the words of all its occurrences."""
-    lines = docs.select("doc_id", host_of(docs), F.inline(line_keys(docs)))
+    both = F.zip_with(normalise(F.col("_lines")), F.col("_lines"), lambda k, x: F.struct(F.xxhash64(k).alias("key"), F.size(words(x)).alias("words")))
+    lines = text_lines(docs).select("doc_id", host_of(docs), F.inline(both))
     hit = lines.join(frequent_lines(docs, limit), ["source", "key"], "left_semi")
     return hit.groupBy("doc_id").agg(F.sum("words").alias("n_removed"))
 
