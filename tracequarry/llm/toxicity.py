@@ -25,7 +25,7 @@ from .common import crc_mod
 
 SAMPLE = 9000
 LEXICON = 500
-TREES, LEVELS, BINS, RATE, LEAST_ROWS = 80, 3, 32, 0.15, 20
+TREES, LEVELS, BINS, RATE, LEAST_ROWS = 80, 3, 32, 0.15, 20  # leaves of small samples may hold fewer rows
 THRESHOLD = 0.7
 #: Seed lexicon and second-person words.
 SEEDS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown garbage imbecile dumb filth freak jerk hate idiota imbécil estúpido basura asco idioten dumm dreck abschaum trottel crétin imbécile ordure débile connard".split()
@@ -97,6 +97,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     """(prior, trees); a tree is (features, cuts, leaf values) of a full binary tree, level by level."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
+    least = max(3, min(LEAST_ROWS, len(y) // 100))
     prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     f, trees = np.full(len(y), prior), []
     for _ in range(TREES):
@@ -109,12 +110,12 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
                 own = np.flatnonzero(node == k)
                 best = (1e-9, 0, math.inf, BINS)
                 for j, e in enumerate(edges):
-                    if len(e) == 0 or len(own) < 2 * LEAST_ROWS:
+                    if len(e) == 0 or len(own) < 2 * least:
                         continue
                     gs, hs, ns = (np.bincount(binned[own, j], w, len(e) + 1).cumsum() for w in (g[own], h[own], None))
                     left = slice(0, len(e))
                     gain = gs[left] ** 2 / (hs[left] + 1) + (gs[-1] - gs[left]) ** 2 / (hs[-1] - hs[left] + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                    gain[(ns[left] < LEAST_ROWS) | (ns[-1] - ns[left] < LEAST_ROWS)] = -1
+                    gain[(ns[left] < least) | (ns[-1] - ns[left] < least)] = -1
                     if gain.max() > best[0]:
                         c = int(gain.argmax())
                         best = (float(gain[c]), j, float(e[c]), c)
