@@ -256,6 +256,36 @@ def test_host_boilerplate(spark):
     assert got == {k: f"u{k} v{k} tail" for k in range(200)} | {1000 + k: base for k in range(5)}
 
 
+def test_host_runs_like_brute_force(spark):
+    """Templates on few and on many pages of small and large hosts; where pages are dealt changes nothing."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    rows = []
+    for host, n in (("large", 900), ("middle", 70), ("small", 6), ("inside", 80)):
+        sections = [(say(24), share) for share in (2, 3, 5, 30, n)]
+        for k in range(n):
+            own = [f"<p>{t}</p>" for t, share in sections if k % max(1, n // share) == 0 and k // max(1, n // share) < share]
+            tag = "article" if host == "inside" or k % 9 == 4 else "div"
+            rows.append((len(rows), f"http://{host}/{k}", f"<{tag}>{''.join(own)}<p>{say(20)}</p></{tag}><p>{say(3)}</p>" if host != "inside" else f"<article>{''.join(own)}</article>"))
+    rows += [(7, "http://large/", rows[7][2]), (None, "http://small/", rows[971][2]), (None, None, "<p>x")]
+    parsed = [(i, (u or "").split("/")[2:3], host_suffix.blocks(h)) for i, u, h in rows]
+    held = collections.defaultdict(set)
+    for i, host, p in parsed:
+        w = [t for _, b in p for t in b.split()]
+        for k in range(len(w) - 15):
+            held[(*host, *w[k : k + 16])].add(i)
+    want = []
+    for i, host, p in parsed:
+        w = [(t, b) for b, (_, x) in enumerate(p) for t in x.split()]
+        gone = {k + j for k in range(len(w) - 15) if len(held[(*host, *(t for t, _ in w[k : k + 16]))]) >= 3 for j in range(16)}
+        left = [" ".join(t for k, (t, o) in enumerate(w) if o == b and (inside or k not in gone)) for b, (inside, _) in enumerate(p)]
+        want.append((i, "\n\n".join(filter(None, left))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for how in ({}, {"batch_bytes": 20_000}):
+        got = [(r.page_id, r.text) for r in host_suffix.extract(pages, **how).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_ledger_scans_unseen_only(spark):
     v1 = spark.createDataFrame([("a", "token = abcdefghijkl"), ("b", "nothing"), ("c", "token = abcdefghijkl")], "path string, content string")
     found, ledger = blob_ledger.scan(v1)

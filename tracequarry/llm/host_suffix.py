@@ -7,9 +7,14 @@ SPAN tokens by prefix doubling, gives the substrings of at least SPAN tokens tha
 distinct pages. They cover boilerplate: covered runs of blocks without an article around them are
 removed and the unique runs kept.
 
-A host with many pages is dealt out in shards of about SHARD pages by hash of page_id, so that no
-task gets a whole large host; a template that the host repeats recurs in every shard. Defined
-results: null html gives the empty text; a null or odd url is a host of its own name; repeated page rows are kept, and
+Parsed pages are dealt into batches of bounded size by hash of page_id, so that no task gets a whole
+large host. A batch's suffix array gives its runs of SPAN tokens and each run's distinct pages; the
+counts go, packed (see packed.py), to partitions of the hash space, which add them up for the whole
+host and answer each batch with its runs on PAGES pages or more. Where the pages are dealt changes
+nothing. Hosts whose pages all have no block outside article and main send nothing, as no run can
+remove a word there. Equality of runs and of hosts between batches is that of 64-bit hashes.
+
+Defined results: null html gives the empty text; a null or odd url is a host of its own name; repeated page rows are kept, and
 equal page_ids count as one page; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
+from .packed import BATCH_BYTES, PART_BYTES, Hasher, in_sorted, mix, split_by_part
+
 SPAN = 16  # a power of two
 PAGES = 3
-SHARD = 64
 
 #: Elements, by what they do to a page's text.
 RAW = frozenset("script style noscript template textarea select svg iframe object math canvas audio video title".split())
@@ -114,64 +121,157 @@ def suffix_ranks(stream: np.ndarray, span: int) -> np.ndarray:
     return rank
 
 
-def repeated(pages: list[list[str]], owner: list[int], span: int = SPAN, least: int = PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which of them a substring of span tokens covers that is on least distinct pages."""
-    vocabulary: dict[str, int] = {}
-    sizes = [len(p) for p in pages]
-    stream = np.full(sum(sizes) + len(pages), -1, np.int64)
-    page = np.zeros(len(stream), np.int64)
-    at, starts = 0, []
-    for k, p in enumerate(pages):
-        starts.append(at)
-        stream[at : at + len(p)] = [vocabulary.setdefault(t, len(vocabulary)) for t in p]
-        stream[at + len(p)] = -2 - k  # a separator of its own
-        page[at : at + len(p) + 1] = owner[k]
-        at += len(p) + 1
-    covered = np.zeros(len(stream) + 1, np.int64)
-    if len(stream) > span:
-        rank = suffix_ranks(stream, span)
-        first = np.unique(rank * (int(page.max()) + 1) + page, return_index=True)[1]
-        wide = np.bincount(rank[first], minlength=int(rank.max()) + 1) >= least
-        run = np.flatnonzero(wide[rank[: len(stream) - span + 1]])
-        np.add.at(covered, run, 1)
-        np.add.at(covered, run + span, -1)
-    marks = covered.cumsum() > 0
-    return [marks[s : s + n] for s, n in zip(starts, sizes)]
-
-
-def unique_text(parsed: list[list[tuple[bool, str]]], owner: list[int]) -> list[str]:
-    """The main text of each page of a shard."""
-    tokens = [[t for _, b in p for t in b.split(" ")] for p in parsed]
-    out = []
-    for p, marks in zip(parsed, repeated(tokens, owner)):
-        kept, at = [], 0
-        for inside, text in p:
-            words = text.split(" ")
-            own = marks[at : at + len(words)]
-            at += len(words)
-            if inside or not own.any():
-                kept.append(text)
-            elif not own.all():
-                kept.append(" ".join(w for w, m in zip(words, own) if not m))
-        out.append("\n\n".join(kept))
-    return out
-
-
-def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
+class Stream:
+    """The tokens of pages one after the other, a separator of its own after each; a token's hash holds its host's."""
+
+    def __init__(self, pages: list[list[str]], hosts: list[int]):
+        vocabulary: dict[tuple[int, str], int] = {}
+        self.sizes = np.array([len(p) for p in pages], np.int64)
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.tokens = np.full(int(self.sizes.sum()) + len(pages), -1, np.int64)
+        for k, (p, host, at) in enumerate(zip(pages, hosts, self.starts.tolist())):
+            self.tokens[at : at + len(p)] = [vocabulary.setdefault((host, t), len(vocabulary)) for t in p]
+            self.tokens[at + len(p)] = -2 - k
+        self.row = np.repeat(np.arange(len(pages)), self.sizes + 1)
+        self.hasher = Hasher(fold_case=False)
+        words = self.hasher.words([t.encode("utf-8", "replace") for _, t in vocabulary])[0]
+        salt = np.array([h for h, _ in vocabulary], np.int64).view(np.uint64)
+        self.words = np.append(mix(words + mix(salt)), np.uint64(0))
+
+    def runs(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the runs of span tokens that stay in their page."""
+        h = self.hasher.runs(self.words[np.maximum(self.tokens, -1)], span)
+        at = np.flatnonzero((self.starts + self.sizes)[self.row[: len(h)]] - np.arange(len(h)) >= span)
+        return at, h[at]
+
+
+def run_counts(stream: Stream, owner: list[int], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, numbers of distinct pages) of the distinct runs of span tokens; owner has each row's page."""
+    at, h = stream.runs(span)
+    if not len(at):
+        return h, np.zeros(0, np.uint32)
+    rank, page = suffix_ranks(stream.tokens, span)[at], np.array(owner, np.int64)[stream.row[at]]
+    first = np.unique(rank * (int(page.max()) + 1) + page, return_index=True)[1]
+    _, place, counts = np.unique(rank[first], return_index=True, return_counts=True)
+    return h[first[place]], counts.astype(np.uint32)
+
+
+def covered(stream: Stream, wide: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
+    """For each row's tokens, which of them a run covers whose hash is in wide, a sorted array."""
+    at, h = stream.runs(span)
+    at = at[in_sorted(h, wide)]
+    cover = np.zeros(len(stream.tokens) + span + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + span, -1)
+    marks = cover.cumsum() > 0
+    return [marks[s : s + n] for s, n in zip(stream.starts.tolist(), stream.sizes.tolist())]
+
+
+def unique_text(inside: bytes, texts: list[str], marks: np.ndarray | None) -> str:
+    """The main text of a page of these blocks; marks has its covered tokens, None: none."""
+    if marks is None:
+        return "\n\n".join(texts)
+    kept, at = [], 0
+    for within, text in zip(inside, texts):
+        words = text.split(" ")
+        own = marks[at : at + len(words)]
+        at += len(words)
+        if within or not own.any():
+            kept.append(text)
+        elif not own.all():
+            kept.append(" ".join(w for w, m in zip(words, own) if not m))
+    return "\n\n".join(kept)
+
+
+_PARSED = "page_id long, url string, host long, batch int, inside binary, blocks array<string>"
+_SENT = "part int, batch int, a binary, b binary"
+
+
+def _table(rows: list[tuple], names: str, types: tuple) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(types)
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(names.split(), cols, types)})
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return _table(rows, "part batch a b", (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+
+
+def _read(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", kind) for x in column.to_pylist()]
+
+
+def _parse(batches):
+    for b in batches:
+        parsed = [blocks(h) for h in b.column(4).to_pylist()]
+        inside = pa.array([bytes(i for i, _ in p) for p in parsed], pa.binary())
+        texts = pa.array([[t for _, t in p] for p in parsed], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], inside, texts], ["page_id", "url", "host", "batch", "inside", "blocks"])
+
+
+def _tokens(texts: list[str]) -> list[str]:
+    return [w for t in texts for w in t.split(" ")]
+
+
+def extract(pages: DataFrame, batch_bytes: int = BATCH_BYTES, span: int = SPAN, least: int = PAGES) -> DataFrame:
     """(page_id, url, text)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
-    dealt = rows.join(large, "host", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / shard)), F.lit(0)).cast("long")).drop("n")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("page_id").to_pylist()
-        order = {x: k for k, x in enumerate(dict.fromkeys(ids))}
-        parsed = [blocks(h) for h in t.column("html").to_pylist()]
-        texts = unique_text(parsed, [order[x] for x in ids])
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
-
-    return dealt.groupBy("host", "shard").applyInArrow(run, "page_id long, url string, text string")
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n = partitions(pages.sparkSession)
+    n_batches, n_parts = max(3 * n, total // batch_bytes), max(n, total // PART_BYTES)
+    batch = F.pmod(F.xxhash64("page_id"), F.lit(n_batches)).cast("int").alias("batch")
+    by_batch = pages.select("page_id", "url", F.xxhash64(host).alias("host"), batch, "html").mapInArrow(_parse, _PARSED).groupBy("batch")
+
+    def emit_hosts(t: pa.Table) -> pa.Table:
+        """The batch's hosts, and which of them have a block outside article and main."""
+        hosts = t.column("host").to_numpy()
+        outside = np.array([0 in x for x in t.column("inside").to_pylist()], bool)
+        own = np.unique(hosts).view(np.uint64)
+        free = in_sorted(own, np.unique(hosts[outside].view(np.uint64)))
+        number = t.column("batch")[0].as_py()
+        return _sent([(p, number, own[at].tobytes(), free[at].tobytes()) for p, at in split_by_part(mix(own), n_parts)])
+
+    def answer_hosts(t: pa.Table) -> pa.Table:
+        """To each batch its hosts that have such a block in any batch."""
+        hosts, free = _read(t.column("a"), np.uint64), _read(t.column("b"), bool)
+        wide = np.unique(np.concatenate([h[f] for h, f in zip(hosts, free)]))
+        part = t.column("part")[0].as_py()
+        return _sent([(part, k, x.tobytes(), b"") for k, h in zip(t.column("batch").to_pylist(), hosts) if len(x := h[in_sorted(h, wide)])])
+
+    def emit_runs(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The runs of these hosts and their numbers of pages in the batch."""
+        if not left.num_rows or not right.num_rows:
+            return _sent([])
+        wanted = set(np.concatenate(_read(right.column("a"), np.uint64)).view(np.int64).tolist())
+        rows = [x for x in zip(left.column("host").to_pylist(), left.column("page_id").to_pylist(), left.column("blocks").to_pylist()) if x[0] in wanted]
+        order = {x: k for k, x in enumerate(dict.fromkeys(r[1] for r in rows))}
+        h, counts = run_counts(Stream([_tokens(r[2]) for r in rows], [r[0] for r in rows]), [order[r[1]] for r in rows], span)
+        number = left.column("batch")[0].as_py()
+        return _sent([(p, number, h[at].tobytes(), counts[at].tobytes()) for p, at in split_by_part(h, n_parts)])
+
+    def answer_runs(t: pa.Table) -> pa.Table:
+        """To each batch its runs on least pages of the host or more; a page is in one batch, so numbers add up."""
+        hashes, counts = _read(t.column("a"), np.uint64), _read(t.column("b"), np.uint32)
+        values, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        wide = values[np.bincount(at, np.concatenate(counts), len(values)) >= least]
+        part = t.column("part")[0].as_py()
+        return _sent([(part, k, x.tobytes(), b"") for k, h in zip(t.column("batch").to_pylist(), hashes) if len(x := h[in_sorted(h, wide)])])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, inside = left.column("blocks").to_pylist(), left.column("inside").to_pylist()
+        marks: list[np.ndarray | None] = [None] * len(texts)
+        rows = [k for k, x in enumerate(inside) if 0 in x] if right.num_rows else []
+        if rows:
+            hosts = left.column("host").to_pylist()
+            wide = np.sort(np.concatenate(_read(right.column("a"), np.uint64)))
+            for k, own in zip(rows, covered(Stream([_tokens(texts[k]) for k in rows], [hosts[k] for k in rows]), wide, span)):
+                marks[k] = own
+        out = [unique_text(*x) for x in zip(inside, texts, marks)]
+        return pa.table({"page_id": left.column("page_id"), "url": left.column("url"), "text": pa.array(out, pa.string())})
+
+    hosts = by_batch.applyInArrow(emit_hosts, _SENT).groupBy("part").applyInArrow(answer_hosts, _SENT)
+    runs = by_batch.cogroup(hosts.groupBy("batch")).applyInArrow(emit_runs, _SENT)
+    wide = runs.groupBy("part").applyInArrow(answer_runs, _SENT)
+    return by_batch.cogroup(wide.groupBy("batch")).applyInArrow(finish, "page_id long, url string, text string")
 
 
 def page_report(pages: DataFrame) -> DataFrame:
