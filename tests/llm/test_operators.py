@@ -306,6 +306,16 @@ def test_templates_generalise(spark):
     assert "job failed" in rows[0] and not any("job failed" in rows[i] for i in range(1, 20))
 
 
+def test_short_lines_recur(spark):
+    import corpus_pipeline
+
+    texts = [f"own{chr(97 + i)} line here stays\nAnd ornd.\n{i}\nPage {i}\nLes.\n\nrare{chr(97 + i // 3)}" for i in range(15)]
+    docs = documents(spark, texts)
+    left = {r.doc_id: r.text for r in corpus_pipeline.recurring_lines(spark, docs, SF_DIR).collect()}
+    assert left == {0: texts[0]} | {i: t.replace("And ornd.\n", "").replace("Les.\n", "") for i, t in enumerate(texts) if i}
+    assert {r.n_dropped for r in line_templates.dedup_report(docs).collect()} == {0}  # as the SQL has it
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.language_report(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
