@@ -242,6 +242,23 @@ def test_wand_is_exact():
             assert {i for i, _ in index.wand(q, theta)} == {i for i, v in scores.items() if v >= theta - 1e-9}
 
 
+def test_items_by_id_and_text(spark):
+    texts = ["who was the first of them all. it was the old fox", "where does the long river end. in a salt lake far east", "what do they burn in winter. dry peat and birch logs", "why is the tower closed. the stairs have no rail left"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[0])], "item_id long, text string")
+    docs = documents(spark, [f"so {t} ran" for t in texts] + ["none of it"])
+    want = [(0, 1), (0, 2), (1, 1), (2, None), (3, None)]
+    for how in ({}, {"most": 60}):
+        assert sorted(((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, **how).collect()), key=repr) == want
+        assert [r.doc_id for r in decontam.drop_contaminated(docs, items, **how).collect()] == [4]
+
+
+def test_shards_change_no_score(spark):
+    d, b = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    size = b.agg(F.sum(F.length("text"))).first()[0]
+    whole, dealt = (sorted(map(tuple, decontam.contaminated(d, b, 0.3, most).collect())) for most in (size, size // 3))
+    assert whole == dealt and whole
+
+
 def test_html_blocks():
     b = host_suffix.blocks
     assert b('<div class="ad">x</div><article><p>k<br>l <i>m</i>&amp;&#33;<form>f</form></p><div class=comments><p>c</p></div></article><footer>f') == [(True, "k l m&!")]

@@ -9,8 +9,10 @@ item is verified by the overlap of its question (word shingles) and of its answe
 of its words), its answer being its last sentence.
 
 The index is built from at most INDEX_CHARS characters of items and sent to all tasks; a larger
-benchmark is dealt in shards that are each probed by all documents. Defined results: null and blank
-documents and items match nothing; repeated item rows count once; rows that repeat a doc_id are
+benchmark is dealt in shards that are each probed by all documents, with the number of items, document
+frequencies, mean and longest length of the whole benchmark, so that shards change no score. Defined
+results: null and blank documents and items match nothing; an item is an item_id with its text: repeated
+rows count once, texts that share an item_id or have none are items each; rows that repeat a doc_id are
 looked up each; extra columns of the documents pass through the filter.
 """
 
@@ -49,25 +51,32 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 
 
 class Index:
-    """Postings by term: items in order with their impacts, and blocks of items with their largest impact."""
+    """Postings by term: items in order with their impacts, and blocks of items with their largest impact.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = sorted({i: t for i, t in items if terms(t)}.items())
+    whole: (number of items, sum of their lengths, longest length, document frequencies of these items' terms)
+    of a benchmark that the items are a shard of.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], whole: tuple[int, int, int, dict[bytes, int]] | None = None):
+        self.items = sorted({(i, t) for i, t in items if terms(t)}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         bags = [terms(t) for _, t in self.items]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
-        n, mean = len(bags), sum(map(len, bags)) / max(len(bags), 1)
-        self.longest = max(map(len, bags), default=1)
+        n = len(bags)
         counts = [dict() for _ in self.vocabulary]
         for i, bag in enumerate(bags):
             for w in bag:
                 own = counts[self.vocabulary[w]]
                 own[i] = own.get(i, 0) + 1
-        raw = [{i: math.log(1 + (n - len(c) + 0.5) / (len(c) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bags[i]) / mean)) for i, tf in c.items()} for c in counts]
-        whole = np.zeros(n)
+        if whole is None:
+            whole = n, sum(map(len, bags)), max(map(len, bags), default=1), {w: len(counts[k]) for w, k in self.vocabulary.items()}
+        every, total, self.longest, held = whole
+        mean, dfs = total / max(every, 1), [held[w] for w in self.vocabulary]
+        raw = [{i: math.log(1 + (every - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bags[i]) / mean)) for i, tf in c.items()} for c, df in zip(counts, dfs)]
+        own = np.zeros(n)
         for c in raw:
             for i, v in c.items():
-                whole[i] += v
-        self.postings = [sorted((i, v / whole[i]) for i, v in c.items()) for c in raw]
+                own[i] += v
+        self.postings = [sorted((i, v / own[i]) for i, v in c.items()) for c in raw]
         self.blocks = []
         for p in self.postings:
             top: dict[int, float] = {}
@@ -153,7 +162,7 @@ class Index:
         return asked, low / len(answer)
 
     def matches(self, texts: list[str | None], theta: float = THRESHOLD) -> list[dict[int, tuple[float, float, float]]]:
-        """For each text, item id -> (score, question overlap, answer overlap) of its verified items, best passage first."""
+        """For each text, item number -> (score, question overlap, answer overlap) of its verified items, best passage first."""
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
         if not self.items or not texts:
             return found
@@ -180,18 +189,33 @@ class Index:
                 k = (p - first[d]) * step
                 asked, answered = self.verify(item, words[d][max(k, 0) : k + 2 * step])
                 if asked >= QUESTION and answered >= ANSWER:
-                    name = self.items[item][0]
-                    found[d][name] = max(found[d].get(name, (0.0, 0.0, 0.0)), (round(float(score), 9), asked, answered))
+                    found[d][item] = max(found[d].get(item, (0.0, 0.0, 0.0)), (round(float(score), 9), asked, answered))
         return found
 
 
-def indexes(benchmark: DataFrame, most: int = INDEX_CHARS) -> list[list[tuple[int, str]]]:
-    """The items, in shards of about most characters; each is collected by itself."""
+def _bags(batches):
+    for b in batches:
+        bags = [terms(t) for t in b.column(1).to_pylist()]
+        held = pa.array([sorted(set(x)) for x in bags], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, bags)), pa.int64()), held], ["shard", "size", "terms"])
+
+
+def indexes(benchmark: DataFrame, most: int = INDEX_CHARS) -> list[tuple]:
+    """Index's arguments: the items, in shards of about most characters, and from two shards on what is known of the whole; each is collected by itself."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / most))
+    if n == 1:
+        yield [tuple(r) for r in items.collect()], None
+        return
+    dealt = items.distinct().withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    bags = dealt.select("shard", "text").mapInArrow(_bags, "shard int, size long, terms array<binary>").where("size > 0")
+    every = tuple(bags.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first())
+    held = bags.select("shard", F.explode("terms").alias("term"))
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+        own = frequency.join(held.where(F.col("shard") == k), "term", "left_semi")
+        yield [tuple(r) for r in dealt.where(F.col("shard") == k).select("item_id", "text").collect()], (*every, {bytes(w): df for w, df in own.collect()})
 
 
 def _sliced(batches, rows: int = 400):
@@ -200,17 +224,17 @@ def _sliced(batches, rows: int = 400):
             yield b.slice(at, rows)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of all verified matches."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD, most: int = INDEX_CHARS) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of all verified matches, a row for each item."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for items in indexes(benchmark):
+    for items in indexes(benchmark, most):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            index = Index(shared.value)
+            index = Index(*shared.value)
             for b in _sliced(batches):
-                rows = [(d, i, *x) for d, own in zip(b.column(0).to_pylist(), index.matches(b.column(1).to_pylist(), theta)) for i, x in sorted(own.items())]
+                rows = [(d, index.items[i][0], *x) for d, own in zip(b.column(0).to_pylist(), index.matches(b.column(1).to_pylist(), theta)) for i, x in sorted(own.items())]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -219,14 +243,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD, most: int = INDEX_CHARS) -> DataFrame:
     """docs without those that hold a verified item."""
     at = docs.columns.index("text")
-    for items in indexes(benchmark):
+    for items in indexes(benchmark, most):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            index = Index(shared.value)
+            index = Index(*shared.value)
             for b in _sliced(batches):
                 yield b.filter(pa.array([not m for m in index.matches(b.column(at).to_pylist(), theta)], pa.bool_()))
 
