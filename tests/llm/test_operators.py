@@ -333,6 +333,25 @@ def test_short_lines_recur(spark):
     assert {r.n_dropped for r in line_templates.dedup_report(docs).collect()} == {0}  # as the SQL has it
 
 
+def test_frequent_lines_go(spark):
+    """More documents of a host than the limit share a line, in other case, digits and spaces; a third have little else."""
+    shared = " ".join(f"notice{chr(97 + i)}" for i in range(24)) + " 12"
+    rows = []
+    for host, n in (("large", 51), ("even", 50), ("small", 12), (None, 12)):
+        for i in range(n):
+            line = shared.upper().replace("12", "  34") if i % 2 else shared
+            own = " ".join(f"{host}{chr(0x4E00 + i)}word{chr(0x4E00 + k)}" for k in range(5 if i % 3 == 0 else 40))
+            rows.append((len(rows), f"{own}\n{line}", "en", host, 0, 0.0, ""))
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for limit, hosts in ((line_quality.LINE_LIMIT, {"large"}), (11, {"large", "even", "small", None}), (12, {"large", "even"})):
+        got = {r.doc_id: (r.n_words, r.n_line_words_removed, r.base_failed, r.kept) for r in line_quality.quality_report(docs, limit).collect()}
+        want = {}
+        for k, text, _, host, *_ in rows:
+            n, lost = len(text.split()), 25 if host in hosts else 0
+            want[k] = (n, lost, False, not lost or n == 65)
+        assert got == want
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.language_report(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
