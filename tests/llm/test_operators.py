@@ -363,6 +363,16 @@ def test_held_out_accuracy(spark):
     assert wrong <= 2 and caught > 0.5
 
 
+def test_language_rejection(spark):
+    model = langid.train(["the cat and the dog", "der hund und die katze"] * 20, ["en", "de"] * 20)
+    docs = documents(spark, ["the dog", "die katze", "xqz 7", "the und", None, "..."])
+    scored = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert {scored[i][0] for i in range(4)} == {"en", "de"} and scored[4] == scored[5] == ("und", 0.0)
+    limit = sorted(s for _, s in scored.values())[3]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model, limit).collect()}
+    assert got == {i: (x if s >= limit else "und", s) for i, (x, s) in scored.items()} and [x for x, _ in got.values()].count("und") == 3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
