@@ -470,7 +470,7 @@ def quote_blooms(spark, sf_dir):
 
 @query()
 def search_passages(spark, sf_dir):
-    """F1-F16: searches over the chunked corpus, deduplicated, with ten hits each."""
+    """F1-F7, F9, F11, F13-F15, and F10 without its budget: searches over the chunked corpus, deduplicated, with ten hits each."""
     d = whole_passages(spark, sf_dir).select("source_id", "document_id", "title", "source_uri", F.encode("body_text", "UTF-8").alias("body"), F.lit("plain-text").alias("chunk_kind"))
     passages = chunker.chunk(d, ["source_id", "document_id", "title", "source_uri"])
     found = retrieval.search(passages.withColumn("document_id", F.col("document_id").cast("string")), SEARCHES)
