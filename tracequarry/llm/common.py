@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 import zlib
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +27,18 @@ def words(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; only an unset one (tests) is chosen here."""
+    """Use the cluster's checkpoint folder. An unset one is chosen only where driver and executors are
+    one process; on a cluster a folder of the driver's machine would be of no use to the executors."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracequarry-"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="tracequarry-")
+        sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,15 +65,50 @@ def saved(df: DataFrame) -> tuple[DataFrame, str]:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_SAVED: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that saved() has written from the since-th on and that are still there, but for
+    those to keep. For callers that have written the results that read them."""
+    for path in _SAVED[since:]:
+        if path not in keep:
+            discard(spark, path)
+    _SAVED[since:] = [p for p in _SAVED[since:] if p in keep]
+
+
+def written() -> int:
+    """How many tables saved() has written that release() has not deleted."""
+    return len(_SAVED)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a saved table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of text, and rows, that an operator works on at once.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 500
+
+
+def sliced(batches, column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """Arrow batches cut to at most rows rows and about most bytes of a text column; a longer text has a batch of its own."""
+    for b in batches:
+        sizes, start, held = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist(), 0, 0
+        for k, n in enumerate(sizes):
+            if k > start and (held + n > most or k - start >= rows):
+                yield b.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if b.num_rows:
+            yield b.slice(start)
+
+
 def has_words(text: Column) -> Column:
     """Whether a text has anything but ASCII white space; null: no."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE)) != ""
