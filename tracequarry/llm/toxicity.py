@@ -6,9 +6,12 @@ punctuation and obfuscated words. Trees are boosted on histograms in numpy; scor
 by pooling adjacent violators on rows kept out of the boosting.
 
 Training rows are bounded: the SAMPLE labelled rows of smallest hash of doc_id, split by hash into
-lexicon, boosting and calibration rows. Every text is scored whole. Defined results: null and empty
-texts have zero features and are scored like any other; rows that repeat a doc_id are scored each; a
-repeated label row counts once for each row; without both labels in the sample all scores are 0.
+lexicon, boosting and calibration rows. Every text is scored whole, in slices of SLICE_BYTES, so very
+long texts need no more memory than themselves. Defined results: null and empty texts have zero
+features and are scored like any other; rows that repeat a doc_id are scored each, and the least of
+their texts is learned from; repeated label rows count once, contradictory ones both; labels other
+than 0 and 1 are no labels; ties in hash are all taken; an empty table gives an empty result, and
+without both labels in the sample all scores are 0; the filter keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, sliced
 
 SAMPLE = 9000
 LEXICON = 500
@@ -43,7 +46,7 @@ _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
 class Lexicon(dict):
     """word -> (seed, learned weight, learned entry, second person, obfuscated, stretched), found once for each word while it is kept."""
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
@@ -173,12 +176,15 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> DataFrame:
-    """(part, toxic, text) of at most sample labelled rows (and ties): part 0-4 lexicon, 5-7 boosting, 8-9 calibration."""
-    rows = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    """(part, toxic, text) of at most sample labelled rows (and ties in hash): part 0-4 lexicon, 5-7 boosting, 8-9 calibration."""
+    known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    rows = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).distinct()
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(last if last is not None else -(2**63)).cast("long"))  # bounded by sample: may be broadcast
     part = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(10)).cast("int")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(part.alias("part"), "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # repeated rows collapse before they move
+    return once.select(part.alias("part"), "toxic", "text")
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
@@ -231,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = Model(*shared.value)
         lexicon = Lexicon(m.learned)
-        for b in batches:
+        for b in sliced(batches, 1):
             x = np.array([features(t.as_py(), lexicon) for t in b.column(1)], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(x), pa.float64())], ["doc_id", "score"])
 
@@ -247,16 +253,15 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those scored at THRESHOLD or more, with docs' columns."""
-    names = [c for c in docs.columns if c != "_score"]
     model = fit(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
         m = Model(*shared.value)
         lexicon = Lexicon(m.learned)
-        for b in batches:
+        for b in sliced(batches, at):
             x = np.array([features(t.as_py(), lexicon) for t in b.column(at)], float).reshape(-1, len(NAMES))
             yield b.filter(pa.array(m.scores(x) < THRESHOLD))
 
-    return docs.select(*names).mapInArrow(run, docs.select(*names).schema)
+    return docs.mapInArrow(run, docs.schema)
