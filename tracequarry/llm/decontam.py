@@ -11,9 +11,12 @@ of its words), its answer being its last sentence.
 The index is built from at most INDEX_CHARS characters of items and sent to all tasks; a larger
 benchmark is dealt in shards that are each probed by all documents, with the number of items, document
 frequencies, mean and longest length of the whole benchmark, so that shards change no score. Defined
-results: null and blank documents and items match nothing; an item is an item_id with its text: repeated
-rows count once, texts that share an item_id or have none are items each; rows that repeat a doc_id are
-looked up each; extra columns of the documents pass through the filter.
+results: null and blank documents and items match nothing; very long documents are many passages, taken
+in slices of bounded bytes; an item is an item_id with its text: repeated rows count once, texts that
+share an item_id or have none are items each; of an item's passages the one of the best score and then
+overlaps is told; items of equal score are all told; rows that repeat a doc_id are looked up each; an
+empty table on either side matches nothing; extra columns of the documents, whatever their names, pass
+through the filter, those of the benchmark are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 BLOCK = 4
@@ -218,12 +223,6 @@ def indexes(benchmark: DataFrame, most: int = INDEX_CHARS) -> list[tuple]:
         yield [tuple(r) for r in dealt.where(F.col("shard") == k).select("item_id", "text").collect()], (*every, {bytes(w): df for w, df in own.collect()})
 
 
-def _sliced(batches, rows: int = 400):
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD, most: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of all verified matches, a row for each item."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -233,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD
 
         def run(batches, shared=shared):
             index = Index(*shared.value)
-            for b in _sliced(batches):
+            for b in sliced(batches, 1, rows=400):
                 rows = [(d, index.items[i][0], *x) for d, own in zip(b.column(0).to_pylist(), index.matches(b.column(1).to_pylist(), theta)) for i, x in sorted(own.items())]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -251,7 +250,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRE
 
         def run(batches, shared=shared):
             index = Index(*shared.value)
-            for b in _sliced(batches):
+            for b in sliced(batches, at, rows=400):
                 yield b.filter(pa.array([not m for m in index.matches(b.column(at).to_pylist(), theta)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
