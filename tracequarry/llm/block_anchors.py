@@ -10,7 +10,9 @@ are dealt out once, by batch, and stay put.
 
 Equality of runs is equality of 64-bit hashes of their words. Defined results: null and blank texts
 have no words; a row without doc_id is no document: it keeps all its words and takes none; of documents with the same run the smallest doc_id keeps it; rows that repeat a
-doc_id keep what they share with each other; repeats inside a document stay.
+doc_id keep what they share with each other; repeats inside a document stay; very long texts are hashed
+whole, in their batch; an empty table gives an empty result; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

@@ -4,10 +4,17 @@ Documents are dealt into batches by hash of doc_id, each of bounded size. A batc
 that it holds to partitions of the hash space, packed in one binary for each partition; a partition
 answers each batch with the hashes of interest. A hash is sent once for each batch, however many of the batch's
 documents hold it, so a passage or shingle that a third of all documents share stays small.
+
+Rows of an exchange are batches times partitions at most. From STEADY_BYTES of text on both sizes grow
+with the square root of the input, so that the rows grow with the input itself, up to LARGEST times,
+where a task needs about 1.5 GB; beyond that the rows of a batch get shorter, and are never more than its
+hashes. Sizes change no result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +24,26 @@ from .common import partitions
 #: Bytes of text aimed at in a batch, and in a partition of the hash space.
 BATCH_BYTES = 4_000_000
 PART_BYTES = 60_000_000
+#: From here on both grow with the square root of the text's bytes, up to so many times.
+STEADY_BYTES, LARGEST = 30_000_000_000, 16
 _MASK = np.uint64(0xFFFFFFFF)
 _RNG = np.random.default_rng(20240607)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def sizes(total: int, least: int, batch_bytes: int = BATCH_BYTES) -> tuple[int, int]:
+    """Numbers of batches and of hash partitions for so many bytes of text; least is the least number of tasks."""
+    grown = min(float(LARGEST), math.sqrt(max(1.0, total / STEADY_BYTES)))
+    return max(3 * least, int(total / (batch_bytes * grown))), max(least, int(total / (PART_BYTES * grown)))
+
+
 def plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(docs as doc_id, text, batch; number of batches; number of hash partitions)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = partitions(docs.sparkSession)
-    n_batches, n_parts = max(3 * n, total // BATCH_BYTES), max(n, total // PART_BYTES)
+    n_batches, n_parts = sizes(total, partitions(docs.sparkSession))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")
-    return docs.select("doc_id", "text", batch), int(n_batches), int(n_parts)
+    return docs.select("doc_id", "text", batch), n_batches, n_parts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
