@@ -7,15 +7,20 @@ to read, but fewer documents that share l of its tokens. A pair is verified if i
 of the two documents' l.
 
 Frequencies come from a packed exchange (see packed.py). A document with too few tokens that any
-other document has links with nothing and takes no further part. Equal sets are one node. Documents
-that share a prefix token, directly or through others, are brought together; a group too large for
-one task is dealt in pairs of blocks. Tasks report, for each node, its links and a forest of them,
+other document has links with nothing and takes no further part. Equal sets are one node, and copies
+in a batch one row. Documents that share a prefix token, directly or through others, are brought
+together. Where that chains more than GROUP documents, their postings are read again with a parity
+bitmap of each set, which bounds the overlap of two sets from above; only pairs within the bound stay
+connected, so chains of unlike documents fall apart. What is still too large for one task, near copies
+in the main, is dealt in pairs of blocks. Tasks report, for each node, its links and a forest of them,
 so no list of pairs is ever made; the forest's components are found with DataFrame joins.
 
 Defined results: texts without words have no tokens and link with nothing; rows that repeat a
 doc_id are one node with each row's set; rows without doc_id link with nothing and have no
-component_id; ties in order are broken by hash; an empty table gives an
-empty result; extra columns pass through the filter. Shingles are equal if their 64-bit hashes are.
+component_id; ties in order are broken by hash; very long texts are sets like others; an empty table
+gives an empty result; extra columns, whatever their names, pass through the filter. Shingles are equal
+if their 64-bit hashes are; document frequencies, which only order tokens, are counted by the part
+and the low 32 bits of the hash.
 """
 
 from __future__ import annotations
@@ -25,16 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, partitions, saved
 from .components import components
 from .packed import Hasher, chunks, in_sorted, low, mix, part_of, plan, split_by_part
 
 LONGEST = 4
 #: Nodes of a group that one task takes, and of a block of a larger group.
 GROUP, BLOCK = 1000, 500
+#: Bytes of sets or postings aimed at in a task.
+TASK_BYTES = 8_000_000
+#: Least and largest 64-bit words of a set's bitmap; about half a bit a token between them.
+WORDS = (8, 128)
 _SENT = "part int, batch int, a binary, b binary, c binary"
 _SENT_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-_SET = "doc_id long, n long, key string, ell int, prefix array<long>, shared binary"
+_SET = "doc_id long, n long, key string, ids array<long>, ell int, base int, prefix array<long>, shared binary"
 
 
 def _table(rows: list[tuple], names: str, types: tuple) -> pa.Table:
@@ -80,8 +89,8 @@ def choose(df: np.ndarray, n: int, least: int) -> int:
 
 
 def document_sets(docs: DataFrame, words: int, num: int, den: int, fold_case: bool) -> DataFrame:
-    """A row for each document: its number of tokens, a key of its set, and for documents that may
-    link the chosen l, the prefix and the tokens that other documents have."""
+    """A row for each set of a batch: its least document, number of tokens, key and documents, and for sets that may
+    link the chosen l, how many prefix tokens l = 1 needs, the prefix and the tokens that other documents have."""
     dealt, _, n_parts = plan(docs.where("doc_id is not null"))
     by_batch = dealt.groupBy("batch")
 
@@ -125,22 +134,28 @@ def document_sets(docs: DataFrame, words: int, num: int, den: int, fold_case: bo
             hit = in_sorted(mine, keys)
             df[hit] = values[np.searchsorted(keys, mine[hit])]
         edges = np.searchsorted(d, np.arange(len(ids) + 1))
-        rows = []
+        rows: dict[str | None, list] = {}
         for doc, s, e in zip(ids, edges.tolist(), edges[1:].tolist()):
             n = e - s
             own, f = h[s:e], df[s:e]
             key = f"{int(mix(own).sum()):016x}{int(mix(own ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum()):016x}" if n else None
+            if key in rows:
+                rows[key][0] = min(rows[key][0], doc)
+                rows[key][3].append(doc)
+                continue
             least = -(-num * n // den)
             common = int((f > 1).sum())
             if not n or common < least:
-                rows.append((doc, n, key, None, None, None))
+                rows[key] = [doc, n, key, [doc], None, None, None, None]
                 continue
             order = np.lexsort((own, f))
             f = f[order]
             ell = choose(f, n, least)
-            prefix = own[order[: n - least + ell]][f[: n - least + ell] > 1]
-            rows.append((doc, n, key, ell, prefix.view(np.int64).tolist(), own[df[s:e] > 1].tobytes()))
-        return _table(rows, "doc_id n key ell prefix shared", (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary()))
+            held = f > 1
+            prefix = own[order[: n - least + ell]][held[: n - least + ell]]
+            rows[key] = [doc, n, key, [doc], ell, int(held[: n - least + 1].sum()), prefix.view(np.int64).tolist(), own[df[s:e] > 1].tobytes()]
+        names = "doc_id n key ids ell base prefix shared"
+        return _table([*rows.values()], names, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))
 
     counted = by_batch.applyInArrow(emit, _SENT).groupBy("part").applyInArrow(answer, _SENT)
     return by_batch.cogroup(counted.groupBy("batch")).applyInArrow(finish, _SET)
@@ -200,21 +215,136 @@ def find_links(members: list[tuple], left: list[int], right: list[int], num: int
     return [(left[rows[a]], right[cols[b]]) for a, b in zip(i.tolist(), j.tolist())]
 
 
-def linked(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
-    """((a, b, n): forest edges with n 0, and for each node a = b with n links; paths to discard)."""
-    postings = sets.select("doc_id", F.explode("prefix").alias("token"))
+class Forest(dict):
+    """Union-find over ids; the least id is the root."""
+
+    def root(self, k: int) -> int:
+        while self.setdefault(k, k) != k:
+            self[k] = self[self[k]]
+            k = self[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(k, self.root(k)) for k in list(self) if self.root(k) != k]
+
+
+def bitmap(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Parity bitmap of a set of n tokens, of which tokens are those that other documents have: sets differ in at
+    least as many tokens as their bitmaps of one width do in bits. Narrower bitmaps are folds of it."""
+    width = WORDS[0]
+    while width < WORDS[1] and width * 128 < n:
+        width *= 2
+    at = (mix(tokens) % np.uint64(width * 64)).astype(np.int64)
+    bits = np.bincount(at, minlength=width * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps folded to a narrower width, a power of two as theirs."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def within_bound(left: list[tuple], right: list[tuple], num: int, den: int) -> np.ndarray:
+    """Which pairs of (id, n, number of shared tokens, bitmap) can link by size and by the bitmaps' bound of the overlap."""
+    n, m = (np.array([x[1] for x in side], np.int64)[:, None] for side in (left, right))
+    s, t = (np.array([x[2] for x in side], np.int64)[:, None] for side in (left, right))
+    apart = np.zeros((len(left), len(right)), np.int64)
+    widths = [np.array([len(x[3]) for x in side]) for side in (left, right)]
+    for v in np.unique(widths[0]).tolist():
+        for w in np.unique(widths[1]).tolist():
+            i, j = np.flatnonzero(widths[0] == v), np.flatnonzero(widths[1] == w)
+            a, b = (fold(np.stack([side[k][3] for k in at]), min(v, w)) for side, at in ((left, i), (right, j)))
+            bits = np.zeros((len(i), len(j)), np.int64)
+            for k in range(min(v, w)):
+                bits += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+            apart[np.ix_(i, j)] = bits
+    most = (s + t.T - apart) // 2
+    return (num * np.maximum(n, m.T) <= den * np.minimum(n, m.T)) & (den * most >= num * (n + m.T - most))
+
+
+def cells_of(size, least: int):
+    """(own block, cells) of a row in a group of that size: one cell, or the pairs of blocks that the own block is in."""
+    blocks = F.when(size <= least, 1).otherwise(F.ceil(size / BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    return own, F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
+
+
+def tasks_for(spark, total: int | None) -> int:
+    return max(partitions(spark), int(total or 0) // TASK_BYTES)
+
+
+def refined(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a forest of the pairs of sets that share a prefix token and are within the bitmaps' bound."""
+
+    def signed(batches):
+        for batch in batches:
+            for b in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                shared = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+                n = b.column(1).to_pylist()
+                maps = pa.array([bitmap(x, k).tobytes() for x, k in zip(shared, n)], pa.binary())
+                keys = pa.array([p[:k] for p, k in zip(b.column(4).to_pylist(), b.column(2).to_pylist())], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in shared], pa.int64()), maps, keys], ["doc_id", "n", "s", "map", "keys"])
+
+    spark = sets.sparkSession
+    signs = sets.select("doc_id", "n", "base", "shared", "prefix").mapInArrow(signed, "doc_id long, n long, s long, map binary, keys array<long>")
+    lists = sets.select(F.explode(F.slice("prefix", 1, F.col("base"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    postings = signs.select("doc_id", "n", "s", "map", F.explode("keys").alias("token")).join(lists, "token")
+    own, cells = cells_of(F.col("c"), GROUP)
+    total = sets.agg(F.sum(F.col("base") * (F.lit(40) + 8 * F.least(F.greatest(F.col("n") / 64, F.lit(WORDS[0])), F.lit(WORDS[1]))))).first()[0]
+    spread = postings.withColumns({"block": own, "cells": cells}).select("doc_id", "n", "s", "map", "token", "block", F.inline("cells"))
+    task = F.pmod(F.xxhash64("token", "x", "y"), F.lit(tasks_for(spark, total)))
+
+    def connect(t: pa.Table) -> pa.Table:
+        lists: dict[tuple, list[tuple]] = {}
+        for token, x, y, block, *rest in zip(*(t.column(c).to_pylist() for c in ("token", "x", "y", "block", "doc_id", "n", "s", "map"))):
+            lists.setdefault((token, x, y), []).append((block, *rest))
+        forest = Forest()
+        for (_, x, y), rows in lists.items():
+            if len({forest.root(r[1]) for r in rows}) < 2:
+                continue  # all connected already
+            sides = [[(doc, n, s, np.frombuffer(m, np.uint64)) for block, doc, n, s, m in rows if block == side] for side in (x, y)]
+            if all(sides):
+                for i, j in np.argwhere(within_bound(*sides, num, den)).tolist():
+                    forest.join(sides[0][i][0], sides[1][j][0])
+        return _table(forest.edges(), "a b", (pa.int64(), pa.int64()))
+
+    return spread.withColumn("task", task).groupBy("task").applyInArrow(connect, "a long, b long").distinct()
+
+
+def placed(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """(sets with component and size: those that must be compared with others of their component; paths to discard)."""
+    postings = sets.select("doc_id", F.explode(F.slice("prefix", 1, F.col("base"))).alias("token"))
     pivots = postings.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = postings.join(pivots, "token").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    sized = lambda g: g.join(g.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").withColumnRenamed("id", "doc_id")
     groups, paths = components(near)
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = sets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").join(sizes, "component")
-    blocks = F.when(F.col("size") <= GROUP, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
-    celled = placed.withColumns({"block": own, "cells": cells})
+    groups = sized(groups)
+    if not groups.where(F.col("size") > GROUP).isEmpty():
+        groups, path = saved(groups)
+        paths.append(path)
+        wide = sets.join(groups.where(F.col("size") > GROUP).select("doc_id"), "doc_id", "left_semi")
+        again, more = components(refined(wide, num, den))
+        paths += more
+        groups = groups.where(F.col("size") <= GROUP).unionByName(sized(again))
+    return sets.join(groups, "doc_id"), paths
+
+
+def linked(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """((a, b, n): forest edges with n 0, and for each node a = b with n links; paths to discard)."""
+    near, paths = placed(sets, num, den)
+    own, cells = cells_of(F.col("size"), GROUP)
+    celled = near.withColumns({"block": own, "cells": cells})
     spread = celled.select("doc_id", "n", "ell", "prefix", "shared", "component", "block", "size", F.inline("cells"))
-    # small groups share tasks by hash; a pair of blocks of a large one is a task
-    task = F.when(F.col("size") <= GROUP, F.pmod(F.xxhash64("component"), F.lit(997))).otherwise(F.xxhash64("component", "x", "y"))
+    total = sets.agg(F.sum(F.octet_length("shared") + 8 * F.size("prefix"))).first()[0]
+    # small groups share tasks of about TASK_BYTES by hash; a pair of blocks of a large one is a task
+    task = F.when(F.col("size") <= GROUP, F.pmod(F.xxhash64("component"), F.lit(tasks_for(sets.sparkSession, total)))).otherwise(F.xxhash64("component", "x", "y"))
 
     def link(t: pa.Table) -> pa.Table:
         cols = [t.column(c).to_pylist() for c in ("component", "x", "y", "block", "doc_id", "n", "ell", "prefix", "shared")]
@@ -228,23 +358,14 @@ def linked(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
             members = [(doc, n, ell, np.array(prefix, np.int64).view(np.uint64), np.frombuffer(shared, np.uint64)) for _, doc, n, ell, prefix, shared in rows]
             left = [k for k, r in enumerate(rows) if r[0] == x]
             pairs = find_links(members, left, left if x == y else [k for k, r in enumerate(rows) if r[0] == y], num, den)
-            parent = {}
-
-            def root(k: int) -> int:
-                while parent.setdefault(k, k) != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
-
-            degree: dict[int, int] = {}
+            forest, degree = Forest(), {}
             for i, j in pairs:
                 a, b = members[i][0], members[j][0]
                 if a == b:
                     continue
                 degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-                a, b = root(a), root(b)
-                parent[max(a, b)] = min(a, b)
-            out += [(k, root(k), 0) for k in degree if root(k) != k]
+                forest.join(a, b)
+            out += [(a, b, 0) for a, b in forest.edges()]
             out += [(k, k, n) for k, n in degree.items()]
         return _table(out, "a b n", (pa.int64(), pa.int64(), pa.int64()))
 
@@ -258,14 +379,15 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, fold_ca
     rows, rows_path = saved(document_sets(docs, words, num, den, fold_case))
     able = rows.where("prefix is not null")
     reps = able.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    sets = able.join(reps, "key").where("doc_id = rep").drop("rep")
+    sets = able.join(reps, "key").where("doc_id = rep").drop("rep", "ids", "key")
     found, paths = linked(sets, num, den)
     found, found_path = saved(found)
     for p in paths:
         discard(spark, p)
     whole, _ = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    classed = rows.select("doc_id", "n", "key").join(reps, "key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    classed = rows.select("n", "key", "ids").join(reps, "key", "left").select("n", "ids", "rep")
+
     def count(batches):
         for b in batches:
             d, _ = shingle_sets(b.column(1).to_pylist(), words, fold_case)
@@ -273,7 +395,8 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, fold_ca
 
     labelled = classed.join(whole.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
     nameless = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long")
-    out = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    each = labelled.select(F.explode("ids").alias("doc_id"), "n", F.coalesce("component", "rep").alias("component"), "n_links")
+    out = each.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
