@@ -6,8 +6,10 @@ removed, and a document that keeps too small a share of its words is rejected. P
 come first. DataFrame functions only.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its own;
-each row counts as a document, and rows that repeat a
-doc_id share the words that any of them lost; extra columns are ignored.
+rows that repeat a doc_id are one document in a line's count and share the words that any of them lost;
+rows without doc_id are one document of each host; a line at the limit stays, and equal lines of a
+document go together; very long texts are arrays of their words and lines in one row; an empty table
+gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP_PATTERN, WHITE, words
+from .common import GAP_PATTERN, WHITE, saved, words
 
 #: A line is boilerplate of its host in more documents than this.
 LINE_LIMIT = 50
@@ -92,21 +94,26 @@ def host_of(docs: DataFrame) -> Column:
     return F.coalesce("source", F.lit("")).alias("source")
 
 
-def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(source, key) of the lines in more than limit documents of a host; a document counts once.
+def host_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, key, words): the lines of each document of a host and the words of all their occurrences,
+    written once as a narrow table that both the counts and the removal read."""
+    both = F.zip_with(normalise(F.col("_lines")), F.col("_lines"), lambda k, x: F.struct(F.xxhash64(k).alias("key"), F.size(words(x)).alias("words")))
+    return saved(text_lines(docs).select("doc_id", host_of(docs), F.inline(both)))[0]
+
 
-    Map-side partial counts keep a line that a third of all documents hold to a row for each task.
+def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(source, key) of the lines in more than limit distinct documents of a host.
+
+    Documents are made distinct by (source, key, doc_id), which spreads a common line; the counts are
+    then partial ones for each task, so a line that a third of all documents hold is a row of each.
     """
-    keys = F.transform(normalise(F.col("_lines")), lambda x: F.xxhash64(x))
-    each = text_lines(docs).select(host_of(docs), F.explode(F.array_distinct(keys)).alias("key"))
+    each = lines.select("source", "key", "doc_id").distinct()
     return each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > limit).select("source", "key")
 
 
-def removed_words(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+def removed_words(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """(doc_id, n_removed) for documents that lose a line: the words of all its occurrences."""
-    both = F.zip_with(normalise(F.col("_lines")), F.col("_lines"), lambda k, x: F.struct(F.xxhash64(k).alias("key"), F.size(words(x)).alias("words")))
-    lines = text_lines(docs).select("doc_id", host_of(docs), F.inline(both))
-    hit = lines.join(frequent_lines(docs, limit), ["source", "key"], "left_semi")
+    hit = lines.join(frequent_lines(lines, limit), ["source", "key"], "left_semi")
     return hit.groupBy("doc_id").agg(F.sum("words").alias("n_removed"))
 
 
@@ -114,6 +121,6 @@ def quality_report(docs: DataFrame, limit: int = LINE_LIMIT, least_left: int = L
     stats = base_stats(docs)
     lost = F.coalesce("n_removed", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    left = stats.join(removed_words(docs, limit), "doc_id", "left")
+    left = stats.join(removed_words(host_lines(docs), limit), "doc_id", "left")
     depleted = 100 * (F.col("n_words") - lost) < least_left * F.col("n_words")
     return left.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), lost.cast("long").alias("n_line_words_removed"))
