@@ -15,7 +15,8 @@ nothing. Hosts whose pages all have no block outside article and main send nothi
 remove a word there. Equality of runs and of hosts between batches is that of 64-bit hashes.
 
 Defined results: null html gives the empty text; a null or odd url is a host of its own name; repeated page rows are kept, and
-equal page_ids count as one page; extra columns are ignored; an empty table gives an empty result.
+equal page_ids count as one page; very long pages are parsed whole, in slices of bounded bytes; a run on exactly PAGES pages goes;
+extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
-from .packed import BATCH_BYTES, PART_BYTES, Hasher, in_sorted, mix, split_by_part
+from .common import partitions, sliced
+from .packed import BATCH_BYTES, Hasher, in_sorted, mix, sizes, split_by_part
 
 SPAN = 16  # a power of two
 PAGES = 3
@@ -41,11 +42,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 GONE = frozenset("nav footer aside form head menu dialog button fieldset".split())
 GONE_OUTSIDE = frozenset("header".split())
 MAIN = frozenset("article main".split())
-_GONE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|promo\w*|related|share|sharing|social|comments?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|widget|login|signup|search|disqus|complementary|contentinfo)(?:$|[\s_-])", re.I)
+MAIN_NAMES = frozenset("main article post story entry".split())
+_GONE_NAME = re.compile(r"(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|promo\w*|related|share|sharing|social|comments?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|widget|login|signup|search|disqus|complementary|contentinfo)", re.I)
+#: What a name may have beside it and still mean the same; other words beside it say more than it does inside an article.
+_PLAIN_NAME = re.compile(r"(?:box|area|bar|block|container|container-fluid|content|form|group|inner|item|items|links?|lists?|outer|panel|row|section|slot|thread|unit|wrap|wrapper|left|right|top|bottom|main-?nav|site|page|global|inline|small|large|js|clearfix|hidden|visible|\d+)", re.I)
+#: Attributes by the states of the format: a value is quoted only if it begins with the quote.
+_ATTRIBUTES = r"""(?>=\s*+(?:"[^"]*"|'[^']*'|[^\s"'<>][^\s<>]*+)?|[^=<>]++)*+"""
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>",
+    r"|<(?P<raw>" + "|".join(sorted(RAW)) + rf")\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?=[\s/>]){_ATTRIBUTES})>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -56,7 +62,19 @@ def gone(tag: str, rest: str, inside: bool) -> bool:
         return True
     if not rest or tag in ("html", "body", "main"):
         return False
-    return any(_GONE_NAME.search(next(filter(None, m.groups()), "")) for m in _NAMES.finditer(rest))
+    return any(gone_name(next(filter(None, m.groups()), ""), inside) for m in _NAMES.finditer(rest))
+
+
+def gone_name(value: str, inside: bool) -> bool:
+    """Whether a class, id or role names what goes. Outside an article one word of it is enough, unless the main
+    text is named beside it; inside, all its words must be such names or plain additions, so that "share price" stays."""
+    words = re.split(r"[\s_-]+", value.strip())
+    named = [bool(_GONE_NAME.fullmatch(w)) for w in words]
+    if not any(named):
+        return False
+    if inside:
+        return all(n or _PLAIN_NAME.fullmatch(w) for n, w in zip(named, words))
+    return MAIN_NAMES.isdisjoint(value.lower().split())
 
 
 def blocks(html: str | None) -> list[tuple[bool, str]]:
@@ -67,7 +85,7 @@ def blocks(html: str | None) -> list[tuple[bool, str]]:
 
     def close() -> None:
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(map(unescape, parts)).split())  # a reference doesn't run across tags
             if text:
                 found.append((inside > 0, text))
             parts.clear()
@@ -90,7 +108,7 @@ def blocks(html: str | None) -> list[tuple[bool, str]]:
                 if depth == 0:
                     skip = ""
                 continue
-            if tag not in MAIN or inside or end or gone(tag, rest, False):
+            if tag not in MAIN or inside or end or gone(tag, rest, inside > 0):
                 continue
             skip, depth = "", 0  # an article ends what was left open before it
         if not end and tag not in VOID and gone(tag, rest, inside > 0):
@@ -201,7 +219,7 @@ def _read(column, kind) -> list[np.ndarray]:
 
 
 def _parse(batches):
-    for b in batches:
+    for b in sliced(batches, 4):
         parsed = [blocks(h) for h in b.column(4).to_pylist()]
         inside = pa.array([bytes(i for i, _ in p) for p in parsed], pa.binary())
         texts = pa.array([[t for _, t in p] for p in parsed], pa.list_(pa.string()))
@@ -216,8 +234,7 @@ def extract(pages: DataFrame, batch_bytes: int = BATCH_BYTES, span: int = SPAN,
     """(page_id, url, text)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n = partitions(pages.sparkSession)
-    n_batches, n_parts = max(3 * n, total // batch_bytes), max(n, total // PART_BYTES)
+    n_batches, n_parts = sizes(total, partitions(pages.sparkSession), batch_bytes)
     batch = F.pmod(F.xxhash64("page_id"), F.lit(n_batches)).cast("int").alias("batch")
     by_batch = pages.select("page_id", "url", F.xxhash64(host).alias("host"), batch, "html").mapInArrow(_parse, _PARSED).groupBy("batch")
 
