@@ -6,8 +6,10 @@ triples that are not in the ledger, one text per blob however many paths or vers
 joins the findings back to every path. DataFrame functions only.
 
 Defined results: a null body is the empty text; repeated (path, version) rows each get their
-findings; an empty table gives an empty result; extra columns of the history are kept unless they
-have a name of this operator's own output, which replaces them; spans are in code points, end exclusive.
+findings; equal bodies are one blob, and at equal starts the rules' order decides; a very long body is
+scanned whole in one row; an empty table gives an empty result; extra columns of the history are kept
+unless they have a name of this operator's own output, which replaces them; spans are in code points,
+end exclusive.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SPAN = "array<struct<s:int,e:int>>"
 
 
@@ -116,11 +120,23 @@ def scan(history: DataFrame, body: str = "content", rules=RULES, ledger: DataFra
     return findings_by_path(addressed, whole, rules), whole
 
 
+def ledger_in_rounds(addressed: DataFrame, body: str, rules=RULES, rounds: int = 2) -> DataFrame:
+    """The ledger of a history whose rows arrive in rounds, by hash of their path: each round scans what the
+    written ledger of those before lacks, and adds it."""
+    ledger = None
+    arrives = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds))
+    for k in range(rounds):
+        new, _ = saved(scan_unseen(addressed.where(arrives == k), body, rules, ledger))
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return ledger
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the contract, a row per document."""
+    """The digest columns of the contract, a row per document. Documents are versions that arrive in two rounds;
+    the second scans only blobs that the first has not seen."""
     history = docs.select("doc_id", F.col("text").alias("content"))
     addressed = address(history, "content")
-    ledger = scan_unseen(addressed, "content")
+    ledger = ledger_in_rounds(addressed, "content")
     found = findings_by_path(addressed.drop("content"), ledger)
     of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("found", lambda x: x["o"] < 3)
