@@ -5,23 +5,31 @@ vector is the mean of its subwords' embeddings; embeddings and softmax are train
 stochastic gradient descent in numpy. A temperature fitted on held-back rows calibrates the
 probability, below which a prediction can be rejected.
 
-Training rows are bounded: PER_LANGUAGE texts of each language, those of smallest hash of doc_id.
-Every text is scored whole. Defined results: null texts and texts without a letter are `und` with
-score 0; rows that repeat a doc_id are scored each; without training rows everything is `und`.
+Training rows are bounded: of the LANGUAGES most frequent languages those doc_ids whose hash is in the
+share that gives about PER_LANGUAGE rows a language, and only texts of at most LEARNED_BYTES bytes.
+Every text is scored whole, in slices of bounded bytes, so very long texts need no more memory than
+themselves. Defined results: null texts and texts without a letter (Unicode category L) are `und` with
+score 0; rows that repeat a doc_id are scored each, and the least of their texts in a language is
+learned from; languages of equal frequency go by name, equal probabilities by the languages' order; an
+empty table gives an empty result, and without training rows everything is `und`; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, sliced
 
-PER_LANGUAGE = 1000
+PER_LANGUAGE, LANGUAGES, LEARNED_BYTES = 1000, 500, 100_000
+#: Calibrated probability under which the report calls a prediction rejected.
+REJECTED = 0.5
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 DIMENSION = 16
@@ -29,7 +37,11 @@ EPOCHS = 3
 RATE = 0.5
 SEED = 11
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in _MAYBE_LETTER.finditer(text))
 
 
 def subwords(text: str) -> list[np.ndarray]:
@@ -53,7 +65,7 @@ class Model:
         return total / max(sum(map(len, grams)), 1) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.labels or not text or not _LETTER.search(text):
+        if not self.labels or not text or not has_letter(text):
             return NONE, 0.0
         p = softmax(self.logits(text) / self.temperature)
         k = int(p.argmax())
@@ -65,22 +77,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
-    labels = sorted(set(langs))
-    if not labels:
-        return Model([], np.zeros((0, len(ORDERS), BUCKETS), np.float32), np.zeros(0), 1.0)
-    target = np.array([labels.index(x) for x in langs])
-    sparse = []
-    for t in texts:
-        grams = np.concatenate([g.astype(np.int64) + k * BUCKETS for k, g in enumerate(subwords(t))])
-        ids, counts = np.unique(grams, return_counts=True)
-        sparse.append((ids, (counts / counts.sum()).astype(np.float32)))
-    rng = np.random.default_rng(seed)
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's subwords, numbered over all orders, and their shares."""
+    grams = np.concatenate([g.astype(np.int64) + k * BUCKETS for k, g in enumerate(subwords(text))])
+    ids, counts = np.unique(grams, return_counts=True)
+    return ids, (counts / max(counts.sum(), 1)).astype(np.float32)
+
+
+def descend(sparse: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n: int, used: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(embeddings, softmax weights, bias) after EPOCHS passes of stochastic gradient descent over the used bags."""
     embed = rng.normal(0, 0.1, (len(ORDERS) * BUCKETS, DIMENSION)).astype(np.float32)
-    out = np.zeros((DIMENSION, len(labels)), np.float32)
-    bias = np.zeros(len(labels), np.float32)
-    order = rng.permutation(len(texts))
-    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    out = np.zeros((DIMENSION, n), np.float32)
+    bias = np.zeros(n, np.float32)
     steps, at = EPOCHS * max(1, len(used)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(used):
@@ -93,7 +101,20 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
             out -= rate * np.outer(h, g)
             bias -= 0.1 * rate * g
             embed[ids] -= (rate * 50) * np.outer(w, back)
-    table = (embed @ out).reshape(len(ORDERS), BUCKETS, len(labels))
+    return embed, out, bias
+
+
+def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
+    labels = sorted(set(langs))
+    if not labels:
+        return Model([], np.zeros((0, len(ORDERS), BUCKETS), np.float32), np.zeros(0), 1.0)
+    target = np.array([labels.index(x) for x in langs])
+    sparse = [bag(t) for t in texts]
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(texts))
+    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    embed, out, bias = descend(sparse, target, len(labels), used, rng)
+    table = (embed @ out).reshape(len(ORDERS), BUCKETS, len(labels))  # a mean of embeddings times out is the mean of these rows
     raw = np.array([sparse[i][1] @ table.reshape(-1, len(labels))[sparse[i][0]] + bias for i in held]).reshape(-1, len(labels))
     temperature = 1.0
     if len(held):
@@ -103,22 +124,20 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
 
 
 def training_rows(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(text, lang) of at most per_language rows a language (and ties), chosen by hash of doc_id before any text moves."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    h = F.xxhash64("doc_id")
-    ranked = rows.select("lang", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    cutoffs = ranked.where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not cutoffs:
-        return rows.select("text", "lang").limit(0)
+    """(doc_id, lang, text) of about per_language rows a language, all where there are no more, chosen by
+    hash of doc_id before any text moves; a language's rows are only counted."""
+    rows = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= LEARNED_BYTES))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     within = F.lit(False)
-    for lang, cutoff in cutoffs:
-        within = within | ((F.col("lang") == lang) & (h <= cutoff))
-    return rows.where(within).select("doc_id", "text", "lang")
+    for lang, n in counts:
+        last = min(2**63 - 1, int(per_language / n * 2**64) - 2**63)
+        within = within | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= F.lit(last).cast("long")))
+    return rows.where(within).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # repeated rows collapse before they move
 
 
 def fit(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> Model:
-    rows = sorted(map(tuple, training_rows(docs, usable, per_language).collect()), key=repr)
-    return train([r[-2] for r in rows], [r[-1] for r in rows])
+    rows = sorted(map(tuple, training_rows(docs, usable, per_language).collect()))
+    return train([r[2] for r in rows], [r[1] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, reject_below: float = 0.0) -> DataFrame:
@@ -127,7 +146,7 @@ def predict(docs: DataFrame, model: Model, reject_below: float = 0.0) -> DataFra
 
     def score(batches):
         m = Model(*shared.value)
-        for b in batches:
+        for b in sliced(batches, 1):
             found = [m.predict(t.as_py()) for t in b.column(1)]
             lang = [x if s >= reject_below else NONE for x, s in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -136,7 +155,8 @@ def predict(docs: DataFrame, model: Model, reject_below: float = 0.0) -> DataFra
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """A row per document; learned only from rows whose crc32 of doc_id mod 4 is not 2."""
+    """A row per document; learned only from rows whose crc32 of doc_id mod 4 is not 2. und is only for
+    texts without a letter; predictions under REJECTED are told apart in rejected."""
     held = crc_mod(F.col("doc_id"), 4) == 2
     model = fit(docs, ~held)
-    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", (F.col("score") < REJECTED).alias("rejected"))
