@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding in one pass of an Aho-Corasick automaton over the pieces.
 
 The automaton reads a text once. At each position it follows the output links, longest piece first,
-and relaxes the best way to end there. Unigram models keep the highest sum of piece scores. A BPE
-model's own segmentation is not the one of the highest sum, so for such a file a piece relaxes a
-position only if it is stable behind the piece that ends where it starts, that is if the merges of
-their joint text give just these two pieces; exactly one segmentation of each prefix is stable
-throughout, and it is the model's. Characters outside the vocabulary become byte pieces.
+and each piece that ends there relaxes the position's best score. Unigram models keep the highest sum
+of piece scores over all segmentations. A BPE model's own segmentation is not the one of the highest
+sum over all, so for such a file the sum is maximised over the stable segmentations: those in which
+the merges of each two adjacent pieces' joint text give just these two pieces. The model's own one is
+stable, and a prefix has only one stable segmentation, so the best score's path is the model's: the
+best way to a position is the only way, and no later piece can call for another. Characters outside
+the vocabulary become byte pieces.
 
 Spaces are written as U+2581 and a space is put before a text, as the model file says. No piece has
 that mark behind another character, so texts fall into parts that are segmented apart and kept in a
 bounded memo. Model files with a character map are refused. Defined results: null and empty texts
 have no ids; decoding gives the text back exactly but for U+2581 itself, which reads as a space;
-rows that repeat a doc_id are encoded each.
+rows that repeat a doc_id are encoded each; of ways of equal score the one with the longest last piece
+is taken; very long texts are read part by part, in slices of bounded bytes; an empty table gives an
+empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Piece types of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts and pairs kept in a worker.
 KEPT = 400_000
+NEVER = float("-inf")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -161,7 +168,7 @@ class Codec:
         last = [0] * (n + 1)  # the piece that ends here, and its length
         size = [0] * (n + 1)
         best = [0.0] * (n + 1)
-        pairs, stable = self.pairs.get, self.stable
+        pairs, stable, score, low, ids, bpe = self.pairs.get, self.stable, self.score, self.low, self.ids, self.kind == BPE
         for j, c in enumerate(text, 1):
             t = children[s].get(c)
             while t is None:
@@ -171,35 +178,26 @@ class Codec:
                 s = fail[s]
                 t = children[s].get(c)
             s = t
-            if self.kind == BPE:
-                for x, k in out[s]:
-                    i = j - k
-                    if i:
-                        if not size[i]:
-                            continue
-                        if (a := last[i]) >= 0:
-                            pair = a << 20 | x
-                            ok = pairs(pair)
-                            if ok is None:
-                                ok = stable(pair)
-                            if not ok:
-                                continue
-                    last[j], size[j] = x, k
-                    break
-                else:
-                    if c not in self.ids:
-                        last[j], size[j] = -1 - ord(c), 1
+            if bpe and c in ids:
+                top = NEVER
             else:
-                top, last[j], size[j] = best[j - 1] + self.low, -1 - ord(c), 1
-                for x, k in out[s]:
-                    if (v := best[j - k] + self.score[x]) > top or (v == top and last[j] < 0):
-                        top, last[j], size[j] = v, x, k
-                best[j] = top
-        ids = []
+                top, last[j], size[j] = best[j - 1] + low, -1 - ord(c), 1
+            for x, k in out[s]:
+                i = j - k
+                if (v := best[i] + score[x]) > top or (v == top and last[j] < 0):
+                    if bpe and i and (a := last[i]) >= 0:
+                        ok = pairs(a << 20 | x)
+                        if not (stable(a << 20 | x) if ok is None else ok):
+                            continue
+                    top, last[j], size[j] = v, x, k
+                    if bpe:
+                        break  # the only stable way
+            best[j] = top
+        path = []
         while n:
-            ids.append(last[n])
+            path.append(last[n])
             n -= size[n] or n  # a way to the end always exists
-        return ids[::-1]
+        return path[::-1]
 
     def pack(self, part: str) -> bytes:
         ids = array("i")
@@ -255,10 +253,15 @@ def worker_codec(key: str, model) -> Codec:
 
 
 def load(spark: SparkSession, path: str = DEFAULT_MODEL):
-    """The parsed model file, read by Spark so that any store will do."""
+    """The parsed model file. A path with a scheme is read by Spark from its store, one without is a file of the
+    driver's, whose parsed pieces are then sent to the executors."""
     from hashlib import sha256
 
-    data = bytes(spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0])
+    if "://" in path:
+        data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    else:
+        with open(path, "rb") as f:
+            data = f.read()
     return sha256(data).hexdigest(), read_model(data)
 
 
@@ -269,17 +272,15 @@ def encode(docs: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches):
         codec = worker_codec(key, shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                packed = [codec.encode_packed(t) for t in texts]
-                sizes = np.array([len(p) // 4 for p in packed], np.int64)
-                values = np.frombuffer(b"".join(packed), np.int32)
-                ends = np.concatenate([[0], sizes.cumsum()])
-                same = [codec.decode(values[s:e].tolist()) == (t or "").replace(MARK, " ") for t, s, e in zip(texts, ends, ends[1:])]
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+        for part in sliced(batches, 1):
+            texts = part.column(1).to_pylist()
+            packed = [codec.encode_packed(t) for t in texts]
+            sizes = np.array([len(p) // 4 for p in packed], np.int64)
+            values = np.frombuffer(b"".join(packed), np.int32)
+            ends = np.concatenate([[0], sizes.cumsum()])
+            same = [codec.decode(values[s:e].tolist()) == (t or "").replace(MARK, " ") for t, s, e in zip(texts, ends, ends[1:])]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
