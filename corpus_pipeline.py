@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm import decontam, line_templates, ngram_join, piece_viterbi, toxicity
-from tracequarry.llm.common import has_words, saved, table
+from tracequarry.llm.common import discard, has_words, release, saved, table, written
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What the stages wrote goes as soon as the next one has been written; the last table stays for the caller."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = saved(stage(spark, docs, sf_dir))
+        before = written()
+        docs, path = saved(stage(spark, docs, sf_dir))
+        release(spark, before, keep=(path,))
+        if last:
+            discard(spark, last)
+        last = path
     return docs
