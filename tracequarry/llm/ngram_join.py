@@ -269,6 +269,28 @@ def within_bound(left: list[tuple], right: list[tuple], num: int, den: int) -> n
     return (num * np.maximum(n, m.T) <= den * np.minimum(n, m.T)) & (den * most >= num * (n + m.T - most))
 
 
+def spanning_edges(near: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A forest of the pairs marked in a matrix of left and right rows, which same says are one set; right rows are
+    numbered after the left ones. Each row is read once."""
+    n, m = near.shape
+    if same:
+        links = near | near.T
+    else:
+        links = np.zeros((n + m, n + m), bool)
+        links[:n, n:], links[n:, :n] = near, near.T
+    left, edges = np.ones(len(links), bool), []
+    for k in range(len(links)):
+        if not left[k]:
+            continue
+        left[k] = False
+        front = np.array([k])
+        while len(front):
+            front = np.flatnonzero(links[front].any(0) & left)
+            left[front] = False
+            edges += [(k, x) for x in front.tolist()]
+    return edges
+
+
 def cells_of(size, least: int):
     """(own block, cells) of a row in a group of that size: one cell, or the pairs of blocks that the own block is in."""
     blocks = F.when(size <= least, 1).otherwise(F.ceil(size / BLOCK)).cast("int")
@@ -311,8 +333,9 @@ def refined(sets: DataFrame, num: int, den: int) -> DataFrame:
                 continue  # all connected already
             sides = [[(doc, n, s, np.frombuffer(m, np.uint64)) for block, doc, n, s, m in rows if block == side] for side in (x, y)]
             if all(sides):
-                for i, j in np.argwhere(within_bound(*sides, num, den)).tolist():
-                    forest.join(sides[0][i][0], sides[1][j][0])
+                every = sides[0] if x == y else sides[0] + sides[1]
+                for i, j in spanning_edges(within_bound(*sides, num, den), x == y):
+                    forest.join(every[i][0], every[j][0])
         return _table(forest.edges(), "a b", (pa.int64(), pa.int64()))
 
     return spread.withColumn("task", task).groupBy("task").applyInArrow(connect, "a long, b long").distinct()
