@@ -41,29 +41,29 @@ EXTENSIONS = {
     "sh": "shell", "bash": "shell", "sql": "sql",
 }
 
-# --- Fixed values: beginnings of declarations by chunk kind, separated by | ---
+# --- Fixed values: beginnings of declarations by chunk kind ---
 DECLARATIONS = {
-    "rust": "fn |pub fn |pub(crate) fn |struct |pub struct |enum |pub enum |trait |pub trait |impl |mod |pub mod ",
-    "python": "def |async def |class ",
-    "typescript": "function |export function |export async function |class |export class |interface |export interface |type |export type ",
-    "javascript": "function |async function |export function |export async function |class |export class ",
-    "go": "func |type ",
-    "java": "class |public class |abstract class |final class |interface |public interface |enum |public enum |record |public record |public |private |protected |static ",
-    "kotlin": "fun |suspend fun |class |data class |sealed class |object |interface |enum class |val |var ",
-    "c": "struct |union |enum |typedef |static |extern |void |int |char |unsigned |const |#define ",
-    "cpp": "class |struct |namespace |template |enum |union |typedef |using |void |static |inline |explicit |virtual |#define ",
-    "ruby": "def |class |module |attr_reader |attr_writer |attr_accessor ",
-    "csharp": "class |public class |interface |struct |enum |record |namespace |public |private |protected |internal |static ",
-    "swift": "func |class |struct |enum |protocol |extension |actor |public |private |internal |var |let ",
-    "php": "function |class |interface |trait |namespace |public function |private function |protected function |abstract |final ",
-    "scala": "def |class |case class |object |trait |sealed |val |var ",
-}
+    "rust": ("fn ", "pub fn ", "pub(crate) fn ", "struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "impl ", "mod ", "pub mod "),
+    "python": ("def ", "async def ", "class "),
+    "typescript": ("function ", "export function ", "export async function ", "class ", "export class ", "interface ", "export interface ", "type ", "export type "),
+    "javascript": ("function ", "async function ", "export function ", "export async function ", "class ", "export class "),
+    "go": ("func ", "type "),
+    "java": ("class ", "public class ", "abstract class ", "final class ", "interface ", "public interface ", "enum ", "public enum ", "record ", "public record ", "public ", "private ", "protected ", "static "),
+    "kotlin": ("fun ", "suspend fun ", "class ", "data class ", "sealed class ", "object ", "interface ", "enum class ", "val ", "var "),
+    "c": ("struct ", "union ", "enum ", "typedef ", "static ", "extern ", "void ", "int ", "char ", "unsigned ", "const ", "#define "),
+    "cpp": ("class ", "struct ", "namespace ", "template ", "enum ", "union ", "typedef ", "using ", "void ", "static ", "inline ", "explicit ", "virtual ", "#define "),
+    "ruby": ("def ", "class ", "module ", "attr_reader ", "attr_writer ", "attr_accessor "),
+    "csharp": ("class ", "public class ", "interface ", "struct ", "enum ", "record ", "namespace ", "public ", "private ", "protected ", "internal ", "static "),
+    "swift": ("func ", "class ", "struct ", "enum ", "protocol ", "extension ", "actor ", "public ", "private ", "internal ", "var ", "let "),
+    "php": ("function ", "class ", "interface ", "trait ", "namespace ", "public function ", "private function ", "protected function ", "abstract ", "final "),
+    "scala": ("def ", "class ", "case class ", "object ", "trait ", "sealed ", "val ", "var "),
+}
 
 # --- Fixed values: names that discovery leaves out ---
-EXCLUDED_DIRECTORIES = "target node_modules build dist out vendor __pycache__ venv".split()
-SENSITIVE_DIRECTORIES = ".git .ssh .aws .gnupg .config .cache .idea .vscode".split()
-SENSITIVE_NAMES = ".env id_rsa id_dsa id_ecdsa id_ed25519 credentials credentials.json".split()
-SENSITIVE_EXTENSIONS = "pem key p12 pfx".split()
+EXCLUDED_DIRECTORIES = ("target", "node_modules", "build", "dist", "out", "vendor", "__pycache__", "venv")
+SENSITIVE_DIRECTORIES = (".git", ".ssh", ".aws", ".gnupg", ".config", ".cache", ".idea", ".vscode")
+SENSITIVE_NAMES = (".env", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", "credentials.json")
+SENSITIVE_EXTENSIONS = ("pem", "key", "p12", "pfx")
 
 # --- Fixed values: limits ---
 TARGET_BYTES, MAX_BYTES, OVERLAP_BYTES = 1200, 1800, 180

@@ -64,7 +64,7 @@ class _Window:
 
     def sentence(self):
         found = [m.end() for m in _SENTENCE.finditer(self.data, self.start, self.end)]
-        return [b for b in found if b < self.end or b == self.end]
+        return found
 
     def heading(self):
         return [s for s, x in self.lines if x.decode("utf-8", "replace").lstrip().startswith("#")]
@@ -73,7 +73,7 @@ class _Window:
         return [s for s, x in self.lines if x.decode("utf-8", "replace").lstrip().startswith(("```", "~~~"))]
 
     def declaration(self):
-        starts = tuple(formats.DECLARATIONS[self.kind].split("|"))
+        starts = tuple(formats.DECLARATIONS[self.kind])
         texts = ((s, x.decode("utf-8", "replace")) for s, x in self.lines)
         return [s for s, t in texts if t[:1] and not t[0].isspace() and t.rstrip().startswith(starts)]
 

@@ -121,7 +121,7 @@ def path_rules(path: Column) -> dict[str, Column]:
     folders = F.slice(parts, 1, F.size(parts) - 1)
     among = lambda values: F.array(*[F.lit(v) for v in values])
     hidden = F.exists(parts, lambda p: p.startswith(".")) | F.arrays_overlap(folders, among(formats.EXCLUDED_DIRECTORIES))
-    secret = F.arrays_overlap(parts, among(formats.SENSITIVE_DIRECTORIES)) | name.startswith(".env.") | name.isin(formats.SENSITIVE_NAMES) | extension.isin(formats.SENSITIVE_EXTENSIONS)
+    secret = F.arrays_overlap(parts, among(formats.SENSITIVE_DIRECTORIES)) | name.startswith(".env.") | name.isin(*formats.SENSITIVE_NAMES) | extension.isin(*formats.SENSITIVE_EXTENSIONS)
     return {"kind": kinds[extension], "default_excluded": hidden, "sensitive": secret}
 
 
@@ -134,7 +134,12 @@ class Walk:
 
 def walk(root: str, options: Options = Options()) -> Walk:
     """Names of a tree's documents, in byte order."""
-    if os.path.islink(root) or not os.path.isdir(root):
+    part = os.path.sep
+    for name in os.path.abspath(root).split(os.path.sep):
+        part = os.path.join(part, name)
+        if os.path.islink(part):
+            raise DiscoveryError("root_unreadable", part)
+    if not os.path.isdir(root):
         raise DiscoveryError("root_unreadable", root)
     out, seen = Walk(), [0, 0]
     excludes, includes = Ignore(list(options.excludes)), Ignore(list(options.includes))
@@ -162,6 +167,7 @@ def walk(root: str, options: Options = Options()) -> Walk:
         seen[1] += 1
         if seen[1] > options.max_directories:
             raise DiscoveryError("directory_budget", relative)
+        before = os.lstat(folder)
         names = sorted(os.listdir(os.fsencode(folder)))
         if len(names) > options.max_entries_per_directory:
             raise DiscoveryError("directory_entries_budget", relative)
@@ -174,6 +180,9 @@ def walk(root: str, options: Options = Options()) -> Walk:
                 raise DiscoveryError("ignore_file_too_large", relative)
             with open(ignore, encoding="utf-8", errors="surrogateescape") as f:
                 stack = [*stack, Ignore(f.readlines(), relative)]
+        after = os.lstat(folder)
+        if (before.st_dev, before.st_ino, before.st_mtime_ns) != (after.st_dev, after.st_ino, after.st_mtime_ns) or not stat.S_ISDIR(after.st_mode):
+            raise DiscoveryError("directory_changed", relative)
         for raw in names:
             name = os.fsdecode(raw)
             path = f"{relative}/{name}" if relative else name
@@ -212,12 +221,15 @@ FILES = "connector_key binary, source_uri string, title string, chunk_kind strin
 FAILURES = "connector_key binary, code string, detail string"
 
 
-def snapshot(spark: SparkSession, root: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def snapshot(spark: SparkSession, root: str, options: Options = Options(), estimated: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, failures). Bodies are read in tasks; a file that changed, vanished, is no UTF-8 or holds
-    NUL is a failure. The root must be a path that all executors see."""
+    NUL is a failure. The root must be a path that all executors see. estimated is what estimate() gave: a
+    tree that has grown beyond it since is refused."""
     from ..functions.hashing import display_title
 
     found = walk(root, options)
+    if estimated is not None and (len(found.files) > estimated["files"] or found.total > estimated["bytes"]):
+        raise DiscoveryError("estimate_exceeded", f"{len(found.files)} files of {found.total} bytes")
     rows = [(k, p, n, t) for k, p, n, t in found.files]
     listed = spark.createDataFrame(rows, "connector_key binary, path string, size long, mtime_ns long")
 
