@@ -6,9 +6,11 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,11 +145,50 @@ def bloom_may_contain(bloom: bytes, quoted: bytes) -> bool:
     return all(bits >> p & 1 for i in range(len(quoted) - 2) for p in bloom_positions(quoted[i : i + 3]))
 
 
+class Trigrams:
+    """Bloom positions of trigrams, each hashed once while at most KEPT are kept."""
+
+    KEPT = 1 << 20
+
+    def __init__(self):
+        self.codes, self.bits = np.zeros(0, np.uint32), np.zeros((0, formats.BLOOM_HASHES), np.uint16)
+
+    def positions(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of positions of distinct codes in order."""
+        new = codes[~np.isin(codes, self.codes, assume_unique=True)]
+        if len(new):
+            made = np.array([bloom_positions(int(c).to_bytes(3, "big")) for c in new.tolist()], np.uint16)
+            if len(self.codes) + len(new) > self.KEPT:
+                old = np.isin(self.codes, codes, assume_unique=True)
+                self.codes, self.bits = self.codes[old], self.bits[old]
+            codes_now = np.concatenate([self.codes, new])
+            order = np.argsort(codes_now)
+            self.codes, self.bits = codes_now[order], np.concatenate([self.bits, made])[order]
+        return self.bits[np.searchsorted(self.codes, codes)]
+
+
+def quote_blooms(texts: list[bytes], trigrams: Trigrams) -> list[bytes]:
+    """quote_bloom of texts, together."""
+    codes, owners = [], []
+    for k, t in enumerate(texts):
+        b = np.frombuffer(t, np.uint8).astype(np.uint32)
+        own = np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:]) if len(b) > 2 else np.zeros(0, np.uint32)
+        codes.append(own)
+        owners.append(np.full(len(own), k))
+    marks = np.zeros((len(texts), formats.BLOOM_BITS), bool)
+    if codes:
+        every, rows = np.unique(np.concatenate(codes), return_inverse=True)
+        marks[np.concatenate(owners)[:, None], trigrams.positions(every)[rows]] = True
+    return [m.tobytes() for m in np.packbits(marks, axis=1, bitorder="little")]
+
+
 @F.pandas_udf(BinaryType())
-def quote_bloom_column(content: pd.Series) -> pd.Series:
+def quote_bloom_column(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bloom of a string column's UTF-8 bytes."""
-    known: dict[bytes, int] = {}
-    return content.map(lambda t: quote_bloom((t or "").encode(), known))
+    trigrams = Trigrams()
+    for part in content:
+        texts = [(t or "").encode() for t in part]
+        yield pd.Series([x for at in range(0, len(texts), 256) for x in quote_blooms(texts[at : at + 256], trigrams)], index=part.index, dtype=object)
 
 
 def citation(index_id: Column, source_id: Column, document_id: Column, revision: Column, start: Column, end: Column) -> Column:
