@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
+from ..functions.hashing import bloom_positions
 from ..functions.text import Query, fold_token, parse_query, phrase_quote, tokens
 
 IDENTITY = ["source_id", "document_id", "start_byte"]
@@ -26,19 +27,6 @@ def _check(queries: dict[str, str]) -> dict[str, Query]:
     return {k: parse_query(q) for k, q in queries.items()}
 
 
-def term_table(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
-    """(query_id, pos, phrase): the index tokens of each query term; a term that folds to no token
-    has an empty phrase, which matches nothing."""
-    rows = [(k, i, fold_token(t)) for k, q in _check(queries).items() for i, t in enumerate(q.terms or [])]
-    return spark.createDataFrame(rows, "query_id string, pos int, phrase array<string>")
-
-
-def atom_table(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
-    """(query_id, atom, quoted, size) of the exact atoms."""
-    rows = [(k, t, kind == "quoted", len(t.encode())) for k, q in _check(queries).items() for t, kind in q.atoms]
-    return spark.createDataFrame(rows, "query_id string, atom string, quoted boolean, size int")
-
-
 def index_fields(passages: DataFrame) -> DataFrame:
     """passages with the tokens of title, source_uri and body, as arrays."""
     return passages.withColumns({f"tok_{n}": tokens(F.col(c)) for n, c in (("title", "title"), ("uri", "source_uri"), ("body", "body_text"))})
@@ -87,23 +75,36 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(raw <= 0, formats.IDF_FLOOR).otherwise(raw)
 
 
+def query_terms(queries: dict[str, str]) -> list[tuple[str, int, str, int]]:
+    """(query_id, position, phrase of index tokens, number of terms) of every query term."""
+    return [(k, i, " ".join(fold_token(t)), len(q.terms)) for k, q in _check(queries).items() for i, t in enumerate(q.terms or [])]
+
+
+def phrases_of(terms: list[tuple]) -> list[tuple[str, ...]]:
+    return sorted({tuple(t.split(" ")) for _, _, t, _ in terms if t})
+
+
 def bm25_scores(indexed: DataFrame, queries: dict[str, str], keys: list[str] = IDENTITY) -> DataFrame:
     """(query_id, keys..., score) of the rows that hold all terms of a query; lower scores are better.
 
-    Frequencies of the terms of all queries come from one scan. Their document frequencies, the
-    table's size and its mean length (of the whole table) join by term; a row's contributions are
-    summed in order of the query's terms, so that a score has the same bits every time.
+    Frequencies of the terms of all queries come from one scan of the tokens.
     """
-    spark = indexed.sparkSession
-    terms = [(k, i, " ".join(fold_token(t)), len(q.terms)) for k, q in _check(queries).items() for i, t in enumerate(q.terms or [])]
-    phrases = sorted({tuple(t.split(" ")) for _, _, t, _ in terms if t})
-    if not phrases:
+    phrases = phrases_of(query_terms(queries))
+    counts = term_counts(indexed, phrases, keys) if phrases else None
+    return bm25_from_counts(counts, lambda: corpus_stats(indexed), queries, indexed.select(*keys))
+
+
+def bm25_from_counts(counts: DataFrame | None, stats, queries: dict[str, str], keyed: DataFrame) -> DataFrame:
+    """bm25_scores from counts (keys, len, term, f) and stats(), a row of n and avg_len of the whole table.
+    keyed has the keys' columns. Document frequencies join by term; a row's contributions are summed in
+    order of the query's terms, so that a score has the same bits every time."""
+    spark, keys, terms = keyed.sparkSession, keyed.columns, query_terms(queries)
+    if counts is None:
         empty = spark.createDataFrame([], "query_id string, score double")
-        return empty.select("query_id", *(F.lit(None).cast(indexed.schema[k].dataType).alias(k) for k in keys), "score")
+        return empty.select("query_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema), "score")
     wanted = spark.createDataFrame(terms, "query_id string, pos int, term string, need int")
-    counts = term_counts(indexed, phrases, keys)
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(frequency, "term").join(F.broadcast(corpus_stats(indexed)))  # statistics are one row
+    weights = wanted.join(frequency, "term").join(F.broadcast(stats()))  # statistics are one row
     norm = F.col("f") + formats.BM25_K1 * (1 - formats.BM25_B + formats.BM25_B * F.col("len") / F.col("avg_len"))
     part = idf(F.col("n"), F.col("df")) * (F.col("f") * (formats.BM25_K1 + 1) / norm)
     hits = counts.join(F.broadcast(weights), "term")  # a row for each query term: at most MAX_QUERIES times the terms of a query
@@ -139,6 +140,23 @@ def exact_matches(passages: DataFrame, queries: dict[str, str]) -> DataFrame:
     return passages.select(*IDENTITY, F.explode(F.array_compact(F.array(*each))).alias("_q")).select("_q.query_id", *IDENTITY, "_q.matched_atoms", "_q.matched_bytes", "_q.longest_atom", "_q.fallback")
 
 
+def bloom_holds(bloom: Column, text: str) -> Column:
+    """Whether a bloom has all bits of a text's byte trigrams; texts of fewer than three bytes have none."""
+    data, masks = text.encode(), {}
+    for i in range(len(data) - 2):
+        for p in bloom_positions(data[i : i + 3]):
+            masks[p >> 3] = masks.get(p >> 3, 0) | 1 << (p & 7)
+    byte = lambda k: F.conv(F.hex(F.substring(bloom, k + 1, 1)), 16, 10).cast("int")
+    return reduce(lambda a, b: a & b, [byte(k).bitwiseAND(F.lit(m)) == m for k, m in sorted(masks.items())], F.lit(True))
+
+
+def may_match(queries: dict[str, str]) -> Column:
+    """Whether a passage of title, source_uri and bloom may hold an atom of any query. Nothing that does is left out."""
+    atoms = sorted({t for q in _check(queries).values() for t, _ in q.atoms})
+    near = lambda t: reduce(lambda a, b: a | b, [F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(t)) for c in ("title", "source_uri")])
+    return reduce(lambda a, b: a | b, [near(t) | bloom_holds(F.col("bloom"), t) for t in atoms], F.lit(False))
+
+
 def exact_top(passages: DataFrame, queries: dict[str, str], k: int = formats.CANDIDATES_MAX) -> DataFrame:
     order = [F.desc("matched_atoms"), F.desc("matched_bytes"), F.desc("longest_atom"), *IDENTITY]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
@@ -188,9 +206,30 @@ def overlap_half(a_start: int, a_end: int, b_start: int, b_end: int) -> bool:
     return 2 * max(shared, 0) >= min(a_end - a_start, b_end - b_start)
 
 
+def keep_first(rows) -> list[tuple]:
+    """(hit, rank of the hit that it duplicates, reason) of rows (rank, document, start, end, content) in rank
+    order: a row is a hit unless a hit before it has the same content, or the same document and a span that
+    overlaps by half the shorter."""
+    kept: list[tuple] = []
+    by_content: dict[str, int] = {}
+    by_document: dict[str, list[int]] = {}
+    out = []
+    for rank, document, start, end, content in rows:
+        places = [k for k in by_document.get(document, ()) if overlap_half(kept[k][1], kept[k][2], start, end)]
+        same = by_content.get(content)
+        first = min([*places, *([same] if same is not None else [])], default=None)
+        if first is None:
+            by_content.setdefault(content, len(kept))
+            by_document.setdefault(document, []).append(len(kept))
+            kept.append((rank, start, end))
+            out.append((len(kept), None, None))
+        else:
+            out.append((None, kept[first][0], "same_content" if first == same else "overlapping_span"))
+    return out
+
+
 def greedy_dedupe(fused: DataFrame) -> DataFrame:
-    """Keeps hits in rank order unless a kept one has the same content or the same document and a
-    span overlapping by half the shorter; the first such kept hit gets the duplicate.
+    """keep_first over each query's fused list, as columns hit, duplicate_of and reason.
 
     fused needs query_id, fused_rank, document_id, start_byte, end_byte and content_sha256. A query's
     rows are at most the two candidate lists, so a group is bounded by 2 * CANDIDATES_MAX.
@@ -198,21 +237,8 @@ def greedy_dedupe(fused: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("fused_rank")
-        kept: list[tuple] = []
-        by_content: dict[str, int] = {}
-        by_document: dict[str, list[int]] = {}
-        out = []
-        for r in rows.itertuples():
-            places = [k for k in by_document.get(r.document_id, ()) if overlap_half(kept[k][1], kept[k][2], r.start_byte, r.end_byte)]
-            same = by_content.get(r.content_sha256)
-            first = min([*places, *([same] if same is not None else [])], default=None)
-            if first is None:
-                by_content.setdefault(r.content_sha256, len(kept))
-                by_document.setdefault(r.document_id, []).append(len(kept))
-                kept.append((r.fused_rank, r.start_byte, r.end_byte))
-                out.append((r.query_id, r.fused_rank, len(kept), None, None))
-            else:
-                out.append((r.query_id, r.fused_rank, None, kept[first][0], "same_content" if first == same else "overlapping_span"))
+        found = keep_first(rows[["fused_rank", "document_id", "start_byte", "end_byte", "content_sha256"]].itertuples(index=False))
+        out = [(q, r, *x) for q, r, x in zip(rows["query_id"], rows["fused_rank"], found)]
         return pd.DataFrame(out, columns=["query_id", "fused_rank", "hit", "duplicate_of", "reason"]).astype({"hit": "Int64", "duplicate_of": "Int64"})
 
     keys = fused.select("query_id", "fused_rank", "document_id", "start_byte", "end_byte", "content_sha256")
@@ -220,28 +246,131 @@ def greedy_dedupe(fused: DataFrame) -> DataFrame:
     return fused.join(keys.groupBy("query_id").applyInPandas(run, schema), ["query_id", "fused_rank"])
 
 
+def overlapping_spans(spans: DataFrame, group: str, key: str, start: str, end: str, width: int) -> DataFrame:
+    """(left, right) of the spans of one group that overlap by half of the shorter, the smaller key left. Spans
+    of up to width meet in buckets of that width, each pair in the bucket where their overlap begins."""
+    bucket = lambda c: F.floor(c / width)
+    spread = spans.select(group, F.col(key).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"), F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))).alias("bucket"))
+    a, b = (spread.select(group, "bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "s", "e")]) for side in ("left", "right"))
+    low = F.greatest("left_s", "right_s")
+    half = 2 * (F.least("left_e", "right_e") - low) >= F.least(F.col("left_e") - F.col("left_s"), F.col("right_e") - F.col("right_s"))
+    both = a.join(b, [group, "bucket"]).where("left_id < right_id")
+    return both.where(half & (F.col("bucket") == bucket(low))).select("left_id", "right_id")
+
+
+LIMIT_REACHED, WORK_EXHAUSTED, UNIQUE_EXHAUSTED = "limit_reached", "work_budget_exhausted", "unique_exhausted"
+HIT_COLUMNS = "fused_rank int, hit long, duplicate_of long, reason string, units long, exact_rank int, lexical_rank int, matched_bytes int, fallback boolean, score double, stop_reason string, examined_exact int, examined_lexical int"
+
+
+def deepen(rows: list[dict], limit: int) -> tuple[list[dict], str, int, int]:
+    """(fused rows with their verdicts, stop reason, exact and lexical depth) of one query: both lists are read
+    in steps of CANDIDATES_INITIAL until there are limit hits or nothing is left. A row of a rank beyond
+    CANDIDATES_MAX only tells that its list goes on."""
+    most, step = formats.CANDIDATES_MAX, formats.CANDIDATES_INITIAL
+    ends = [max((int(r[c]) for r in rows if r[c] is not None), default=0) for c in ("exact_rank", "lexical_rank")]
+    target = step
+    while True:
+        depth = [min(e, target, most) for e in ends]
+        fused = []
+        for r in rows:
+            x, y = (int(r[c]) if r[c] is not None and r[c] <= d else None for c, d in zip(("exact_rank", "lexical_rank"), depth))
+            if x is None and y is None:
+                continue
+            a = 0 if x is None else _half_up(3 * formats.RRF_SCALE, 2 * (formats.RRF_K + x))
+            b = 0 if y is None else _half_up(formats.RRF_SCALE, formats.RRF_K + y)
+            matched = int(r["matched_bytes"] or 0) if x is not None else 0
+            fused.append({**r, "exact_rank": x, "lexical_rank": y, "units": a + b, "matched_bytes": matched, "fallback": r["fallback"] if x is not None else None, "score": r["score"] if y is not None else None})
+        fused.sort(key=lambda r: (-r["units"], -r["matched_bytes"], r["source_id"], r["document_id"], r["start_byte"]))
+        found = keep_first((k, r["document_id"], r["start_byte"], r["end_byte"], r["content_sha256"]) for k, r in enumerate(fused, 1))
+        hits = sum(h is not None for h, _, _ in found)
+        done = [d >= min(e, most) for d, e in zip(depth, ends)]
+        if hits >= limit or all(done):
+            break
+        target += step
+    reason = LIMIT_REACHED if hits >= limit else WORK_EXHAUSTED if any(e > most for e in ends) else UNIQUE_EXHAUSTED
+    kept, out = set(), []
+    for k, (r, (hit, of, why)) in enumerate(zip(fused, found), 1):
+        if hit is not None and hit <= limit:
+            kept.add(k)
+        elif of not in kept:
+            continue
+        out.append({**r, "fused_rank": k, "hit": hit, "duplicate_of": of, "reason": why})
+    return out, reason, *depth
+
+
+def _half_up(numerator: int, denominator: int) -> int:
+    return (numerator + denominator // 2) // denominator
+
+
+def best(rows: DataFrame, order: list, most: int = formats.CANDIDATES_MAX) -> DataFrame:
+    """The best most rows of each query with their rank, and one more that tells that there are more."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, *IDENTITY))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most + 1)
+
+
+MODES = ("auto", "lexical")
+
+
+def hits(exact: DataFrame, lexical: DataFrame, spans: DataFrame, limit: int = formats.RESULTS_DEFAULT) -> DataFrame:
+    """Fused and deduplicated hits of each query from its matches and scores: hit 1.. in order, and with
+    duplicate_of and reason the duplicates of these hits; why the search stopped and how deep; and lists, the
+    explanation of each score. spans has identity, end_byte and content_sha256. A query's group is at most
+    1,002 rows."""
+    if not 1 <= limit <= formats.RESULTS_MAX:
+        raise ValueError("limit out of range")
+    on = ["query_id", *IDENTITY]
+    e = best(exact, [F.desc("matched_atoms"), F.desc("matched_bytes"), F.desc("longest_atom")]).select(*on, F.col("rank").alias("exact_rank"), F.col("matched_bytes").cast("int").alias("matched_bytes"), "fallback")
+    x = best(lexical, ["score"]).select(*on, F.col("rank").alias("lexical_rank"), "score")
+    rows = e.join(x, on, "full_outer").join(spans.select(*IDENTITY, "end_byte", "content_sha256"), IDENTITY)
+    names = [*IDENTITY, *(c.split()[0] for c in HIT_COLUMNS.split(", "))]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        query = frame["query_id"].iloc[0]
+        frame = frame.astype(object).where(frame.notna(), None)
+        found, why, *depth = deepen(frame.to_dict("records"), limit)
+        out = pd.DataFrame([[query, *(r.get(c) for c in names[:-3]), why, *depth] for r in found], columns=["query_id", *names])
+        return out.astype({c: "Int64" for c in ("hit", "duplicate_of", "exact_rank", "lexical_rank")} | {"fallback": "boolean"})
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in on)
+    found = rows.groupBy("query_id").applyInPandas(run, f"{types}, {HIT_COLUMNS}")
+    entry = lambda name, rank, units, score: F.when(rank.isNotNull(), F.struct(name.alias("retriever"), rank.alias("rank"), units.alias("contribution_units"), score.alias("backend_score")))
+    none = F.lit(None).cast("double")
+    first = entry(F.when(F.col("fallback"), "exact_fallback").otherwise("exact"), F.col("exact_rank"), exact_units(F.col("exact_rank")), none)
+    second = entry(F.lit("lexical"), F.col("lexical_rank"), lexical_units(F.col("lexical_rank")), F.col("score"))
+    return found.withColumn("lists", F.array_compact(F.array(first, second)))
+
+
+def report(found: DataFrame, queries: dict[str, str], mode: str = "auto") -> DataFrame:
+    """A row for each query, also those without a hit: modes, retrievers, why the search stopped, and how deep.
+    The fallback retriever is one that a quote calls for that is no phrase of tokens."""
+    if mode not in MODES:
+        raise ValueError("unknown mode")
+    rows = []
+    for k, q in _check(queries).items():
+        raw = any(kind == "quoted" and not phrase_quote(t) for t, kind in q.atoms)
+        rows.append((k, mode, "lexical", ["exact", *(["exact_fallback"] if raw else []), "lexical"]))
+    asked = found.sparkSession.createDataFrame(rows, "query_id string, requested_mode string, effective_mode string, retrievers array<string>")
+    each = found.groupBy("query_id").agg(*[F.first(c).alias(c) for c in ("stop_reason", "examined_exact", "examined_lexical")])
+    joined = asked.join(each, "query_id", "left")  # a row for each query on either side
+    return joined.withColumns({"stop_reason": F.coalesce("stop_reason", F.lit(UNIQUE_EXHAUSTED)), "examined_exact": F.coalesce("examined_exact", F.lit(0)), "examined_lexical": F.coalesce("examined_lexical", F.lit(0))})
+
+
 def search(passages: DataFrame, queries: dict[str, str], limit: int = formats.RESULTS_DEFAULT, scope: Column | None = None) -> DataFrame:
-    """Fused and deduplicated hits of each query: hit 1.. in order, and with duplicate_of and reason
-    the duplicates of the hits within the limit. Statistics are of the whole table; scope restricts rows before any limit."""
+    """hits() over passages without an index: their tokens and texts are read. Statistics are of the whole
+    table; scope restricts rows before any limit."""
     if not 1 <= limit <= formats.RESULTS_MAX:
         raise ValueError("limit out of range")
-    indexed = index_fields(passages)
-    lexical = bm25_scores(indexed, queries, [*IDENTITY])
+    lexical = bm25_scores(index_fields(passages), queries, [*IDENTITY])
     exact = exact_matches(passages if scope is None else passages.where(scope), queries)
     if scope is not None:
         lexical = lexical.join(passages.where(scope).select(*IDENTITY), IDENTITY, "left_semi")
-    by_score = Window.partitionBy("query_id").orderBy("score", *IDENTITY)
-    by_match = Window.partitionBy("query_id").orderBy(F.desc("matched_atoms"), F.desc("matched_bytes"), F.desc("longest_atom"), *IDENTITY)
-    cap = formats.CANDIDATES_MAX
-    fused = fuse(exact.withColumn("rank", F.row_number().over(by_match)).where(F.col("rank") <= cap), lexical.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= cap))
-    rows = fused.join(passages.select(*IDENTITY, "end_byte", "content_sha256"), IDENTITY)
-    deduped = greedy_dedupe(rows)
-    last = deduped.where(F.col("hit") <= limit).groupBy("query_id").agg(F.max("fused_rank").alias("_last"), F.collect_set("fused_rank").alias("_hits"))
-    return deduped.join(last, "query_id").where((F.col("hit") <= limit) | F.array_contains("_hits", F.col("duplicate_of").cast("int"))).drop("_last", "_hits")
-
-
-def page(hits: DataFrame, offset: int, limit: int, body: str = "body_text", cap: int = formats.PAGE_BODY_BYTES) -> DataFrame:
-    """A page of each query's hits; it ends before the hit whose text would exceed the byte cap."""
+    return hits(exact, lexical, passages, limit)
+
+
+def page(hits: DataFrame, offset: int, limit: int, body: str = "body_text", cap: int = formats.PAGE_BODY_BYTES, keep: str | None = None) -> DataFrame:
+    """A page of each query's hits; it ends before the hit whose text would exceed the byte cap. keep names a column for the bytes so far."""
     rows = hits.where(F.col("hit").between(offset + 1, offset + limit))
     running = F.sum(F.octet_length(body)).over(Window.partitionBy("query_id").orderBy("hit").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_bytes", running).where(F.col("_bytes") <= cap).drop("_bytes")
+    name = keep or "_bytes"
+    kept = rows.withColumn(name, running).where(F.col(name) <= cap)
+    return kept if keep else kept.drop(name)
