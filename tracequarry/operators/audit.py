@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import revision_sha256
+
 
 def replay_violations(changes: DataFrame) -> DataFrame:
     """Changes (document_id, generation_id, prior, next, next_state) that do not follow from the one before:
@@ -67,10 +69,31 @@ def chunk_violations(chunks: DataFrame, key: list[str]) -> DataFrame:
     return seen.withColumn("code", code).where("code is not null").select(*key, "ordinal", "code")
 
 
+def revision_violations(versions: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Versions whose revision is not the hash of their fields and body, or whose URI is out of form."""
+    rows = versions.join(blobs, "body_sha256")
+    again = revision_sha256(F.col("body"), F.col("source_uri"), F.col("title"), F.col("metadata_json"), F.col("source_updated_at"))
+    code = F.when(again != F.col("revision_sha256"), "revision").when(~F.col("source_uri").startswith("repo://"), "source_uri")
+    return rows.withColumn("code", code).where("code is not null").select("document_id", "revision_sha256", "code")
+
+
 def scan_statistics(blobs: DataFrame) -> DataFrame:
     return blobs.agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("body_bytes"), F.coalesce(F.max(F.octet_length("body")), F.lit(0)).alias("max_body"))
 
 
+def store_statistics(blobs: DataFrame, chunks: DataFrame, versions: DataFrame, passages: DataFrame) -> DataFrame:
+    """One row of what a scan of a store reads: blobs, layouts, chunks, versions and passages, the bodies' bytes and the
+    longest of them, and the most layouts that one body has at once."""
+    layouts = chunks.groupBy("body_sha256", "chunk_kind").agg(F.count(F.lit(1)).alias("n"))
+    per_body = layouts.groupBy("body_sha256").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    cut = per_body.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("layouts"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.max("k"), F.lit(0)).alias("max_layouts"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    row = scan_statistics(blobs)
+    for other in (cut, count(versions, "versions"), count(passages, "passages")):
+        row = row.join(F.broadcast(other))  # one row each
+    return row.select(*[F.col(c).cast("long").alias(c) for c in row.columns])
+
+
 def ordered_digest(rows: DataFrame, *columns: str) -> DataFrame:
     """One digest of all rows in order: each row's hash, hashed again in sorted order by blocks of a
     hash prefix, so that no task gathers every row."""

@@ -8,6 +8,7 @@ All of one source. Every step is a join or an aggregate.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,9 @@ def mass_guard(prior: Column, absent: Column) -> Column:
     return (absent != 0) & ((absent > 1000) | (4 * absent > prior))
 
 
-def plan_counts(heads: DataFrame, ready: DataFrame, failures: DataFrame) -> DataFrame:
-    """The plan as one row of counts, guards and the write estimate."""
+def plan_counts(heads: DataFrame, ready: DataFrame, failures: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """The plan as one row of counts, guards and the write estimate. others: active heads that the snapshot says
+    nothing about, which stay; they count as active before and after."""
     c = classify(heads, ready, failures)
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     changed = F.col("status").isin("new", "changed", "renamed", "reactivated")
@@ -86,9 +88,12 @@ def plan_counts(heads: DataFrame, ready: DataFrame, failures: DataFrame) -> Data
         n("carried", "failed").alias("failed_documents"), n("new", "changed", "renamed", "reactivated", "unchanged", "carried").alias("projected_active_documents"),
         F.coalesce(F.sum(F.when(changed, 6 * F.col("body_len") + 8192)), F.lit(0)).alias("_changed_bytes"),
     )
-    prior = heads.agg(F.count_if("active").alias("prior_active_documents"))
+    prior = heads.agg(F.count_if("active").alias("_prior"))
+    stay = heads.limit(0) if others is None else others
+    staying = stay.agg(F.count(F.lit(1)).alias("_others"))
     failed = failures.agg(F.coalesce(F.sum(F.octet_length("connector_key") + F.octet_length("code") + F.octet_length("detail") + 1024), F.lit(0)).alias("_failed_bytes"))
-    row = counts.join(F.broadcast(prior)).join(F.broadcast(failed))  # one row each
+    row = counts.join(F.broadcast(prior)).join(F.broadcast(failed)).join(F.broadcast(staying))  # one row each
+    row = row.withColumns({"prior_active_documents": F.col("_prior") + F.col("_others"), "projected_active_documents": F.col("projected_active_documents") + F.col("_others")})
     return row.select(
         *[c for c in counts.columns if c[0] != "_"], "prior_active_documents",
         ((F.col("changed_documents") != 0) | (F.col("tombstoned_documents") != 0)).alias("would_create_generation"),
@@ -117,5 +122,47 @@ def ingest_state(failed: int, accepted: int, generation: int | None) -> str:
     return "failed" if generation is None and accepted == 0 else "partial"
 
 
+def source_state(failed: Column, accepted: Column, generation: Column) -> Column:
+    """ingest_state of rows."""
+    return F.when(failed == 0, "success").when(generation.isNull() & (accepted == 0), "failed").otherwise("partial")
+
+
+def source_status(before: dict, accepted: int, failure: dict | None, now: str) -> dict:
+    """A source's last success and error after an ingest; without an accepted document the last success stays."""
+    success = before.get("last_success_at") if failure and not accepted else now
+    return {"last_success_at": success, "last_error": failure, "last_error_at": now if failure else None}
+
+
+def content_blobs(rows: DataFrame, body_sha256: str, document: str, size: str) -> DataFrame:
+    """(body_sha256, documents, first_doc, body_bytes) of the distinct bodies of rows."""
+    return rows.groupBy(F.col(body_sha256).alias("body_sha256")).agg(F.count(F.lit(1)).alias("documents"), F.min(document).alias("first_doc"), F.max(size).alias("body_bytes"))
+
+
+def collisions(rows: DataFrame, known: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Keys of rows that known has with another value in any of the fields; nulls are equal."""
+    theirs = known.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
+    differs = reduce(lambda a, b: a | b, [~F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields])
+    return rows.select(*keys, *fields).join(theirs, keys).where(differs).select(*keys)
+
+
 def storage_reserve(managed: int) -> int:
     return max(64 << 20, -(-managed // 10))
+
+
+class CapacityError(RuntimeError):
+    """code is quota_exceeded or insufficient_capacity; required is the number of bytes that were needed."""
+
+    def __init__(self, code: str, required: int):
+        super().__init__(f"{code}: {required} bytes are needed")
+        self.code, self.required = code, required
+
+
+def preflight(estimated: int, managed: int, quota: int | None, available: int | None) -> dict:
+    """What a write of estimated bytes needs beside a recovery reserve; refused if the store or the quota lacks it."""
+    reserve = storage_reserve(managed)
+    needed = estimated + reserve
+    if available is not None and available < needed:
+        raise CapacityError("insufficient_capacity", needed)
+    if quota is not None and quota < managed + needed:
+        raise CapacityError("quota_exceeded", managed + needed)
+    return {"reserve_bytes": reserve, "required_free_bytes": needed, "required_quota_bytes": None if quota is None else managed + needed}
