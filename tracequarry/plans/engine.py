@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from datetime import datetime, timezone
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..functions.hashing import body_sha256, chunker_fingerprint, derive_source_id, name_uuid_column, parse_citation, pipeline_fingerprint, revision_sha256
-from ..operators import audit, evidence, retrieval, snapshot
+from ..functions.hashing import body_sha256, chunker_fingerprint, citation, derive_source_id, name_uuid_column, parse_citation, pipeline_fingerprint, quote_bloom_column, revision_sha256
+from ..functions.text import QueryError, parse_query, passage_literals
+from ..operators import audit, evidence, retrieval, scopes, snapshot
 from ..operators.chunker import chunk
+from . import cursor
 from .store import Store, StoreError
 
 HEADS = "source_id string, connector_key binary, document_id string, source_uri string, title string, chunk_kind string, active boolean, revision_sha256 string, body_sha256 string, generation_id long"
@@ -21,13 +24,22 @@ VERSIONS = "document_id string, revision_sha256 string, body_sha256 string, sour
 CHUNKS = "body_sha256 string, chunk_kind string, ordinal int, start_byte long, end_byte long, start_line long, end_line long, body_text string, content_sha256 string"
 GENERATIONS = "id long, state string, committed_at string, pipeline_fingerprint string"
 ERRORS = "generation_id long, source_id string, connector_key binary, code string, detail string"
-TABLES = {"heads": HEADS, "changes": CHANGES, "blobs": BLOBS, "versions": VERSIONS, "chunks": CHUNKS, "generations": GENERATIONS, "errors": ERRORS}
+#: The search index: a row for each passage of a version, its tokens and its literals.
+ENTRIES = "document_id string, revision_sha256 string, ordinal int, start_byte long, end_byte long, content_sha256 string, len int, bloom binary"
+POSTINGS = "term string, document_id string, revision_sha256 string, ordinal int, f long"
+LITERALS = "literal string, field string, document_id string, revision_sha256 string, ordinal int"
+INDEX = {"entries": ENTRIES, "postings": POSTINGS, "literals": LITERALS}
+TABLES = {"heads": HEADS, "changes": CHANGES, "blobs": BLOBS, "versions": VERSIONS, "chunks": CHUNKS, "generations": GENERATIONS, "errors": ERRORS} | INDEX
 #: Tables that only grow, by files added to the manifest.
-APPENDED = ("changes", "blobs", "versions", "chunks", "generations", "errors")
+APPENDED = ("changes", "blobs", "versions", "chunks", "generations", "errors", *INDEX)
+PASSAGE = ["document_id", "revision_sha256", "ordinal"]
+#: Bytes of a page's JSON, and of the keys that a status reads.
+RESPONSE_BYTES, KEY_BYTES = 512 * 1024, 64 << 20
 
 
 class EvidenceError(RuntimeError):
-    """code: scope_denied, not_found, invalid_bound, bound_below_passage or corrupt."""
+    """code: scope_denied, not_found, invalid_bound, bound_below_passage, corrupt, deadline, invalid_deadline,
+    invalid_mode or response_too_large."""
 
     def __init__(self, code: str):
         super().__init__(code)
@@ -73,43 +85,63 @@ class Engine:
         rows = files.withColumns({"metadata_json": meta, "body_sha256": body_sha256(F.col("body")), "body_len": F.octet_length("body").cast("long")})
         return rows.withColumn("revision_sha256", revision_sha256(F.col("body"), F.col("source_uri"), F.col("title"), meta, F.col("source_updated_at")))
 
-    def plan(self, files: DataFrame, failures: DataFrame) -> dict:
+    def plan(self, files: DataFrame, failures: DataFrame | None = None) -> dict:
+        """What ingest would do; nothing is written."""
         m = self.pin()
-        ready = self.prepare(files)
+        ready, failures = self.prepare(files), self._failures(failures)
         snapshot.check_snapshot(ready, failures)
         return snapshot.plan_counts(self.table("heads", m), ready, failures).first().asDict()
 
-    def ingest(self, files: DataFrame, failures: DataFrame | None = None, confirmed: snapshot.Confirmations = snapshot.Confirmations(), strict: bool = False) -> dict:
-        """Applies a snapshot as a new generation, or as none if nothing changes."""
-        if failures is None:
-            failures = self.spark.createDataFrame([], "connector_key binary, code string, detail string")
+    def _failures(self, failures: DataFrame | None) -> DataFrame:
+        return self.spark.createDataFrame([], "connector_key binary, code string, detail string") if failures is None else failures
+
+    def ingest(self, files: DataFrame, failures: DataFrame | None = None, confirmed: snapshot.Confirmations = snapshot.Confirmations(), strict: bool = False, gone: DataFrame | None = None, quota: int | None = None) -> dict:
+        """Applies a snapshot as a new generation, or as none if nothing changes. With gone, a table of
+        connector_key, files are only what changed and gone what was deleted: heads of other keys stay as they are
+        and are read only to be counted and carried on.
+
+        The snapshot is staged once, so that what is planned is what is applied, whatever its files do meanwhile.
+        """
+        failures = self._failures(failures)
         with self.store.lock():
             m = self.pin()
-            meta, source = m["meta"], m["meta"]["source_id"]
-            heads, ready = self.table("heads", m), self.prepare(files)
-            snapshot.check_snapshot(ready, failures)
-            plan = snapshot.plan_counts(heads, ready, failures).first().asDict()
-            if strict and plan["failed_documents"]:
-                raise StoreError("strict ingest with failures")
-            snapshot.enforce(plan, confirmed)
-            accepted = plan["projected_active_documents"] - plan["carried_forward_documents"]
-            tables, generation = dict(m["tables"]), None
-            if plan["would_create_generation"]:
-                generation = (meta["generation"] or 0) + 1
-                self._apply(tables, heads, ready, failures, source, generation)
-                meta = meta | {"generation": generation, "epoch": meta["epoch"] + 1}
-            bad = None if not plan["failed_documents"] else failures.orderBy("connector_key").select("code", "detail").first().asDict()
-            meta = meta | {"last_error": bad} | ({"last_success_at": _now()} if accepted or not bad else {})
-            self.store.commit({"meta": meta, "tables": tables}, m["version"])
-            return plan | {"generation": generation, "state": snapshot.ingest_state(plan["failed_documents"], accepted, generation)}
-
-    def _apply(self, tables: dict, heads: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int) -> None:
-        fate = snapshot.classify(heads, ready, failures).select("connector_key", "status", "document_id")
-        moved = snapshot.renames(heads, ready, failures).select(F.col("old_key").alias("connector_key"))
+            staged = self.store.put(self.prepare(files), "staged")["files"][0]
+            try:
+                return self._commit(m, self.spark.read.parquet(f"{self.store.path}/{staged}"), failures, confirmed, strict, gone, quota)
+            finally:
+                self.store.remove(staged)
+
+    def _commit(self, m: dict, ready: DataFrame, failures: DataFrame, confirmed: snapshot.Confirmations, strict: bool, gone: DataFrame | None, quota: int | None) -> dict:
+        meta, source, heads = m["meta"], m["meta"]["source_id"], self.table("heads", m)
+        snapshot.check_snapshot(ready, failures)
+        touched, others = heads, None
+        if gone is not None:
+            keys = ready.select("connector_key").union(failures.select("connector_key")).union(gone.select("connector_key")).distinct()
+            touched, others = heads.join(keys, "connector_key", "left_semi"), heads.join(keys, "connector_key", "left_anti").where("active")
+        plan = snapshot.plan_counts(touched, ready, failures, others).first().asDict()
+        if strict and plan["failed_documents"]:
+            raise StoreError("strict ingest with failures")
+        snapshot.enforce(plan, confirmed)
+        if quota is not None:
+            snapshot.preflight(plan["estimated_write_bytes"], self.store.size(), quota, None)
+        accepted = plan["projected_active_documents"] - plan["carried_forward_documents"]
+        tables, generation = dict(m["tables"]), None
+        if plan["would_create_generation"]:
+            generation = (meta["generation"] or 0) + 1
+            self._apply(tables, heads, touched, ready, failures, source, generation)
+            meta = meta | {"generation": generation, "epoch": meta["epoch"] + 1}
+        bad = None if not plan["failed_documents"] else failures.orderBy("connector_key").select("code", "detail").first()
+        meta = meta | snapshot.source_status(meta, accepted, None if bad is None else bad.asDict(), _now())
+        self.store.commit({"meta": meta, "tables": tables}, m["version"])
+        return plan | {"generation": generation, "state": snapshot.ingest_state(plan["failed_documents"], accepted, generation)}
+
+    def _apply(self, tables: dict, heads: DataFrame, touched: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int) -> None:
+        fate = snapshot.classify(touched, ready, failures).select("connector_key", "status", "document_id")
+        moved = snapshot.renames(touched, ready, failures).select(F.col("old_key").alias("connector_key"))
         fresh = name_uuid_column(F.concat_ws("/", F.lit(source), F.hex("connector_key")))
         changed = ready.join(fate.where(F.col("status").isin("new", "changed", "renamed", "reactivated")), "connector_key").withColumn("document_id", F.coalesce("document_id", fresh))
-        staged = self.store.put(changed.drop("status", "body_len"), "staged")
-        changed = self.spark.read.parquet(f"{self.store.path}/{staged['files'][0]}")
+        staged = self.store.put(changed.drop("status", "body_len"), "staged")["files"][0]
+        changed = self.spark.read.parquet(f"{self.store.path}/{staged}")
         g = F.lit(generation).cast("long")
         new_heads = changed.select(F.lit(source).alias("source_id"), "connector_key", "document_id", "source_uri", "title", "chunk_kind", F.lit(True).alias("active"), "revision_sha256", "body_sha256", g.alias("generation_id"))
         lost = fate.where("status = 'tombstoned'").select("connector_key")
@@ -120,39 +152,151 @@ class Engine:
         every = alive.select(names).unionByName(dead.select(names)).unionByName(new_heads)
         prior = heads.select("document_id", F.col("revision_sha256").alias("prior"))
         log = new_heads.select("document_id", F.col("revision_sha256").alias("next"), F.lit("active").alias("next_state")).unionByName(dead.select("document_id", F.lit(None).cast("string").alias("next"), F.lit("tombstoned").alias("next_state")))
-        m = {"tables": tables}
-        blobs = changed.select("body_sha256", "body").dropDuplicates(["body_sha256"]).join(self.table("blobs", m).select("body_sha256"), "body_sha256", "left_anti")
-        layouts = changed.select("body_sha256", "chunk_kind", "body").dropDuplicates(["body_sha256", "chunk_kind"]).join(self.table("chunks", m).select("body_sha256", "chunk_kind").distinct(), ["body_sha256", "chunk_kind"], "left_anti")
-        layouts = layouts.select("body_sha256", F.col("chunk_kind").alias("kind"), "body", "chunk_kind")
-        versions = changed.select("document_id", "revision_sha256", "body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at", F.lit(_now()).alias("indexed_at"))
-        versions = versions.join(self.table("versions", m).select("document_id", "revision_sha256"), ["document_id", "revision_sha256"], "left_anti")
-        parts = {
-            "changes": log.join(prior, "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"),
-            "blobs": blobs.select("body_sha256", "body"),
-            "versions": versions.select([f.split()[0] for f in VERSIONS.split(", ")]),
-            "chunks": chunk(layouts, ["body_sha256", "kind"]).withColumnRenamed("kind", "chunk_kind"),
-            "generations": self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS),
-            "errors": failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail"),
-        }
-        for name in APPENDED:
-            tables[name] = {"files": tables[name]["files"] + self.store.put(parts[name], name)["files"], "schema": tables[name]["schema"]}
+        m = {"tables": dict(tables)}
+        known = {n: self.table(n, m) for n in ("blobs", "versions", "chunks")}
+        made = changed.select("document_id", "revision_sha256", "body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at", F.lit(_now()).alias("indexed_at"))
+        self._refuse("blob", snapshot.collisions(changed, known["blobs"], ["body_sha256"], ["body"]))
+        self._refuse("version", snapshot.collisions(made, known["versions"], ["document_id", "revision_sha256"], ["body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at"]))
+        blobs = changed.select("body_sha256", "body").dropDuplicates(["body_sha256"]).join(known["blobs"].select("body_sha256"), "body_sha256", "left_anti")
+        layouts = changed.select("body_sha256", "chunk_kind", "body").dropDuplicates(["body_sha256", "chunk_kind"])
+        cut = lambda rows: chunk(rows.withColumn("kind", F.col("chunk_kind")), ["body_sha256", "kind"]).withColumnRenamed("kind", "chunk_kind")
+        there = known["chunks"].select("body_sha256", "chunk_kind").distinct()
+        again = cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_semi"))
+        self._refuse("layout", again.exceptAll(known["chunks"].join(layouts.select("body_sha256", "chunk_kind"), ["body_sha256", "chunk_kind"], "left_semi").select(again.columns)))
+        versions = made.join(known["versions"].select("document_id", "revision_sha256"), ["document_id", "revision_sha256"], "left_anti")
+        self._add(tables, "changes", log.join(prior, "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"))
+        self._add(tables, "blobs", blobs.select("body_sha256", "body"))
+        added = self._add(tables, "versions", versions.select([f.split()[0] for f in VERSIONS.split(", ")]))
+        self._add(tables, "chunks", cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_anti")))
+        for name, rows in index_rows(added, self.table("chunks", {"tables": tables})).items():
+            self._add(tables, name, rows)
+        self._add(tables, "generations", self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS))
+        self._add(tables, "errors", failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail"))
         tables["heads"] = self.store.put(every, "heads") | {"schema": tables["heads"]["schema"]}
+        self.store.remove(staged)
+
+    def _refuse(self, what: str, rows: DataFrame) -> None:
+        if not rows.isEmpty():
+            raise StoreError(f"a stored {what} differs from the one of the same name in the snapshot")
+
+    def _add(self, tables: dict, name: str, rows: DataFrame) -> DataFrame:
+        """Writes rows as a further file of a table; returns what was written."""
+        schema = self.spark.createDataFrame([], TABLES[name]).schema
+        entry = self.store.put(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]), name)
+        tables[name] = {"files": tables[name]["files"] + entry["files"], "schema": tables[name]["schema"]}
+        return self.spark.read.schema(schema).parquet(f"{self.store.path}/{entry['files'][0]}")
 
     def passages(self, manifest: dict | None = None) -> DataFrame:
         """The active passages."""
         m = manifest or self.pin()
-        heads = self.table("heads", m).where("active").select("source_id", "document_id", "source_uri", "title", "chunk_kind", "revision_sha256", "body_sha256")
-        return heads.join(self.table("chunks", m), ["body_sha256", "chunk_kind"])
+        return self._heads(m).join(self.table("chunks", m), ["body_sha256", "chunk_kind"])
 
-    def search(self, text: str, limit: int = formats.RESULTS_DEFAULT) -> DataFrame:
-        """Hits in order with their citations; duplicates as further rows that name their hit."""
-        m = self.pin()
-        found = retrieval.search(self.passages(m), {"q": text}, limit)
-        rows = found.drop("end_byte", "content_sha256").join(self.passages(m), retrieval.IDENTITY)
-        from ..functions.hashing import citation
+    def _heads(self, m: dict) -> DataFrame:
+        return self.table("heads", m).where("active").select("source_id", "document_id", "source_uri", "title", "chunk_kind", "revision_sha256", "body_sha256")
+
+    def entries(self, manifest: dict | None = None) -> DataFrame:
+        """The index entries of the active passages, with their heads' columns."""
+        m = manifest or self.pin()
+        return self._heads(m).join(self.table("entries", m), ["document_id", "revision_sha256"])
 
+    def find(self, queries: dict[str, str], limit: int = formats.RESULTS_DEFAULT, manifest: dict | None = None) -> DataFrame:
+        """retrieval.hits of queries from the stored index: postings of the queries' terms alone are read for the
+        scores, and the texts of those passages whose bloom, title or URI may hold an atom for the exact matches."""
+        m = manifest or self.pin()
+        entries, keys = self.entries(m), ["source_id", "document_id", "start_byte"]
+        lexical = retrieval.bm25_from_counts(self._counts(entries, queries, m), lambda: entries.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")), queries, entries.select(*keys))
+        near = entries.where(retrieval.may_match(queries)).select("source_id", "document_id", "source_uri", "title", "body_sha256", "chunk_kind", "ordinal")
+        texts = self.table("chunks", m).select("body_sha256", "chunk_kind", "ordinal", "start_byte", "end_byte", "body_text", "content_sha256")
+        exact = retrieval.exact_matches(scopes.checked(near.join(texts, ["body_sha256", "chunk_kind", "ordinal"])), queries)
+        return retrieval.hits(exact, lexical, entries, limit)
+
+    def _counts(self, entries: DataFrame, queries: dict[str, str], m: dict) -> DataFrame | None:
+        """(identity, len, term, f) of the queries' terms in the active passages."""
+        phrases = retrieval.phrases_of(retrieval.query_terms(queries))
+        if not phrases:
+            return None
+        keys = ["source_id", "document_id", "start_byte"]
+        words = sorted({t for p in phrases for t in p})
+        held = self.table("postings", m).where(F.col("term").isin(words))  # pushed to the scan; files are sorted by term
+        live = held.join(entries.select(*PASSAGE, *keys[::2], "len", "body_sha256", "chunk_kind", "title", "source_uri"), PASSAGE)
+        counts = live.where(F.col("term").isin([p[0] for p in phrases if len(p) == 1])).select(*keys, "len", "term", "f")
+        for p in (p for p in phrases if len(p) > 1):  # the index tells which passages hold all tokens; their texts tell how often in a row
+            whole = live.where(F.col("term").isin(list(p))).groupBy(*keys, "len", "ordinal", "body_sha256", "chunk_kind", "title", "source_uri").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(p)))
+            texts = retrieval.index_fields(whole.join(self.table("chunks", m).select("body_sha256", "chunk_kind", "ordinal", "body_text"), ["body_sha256", "chunk_kind", "ordinal"]))
+            counts = counts.unionByName(texts.select(*keys, "len", F.lit(" ".join(p)).alias("term"), retrieval.phrase_count(list(p)).cast("long").alias("f")).where("f > 0"))
+        return counts
+
+    def search(self, text: str, limit: int = formats.RESULTS_DEFAULT, deadline_ms: int | None = None) -> DataFrame:
+        """Hits in order with their citations and texts; duplicates as further rows that name their hit. A stored
+        passage among them that is not what its hashes say fails the query. With a deadline the work is done here,
+        and stopped when the time is over."""
+        if deadline_ms is not None and not formats.DEADLINE_MIN_MS <= deadline_ms <= formats.DEADLINE_MAX_MS:
+            raise EvidenceError("invalid_deadline")
+        m = self.pin()
+        found = self.find({"q": text}, limit, m).drop("content_sha256", "end_byte")
+        rows = found.join(scopes.checked(self.passages(m)), retrieval.IDENTITY)
         cited = citation(F.lit(m["meta"]["index_id"]), F.col("source_id"), F.col("document_id"), F.col("revision_sha256"), F.col("start_byte"), F.col("end_byte"))
-        return rows.withColumn("citation", cited).orderBy("fused_rank")
+        rows = rows.withColumn("citation", cited).orderBy("fused_rank")
+        return rows if deadline_ms is None else self._in_time(rows, deadline_ms)
+
+    def _in_time(self, rows: DataFrame, deadline_ms: int) -> DataFrame:
+        """rows, read now; their jobs are cancelled at the deadline. rows are at most two candidate lists."""
+        sc, group, over, done = self.spark.sparkContext, uuid.uuid4().hex, threading.Event(), threading.Event()
+
+        def stop() -> None:
+            if not done.wait(deadline_ms / 1000):
+                over.set()
+                sc.cancelJobGroup(group)
+                while not done.wait(0.1):  # jobs that begin after the deadline
+                    sc.cancelJobGroup(group)
+
+        sc.setJobGroup(group, "search", interruptOnCancel=True)
+        threading.Thread(target=stop, daemon=True).start()
+        try:
+            found = rows.collect()
+        except Exception:
+            if not over.is_set():
+                raise
+        finally:
+            done.set()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        if over.is_set():
+            raise EvidenceError("deadline")
+        return self.spark.createDataFrame(found, rows.schema)
+
+    def page(self, text: str, limit: int = formats.RESULTS_DEFAULT, after: str | None = None, mode: str = "auto", explain: bool = False, deadline_ms: int | None = None) -> dict:
+        """A page of a search: the best RESULTS_MAX hits are ranked, and limit of them from the cursor on are told, up
+        to PAGE_BODY_BYTES of text and RESPONSE_BYTES of JSON. A cursor holds only for the query and state it was made for."""
+        if mode not in retrieval.MODES:
+            raise EvidenceError("invalid_mode")
+        if not 1 <= limit <= formats.RESULTS_MAX:
+            raise ValueError("limit out of range")
+        m = self.pin()
+        meta = m["meta"]
+        state = cursor.State(meta["index_id"], meta["scope_revision"], meta["epoch"], meta["generation"])
+        config, asked = cursor.config_fingerprint("1"), cursor.query_fingerprint("v1", meta["project_id"], text, mode, explain)
+        offset = cursor.decode(after, state, config, asked) if after else 0
+        rows = self.search(text, formats.RESULTS_MAX, deadline_ms)
+        found = rows.collect()  # at most two candidate lists
+        total = sum(r["hit"] is not None for r in found)
+        local = self.spark.createDataFrame(found, rows.schema).coalesce(1)
+        own = [r.asDict(recursive=True) for r in retrieval.page(local.where("hit is not null"), offset, limit).orderBy("hit").collect()]
+        copies = [r for r in found if r["hit"] is None]
+        results = [
+            {
+                "hit": r["hit"], "citation": r["citation"], "source_uri": r["source_uri"], "title": r["title"], "lines": [r["start_line"], r["end_line"]], "content": r["body_text"], "content_sha256": r["content_sha256"], "untrusted_content": True,
+                "score": {"fused": r["units"] / formats.RRF_SCALE, "fusion_units": r["units"], "lists": [x if explain else {k: v for k, v in x.items() if k != "backend_score"} for x in r["lists"]]},
+                "duplicates": [{"citation": c["citation"], "reason": c["reason"]} for c in copies if c["duplicate_of"] == r["fused_rank"]],
+            }
+            for r in own
+        ]
+        told = retrieval.report(local, {"q": text}, mode).first().asDict()
+        out = {"results": results, "stop_reason": told["stop_reason"], "retrievers": told["retrievers"], "requested_mode": mode, "effective_mode": told["effective_mode"], "generation": meta["generation"], "epoch": meta["epoch"]}
+        out = evidence.trim(out | {"truncated": offset + len(results) < min(total, offset + limit)}, RESPONSE_BYTES)
+        if out is None:
+            raise EvidenceError("response_too_large")
+        end = offset + len(out["results"])
+        return out | {"next": cursor.encode(end, state, config, asked) if end < total and end < formats.RESULTS_MAX else None}
 
     def get(self, cited: str, most: int = formats.GET_DEFAULT) -> dict:
         """The bytes of a citation with its neighbours, of the revision it was made for."""
@@ -168,32 +312,74 @@ class Engine:
         if v is None:
             raise EvidenceError("not_found")
         own = (F.col("body_sha256") == v["body_sha256"]) & (F.col("chunk_kind") == v["chunk_kind"])
-        spans = [(r["start_byte"], r["end_byte"]) for r in self.table("chunks", m).where(own).orderBy("ordinal").select("start_byte", "end_byte").collect()]
-        if (c["start"], c["end"]) not in spans:
-            raise EvidenceError("not_found")
         if most < c["end"] - c["start"]:
             raise EvidenceError("bound_below_passage")
-        body = bytes(self.table("blobs", m).where(F.col("body_sha256") == v["body_sha256"]).first()["body"])
-        import hashlib
-
-        if hashlib.sha256(body).hexdigest() != v["body_sha256"]:
-            raise EvidenceError("corrupt")
+        near = self.table("chunks", m).where(own & (F.col("end_byte") > c["start"] - most) & (F.col("start_byte") < c["end"] + most))  # no window reaches farther
+        spans = [(r["start_byte"], r["end_byte"]) for r in near.orderBy("ordinal").select("start_byte", "end_byte").collect()]
+        if (c["start"], c["end"]) not in spans:
+            raise EvidenceError("not_found")
         first, last = evidence.expand_window(spans, spans.index((c["start"], c["end"])), most)
         s, e = spans[first][0], spans[last][1]
-        return {"source_uri": v["source_uri"], "title": v["title"], "start": s, "end": e, "cited": (c["start"], c["end"]), "content": body[s:e].decode("utf-8"), "layout": chunker_fingerprint(v["chunk_kind"])}
+        part = F.substring("body", s + 1, e - s).alias("part")  # the body is hashed where it is, and only the window's bytes come here
+        r = self.table("blobs", m).where(F.col("body_sha256") == v["body_sha256"]).select((F.sha2("body", 256) == F.col("body_sha256")).alias("whole"), part).first()
+        if r is None or not r["whole"]:
+            raise EvidenceError("corrupt")
+        return {"source_uri": v["source_uri"], "title": v["title"], "start": s, "end": e, "cited": (c["start"], c["end"]), "content": bytes(r["part"]).decode("utf-8"), "layout": chunker_fingerprint(v["chunk_kind"])}
 
     def project(self) -> dict:
         meta = self.pin()["meta"]
         return {k: meta[k] for k in ("project", "project_id", "scope_revision", "source_id", "generation")} | {"extensions": [*formats.EXTENSIONS]}
 
+    def counts(self, manifest: dict | None = None) -> DataFrame:
+        """(project, sources, documents, passages) of the index's project."""
+        m = manifest or self.pin()
+        meta = m["meta"]
+        projects = self.spark.createDataFrame([(meta["project_id"], meta["project"])], "project_id string, project string")
+        sources = self.spark.createDataFrame([(meta["project_id"], meta["source_id"])], "project_id string, source_id string")
+        return scopes.project_counts(projects, sources, self.table("heads", m), self.passages(m))
+
     def status(self) -> dict:
         m = self.pin()
         meta = m["meta"]
-        documents = self.table("heads", m).where("active").count()
-        passages = self.passages(m).count()
+        counts = self.counts(m).first()
         state = "never" if meta["last_success_at"] is None and not meta["last_error"] else "success" if not meta["last_error"] else "partial" if meta["last_success_at"] else "failed"
-        problems = problem_codes(1, meta["generation"], documents, passages, 0, [state])
-        return {"epoch": meta["epoch"], "generation": meta["generation"], "documents": documents, "passages": passages, "source_state": state, "problems": problems}
+        problems = problem_codes(1, meta["generation"], counts["documents"], counts["passages"], 0, [state])
+        keys = scopes.key_budget(self.table("heads", m).where("active"), "connector_key", KEY_BYTES).first()
+        health = [{"source_id": meta["source_id"], "code": meta["last_error"]["code"], "detail": scopes.truncated(meta["last_error"]["detail"]), "observed_at": meta.get("last_error_at")}] if meta["last_error"] else []
+        out = {"epoch": meta["epoch"], "generation": meta["generation"], "sources": counts["sources"], "documents": counts["documents"], "passages": counts["passages"], "source_state": state, "problems": problems}
+        return out | {"health": health[: scopes.ISSUES], "key_bytes": keys["key_bytes"], "drift_possible": not keys["over_budget"]}
+
+    def refresh(self, files, confirmed: snapshot.Confirmations = snapshot.Confirmations()) -> dict:
+        """Ingests the snapshot that files() gives, once; what was committed last stays readable whatever happens."""
+        try:
+            done = self.ingest(*files(), confirmed=confirmed)
+        except Exception as error:  # whatever it is, the last generation is as it was
+            return {"policy": "once_per_task", "state": "stale", "problem": scopes.truncated(f"{type(error).__name__}: {error}", 1024)}
+        if done["state"] == "success":
+            return {"policy": "once_per_task", "state": "refreshed", "problem": None}
+        return {"policy": "once_per_task", "state": "partial", "problem": "the refresh was partial; the last safely committed evidence remains available"}
+
+    def rebuild(self) -> None:
+        """Cuts and indexes every stored version again, as a new manifest of the same generation; bodies, heads and the log stay."""
+        with self.store.lock():
+            m = self.pin()
+            tables = dict(m["tables"]) | {n: {"files": [], "schema": m["tables"][n]["schema"]} for n in ("chunks", *INDEX)}
+            layouts = self.table("versions", m).select("body_sha256", "chunk_kind").distinct().join(self.table("blobs", m), "body_sha256").withColumn("kind", F.col("chunk_kind"))
+            self._add(tables, "chunks", chunk(layouts, ["body_sha256", "kind"]).withColumnRenamed("kind", "chunk_kind"))
+            for name, rows in index_rows(self.table("versions", m), self.table("chunks", {"tables": tables})).items():
+                self._add(tables, name, rows)
+            self.store.commit({"meta": m["meta"] | {"epoch": m["meta"]["epoch"] + 1}, "tables": tables}, m["version"])
+
+    def suggest(self, most: int = 32) -> str | None:
+        """The first of the suggested queries whose search finds the passage it was taken from."""
+        m = self.pin()
+        picked = scopes.suggested_queries(self.passages(m), retrieval.IDENTITY).orderBy("place").limit(most).collect()
+        asked = {str(r["place"]): r["query"] for r in picked if _parses(r["query"])}
+        if not asked:
+            return None
+        found = self.find(asked, formats.RESULTS_DEFAULT, m).where("hit is not null").join(self.passages(m).select(*retrieval.IDENTITY, "source_uri", "content_sha256"), retrieval.IDENTITY)
+        got = {(r["query_id"], r["source_uri"], r["content_sha256"]) for r in found.select("query_id", "source_uri", "content_sha256").collect()}
+        return next((r["query"] for r in picked if (str(r["place"]), r["source_uri"], r["content_sha256"]) in got), None)
 
     def drift(self, root: str, verify: bool = False) -> DataFrame:
         """(document_id, state) of the active documents against the files under root, probed in tasks."""
@@ -214,7 +400,10 @@ class Engine:
         found = [
             ("replay", audit.replay_violations(changes)), ("heads", audit.head_violations(live, changes)), ("orphan_heads", audit.orphan_heads(live, changes)), ("generations", audit.empty_generations(t["generations"], changes)),
             ("blobs", audit.blob_violations(t["blobs"])), ("chunks", audit.chunk_violations(t["chunks"], ["body_sha256", "chunk_kind"])), ("layouts", audit.parity(t["chunks"], again.select(t["chunks"].columns))),
-            ("versions", t["versions"].join(t["blobs"], "body_sha256", "left_anti").select("document_id", "revision_sha256")),
+            ("versions", scopes.missing_targets(t["versions"], t["blobs"], "body_sha256").select("document_id", "revision_sha256")), ("revisions", audit.revision_violations(t["versions"], t["blobs"])),
+            ("layout_blobs", scopes.missing_targets(t["chunks"].select("body_sha256", "chunk_kind").distinct(), t["blobs"], "body_sha256")),
+            ("generation_ids", scopes.generation_counts(t["generations"]).where("coalesce(last, 0) <> n")),
+            *((f"index_{n}", audit.parity(t[n], rows)) for n, rows in index_rows(t["versions"], t["chunks"]).items()),
         ]
         out = None
         for name, rows in found:
@@ -223,6 +412,27 @@ class Engine:
         return out
 
 
+def index_rows(versions: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """The index tables' rows for the passages of versions: entries with token counts and blooms, postings in order of
+    term, so that a scan for a term skips most of a file, and literals. A term that most passages hold is split by range."""
+    rows = versions.select("document_id", "revision_sha256", "body_sha256", "chunk_kind", "source_uri", "title").join(chunks, ["body_sha256", "chunk_kind"])
+    indexed = retrieval.index_fields(rows)
+    size = sum((F.size(n) for n in retrieval.FIELDS), F.lit(0)).alias("len")
+    entries = indexed.select(*PASSAGE, "start_byte", "end_byte", "content_sha256", size, quote_bloom_column(F.col("body_text")).alias("bloom"))
+    postings = indexed.select(*PASSAGE, F.explode(F.concat(*retrieval.FIELDS)).alias("term")).groupBy("term", *PASSAGE).agg(F.count(F.lit(1)).alias("f"))
+    literals = rows.select(*PASSAGE, F.inline(passage_literals(F.col("title"), F.col("source_uri"), F.col("body_text"))))
+    by_range = lambda df, key: df.repartitionByRange(key, *PASSAGE).sortWithinPartitions(key, *PASSAGE)
+    order = {n: [f.split()[0] for f in ddl.split(", ")] for n, ddl in INDEX.items()}
+    return {"entries": entries.select(order["entries"]), "postings": by_range(postings, "term").select(order["postings"]), "literals": by_range(literals, "literal").select(order["literals"])}
+
+
+def _parses(text: str) -> bool:
+    try:
+        return bool(parse_query(text))
+    except QueryError:
+        return False
+
+
 def problem_codes(sources: int, generation: int | None, documents: int, passages: int, building: int, states: list[str]) -> list[str]:
     found = (
         ("NO_SOURCE", sources == 0), ("NO_ACTIVE_GENERATION", generation is None), ("NO_ACTIVE_DOCUMENTS", generation is not None and documents == 0),

@@ -8,6 +8,7 @@ paths go through Spark's file system layer.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 
@@ -81,28 +82,69 @@ class Store:
             raise StoreError("another writer has committed")
         return version
 
-    def lock(self, timeout: float = 5.0):
-        return Lock(self, timeout)
+    def remove(self, folder: str) -> None:
+        """Deletes a folder that no manifest names."""
+        self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+
+    def size(self) -> int:
+        return int(self._fs.getContentSummary(self._path(self.path)).getLength())
+
+    def free(self) -> int:
+        return int(self._fs.getStatus().getRemaining())
+
+    def lock(self, timeout: float = 5.0, stale: float = 60.0):
+        return Lock(self, timeout, stale)
 
 
 class Lock:
-    """The writer's lock: a file that only one can create; waits up to timeout seconds."""
+    """The writer's lock: a file that only one can create; waits up to timeout seconds. The holder touches the file;
+    one that has not been touched for stale seconds was left by a dead writer and is taken over. Should a writer
+    only have slept, its commit fails, as the manifest it expects is no longer the last."""
+
+    NAME = "writer.lock"
 
-    def __init__(self, store: Store, timeout: float):
-        self.store, self.timeout = store, timeout
+    def __init__(self, store: Store, timeout: float, stale: float):
+        self.store, self.timeout, self.stale = store, timeout, stale
+        self.token, self.done = uuid.uuid4().hex, threading.Event()
+
+    def _at(self, name: str):
+        return self.store._path(f"{self.store.path}/{name}")
 
     def __enter__(self):
         end = time.monotonic() + self.timeout
         while True:
             try:
-                self.store._write("writer.lock", uuid.uuid4().hex)
-                return self
+                self.store._write(self.NAME, self.token)
+                break
             except Exception as error:  # the file system's own exception for an existing file
                 if "lreadyExists" not in str(error):
                     raise
+                if self._left():
+                    continue
                 if time.monotonic() > end:
                     raise StoreError("the writer's lock is held") from None
                 time.sleep(0.01)
+        threading.Thread(target=self._touch, daemon=True).start()
+        return self
+
+    def _left(self) -> bool:
+        """Moves a stale lock away; of several writers only one's rename succeeds."""
+        try:
+            touched = self.store._fs.getFileStatus(self._at(self.NAME)).getModificationTime() / 1000
+        except Exception:  # gone meanwhile
+            return True
+        if time.time() - touched <= self.stale:
+            return False
+        away = f"{self.NAME}.{uuid.uuid4().hex}"
+        if self.store._fs.rename(self._at(self.NAME), self._at(away)):
+            self.store._fs.delete(self._at(away), False)
+        return True
+
+    def _touch(self) -> None:
+        while not self.done.wait(self.stale / 4):
+            self.store._fs.setTimes(self._at(self.NAME), int(time.time() * 1000), -1)
 
     def __exit__(self, *_):
-        self.store._fs.delete(self.store._path(f"{self.store.path}/writer.lock"), False)
+        self.done.set()
+        if self.store._read(self.NAME) == self.token:
+            self.store._fs.delete(self._at(self.NAME), False)

@@ -1,6 +1,6 @@
 """Incremental ingest as a stream: files of documents that arrive are merged into the last snapshot.
 
-Each micro-batch becomes one generation at most. Rows are documents in the shape of a snapshot's
+Each micro-batch becomes one generation at most and costs what it holds, not what the corpus holds. Rows are documents in the shape of a snapshot's
 files; deleted rows (body null) take a key out of the corpus.
 """
 
@@ -16,20 +16,12 @@ from ..plans.engine import Engine
 COLUMNS = ["connector_key", "source_uri", "title", "chunk_kind", "body", "source_updated_at"]
 
 
-def corpus(engine: Engine) -> DataFrame:
-    """The active documents in the shape of a snapshot's files."""
-    m = engine.pin()
-    heads = engine.table("heads", m).where("active").select("document_id", "revision_sha256", "connector_key")
-    made = engine.table("versions", m).drop("metadata_json", "indexed_at")
-    return heads.join(made, ["document_id", "revision_sha256"]).join(engine.table("blobs", m), "body_sha256").select(*COLUMNS)
-
-
 def merge(engine: Engine, batch: DataFrame, confirmed: Confirmations = Confirmations()) -> dict:
-    """Applies a batch of changed and deleted documents; of rows with one key the last timestamp counts."""
+    """Applies a batch of changed and deleted documents; of rows with one key the last timestamp counts. Bodies of
+    other documents are not read: the heads that the batch names are compared, the rest is carried on."""
     latest = Window.partitionBy("connector_key").orderBy(F.desc_nulls_last("source_updated_at"), F.sha2(F.coalesce("body", F.lit(b"")), 256))
     new = batch.select(*COLUMNS).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
-    rest = corpus(engine).join(new.select("connector_key"), "connector_key", "left_anti")
-    return engine.ingest(rest.unionByName(new.where("body is not null")), confirmed=confirmed)
+    return engine.ingest(new.where("body is not null"), confirmed=confirmed, gone=new.where("body is null").select("connector_key"))
 
 
 def start(stream: DataFrame, engine: Engine, checkpoint: str, confirmed: Confirmations = Confirmations(), **trigger) -> StreamingQuery:
