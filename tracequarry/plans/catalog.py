@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, hashing
 from ..functions import text as T
-from ..operators import audit, chunker, retrieval, snapshot
+from ..operators import audit, chunker, evidence, retrieval, scopes, snapshot
 from ..sources import filesystem
 
 QUERIES: dict = {}
@@ -160,9 +160,12 @@ def search_exact(spark, sf_dir):
     f"WITH {_D}, {_STATS}, w AS (SELECT doc_id, unnest(range(1, len(c))) AS i, c FROM len) SELECT doc_id AS document_id, count(*) AS n FROM w WHERE c[i] = 'in' AND c[i + 1] = 'the' GROUP BY 1"
 )
 def phrase_positions(spark, sf_dir):
-    """adjacent tokens of a phrase in a column."""
-    x = retrieval.index_fields(whole_passages(spark, sf_dir))
-    return x.select("document_id", retrieval.phrase_count(["in", "the"], ["tok_body"]).cast("long").alias("n")).where("n > 0")
+    """adjacent tokens of a phrase in a column, in rows that hold both tokens."""
+    p = whole_passages(spark, sf_dir)
+    low = F.lower("body_text")
+    x = retrieval.index_fields(p.where(F.contains(low, F.lit("in")) & F.contains(low, F.lit("the"))))
+    both = x.where(F.array_contains("tok_body", "in") & F.array_contains("tok_body", "the"))
+    return both.select("document_id", retrieval.phrase_count(["in", "the"], ["tok_body"]).cast("long").alias("n")).where("n > 0")
 
 
 _FUSED = _BM25 + f""", {_EXACT},
@@ -197,19 +200,117 @@ def fused_duplicates(spark, sf_dir):
     "SELECT a.event_id AS left_id, b.event_id AS right_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE 2 * (least(a.e, b.e) - greatest(a.s, b.s)) >= least(a.e - a.s, b.e - b.s)"
 )
 def half_overlaps(spark, sf_dir):
-    """Pairs of spans of one user that overlap by half the shorter; spans meet in buckets of
-    their width, so the join is on user and bucket."""
-    e = load(spark, sf_dir, "events")
+    """Pairs of spans of one user that overlap by half the shorter."""
     minute = F.expr("unix_micros(cast(ts as timestamp)) div 60000000")
-    spans = e.select("event_id", "user_id", minute.alias("s")).withColumn("e", F.col("s") + 10 + F.col("event_id") % 20)
-    wide = 30
-    bucket = lambda c: F.floor(c / wide)
-    a = spans.select("user_id", F.col("event_id").alias("left_id"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.explode(F.sequence(bucket(F.col("s")), bucket(F.col("e")))).alias("bucket"))
-    b = spans.select("user_id", F.col("event_id").alias("right_id"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.explode(F.sequence(bucket(F.col("s")), bucket(F.col("e")))).alias("bucket"))
-    both = a.join(b, ["user_id", "bucket"]).where("left_id < right_id")
-    low = F.greatest("s1", "s2")
-    half = 2 * (F.least("e1", "e2") - low) >= F.least(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2"))
-    return both.where(half & (F.col("bucket") == bucket(low))).select("left_id", "right_id")
+    spans = load(spark, sf_dir, "events").select("event_id", "user_id", minute.alias("s")).withColumn("e", F.col("s") + 10 + F.col("event_id") % 20)
+    return retrieval.overlapping_spans(spans, "user_id", "event_id", "s", "e", 30).select(F.col("left_id"), F.col("right_id"))
+
+
+_DEPTHS = _BM25 + f""", {_EXACT}, dep AS (SELECT unnest(range(50, 501, 50)) AS depth),
+fu AS (SELECT coalesce(e.depth, l.depth) AS depth, coalesce(e.query_id, l.query_id) AS query_id, coalesce(e.doc_id, l.document_id) AS document_id, coalesce(e.source, l.source_id) AS source_id, coalesce(matched_bytes, 0) AS mb,
+       coalesce((3000000000000 + (60 + e.rank)) // (2 * (60 + e.rank)), 0) + coalesce((1000000000000 + (60 + l.rank) // 2) // (60 + l.rank), 0) AS units
+       FROM (SELECT * FROM ex, dep WHERE rank <= depth) e FULL JOIN (SELECT * FROM lex, dep WHERE rank <= depth) l ON e.query_id = l.query_id AND e.doc_id = l.document_id AND e.depth = l.depth),
+ru AS (SELECT fu.*, sha256(body) AS h, row_number() OVER (PARTITION BY depth, query_id ORDER BY units DESC, mb DESC, source_id, document_id) AS fused_rank FROM fu JOIN d ON d.doc_id = fu.document_id),
+fi AS (SELECT *, min(fused_rank) OVER (PARTITION BY depth, query_id, h) AS first FROM ru),
+hi AS (SELECT *, row_number() OVER (PARTITION BY depth, query_id ORDER BY fused_rank) AS hit FROM fi WHERE first = fused_rank),
+st AS (SELECT query_id, coalesce(min(depth) FILTER (hit >= 10), 500) AS depth FROM hi GROUP BY 1)"""
+
+
+def _raw_rows() -> str:
+    raw = {k: any(kind == "quoted" and not T.phrase_quote(a) for a, kind in T.parse_query(q).atoms) for k, q in SEARCHES.items()}
+    return ", ".join(f"('{k}', {v})" for k, v in raw.items())
+
+
+def _hits(spark, sf_dir):
+    p = whole_passages(spark, sf_dir)
+    scored = retrieval.bm25_scores(retrieval.index_fields(p), SEARCHES).withColumn("score", F.round("score", 9))
+    return retrieval.hits(retrieval.exact_matches(p, SEARCHES), scored, p)
+
+
+@query(_DEPTHS + " SELECT query_id, hit, document_id, units::BIGINT AS units FROM hi JOIN st USING (query_id, depth) WHERE hit <= 10")
+def search_hits(spark, sf_dir):
+    """F11, F12, F15, H2s: the ten hits of each query, its lists read in steps of 50 until there are ten."""
+    return _hits(spark, sf_dir).where("hit is not null").select("query_id", "hit", "document_id", "units")
+
+
+@query(
+    _DEPTHS + ", p AS (SELECT query_id, hi.fused_rank FROM hi JOIN st USING (query_id, depth) WHERE hit <= 10) SELECT query_id, fi.document_id, fi.first AS duplicate_of, 'same_content' AS reason FROM fi JOIN st USING (query_id, depth) "
+    "JOIN p ON p.query_id = fi.query_id AND p.fused_rank = fi.first WHERE fi.fused_rank > fi.first".replace("SELECT query_id, fi.document_id", "SELECT fi.query_id, fi.document_id")
+)
+def search_duplicates(spark, sf_dir):
+    """the duplicates of the hits, with the rank of the hit that each repeats."""
+    return _hits(spark, sf_dir).where("hit is null").select("query_id", "document_id", "duplicate_of", "reason")
+
+
+@query(
+    _DEPTHS + ", x AS (SELECT query_id, rank AS r, 'exact' AS retriever FROM ex UNION ALL SELECT query_id, rank, 'lexical' FROM lex), "
+    "n AS (SELECT query_id, coalesce(max(r) FILTER (retriever = 'exact'), 0) AS e, coalesce(max(r) FILTER (retriever = 'lexical'), 0) AS l FROM x GROUP BY 1), mh AS (SELECT query_id, max(hit) AS hits FROM hi JOIN st USING (query_id, depth) GROUP BY 1), "
+    f"asked(query_id, raw) AS (VALUES {_raw_rows()}) "
+    "SELECT query_id, 'auto' AS requested_mode, 'lexical' AS effective_mode, CASE WHEN raw THEN 'exact,exact_fallback,lexical' ELSE 'exact,lexical' END AS retrievers, "
+    "CASE WHEN hits >= 10 THEN 'limit_reached' WHEN greatest(e, l) > 500 THEN 'work_budget_exhausted' ELSE 'unique_exhausted' END AS stop_reason, least(coalesce(e, 0), coalesce(depth, 500))::BIGINT AS examined_exact, least(coalesce(l, 0), coalesce(depth, 500))::BIGINT AS examined_lexical "
+    "FROM asked LEFT JOIN n USING (query_id) LEFT JOIN mh USING (query_id) LEFT JOIN st USING (query_id)"
+)
+def search_reports(spark, sf_dir):
+    """modes, retrievers, why each search stopped and how deep."""
+    r = retrieval.report(_hits(spark, sf_dir), SEARCHES)
+    return r.select("query_id", "requested_mode", "effective_mode", F.array_join("retrievers", ",").alias("retrievers"), "stop_reason", *[F.col(c).cast("long").alias(c) for c in ("examined_exact", "examined_lexical")])
+
+
+@query(
+    _DEPTHS + ", w AS (SELECT query_id, hit, document_id FROM hi JOIN st USING (query_id, depth) WHERE hit <= 10), z AS (SELECT w.query_id, w.hit, 'lexical' AS retriever, lex.rank, lex.score AS s FROM w JOIN st USING (query_id) JOIN lex ON lex.query_id = w.query_id AND lex.document_id = w.document_id AND lex.rank <= depth "
+    "UNION ALL SELECT w.query_id, w.hit, CASE WHEN fallback THEN 'exact_fallback' ELSE 'exact' END, ex.rank, NULL FROM w JOIN st USING (query_id) JOIN ex ON ex.query_id = w.query_id AND ex.doc_id = w.document_id AND ex.rank <= depth) "
+    "SELECT query_id, hit, retriever, rank, CASE WHEN retriever = 'lexical' THEN (1000000000000 + (60 + rank) // 2) // (60 + rank) ELSE (3000000000000 + (60 + rank)) // (2 * (60 + rank)) END::BIGINT AS contribution_units, round(s, 9) AS backend_score FROM z"
+)
+def search_explained(spark, sf_dir):
+    """F16: the lists that each hit is in, with its rank, contribution and score."""
+    each = _hits(spark, sf_dir).where("hit is not null").select("query_id", "hit", F.inline("lists"))
+    return each.select("query_id", "hit", "retriever", F.col("rank").cast("long").alias("rank"), "contribution_units", "backend_score")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IS NULL OR NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def missing_targets(spark, sf_dir):
+    """Rows without the row they refer to (documents without a label, or with a null key)."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").isNotNull(), F.col("doc_id")).alias("label_id"))
+    return scopes.missing_targets(d, load(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id")), "label_id").select("doc_id")
+
+
+@query("SELECT sum(strlen(source || '/' || doc_id || '.txt'))::BIGINT AS key_bytes, sum(strlen(source || '/' || doc_id || '.txt')) > 10000 AS over_budget FROM documents")
+def key_budget(spark, sf_dir):
+    """The bytes of all keys against a budget."""
+    key = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return scopes.key_budget(load(spark, sf_dir, "documents").select(key.alias("k")), "k", 10_000)
+
+
+@query("SELECT max(o_orderkey) AS last, count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def generation_counts(spark, sf_dir):
+    """The largest id and the number of committed generations (filled orders)."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "committed").otherwise("building").alias("state"))
+    return scopes.generation_counts(o)
+
+
+@query("SELECT n_name, coalesce(c, 0) AS documents, coalesce(s, 0) AS errors FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal >= 0 GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def source_counts(spark, sf_dir):
+    """Counts per source from two aggregates (customers in credit as active documents, suppliers as errors)."""
+    sources = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_id"), "n_name")
+    heads = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source_id"), (F.col("c_acctbal") >= 0).alias("active"))
+    return scopes.source_rows(sources, heads, load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source_id"))).select("n_name", "documents", "errors")
+
+
+_STATES = "WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'metadata_unchanged' WHEN 'click' THEN 'metadata_changed' WHEN 'purchase' THEN 'missing' WHEN 'refund' THEN 'blocked' ELSE 'unknown' END AS state, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS m, event_id % 2 = 0 AS same, event_id % 5 <> 0 AS has FROM events) "
+
+
+@query(
+    _STATES + "SELECT event_id, CASE WHEN m THEN 'content_unchanged' WHEN NOT m THEN 'changed_since_ingest' WHEN state = 'metadata_unchanged' THEN state WHEN state = 'metadata_changed' THEN 'changed_since_ingest' WHEN state = 'missing' THEN 'missing_since_ingest' ELSE 'unverifiable' END AS source_state, "
+    "CASE WHEN m THEN 'unchanged' WHEN NOT m THEN 'changed' WHEN state IN ('missing', 'blocked') THEN state ELSE 'unverifiable' END AS hash_verification, "
+    "CASE WHEN m AND has THEN CASE WHEN same THEN 'unchanged' ELSE 'changed' END WHEN NOT m THEN 'changed' WHEN m IS NULL AND state IN ('missing', 'blocked') THEN state ELSE 'unverifiable' END AS cited_verification FROM e"
+)
+def drift_states(spark, sf_dir):
+    """What drift observations say of sources (event types as observations)."""
+    e = load(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "view", "metadata_unchanged").when(F.col("event_type") == "click", "metadata_changed").when(F.col("event_type") == "purchase", "missing").when(F.col("event_type") == "refund", "blocked").otherwise("unknown")
+    matches = F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False)
+    current = F.when(F.col("event_id") % 5 != 0, F.when(F.col("event_id") % 2 == 0, "a").otherwise("b"))
+    return e.select("event_id", evidence.source_state(state, matches).alias("source_state"), evidence.hash_verification(state, matches).alias("hash_verification"), evidence.cited_verification(F.lit("a"), current, state, matches).alias("cited_verification"))
 
 
 # --- hashes and identities ---
@@ -244,8 +345,7 @@ def citations(spark, sf_dir):
 @query("SELECT sha256(coalesce(text, '')) AS body_sha256, count(*) AS documents, min(doc_id) AS first_doc, max(strlen(coalesce(text, '')))::BIGINT AS body_bytes FROM documents GROUP BY 1")
 def content_blobs(spark, sf_dir):
     """B1: distinct bodies by content."""
-    p = whole_passages(spark, sf_dir)
-    return p.groupBy(F.col("content_sha256").alias("body_sha256")).agg(F.count(F.lit(1)).alias("documents"), F.min("document_id").alias("first_doc"), F.max("end_byte").alias("body_bytes"))
+    return snapshot.content_blobs(whole_passages(spark, sf_dir), "content_sha256", "document_id", "end_byte")
 
 
 @query(
@@ -377,35 +477,37 @@ def scan_statistics(spark, sf_dir):
     "SELECT r_name AS project, count(DISTINCT n_nationkey) AS sources, count(DISTINCT c_custkey) AS documents, count(o_orderkey) AS passages FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
 )
 def project_counts(spark, sf_dir):
-    """Counts by project, each side aggregated before it is joined (regions as projects)."""
-    orders = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("p"))
-    docs = load(spark, sf_dir, "customer").join(orders, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
-    sources = load(spark, sf_dir, "nation").join(docs, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("s"), F.sum("d").alias("d"), F.sum("p").alias("p"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return load(spark, sf_dir, "region").join(sources, "r_regionkey", "left").select(F.col("r_name").alias("project"), zero("s").alias("sources"), zero("d").alias("documents"), zero("p").alias("passages"))
+    """Counts by project (regions as projects, nations as sources, customers as documents, orders as passages)."""
+    projects = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("project_id"), F.col("r_name").alias("project"))
+    sources = load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("project_id"), F.col("n_nationkey").alias("source_id"))
+    heads = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source_id"), F.col("c_custkey").alias("document_id"), F.lit(True).alias("active"))
+    return scopes.project_counts(projects, sources, heads, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey = o_custkey AND r_name = 'ASIA')")
 def scope_semi_join(spark, sf_dir):
-    """Rows in a project's scope."""
-    scope = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(load(spark, sf_dir, "region").where("r_name = 'ASIA'"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return load(spark, sf_dir, "orders").join(scope, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    """Documents in a project's scope, and their passages."""
+    sources = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("project_id"), F.col("n_nationkey").alias("source_id"))
+    documents = scopes.in_scope(load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source_id"), "c_custkey"), sources, "ASIA")
+    return load(spark, sf_dir, "orders").join(documents, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
 @query("SELECT c_custkey, n_name, r_name, o_n AS n_orders FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT o_custkey, count(*) AS o_n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def left_join_chain(spark, sf_dir):
-    """A chain of left joins to pre-aggregated and small sides."""
-    n = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
-    c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(load(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return c.join(n, "c_custkey", "left").select("c_custkey", "n_name", "r_name", "n_orders")
+    """Documents with their head, version and body, null where there is none (customers, nations, regions, orders)."""
+    documents = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("body_id"), F.col("c_nationkey").alias("document_id"))
+    heads = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), "n_name", F.col("n_regionkey").alias("version_id"))
+    versions = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("version_id"), "r_name")
+    blobs = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("body_id")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return scopes.existing_documents(documents, heads, versions, blobs).select(F.col("body_id").alias("c_custkey"), "n_name", "r_name", "n_orders")
 
 
 @query("WITH r AS (SELECT conv_id, turn, strlen(text) AS n, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS t FROM conversations) SELECT conv_id, turn, t::BIGINT AS body_bytes FROM r WHERE t <= 2000")
 def body_cap_page(spark, sf_dir):
-    """Turns of a conversation until their bytes exceed a cap."""
+    """Turns of a conversation until their bytes exceed a cap."""
     c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("hit"), "text")
-    running = F.sum(F.octet_length("text")).over(Window.partitionBy("query_id").orderBy("hit").rowsBetween(Window.unboundedPreceding, 0))
-    return c.withColumn("body_bytes", running).where("body_bytes <= 2000").select(F.col("query_id").alias("conv_id"), F.col("hit").alias("turn"), "body_bytes")
+    kept = retrieval.page(c, -1, 1_000_000, "text", 2000, keep="body_bytes")
+    return kept.select(F.col("query_id").alias("conv_id"), F.col("hit").alias("turn"), "body_bytes")
 
 
 @query(
@@ -425,23 +527,27 @@ def path_filters(spark, sf_dir):
 
 @query("SELECT source AS source_id, count(*) AS documents, CASE WHEN count(*) FILTER (toxic = 1) = 0 THEN 'success' WHEN count(*) FILTER (toxic = 0) = 0 THEN 'failed' ELSE 'partial' END AS state FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def source_states(spark, sf_dir):
-    """A source's state from its accepted and failed rows (toxic labels as failures)."""
+    """A source's state from its accepted and failed rows (toxic labels as failures)."""
     d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    bad, good = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
-    return d.groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("documents"), F.when(bad == 0, "success").when(good == 0, "failed").otherwise("partial").alias("state"))
+    each = d.groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+    return each.select("source_id", "documents", snapshot.source_state(F.col("bad"), F.col("good"), F.lit(None)).alias("state"))
 
 
-@query("SELECT doc_id, source IS NULL OR strlen(source) > 4 AS source_out_of_bounds, coalesce(strlen(text), 0) NOT BETWEEN 1 AND 1800 AS content_out_of_bounds FROM documents WHERE source IS NULL OR strlen(source) > 4 OR coalesce(strlen(text), 0) NOT BETWEEN 1 AND 1800")
+@query("SELECT doc_id, source IS NULL OR strlen(source) NOT BETWEEN 1 AND 4 AS source_out_of_bounds, coalesce(strlen(text), 0) NOT BETWEEN 1 AND 1800 AS content_out_of_bounds, CASE WHEN coalesce(strlen(source), 0) BETWEEN 1 AND 4 THEN strlen(source) ELSE 0 END + CASE WHEN coalesce(strlen(text), 0) BETWEEN 1 AND 1800 THEN strlen(text) ELSE 0 END AS kept_bytes FROM documents WHERE source IS NULL OR strlen(source) NOT BETWEEN 1 AND 4 OR coalesce(strlen(text), 0) NOT BETWEEN 1 AND 1800")
 def field_guards(spark, sf_dir):
-    """Rows with a field out of bounds."""
-    s, c = F.coalesce(F.octet_length("source") > 4, F.lit(True)), ~F.coalesce(F.octet_length("text"), F.lit(0)).between(1, formats.MAX_BYTES)
-    return load(spark, sf_dir, "documents").select("doc_id", s.alias("source_out_of_bounds"), c.alias("content_out_of_bounds")).where("source_out_of_bounds or content_out_of_bounds")
+    """Rows with a field out of bounds, which is blanked."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    bounds = {"source": (1, 4), "text": (1, formats.MAX_BYTES)}
+    bad = scopes.field_guards(bounds)
+    flagged = d.select("*", bad["source"].alias("source_out_of_bounds"), bad["text"].alias("content_out_of_bounds"))
+    return scopes.passage_projection(flagged, bounds).where("passage_invalid").select("doc_id", "source_out_of_bounds", "content_out_of_bounds", F.octet_length(F.concat(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))).cast("long").alias("kept_bytes"))
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal FROM documents")
 def identity_order(spark, sf_dir):
-    """A8, G1, G6, H1s: rows in identity order with ordinals from 0."""
-    return load(spark, sf_dir, "documents").select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    """A8, G1, G6, H1s: rows in identity order with ordinals from 0, ranked in spans of 1,000 ids."""
+    d = load(spark, sf_dir, "documents").select("source", "doc_id")
+    return scopes.ordinals(d, "source", "doc_id", F.floor(F.col("doc_id") / 1000)).select("source", "doc_id", "ordinal")
 
 
 @query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS covered, 0::BIGINT AS violations FROM documents WHERE strlen(coalesce(text, '')) > 0")
@@ -461,7 +567,13 @@ def chunk_passages(spark, sf_dir):
     return chunker.chunk(d, ["doc_id"])
 
 
-@query()
+@query(
+    "WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents), g AS (SELECT DISTINCT doc_id, b[i] || b[i + 1] || b[i + 2] AS tri FROM t, unnest(range(1, len(b) - 1)) AS u(i)), "
+    "s AS (SELECT tri, sha256(unhex(tri)) AS h FROM (SELECT DISTINCT tri FROM g)), n AS (SELECT tri, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2 FROM s), "
+    f"p AS (SELECT DISTINCT doc_id, (h1 + i * h2) % 4294967296 % {formats.BLOOM_BITS} AS pos FROM g JOIN n USING (tri), range({formats.BLOOM_HASHES}) AS r(i)), v AS (SELECT doc_id, (pos // 8)::BIGINT AS k, sum(1 << (pos % 8)::INTEGER)::BIGINT AS v FROM p GROUP BY ALL), "
+    f"m AS (SELECT doc_id, k, coalesce(v, 0) AS v FROM (SELECT doc_id, k FROM documents, range({formats.BLOOM_BITS // 8}) AS r(k)) LEFT JOIN v USING (doc_id, k)) "
+    f"SELECT doc_id, {formats.BLOOM_BITS // 8} AS bytes, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY k))) AS bloom_sha256 FROM m GROUP BY doc_id"
+)
 def quote_blooms(spark, sf_dir):
     """Bits set in each document's trigram bloom."""
     b = load(spark, sf_dir, "documents").select("doc_id", hashing.quote_bloom_column("text").alias("bloom"))
