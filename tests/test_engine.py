@@ -1,12 +1,16 @@
+import json
 import os
+import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import differences
 from tracequarry.operators import retrieval, snapshot
-from tracequarry.plans import catalog
+from tracequarry.plans import catalog, indexed
+from tracequarry.plans.cursor import CursorError
 from tracequarry.plans.engine import Engine, EvidenceError
 from tracequarry.plans.store import StoreError
 from tracequarry.sources import filesystem
@@ -19,6 +23,12 @@ def test_oracle(spark, name):
     assert not mine and not theirs and n == m
 
 
+@pytest.mark.parametrize("name", sorted(indexed.ORACLES))
+def test_index_oracle(spark, name):
+    mine, theirs, n, m = differences(spark, indexed.QUERIES[name], indexed.ORACLES[name])
+    assert not mine and not theirs and n == m
+
+
 def test_rows_only_queries(spark):
     for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES)):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
@@ -157,3 +167,298 @@ def test_limits(spark, tmp_path):
     w = filesystem.walk(root, filesystem.Options(max_file_bytes=50))
     assert [f[0] for f in w.files] == [b"b.md"] and w.issues[0][1] == "oversize"
     assert [f[0] for f in filesystem.walk(root, filesystem.Options(includes=("a.md",))).files] == [b"a.md"]
+
+
+def text_corpus(spark, rows):
+    return filesystem.table_corpus(spark.createDataFrame([("s", i, t) for i, t in rows], "source string, id int, text string"), "source", "id", "text")
+
+
+def test_paging_and_reports(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha text number{i} " + "pad " * (i % 7)) for i in range(60)] + [(i, "alpha twin") for i in range(100, 103)]))
+    seen, after = [], None
+    for _ in range(9):
+        page = e.page("alpha", 20, after, explain=True)
+        seen += [r["hit"] for r in page["results"]]
+        after = page["next"]
+        if after is None:
+            break
+    assert seen == list(range(1, 51)) and page["stop_reason"] == "limit_reached" and page["effective_mode"] == "lexical" and page["retrievers"] == ["exact", "lexical"]
+    assert sum(len(r["content"]) for r in page["results"]) and all(r["untrusted_content"] for r in page["results"])
+    first = e.page('"alpha twin"', 3)
+    assert first["results"][0]["score"]["lists"][0]["retriever"] == "exact" and "backend_score" not in first["results"][0]["score"]["lists"][0]
+    assert {d["reason"] for d in first["results"][0]["duplicates"]} == {"same_content"} and len(first["results"][0]["duplicates"]) == 2
+    none = e.page("zzzz")
+    assert none["results"] == [] and none["next"] is None and none["stop_reason"] == "unique_exhausted"
+    cursor = e.page("alpha", 7)["next"]
+    for bad, code in ((("beta", 7, cursor), "stale_fingerprint"), (("alpha", 7, cursor[:-2] + "AA"), "malformed")):
+        with pytest.raises(CursorError) as refused:
+            e.page(*bad)
+        assert refused.value.code == code
+    e.ingest(text_corpus(spark, [(0, "alpha new")]), gone=spark.createDataFrame([], "connector_key binary"))
+    with pytest.raises(CursorError) as refused:
+        e.page("alpha", 7, cursor)
+    assert refused.value.code == "stale_index"
+    with pytest.raises(EvidenceError):
+        e.page("alpha", mode="vector")
+    assert e.search("alpha", deadline_ms=10_000).count() > 0
+    with pytest.raises(EvidenceError) as refused:
+        e.search("alpha", deadline_ms=5)
+    assert refused.value.code == "invalid_deadline"
+
+
+def test_deadline(spark, tmp_path, monkeypatch):
+    from tracequarry.functions import formats
+
+    monkeypatch.setattr(formats, "DEADLINE_MIN_MS", 1)
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha {i}") for i in range(20)]))
+    with pytest.raises(EvidenceError) as refused:
+        e.search("alpha", deadline_ms=1)
+    assert refused.value.code == "deadline" and e.search("alpha", deadline_ms=10_000).count() >= 10
+
+
+def test_trim():
+    from tracequarry.operators.evidence import trim
+
+    reply = {"results": [{"c": "é" * 100}] * 10, "truncated": False}
+    got = trim(reply, 1000)
+    assert 0 < len(got["results"]) < 10 and got["truncated"] and len(json.dumps(got, ensure_ascii=False).encode()) <= 1000
+    assert trim(reply, 10_000) == reply and trim(reply, 50) is None
+
+
+def test_corrupt_candidates_fail_the_query(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha-beta text {i}") for i in range(5)]))
+    m = e.pin()
+    broken = e.table("chunks", m).withColumn("body_text", F.when(F.col("body_text").contains("text 3"), F.lit("alpha-beta texx 3")).otherwise(F.col("body_text")))
+    tables = m["tables"] | {"chunks": e.store.put(broken, "chunks") | {"schema": m["tables"]["chunks"]["schema"]}}
+    e.store.commit({"meta": m["meta"], "tables": tables}, m["version"])
+    with pytest.raises(Exception, match="content hash"):
+        e.search("alpha-beta", 1).collect()
+
+
+def test_gate_loses_nothing(spark, tmp_path):
+    """Quotes and identifiers that pass the bloom are exactly those that a scan finds."""
+    e = Engine.create(spark, str(tmp_path / "i"))
+    texts = ["operator a+b remains", "café crème", "日本語のテキスト", "xyz" * 300, "no such thing", "c.d/e_f g", "a+ b"]
+    e.ingest(text_corpus(spark, [*enumerate(texts * 3)]))
+    asked = {"a": '"a+b"', "b": '"crème"', "c": '"語の"', "d": '"zxyz"', "e": "c.d/e_f", "f": '"s 3.t"', "g": '"+ "', "h": "s/4.txt"}
+    got = {(r.query_id, r.document_id, r.exact_rank) for r in e.find(asked).collect()}
+    want = {(r.query_id, r.document_id, r.exact_rank) for r in retrieval.search(e.passages(), asked).collect()}
+    assert got == want and {q for q, *_ in got} >= set("abcdegh")
+
+
+def test_blooms_like_single_ones():
+    from tracequarry.functions import hashing
+
+    texts = [b"", b"ab", b"abc", "日本語 café".encode(), b"the cat sat on the mat" * 50, bytes(range(1, 128))]
+    trigrams = hashing.Trigrams()
+    for _ in range(2):
+        assert hashing.quote_blooms(texts, trigrams) == [hashing.quote_bloom(t) for t in texts]
+    trigrams.KEPT = 10
+    assert hashing.quote_blooms(texts, trigrams) == [hashing.quote_bloom(t) for t in texts]
+    assert hashing.quote_blooms([], trigrams) == []
+
+
+def test_dead_writer(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    killed = e.store.lock()
+    killed._touch = lambda: None
+    killed.__enter__()  # a writer that died: nobody touches its lock
+    with pytest.raises(StoreError):
+        with e.store.lock(timeout=0.2):
+            pass
+    e.store._fs.setTimes(e.store._path(f"{e.store.path}/writer.lock"), 1000, -1)
+    assert e.ingest(text_corpus(spark, [(1, "alpha")]))["generation"] == 1
+    with e.store.lock(stale=1.0):  # a living writer's is touched
+        time.sleep(2.5)
+        with pytest.raises(StoreError):
+            with e.store.lock(timeout=0.2, stale=1.0):
+                pass
+    with e.store.lock(timeout=0.5):
+        pass
+
+
+def test_deltas_read_only_what_they_name(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha {i}") for i in range(30)]))
+    m = e.pin()
+    lost = {k: v for k, v in m["tables"].items()} | {"blobs": e.store.put(e.table("blobs", m).where("body = X'616c7068612031'"), "blobs") | {"schema": m["tables"]["blobs"]["schema"]}}
+    e.store.commit({"meta": m["meta"], "tables": lost}, m["version"])  # bodies of the others can't be read any more
+    batch = text_corpus(spark, [(2, "beta 2"), (90, "alpha 91")]).unionByName(text_corpus(spark, [(5, "x")]).withColumn("body", F.lit(None).cast("binary")))
+    done = incremental.merge(e, batch)
+    assert (done["new_documents"], done["changed_documents"], done["tombstoned_documents"], done["prior_active_documents"], done["projected_active_documents"]) == (1, 2, 1, 30, 30)
+    assert incremental.merge(e, batch)["generation"] is None and e.status()["documents"] == 30
+    keys = {bytes(r.connector_key) for r in e.table("heads").where("active").collect()}
+    assert b"s/90.txt" in keys and b"s/5.txt" not in keys and len(keys) == 30
+
+
+def test_snapshot_is_staged_once(spark, tmp_path):
+    """What is applied is what was planned, though the source changes at every reading."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def body(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    e = Engine.create(spark, str(tmp_path / "i"))
+    corpus = text_corpus(spark, [(i, f"alpha {i}") for i in range(8)])
+    e.ingest(corpus.mapInPandas(body, corpus.schema))
+    assert reads.value == 8 and not os.listdir(tmp_path / "i" / "data" / "staged")
+
+
+def test_refresh_rebuild_suggest(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    root = str(tmp_path / "r")
+    put(root, "a.md", b"# Alpha heading\n\nsome text\n## Second one\n")
+    put(root, "b.rs", b"fn parse_query() {}\n")
+    assert e.refresh(lambda: filesystem.snapshot(spark, root))["state"] == "refreshed"
+    assert e.suggest() == "Alpha heading"
+    before = [r.asDict() for r in e.search("parse_query").select("citation", "units").collect()]
+    epoch = e.status()["epoch"]
+    e.rebuild()
+    assert e.status()["epoch"] == epoch + 1 and e.doctor().isEmpty() and [r.asDict() for r in e.search("parse_query").select("citation", "units").collect()] == before
+    put(root, "c.txt", b"\xff")
+    assert e.refresh(lambda: filesystem.snapshot(spark, root))["state"] == "partial"
+    status = e.status()
+    assert status["problems"] == ["SOURCE_SYNC_PARTIAL"] and status["health"][0]["code"] == "invalid_utf8" and status["drift_possible"]
+    os.remove(f"{root}/a.md")
+    os.remove(f"{root}/c.txt")
+    stale = e.refresh(lambda: filesystem.snapshot(spark, root))
+    assert stale["state"] == "stale" and "DeletionRefused" in stale["problem"] and e.status()["documents"] == 2
+    assert e.refresh(lambda: filesystem.snapshot(spark, str(tmp_path / "nowhere")))["state"] == "stale"
+
+
+def test_collisions_are_refused(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(1, "alpha"), (2, "beta")]))
+    m = e.pin()
+    for name, change in (("blobs", {"body": F.lit(b"other")}), ("chunks", {"body_text": F.lit("other")})):
+        tables = m["tables"] | {name: e.store.put(e.table(name, m).withColumns(change), name) | {"schema": m["tables"][name]["schema"]}}
+        e.store.commit({"meta": m["meta"], "tables": tables}, e.pin()["version"])
+        with pytest.raises(StoreError, match="differs"):
+            e.ingest(text_corpus(spark, [(1, "alpha"), (2, "beta"), (3, "alpha")]))
+
+
+def test_capacity(spark, tmp_path):
+    need = 100 + (64 << 20)
+    assert snapshot.preflight(100, 0, need, need) == {"reserve_bytes": 64 << 20, "required_free_bytes": need, "required_quota_bytes": need}
+    for args, code in (((100, 0, need - 1, need), "quota_exceeded"), ((100, 0, None, need - 1), "insufficient_capacity")):
+        with pytest.raises(snapshot.CapacityError) as refused:
+            snapshot.preflight(*args)
+        assert refused.value.code == code
+    assert snapshot.storage_reserve(10**10 + 1) == 10**9 + 1
+    e = Engine.create(spark, str(tmp_path / "i"))
+    with pytest.raises(snapshot.CapacityError):
+        e.ingest(text_corpus(spark, [(1, "alpha")]), quota=1000)
+    assert e.status()["generation"] is None and e.store.free() > 0
+
+
+def test_source_config():
+    from tracequarry.sources.config import ConfigError, SourceConfig
+
+    text = '{"schema_version":1,"root":"/srv/docs","max_file_bytes":1000,"max_source_files":5,"max_source_bytes":9000,"includes":["*.md"]}'
+    c = SourceConfig.parse(text)
+    assert c.options.includes == ("*.md",) and c.options.max_files == 5 and SourceConfig.parse(c.to_json()) == c
+    assert c.to_json().startswith('{"allow_sensitive":false,"excludes":[],"includes":["*.md"],"max_directory_depth":128,') and "index_quota_bytes" not in c.to_json()
+    bad = {"unknown_field": text[:-1] + ',"x":1}', "missing_field": '{"schema_version":1}', "unsupported_schema": text.replace(":1,", ":2,", 1), "invalid_root": text.replace("/srv", "srv"), "invalid_json": "[", "invalid_value": text.replace("1000", "true"), "invalid_quota": text[:-1] + ',"index_quota_bytes":0}', "too_large": text + " " * 20_000}
+    for code, wrong in bad.items():
+        with pytest.raises(ConfigError) as refused:
+            SourceConfig.parse(wrong)
+        assert refused.value.code == code
+
+
+def test_walk_guards(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "r")
+    put(root, "a.md", b"x")
+    os.symlink(root, tmp_path / "l")
+    with pytest.raises(filesystem.DiscoveryError) as refused:
+        filesystem.walk(str(tmp_path / "l"))
+    assert refused.value.code == "root_unreadable"
+    os.makedirs(f"{root}/sub")
+    with pytest.raises(filesystem.DiscoveryError) as refused:
+        filesystem.walk(str(tmp_path / "l" / "sub"))  # a link above the root
+    assert refused.value.code == "root_unreadable"
+    told = filesystem.estimate(root)
+    put(root, "b.md", b"y")
+    with pytest.raises(filesystem.DiscoveryError) as refused:
+        filesystem.snapshot(spark, root, estimated=told)
+    assert refused.value.code == "estimate_exceeded"
+    plain = os.listdir
+
+    def meddling(folder):
+        names = plain(folder)
+        put(root, "c.md", b"z")
+        return names
+
+    monkeypatch.setattr(os, "listdir", meddling)
+    with pytest.raises(filesystem.DiscoveryError) as refused:
+        filesystem.walk(root)
+    assert refused.value.code == "directory_changed"
+
+
+def plain_chunks(data, kind):
+    """The chunker's contract by plain search: the last best boundary up to the target, else the first one after it."""
+    from tracequarry.functions import formats
+
+    lists = {"markdown": "hfps", "plain-text": "psl", "shell": "pl", "sql": "pl"}.get(kind, "dpl")
+    lead = lambda at: at >= len(data) or data[at] & 0xC0 != 0x80
+    starts = [0] + [i + 1 for i, b in enumerate(data) if b == 10]
+    line = {s: data[s : (starts[k + 1] - 1 if k + 1 < len(starts) else len(data))].decode().rstrip("\r") for k, s in enumerate(starts)}
+
+    def is_boundary(rule, b, first, hard):
+        if rule == "s":
+            return data[b - 1 : b] in (b".", b"?", b"!") and b - 1 >= first and (b >= hard and b >= len(data) or data[b : b + 1] in (b" ", b"\t", b"\n", b"\x0c", b"\r"))
+        if b not in line or b >= hard:
+            return False
+        own = line[b]
+        before = max((s for s in starts if s < b), default=None)
+        if rule == "l":
+            return b > first
+        if rule == "p":
+            return before is not None and b > first and not line[before].strip() and own.strip() != ""
+        if rule == "h":
+            return own.lstrip().startswith("#")
+        if rule == "f":
+            return own.lstrip().startswith(("```", "~~~"))
+        return own[:1].strip() != "" and own.rstrip().startswith(formats.DECLARATIONS[kind])
+
+    at, out = 3 if data.startswith(b"\xef\xbb\xbf") else 0, []
+    while at < len(data):
+        hard = min(at + 1800, len(data))
+        while not lead(hard):
+            hard -= 1
+        end = hard
+        if len(data) - at > 1200:
+            target = min(at + 1200, hard)
+            while not lead(target):
+                target -= 1
+            least = at + (target - at) // 2
+            while not lead(least):
+                least += 1
+            for rule in lists:
+                found = [b for b in range(least, hard + 1) if is_boundary(rule, b, at, hard)]
+                if found:
+                    end = max([b for b in found if b <= target], default=found[0])
+                    break
+        out.append((at, end))
+        if end == len(data):
+            break
+        after = max(end - 180, 0)
+        while not lead(after):
+            after += 1
+        at = after if after > at else end
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain-text", "markdown", "python", "rust", "sql", "shell"])
+def test_chunks_like_plain_version(kind):
+    from tracequarry.operators import chunker
+
+    rng = random.Random(kind)
+    pieces = ["word ", "Ünïcode ", "End. ", "Why? ", "\n", "\n\n", "\r\n", "# Head\n", "```\n", "def f(x):\n", "fn main() {\n", "class A:\n", "  indented\n", "日本語", "a" * 90 + " ", "SELECT 1;\n", " \n"]
+    for _ in range(25):
+        data = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 900))).encode()
+        assert chunker.cut(data, kind) == plain_chunks(data, kind)
