@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import random
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import differences
+from tracequarry.functions import formats
 from tracequarry.operators import retrieval, snapshot
 from tracequarry.plans import catalog, indexed
 from tracequarry.plans.cursor import CursorError
@@ -101,6 +103,13 @@ def test_lifecycle(spark, tmp_path):
     assert again["generation"] is None and again["unchanged_documents"] == 2 and e.status()["epoch"] == 1
     hit = e.search("alpha-beta").where("hit = 1").first()
     assert e.get(hit.citation)["content"] == "# Title\n\nalpha-beta EVIDENCE\n"
+    index, source = hit.citation.removeprefix(formats.CITATION_PREFIX).split("/")[:2]
+    for foreign in (hit.citation.replace(index, source), hit.citation.replace(source, index), hit.citation.replace(hit.document_id, source)):
+        with pytest.raises(EvidenceError) as refused:  # nothing tells which of them exists
+            e.get(foreign)
+        assert refused.value.code == "scope_denied"
+    assert e.project()["project"] == "default" and e.project()["generation"] == 1 and "md" in e.project()["extensions"]
+    assert e.plan(*filesystem.snapshot(spark, root))["would_create_generation"] is False
     pinned = e.pin()
     put(root, "README.md", b"# Title\n\nchanged\n")
     os.rename(f"{root}/src/lib.rs", f"{root}/src/lib2.rs")
@@ -462,3 +471,6 @@ def test_chunks_like_plain_version(kind):
     for _ in range(25):
         data = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 900))).encode()
         assert chunker.cut(data, kind) == plain_chunks(data, kind)
+        for k, (n, s, e, first, last, text, digest) in enumerate(chunker.passages(data, kind)):
+            assert (n, text.encode()) == (k, data[s:e]) and digest == hashlib.sha256(data[s:e]).hexdigest()
+            assert first == 1 + data[:s].count(b"\n") and last == 1 + data[: e - 1].count(b"\n")

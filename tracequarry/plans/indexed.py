@@ -6,13 +6,18 @@ delta, the third is their snapshot with its failures. The index is built once fo
 
 from __future__ import annotations
 
+import hashlib
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, retrieval, snapshot
+from ..functions.hashing import citation
+from ..operators import audit, evidence, retrieval, snapshot
+from ..sources import filesystem
 from . import catalog
 from .engine import Engine
 
@@ -204,3 +209,77 @@ def index_plan(spark, sf_dir):
     state = snapshot.source_state(F.col("failed_documents"), F.col("projected_active_documents"), F.lit(3))
     return counts.select("renamed_documents", "tombstoned_documents", "carried_forward_documents", state.alias("state"))
 
+
+
+# --- directories: a file for each region and nation, and names and contents that discovery leaves out or refuses ---
+
+
+def _tree(spark, sf_dir: str) -> str:
+    """Writes the tree into a new folder that driver and executors share, as files need, and returns its path."""
+    root = os.path.join(shared_folder(spark).removeprefix("file://"), f"tree-{uuid.uuid4().hex}")
+    regions = {r["r_regionkey"]: r["r_name"] for r in catalog.load(spark, sf_dir, "region").collect()}  # two tables of 5 and 25 rows
+    files = {f"{name}.txt": f"{name}\n" for name in regions.values()}
+    files |= {f"R{r['n_regionkey']}/n{r['n_nationkey']}.md": f"# {r['n_name']}\n\nregion {regions[r['n_regionkey']]}\n" for r in catalog.load(spark, sf_dir, "nation").collect()}
+    files |= {".hidden.md": "x", "node_modules/x.js": "x", "id_rsa.key": "x", "a.bin": "x", ".gitignore": "skip*.md\n", "skip1.md": "x", "nul.txt": "a\0", "R0/.env": "x", "R0/build/y.md": "x"}
+    for name, text in files.items():
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "w") as f:
+            f.write(text)
+    with open(os.path.join(root, "bad.txt"), "wb") as f:
+        f.write(b"\xff")
+    os.symlink(os.path.join(root, "R0"), os.path.join(root, "R9"))
+    return root
+
+
+_TREE = "t AS (SELECT r_name || '.txt' AS key, r_name || chr(10) AS body, NULL::INTEGER AS k FROM region UNION ALL SELECT 'R' || n_regionkey || '/n' || n_nationkey || '.md', '# ' || n_name || chr(10) || chr(10) || 'region ' || r_name || chr(10), n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey)"
+
+
+@query(
+    f"WITH {_TREE} SELECT key, 'repo://' || replace(key, ' ', '%20') AS source_uri, regexp_extract(key, '[^/]+$') AS title, CASE WHEN ends_with(key, '.md') THEN 'markdown' ELSE 'plain-text' END AS chunk_kind, sha256(body) AS body_sha256, NULL AS code FROM t "
+    "UNION ALL VALUES ('bad.txt', NULL, NULL, NULL, NULL, 'invalid_utf8'), ('nul.txt', NULL, NULL, NULL, NULL, 'nul_content')"
+)
+def directory_snapshot(spark, sf_dir):
+    """What a walk of a tree finds, leaves out and refuses."""
+    root = _tree(spark, sf_dir)
+    files, failures = filesystem.snapshot(spark, root, estimated=filesystem.estimate(root))
+    names = [F.col(c) for c in ("source_uri", "title", "chunk_kind")]
+    read = files.select(F.col("connector_key").cast("string").alias("key"), *names, F.sha2("body", 256).alias("body_sha256"), F.lit(None).cast("string").alias("code"))
+    none = F.lit(None).cast("string")
+    return read.unionByName(failures.select(F.col("connector_key").cast("string").alias("key"), *[none.alias(c) for c in ("source_uri", "title", "chunk_kind", "body_sha256")], "code"))
+
+
+@query(
+    f"WITH {_TREE} SELECT 'repo://' || replace(key, ' ', '%20') AS source_uri, CASE k % 5 WHEN 1 THEN 'metadata_changed' WHEN 2 THEN 'missing' WHEN 3 THEN 'metadata_changed' WHEN 4 THEN 'blocked' ELSE 'metadata_unchanged' END AS state, "
+    "CASE k % 5 WHEN 1 THEN false WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE true END AS content_matches, CASE k % 5 WHEN 1 THEN 'changed_since_ingest' WHEN 2 THEN 'missing_since_ingest' WHEN 4 THEN 'unverifiable' ELSE 'content_unchanged' END AS source_state FROM t"
+)
+def directory_drift(spark, sf_dir):
+    """Indexed documents against a tree whose files have changed, gone, been touched or become links."""
+    root, e = _tree(spark, sf_dir), Engine.create(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    e.ingest(*filesystem.snapshot(spark, root))
+    for n in catalog.load(spark, sf_dir, "nation").collect():  # 25 files
+        path = os.path.join(root, f"R{n['n_regionkey']}", f"n{n['n_nationkey']}.md")
+        kind = n["n_nationkey"] % 5
+        if kind == 1:
+            with open(path, "a") as f:
+                f.write("more\n")
+        elif kind == 3:
+            os.utime(path, (1, 1))
+        elif kind in (2, 4):
+            os.remove(path)
+            if kind == 4:
+                os.symlink(os.path.join(root, "bad.txt"), path)
+    seen = e.drift(root, verify=True).join(e.table("heads").select("document_id", "source_uri"), "document_id")
+    return seen.select("source_uri", "state", "content_matches", evidence.source_state(F.col("state"), F.col("content_matches")).alias("source_state"))
+
+
+@query("SELECT r_name || '.txt' AS title, 0::BIGINT AS s, strlen(r_name)::BIGINT + 1 AS e, sha256(r_name || chr(10)) AS content_sha256 FROM region")
+def directory_get(spark, sf_dir):
+    """Citations of a tree's files resolved to the bytes that were indexed, the files being gone."""
+    root, e = _tree(spark, sf_dir), Engine.create(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    e.ingest(*filesystem.snapshot(spark, root))
+    shutil.rmtree(root)
+    m = e.pin()
+    cited = citation(F.lit(m["meta"]["index_id"]), F.col("source_id"), F.col("document_id"), F.col("revision_sha256"), F.col("start_byte"), F.col("end_byte"))
+    asked = e.passages(m).where("chunk_kind = 'plain-text'").select(cited.alias("c")).collect()  # a citation for each region
+    found = [e.get(r["c"]) for r in asked]
+    return spark.createDataFrame([(g["title"], g["start"], g["end"], hashlib.sha256(g["content"].encode()).hexdigest()) for g in found], "title string, s long, e long, content_sha256 string")
