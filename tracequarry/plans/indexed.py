@@ -11,6 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,7 +217,7 @@ def index_plan(spark, sf_dir):
 
 def _tree(spark, sf_dir: str) -> str:
     """Writes the tree into a new folder that driver and executors share, as files need, and returns its path."""
-    root = os.path.join(shared_folder(spark).removeprefix("file://"), f"tree-{uuid.uuid4().hex}")
+    root = os.path.join(urlparse(shared_folder(spark)).path, f"tree-{uuid.uuid4().hex}")
     regions = {r["r_regionkey"]: r["r_name"] for r in catalog.load(spark, sf_dir, "region").collect()}  # two tables of 5 and 25 rows
     files = {f"{name}.txt": f"{name}\n" for name in regions.values()}
     files |= {f"R{r['n_regionkey']}/n{r['n_nationkey']}.md": f"# {r['n_name']}\n\nregion {regions[r['n_regionkey']]}\n" for r in catalog.load(spark, sf_dir, "nation").collect()}
