@@ -23,4 +23,5 @@ def differences(spark, run, sql, sf_dir=SF_DIR):
     assert sorted(theirs.columns) == cols
     at = [theirs.columns.index(c) for c in cols]
     other = sorted(repr(tuple(plain(r[i]) for i in at)) for r in theirs.fetchall())
-    return [x for x in mine if x not in set(other)][:3], [x for x in other if x not in set(mine)][:3], len(mine), len(other)
+    one, two = set(mine), set(other)
+    return [x for x in mine if x not in two][:3], [x for x in other if x not in one][:3], len(mine), len(other)

@@ -156,8 +156,10 @@ def index_literals(spark, sf_dir):
 
 
 @query(
-    f"WITH {_FINAL}, v AS (SELECT 'repo://' || now.key AS uri, regexp_extract(now.key, '[^/]+$') AS title, CASE WHEN now.hash = sha256(body) THEN body ELSE body || 'x' END AS body FROM now JOIN cur USING (key) JOIN d USING (doc_id) WHERE now.active), "
-    f"t AS (SELECT uri, unnest(list_concat(list_concat({catalog._TOK.format('title')}, {catalog._TOK.format('uri')}), {catalog._TOK.format('body')})) AS term FROM v WHERE strlen(body) BETWEEN 1 AND 1200) SELECT uri AS source_uri, term, count(*) AS f FROM t GROUP BY ALL"
+    f"WITH {_FINAL}, w AS MATERIALIZED (SELECT key, hash FROM now WHERE active AND NOT starts_with(key, 'pages/') AND NOT starts_with(key, 'old/')), y AS MATERIALIZED (SELECT key AS k, doc_id FROM cur), "
+    "v AS MATERIALIZED (SELECT 'repo://' || key AS uri, regexp_extract(key, '[^/]+$') AS title, CASE WHEN hash = sha256(body) THEN body ELSE body || 'x' END AS body FROM w JOIN y ON k = key JOIN d USING (doc_id)), "
+    f"o AS MATERIALIZED (SELECT uri, {catalog._TOK.format('title')} AS a, {catalog._TOK.format('uri')} AS b, {catalog._TOK.format('body')} AS c FROM v WHERE strlen(body) BETWEEN 1 AND 1200), "
+    "t AS (SELECT uri, unnest(list_concat(list_concat(a, b), c)) AS term FROM o) SELECT uri AS source_uri, term, count(*) AS f FROM t GROUP BY ALL"
 )
 def index_postings(spark, sf_dir):
     """The postings of active documents that are one passage (up to 1,200 bytes)."""
