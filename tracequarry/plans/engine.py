@@ -128,14 +128,14 @@ class Engine:
         tables, generation = dict(m["tables"]), None
         if plan["would_create_generation"]:
             generation = (meta["generation"] or 0) + 1
-            self._apply(tables, heads, touched, ready, failures, source, generation)
+            self._apply(tables, heads, touched, ready, failures, source, generation, plan)
             meta = meta | {"generation": generation, "epoch": meta["epoch"] + 1}
         bad = None if not plan["failed_documents"] else failures.orderBy("connector_key").select("code", "detail").first()
         meta = meta | snapshot.source_status(meta, accepted, None if bad is None else bad.asDict(), _now())
         self.store.commit({"meta": meta, "tables": tables}, m["version"])
         return plan | {"generation": generation, "state": snapshot.ingest_state(plan["failed_documents"], accepted, generation)}
 
-    def _apply(self, tables: dict, heads: DataFrame, touched: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int) -> None:
+    def _apply(self, tables: dict, heads: DataFrame, touched: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int, plan: dict) -> None:
         fate = snapshot.classify(touched, ready, failures).select("connector_key", "status", "document_id")
         moved = snapshot.renames(touched, ready, failures).select(F.col("old_key").alias("connector_key"))
         fresh = name_uuid_column(F.concat_ws("/", F.lit(source), F.hex("connector_key")))
@@ -152,6 +152,18 @@ class Engine:
         every = alive.select(names).unionByName(dead.select(names)).unionByName(new_heads)
         prior = heads.select("document_id", F.col("revision_sha256").alias("prior"))
         log = new_heads.select("document_id", F.col("revision_sha256").alias("next"), F.lit("active").alias("next_state")).unionByName(dead.select("document_id", F.lit(None).cast("string").alias("next"), F.lit("tombstoned").alias("next_state")))
+        self._add(tables, "changes", log.join(prior, "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"))
+        if plan["changed_documents"]:
+            self._store_texts(tables, changed)
+        self._add(tables, "generations", self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS))
+        if plan["failed_documents"]:
+            self._add(tables, "errors", failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail"))
+        tables["heads"] = self.store.put(every, "heads") | {"schema": tables["heads"]["schema"]}
+        self.store.remove(staged)
+
+    def _store_texts(self, tables: dict, changed: DataFrame) -> None:
+        """Adds the bodies, versions, passages and index rows of changed documents that the store lacks; what it has
+        under the same names must be the same."""
         m = {"tables": dict(tables)}
         known = {n: self.table(n, m) for n in ("blobs", "versions", "chunks")}
         made = changed.select("document_id", "revision_sha256", "body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at", F.lit(_now()).alias("indexed_at"))
@@ -164,16 +176,11 @@ class Engine:
         again = cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_semi"))
         self._refuse("layout", again.exceptAll(known["chunks"].join(layouts.select("body_sha256", "chunk_kind"), ["body_sha256", "chunk_kind"], "left_semi").select(again.columns)))
         versions = made.join(known["versions"].select("document_id", "revision_sha256"), ["document_id", "revision_sha256"], "left_anti")
-        self._add(tables, "changes", log.join(prior, "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"))
         self._add(tables, "blobs", blobs.select("body_sha256", "body"))
         added = self._add(tables, "versions", versions.select([f.split()[0] for f in VERSIONS.split(", ")]))
         self._add(tables, "chunks", cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_anti")))
         for name, rows in index_rows(added, self.table("chunks", {"tables": tables})).items():
             self._add(tables, name, rows)
-        self._add(tables, "generations", self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS))
-        self._add(tables, "errors", failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail"))
-        tables["heads"] = self.store.put(every, "heads") | {"schema": tables["heads"]["schema"]}
-        self.store.remove(staged)
 
     def _refuse(self, what: str, rows: DataFrame) -> None:
         if not rows.isEmpty():
