@@ -104,10 +104,43 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
+OP12 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+l AS MATERIALIZED (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY 1),
+g AS MATERIALIZED (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN l USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, (1 + (1000000000 * (coalesce(n, 0)::HUGEINT + 2)) // (total + 2 * v))::HUGEINT AS p, (1 + (1000000000 * (lang_n::HUGEINT + 2)) // (lang_total + 2 * v))::HUGEINT AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM every LEFT JOIN pairs USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13 = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(b[i:i + 49]) AS k FROM d, unnest(range(1, octet_length(b) - 48)) AS u(i)),
+late AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+edge AS (SELECT doc_id, i, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM late),
+run AS (SELECT doc_id, i, sum(CASE WHEN reach >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM edge),
+span AS MATERIALIZED (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS e FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, e AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000000) AS e FROM span UNION ALL SELECT doc_id, 1, min(a) FROM span GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(hex(b[gap.a:gap.e - 1]), '' ORDER BY gap.a) AS h FROM d JOIN gap USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, sum(e - a) AS n, count(*) AS spans FROM span GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
     "op3_adaptive_prefix_join": OP3,
     "op9_block_anchor_repeats": OP9,
     "op4_log_template_lines": OP4,
     "op5_line_frequency_quality": OP5,
     "op7_blob_ledger_secrets": OP7,
+    "op12_sketched_source_audit": OP12,
+    "op13_bwt_merge_repeats": OP13,
 }

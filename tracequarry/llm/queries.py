@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blob_ledger, block_anchors, decontam, host_suffix, langid, line_quality, line_templates, ngram_join, piece_viterbi, toxicity
+from . import blob_ledger, block_anchors, bwt_merge, decontam, host_suffix, langid, late_overwrite, line_quality, line_templates, ngram_join, piece_viterbi, source_audit, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -47,6 +47,18 @@ def op10_piece_viterbi_tokens(spark, sf_dir):
     return piece_viterbi.token_report(table(spark, sf_dir, "documents"))
 
 
+def op11_late_day_overwrite(spark, sf_dir):
+    return late_overwrite.overwrite_report(table(spark, sf_dir, "sales"))
+
+
+def op12_sketched_source_audit(spark, sf_dir):
+    return source_audit.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_bwt_merge_repeats(spark, sf_dir):
+    return bwt_merge.repeat_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -60,5 +72,8 @@ QUERIES = {
         op8_subword_language,
         op9_block_anchor_repeats,
         op10_piece_viterbi_tokens,
+        op11_late_day_overwrite,
+        op12_sketched_source_audit,
+        op13_bwt_merge_repeats,
     )
 }
