@@ -1,7 +1,9 @@
 import hashlib
 import json
+import math
 import os
 import random
+import re
 import sqlite3
 import time
 
@@ -93,13 +95,13 @@ def test_lifecycle(spark, tmp_path):
     e = Engine.create(spark, str(tmp_path / "i"))
     with pytest.raises(StoreError):
         Engine.create(spark, str(tmp_path / "i"))
-    files, failures = filesystem.snapshot(spark, root)
+    files, failures = filesystem.split(filesystem.observe(spark, root))
     assert sorted(r.code for r in failures.collect()) == ["invalid_utf8", "nul_content"]
     first = e.ingest(files, failures)
     assert (first["generation"], first["changed_documents"], first["state"]) == (1, 2, "partial")
     os.remove(f"{root}/bad.txt")
     os.remove(f"{root}/nul.txt")
-    again = e.ingest(*filesystem.snapshot(spark, root))
+    again = e.ingest(filesystem.observe(spark, root))
     assert again["generation"] is None and again["unchanged_documents"] == 2 and e.status()["epoch"] == 1
     hit = e.search("alpha-beta").where("hit = 1").first()
     assert e.get(hit.citation)["content"] == "# Title\n\nalpha-beta EVIDENCE\n"
@@ -109,12 +111,12 @@ def test_lifecycle(spark, tmp_path):
             e.get(foreign)
         assert refused.value.code == "scope_denied"
     assert e.project()["project"] == "default" and e.project()["generation"] == 1 and "md" in e.project()["extensions"]
-    assert e.plan(*filesystem.snapshot(spark, root))["would_create_generation"] is False
+    assert e.plan(filesystem.observe(spark, root))["would_create_generation"] is False
     pinned = e.pin()
     put(root, "README.md", b"# Title\n\nchanged\n")
     os.rename(f"{root}/src/lib.rs", f"{root}/src/lib2.rs")
-    assert {r.state for r in e.drift(root).collect()} == {"missing", "metadata_changed"}
-    second = e.ingest(*filesystem.snapshot(spark, root))
+    assert {r.state for r in e.drift(root, deadline_ms=None).collect()} == {"missing", "metadata_changed"}
+    second = e.ingest(filesystem.observe(spark, root))
     assert (second["renamed_documents"], second["changed_documents"], second["new_documents"]) == (1, 2, 0)
     assert e.get(hit.citation)["content"].endswith("EVIDENCE\n")
     assert e.passages(pinned).where("body_text like '%EVIDENCE%'").count() == 1
@@ -123,9 +125,9 @@ def test_lifecycle(spark, tmp_path):
         e.get(hit.citation, 3)
     os.remove(f"{root}/README.md")
     with pytest.raises(snapshot.DeletionRefused) as refused:
-        e.ingest(*filesystem.snapshot(spark, root))
+        e.ingest(filesystem.observe(spark, root))
     assert refused.value.code == "mass_delete"
-    third = e.ingest(*filesystem.snapshot(spark, root), confirmed=snapshot.Confirmations(allow_mass_delete=True))
+    third = e.ingest(filesystem.observe(spark, root), confirmed=snapshot.Confirmations(allow_mass_delete=True))
     assert third["tombstoned_documents"] == 1 and e.status()["documents"] == 1 and e.doctor().isEmpty()
 
 
@@ -187,19 +189,19 @@ def test_paging_and_reports(spark, tmp_path):
     e.ingest(text_corpus(spark, [(i, f"alpha text number{i} " + "pad " * (i % 7)) for i in range(60)] + [(i, "alpha twin") for i in range(100, 103)]))
     seen, after = [], None
     for _ in range(9):
-        page = e.page("alpha", 20, after, explain=True)
+        page = e.page("alpha", 20, after, explain=True, deadline_ms=None)
         seen += [r["hit"] for r in page["results"]]
         after = page["next"]
         if after is None:
             break
     assert seen == list(range(1, 51)) and page["stop_reason"] == "limit_reached" and page["effective_mode"] == "lexical" and page["retrievers"] == ["exact", "lexical"]
     assert sum(len(r["content"]) for r in page["results"]) and all(r["untrusted_content"] for r in page["results"])
-    first = e.page('"alpha twin"', 3)
+    first = e.page('"alpha twin"', 3, deadline_ms=None)
     assert first["results"][0]["score"]["lists"][0]["retriever"] == "exact" and "backend_score" not in first["results"][0]["score"]["lists"][0]
     assert {d["reason"] for d in first["results"][0]["duplicates"]} == {"same_content"} and len(first["results"][0]["duplicates"]) == 2
-    none = e.page("zzzz")
+    none = e.page("zzzz", deadline_ms=None)
     assert none["results"] == [] and none["next"] is None and none["stop_reason"] == "unique_exhausted"
-    cursor = e.page("alpha", 7)["next"]
+    cursor = e.page("alpha", 7, deadline_ms=None)["next"]
     for bad, code in ((("beta", 7, cursor), "stale_fingerprint"), (("alpha", 7, cursor[:-2] + "AA"), "malformed")):
         with pytest.raises(CursorError) as refused:
             e.page(*bad)
@@ -217,14 +219,35 @@ def test_paging_and_reports(spark, tmp_path):
 
 
 def test_deadline(spark, tmp_path, monkeypatch):
-    from tracequarry.functions import formats
-
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha-beta alpha {i}") for i in range(20)]))
+    whole, told = e.answer("alpha-beta", deadline_ms=None)
+    assert told["stop_reason"] == "limit_reached" and whole.where("hit is not null").count() == 10
+    in_time = Engine._in_time
+    steps = []
+
+    def slow(self, rows, end):  # the second step begins when the time is over
+        steps.append(1)
+        return in_time(self, rows, None if len(steps) == 1 else time.monotonic() - 1)
+
+    monkeypatch.setattr(Engine, "_in_time", slow)
+    some, told = e.answer("alpha-beta", 50)
+    rows = some.where("hit is not null").collect()
+    assert told["stop_reason"] == "deadline" and told["examined_lexical"] == 0 and len(rows) == 20 and {r.lexical_rank for r in rows} == {None}
+    monkeypatch.setattr(Engine, "_in_time", in_time)
     monkeypatch.setattr(formats, "DEADLINE_MIN_MS", 1)
+    page = e.page("alpha-beta", deadline_ms=1)
+    assert page["results"] == [] and page["stop_reason"] == "deadline" and page["next"] is None
+    with pytest.raises(EvidenceError):
+        e.page("alpha", deadline_ms=20_000)
+
+
+def test_cancelled_jobs_end(spark, tmp_path):
     e = Engine.create(spark, str(tmp_path / "i"))
-    e.ingest(text_corpus(spark, [(i, f"alpha {i}") for i in range(20)]))
-    with pytest.raises(EvidenceError) as refused:
-        e.search("alpha", deadline_ms=1)
-    assert refused.value.code == "deadline" and e.search("alpha", deadline_ms=10_000).count() >= 10
+    slow = spark.range(0, 1 << 40, 1, 4).selectExpr("sum(id % 7) AS s")
+    began = time.monotonic()
+    assert e._in_time(slow, began + 0.5) is None and time.monotonic() - began < 20
+    assert spark.range(5).count() == 5
 
 
 def test_trim():
@@ -247,17 +270,36 @@ def test_corrupt_candidates_fail_the_query(spark, tmp_path):
         e.search("alpha-beta", 1).collect()
 
 
-def test_gate_loses_nothing(spark, tmp_path):
-    """Quotes and identifiers that pass the bloom are exactly those that a scan finds."""
+def test_slices_lose_nothing(spark, tmp_path):
+    """An exhaustive search through the sliced blooms finds what a scan finds."""
     e = Engine.create(spark, str(tmp_path / "i"))
     texts = ["operator a+b remains", "café crème", "日本語のテキスト", "xyz" * 300, "no such thing", "c.d/e_f g", "a+ b"]
     e.ingest(text_corpus(spark, [*enumerate(texts * 3)]))
     asked = {"a": '"a+b"', "b": '"crème"', "c": '"語の"', "d": '"zxyz"', "e": "c.d/e_f", "f": '"s 3.t"', "g": '"+ "', "h": "s/4.txt"}
-    got = {(r.query_id, r.document_id, r.exact_rank) for r in e.find(asked).collect()}
+    got = {(r.query_id, r.document_id, r.exact_rank) for r in e.find(asked, exhaustive=True).collect()}
     want = {(r.query_id, r.document_id, r.exact_rank) for r in retrieval.search(e.passages(), asked).collect()}
     assert got == want and {q for q, *_ in got} >= set("abcdegh")
 
 
+def test_slices_like_single_blooms(spark, monkeypatch):
+    from tracequarry.functions.hashing import quote_bloom_column
+    from tracequarry.operators import slices
+
+    monkeypatch.setattr(slices, "BLOCK", 70)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefé ", k=rng.randrange(40))) for _ in range(300)]
+    p = spark.createDataFrame([(f"d{i}", "r", i, t) for i, t in enumerate(texts)], "document_id string, revision_sha256 string, ordinal int, body string").repartition(3)
+    blooms = p.select(*slices.PASSAGE, quote_bloom_column(F.col("body")).alias("bloom"))
+    cut = slices.sliced(blooms)
+    assert {(r.ordinal, bytes(r.bloom)) for r in slices.unsliced(cut).collect()} == {(r.ordinal, bytes(r.bloom)) for r in blooms.collect()}
+    asked = ["abc", "éa", "dea", "fé ", "zzz", "bcdef", "no"]
+    got = {(r.text, r.ordinal) for r in slices.may_hold(cut, asked).collect()}
+    assert {(a, i) for a in asked for i, t in enumerate(texts) if len(a.encode()) > 2 and a in t} <= got
+    assert len(got) < 300 and not [g for g in got if g[0] in ("zzz", "no")]
+    plan = slices.may_hold(cut, ["abc"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit" in plan
+
+
 def test_blooms_like_single_ones():
     from tracequarry.functions import hashing
 
@@ -323,21 +365,21 @@ def test_refresh_rebuild_suggest(spark, tmp_path):
     root = str(tmp_path / "r")
     put(root, "a.md", b"# Alpha heading\n\nsome text\n## Second one\n")
     put(root, "b.rs", b"fn parse_query() {}\n")
-    assert e.refresh(lambda: filesystem.snapshot(spark, root))["state"] == "refreshed"
+    assert e.refresh(lambda: filesystem.observe(spark, root))["state"] == "refreshed"
     assert e.suggest() == "Alpha heading"
     before = [r.asDict() for r in e.search("parse_query").select("citation", "units").collect()]
     epoch = e.status()["epoch"]
     e.rebuild()
     assert e.status()["epoch"] == epoch + 1 and e.doctor().isEmpty() and [r.asDict() for r in e.search("parse_query").select("citation", "units").collect()] == before
     put(root, "c.txt", b"\xff")
-    assert e.refresh(lambda: filesystem.snapshot(spark, root))["state"] == "partial"
+    assert e.refresh(lambda: filesystem.observe(spark, root))["state"] == "partial"
     status = e.status()
     assert status["problems"] == ["SOURCE_SYNC_PARTIAL"] and status["health"][0]["code"] == "invalid_utf8" and status["drift_possible"]
     os.remove(f"{root}/a.md")
     os.remove(f"{root}/c.txt")
-    stale = e.refresh(lambda: filesystem.snapshot(spark, root))
+    stale = e.refresh(lambda: filesystem.observe(spark, root))
     assert stale["state"] == "stale" and "DeletionRefused" in stale["problem"] and e.status()["documents"] == 2
-    assert e.refresh(lambda: filesystem.snapshot(spark, str(tmp_path / "nowhere")))["state"] == "stale"
+    assert e.refresh(lambda: filesystem.observe(spark, str(tmp_path / "nowhere")))["state"] == "stale"
 
 
 def test_collisions_are_refused(spark, tmp_path):
@@ -393,7 +435,7 @@ def test_walk_guards(spark, tmp_path, monkeypatch):
     told = filesystem.estimate(root)
     put(root, "b.md", b"y")
     with pytest.raises(filesystem.DiscoveryError) as refused:
-        filesystem.snapshot(spark, root, estimated=told)
+        filesystem.observe(spark, root, estimated=told)
     assert refused.value.code == "estimate_exceeded"
     plain = os.listdir
 
@@ -474,3 +516,190 @@ def test_chunks_like_plain_version(kind):
         for k, (n, s, e, first, last, text, digest) in enumerate(chunker.passages(data, kind)):
             assert (n, text.encode()) == (k, data[s:e]) and digest == hashlib.sha256(data[s:e]).hexdigest()
             assert first == 1 + data[:s].count(b"\n") and last == 1 + data[: e - 1].count(b"\n")
+
+
+def test_unstable_file_is_carried(spark, tmp_path):
+    """A file that fails at the first reading and not at a later one is a failure: its head stays as it is."""
+    root, e = str(tmp_path / "r"), Engine.create(spark, str(tmp_path / "i"))
+    for k in range(8):
+        put(root, f"{k}.md", f"text {k}".encode())
+    e.ingest(filesystem.observe(spark, root))
+    mark = str(tmp_path / "read")
+
+    def once(batches):
+        for pdf in batches:
+            bad = pdf["connector_key"].map(bytes) == b"3.md"
+            if bad.any() and not os.path.exists(mark):
+                open(mark, "w").close()
+                pdf["body"] = pdf["body"].where(~bad, None)
+                pdf["code"], pdf["detail"] = pdf["code"].where(~bad, "unstable"), pdf["detail"].where(~bad, "the file is unstable")
+            yield pdf
+
+    observed = filesystem.observe(spark, root)
+    done = e.ingest(observed.mapInPandas(once, observed.schema))
+    assert (done["tombstoned_documents"], done["carried_forward_documents"], done["failed_documents"], done["state"]) == (0, 1, 1, "partial")
+    assert e.status()["documents"] == 8 and e.status()["health"][0]["code"] == "unstable"
+    assert e.ingest(observed.mapInPandas(once, observed.schema))["state"] == "success"
+
+
+def test_every_fate_occurs(spark):
+    fates = {r.status for r in catalog.QUERIES["snapshot_fates"](spark, "/root/testdata/sf0.001").select("status").distinct().collect()}
+    assert fates == {"unchanged", "changed", "reactivated", "renamed", "new", "tombstoned", "carried", "failed"}
+    assert indexed.QUERIES["index_errors"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_budget_stops_a_raw_quote(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"ordinary evidence number {i}") for i in range(501)]))
+    page = e.page('"+=+"', deadline_ms=None)
+    assert (page["results"], page["examined_fallback"], page["stop_reason"], page["retrievers"]) == ([], 500, "work_budget_exhausted", ["exact", "exact_fallback", "lexical"])
+    plan = e.find({"q": "evidence"})._jdf.queryExecution().executedPlan().toString()
+    assert "/entries/" not in plan and "/slices/" not in plan
+    none = e.find({"q": "evidence"}, scope=F.col("source_uri").endswith("/7.txt")).where("hit is not null").collect()
+    assert len(none) == 1
+
+
+def test_lists_are_read_to_their_ends(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, "shared-id exact evidence") for i in range(60)]))
+    rows, told = e.answer("shared-id", deadline_ms=None)
+    assert (told["examined_exact"], told["examined_lexical"], told["stop_reason"]) == (60, 60, "unique_exhausted")
+    assert rows.where("hit is null").count() == 59
+    m = e.pin()
+    forged = e.table("literals", m).limit(1).withColumn("literal", F.lit("forged-token"))
+    entry = m["tables"]["literals"]
+    e.store.commit({"meta": m["meta"], "tables": m["tables"] | {"literals": entry | {"files": entry["files"] + e.store.put(forged, "literals")["files"]}}}, m["version"])
+    assert e.answer("forged-token", deadline_ms=None)[0].isEmpty()  # a literal is a hint, and texts decide
+    assert {r.audit for r in e.doctor().collect()} == {"index_literals"}
+
+
+def plain_pager(lists, matches, steps, budget=500):
+    """What is found and examined, by a list of single reads."""
+    at, ended, read, turn, seen, found = [0] * len(lists), [False] * len(lists), 0, 0, [], []
+    for wanted in steps:
+        while len(found) < wanted and read < budget and not all(ended):
+            open_ = [k for k in range(len(lists)) if not ended[k]]
+            quota = max(1, math.ceil((wanted - len(found)) / len(open_)))
+            got = 0
+            for k in [*range(turn, len(lists)), *range(turn)]:
+                if k not in open_ or read >= budget:
+                    continue
+                n, room = 0, min(quota, budget - read)
+                while n < room and at[k] < len(lists[k]):
+                    c = lists[k][at[k]]
+                    at[k], n, read = at[k] + 1, n + 1, read + 1
+                    if c not in seen:
+                        seen.append(c)
+                        found += [c] if c in matches else []
+                ended[k] |= n < room
+                got += n
+            turn = (turn + 1) % len(lists)
+            if not got:
+                break
+    return found, read, all(ended)
+
+
+def test_pager_like_plain_version():
+    from tracequarry.operators.budget import Pager
+
+    rng = random.Random(6)
+    for _ in range(200):
+        lists = [rng.sample(range(900), rng.randrange(501)) for _ in range(rng.randrange(1, 5))]
+        matches = {c: c for c in rng.sample(range(900), rng.randrange(900))}
+        pager = Pager(lists, matches, len(lists) - 1, True)
+        steps = range(50, rng.choice([51, 301, 501]), 50)
+        for wanted in steps:
+            pager.read_to(wanted)
+        assert (pager.found, pager.read, pager.exhausted) == plain_pager(lists, matches, steps)
+
+
+def test_deltas_are_merged(spark, tmp_path):
+    """Writes of a change do not grow with the corpus, and a table has few folders after many commits."""
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha text {i}") for i in range(300)]))
+    none = spark.createDataFrame([], "connector_key binary")
+    base = e.pin()["tables"]["heads"]["files"]
+    texts = {}
+    for k in range(10):
+        texts[k % 4] = f"beta {k}"
+        e.ingest(text_corpus(spark, [(k % 4, texts[k % 4])]), gone=none)
+        files = e.pin()["tables"]["heads"]["files"]
+        if k == 2:
+            assert files[0] == base[0] and max(e.store.size(f) for f in files[1:]) < e.store.size(base[0])
+    m = e.pin()
+    assert all(len(t["files"]) <= 9 for t in m["tables"].values()) and e.doctor().isEmpty()
+    assert e.table("heads").count() == 300 and e.status()["documents"] == 300
+    got = {r.source_uri: r.body_text for r in e.passages().where("body_text like 'beta%'").collect()}
+    assert got == {f"repo://s/{k}.txt": t for k, t in texts.items()}
+    assert m["meta"]["passages"] == 300 and e.search("beta").where("hit is not null").count() == 4
+    assert e.store.vacuum() > 0 and e.doctor().isEmpty() and e.search("beta").where("hit is not null").count() == 4
+
+
+def test_drift_within_a_time(spark, tmp_path):
+    root, e = str(tmp_path / "r"), Engine.create(spark, str(tmp_path / "i"))
+    for k in range(5):
+        put(root, f"d/{k}.md", f"text {k}".encode())
+    e.ingest(filesystem.observe(spark, root))
+    assert {r.state for r in e.drift(root, deadline_ms=0).collect()} == {"unknown"}
+    assert {r.state for r in e.drift(root, deadline_ms=None).collect()} == {"metadata_unchanged"}
+    os.rename(f"{root}/d", f"{root}/e")
+    os.symlink(f"{root}/e", f"{root}/d")
+    assert {r.state for r in e.drift(root, deadline_ms=None).collect()} == {"blocked"}
+    assert {r.state for r in e.drift(str(tmp_path / "no"), deadline_ms=None).collect()} == {"blocked"}
+
+
+def test_folders_that_become_links_lead_nowhere(tmp_path):
+    """A folder that is replaced by a link between the walk and the reading is not followed."""
+    root = str(tmp_path / "r")
+    put(root, "a/b/x.md", b"inside")
+    put(str(tmp_path), "other/x.md", b"outside")
+    (key, size, mtime), = filesystem.walk(root).files
+    top = filesystem.open_root(root)
+    assert filesystem._read(top, key, size, mtime) == (b"inside", None)
+    os.rename(f"{root}/a/b", f"{root}/a/c")
+    os.symlink(str(tmp_path / "other"), f"{root}/a/b")
+    assert filesystem._read(top, key, size, mtime) == (None, "unreadable")
+    os.close(top)
+    os.symlink(root, str(tmp_path / "link"))
+    for bad in (str(tmp_path / "link"), str(tmp_path / "link" / "a"), str(tmp_path / "none")):
+        with pytest.raises(filesystem.DiscoveryError) as refused:
+            filesystem.walk(bad)
+        assert refused.value.code == "root_unreadable"
+    before = len(os.listdir("/proc/self/fd"))
+    filesystem.walk(root)
+    assert len(os.listdir("/proc/self/fd")) == before
+
+
+def test_includes_below_folders():
+    """may_match_below against all paths of two names below a folder."""
+    names = ["a", "b", "ab"]
+    paths = [f"{x}/{y}" for x in names for y in names] + names
+    for pattern in ("a", "a/b", "/a/b", "*/b", "a*/b", "**/b", "**", "a/**", "a/**/b", "b/?", "ab/a/b", "*/*/*"):
+        for folder in ["a", "b", "ab", "a/b", "b/ab"]:
+            rx = re.compile("".join({"**/": "(?:[^/]+/)*", "/**": "(?:/[^/]+)+", "**": ".+", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|[^*?]", pattern.lstrip("/"))))
+            want = any(rx.fullmatch(f"{folder}/{p}") for p in paths)
+            assert filesystem.may_match_below(pattern, folder) == want, (pattern, folder)
+
+
+def test_get_tells_the_source(spark, tmp_path):
+    root, e = str(tmp_path / "r"), Engine.create(spark, str(tmp_path / "i"))
+    put(root, "a.md", b"alpha text")
+    e.ingest(filesystem.observe(spark, root))
+    cited = e.search("alpha").where("hit = 1").first().citation
+    told = lambda: [e.get(cited, root=root)[k] for k in ("source_state", "hash_verification", "cited_verification")]
+    assert told() == ["content_unchanged", "unchanged", "unchanged"] and "source_state" not in e.get(cited)
+    put(root, "a.md", b"alpha tex2")
+    assert told() == ["changed_since_ingest", "changed", "changed"]
+    e.ingest(filesystem.observe(spark, root))
+    assert told() == ["content_unchanged", "unchanged", "changed"]  # the file is what is indexed now, the citation is of before
+    os.remove(f"{root}/a.md")
+    assert told()[:2] == ["missing_since_ingest", "missing"] and e.get(cited, root=root)["content"] == "alpha text"
+
+
+def test_documents_are_checked(spark, tmp_path):
+    e = Engine.create(spark, str(tmp_path / "i"))
+    good = text_corpus(spark, [(1, "alpha")])
+    for column, value in (("chunk_kind", F.lit("novel")), ("source_uri", F.lit("")), ("title", F.lit("x" * 20_000)), ("body", F.lit(b"\xff\xfe")), ("body", F.lit(b"a\0b")), ("body", F.lit(None).cast("binary"))):
+        with pytest.raises(ValueError, match=column):
+            e.ingest(good.withColumn(column, value))
+    assert e.status()["generation"] is None and e.ingest(good)["generation"] == 1

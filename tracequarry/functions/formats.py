@@ -72,6 +72,7 @@ QUERY_BYTES, ATOM_BYTES, ATOMS = 4096, 256, 16
 RESULTS_DEFAULT, RESULTS_MAX = 10, 50
 CANDIDATES_INITIAL, CANDIDATES_MAX = 50, 500
 DEADLINE_DEFAULT_MS, DEADLINE_MIN_MS, DEADLINE_MAX_MS = 3000, 100, 10_000
+DRIFT_DEADLINE_MS = 500
 GET_DEFAULT, GET_MAX = 16 * 1024, 64 * 1024
 PAGE_BODY_BYTES = 256 * 1024
 FILES_DEFAULT, FILES_MAX = 10_000, 50_000

@@ -96,10 +96,15 @@ def bm25_scores(indexed: DataFrame, queries: dict[str, str], keys: list[str] = I
 
 def bm25_from_counts(counts: DataFrame | None, stats, queries: dict[str, str], keyed: DataFrame) -> DataFrame:
     """bm25_scores from counts (keys, len, term, f) and stats(), a row of n and avg_len of the whole table.
-    keyed has the keys' columns. Document frequencies join by term; a row's contributions are summed in
-    order of the query's terms, so that a score has the same bits every time."""
-    spark, keys, terms = keyed.sparkSession, keyed.columns, query_terms(queries)
-    if counts is None:
+    keyed has the keys' columns."""
+    return bm25_of_terms(counts, stats, query_terms(queries), keyed)
+
+
+def bm25_of_terms(counts: DataFrame | None, stats, terms: list[tuple], keyed: DataFrame) -> DataFrame:
+    """bm25_from_counts for terms as query_terms() has them. Document frequencies join by term; a row's
+    contributions are summed in order of the query's terms, so that a score has the same bits every time."""
+    spark, keys = keyed.sparkSession, keyed.columns
+    if counts is None or not terms:
         empty = spark.createDataFrame([], "query_id string, score double")
         return empty.select("query_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema), "score")
     wanted = spark.createDataFrame(terms, "query_id string, pos int, term string, need int")
@@ -113,13 +118,6 @@ def bm25_from_counts(counts: DataFrame | None, stats, queries: dict[str, str], k
     return each.where(F.size("parts") == F.col("need")).select("query_id", *keys, (-total).alias("score"))
 
 
-def lexical_top(indexed: DataFrame, queries: dict[str, str], k: int = formats.CANDIDATES_MAX) -> DataFrame:
-    """bm25_scores' best k a query with their rank; ties go by identity."""
-    scored = bm25_scores(indexed, queries)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", *IDENTITY))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def exact_matches(passages: DataFrame, queries: dict[str, str]) -> DataFrame:
     """(query_id, identity, matched_atoms, matched_bytes, longest_atom, fallback): byte-exact,
     case-sensitive matches of the atoms in title, source_uri or content, in one scan."""
@@ -140,21 +138,10 @@ def exact_matches(passages: DataFrame, queries: dict[str, str]) -> DataFrame:
     return passages.select(*IDENTITY, F.explode(F.array_compact(F.array(*each))).alias("_q")).select("_q.query_id", *IDENTITY, "_q.matched_atoms", "_q.matched_bytes", "_q.longest_atom", "_q.fallback")
 
 
-def bloom_holds(bloom: Column, text: str) -> Column:
-    """Whether a bloom has all bits of a text's byte trigrams; texts of fewer than three bytes have none."""
-    data, masks = text.encode(), {}
-    for i in range(len(data) - 2):
-        for p in bloom_positions(data[i : i + 3]):
-            masks[p >> 3] = masks.get(p >> 3, 0) | 1 << (p & 7)
-    byte = lambda k: F.conv(F.hex(F.substring(bloom, k + 1, 1)), 16, 10).cast("int")
-    return reduce(lambda a, b: a & b, [byte(k).bitwiseAND(F.lit(m)) == m for k, m in sorted(masks.items())], F.lit(True))
-
-
-def may_match(queries: dict[str, str]) -> Column:
-    """Whether a passage of title, source_uri and bloom may hold an atom of any query. Nothing that does is left out."""
-    atoms = sorted({t for q in _check(queries).values() for t, _ in q.atoms})
-    near = lambda t: reduce(lambda a, b: a | b, [F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(t)) for c in ("title", "source_uri")])
-    return reduce(lambda a, b: a | b, [near(t) | bloom_holds(F.col("bloom"), t) for t in atoms], F.lit(False))
+def bloom_bits(text: str) -> list[int]:
+    """The bits that a bloom of a text that holds this one has; texts of fewer than three bytes have none."""
+    data = text.encode()
+    return sorted({p for i in range(len(data) - 2) for p in bloom_positions(data[i : i + 3])})
 
 
 def exact_top(passages: DataFrame, queries: dict[str, str], k: int = formats.CANDIDATES_MAX) -> DataFrame:
@@ -262,6 +249,28 @@ LIMIT_REACHED, WORK_EXHAUSTED, UNIQUE_EXHAUSTED = "limit_reached", "work_budget_
 HIT_COLUMNS = "fused_rank int, hit long, duplicate_of long, reason string, units long, exact_rank int, lexical_rank int, matched_bytes int, fallback boolean, score double, stop_reason string, examined_exact int, examined_lexical int"
 
 
+def fuse_rows(rows) -> list[dict]:
+    """Rows of one query with the units of their ranks, best first. A row that is in one list only has no rank in the other."""
+    out = []
+    for r in rows:
+        a = 0 if r["exact_rank"] is None else _half_up(3 * formats.RRF_SCALE, 2 * (formats.RRF_K + r["exact_rank"]))
+        b = 0 if r["lexical_rank"] is None else _half_up(formats.RRF_SCALE, formats.RRF_K + r["lexical_rank"])
+        out.append({**r, "units": a + b})
+    return sorted(out, key=lambda r: (-r["units"], -r["matched_bytes"], *(r[c] for c in IDENTITY)))
+
+
+def visible(fused: list[dict], verdicts: list[tuple], limit: int) -> list[dict]:
+    """The first limit hits and their duplicates, with their rank and verdict."""
+    kept, out = set(), []
+    for k, (r, (hit, of, why)) in enumerate(zip(fused, verdicts), 1):
+        if hit is not None and hit <= limit:
+            kept.add(k)
+        elif of not in kept:
+            continue
+        out.append({**r, "fused_rank": k, "hit": hit, "duplicate_of": of, "reason": why})
+    return out
+
+
 def deepen(rows: list[dict], limit: int) -> tuple[list[dict], str, int, int]:
     """(fused rows with their verdicts, stop reason, exact and lexical depth) of one query: both lists are read
     in steps of CANDIDATES_INITIAL until there are limit hits or nothing is left. A row of a rank beyond
@@ -271,16 +280,13 @@ def deepen(rows: list[dict], limit: int) -> tuple[list[dict], str, int, int]:
     target = step
     while True:
         depth = [min(e, target, most) for e in ends]
-        fused = []
+        held = []
         for r in rows:
             x, y = (int(r[c]) if r[c] is not None and r[c] <= d else None for c, d in zip(("exact_rank", "lexical_rank"), depth))
-            if x is None and y is None:
-                continue
-            a = 0 if x is None else _half_up(3 * formats.RRF_SCALE, 2 * (formats.RRF_K + x))
-            b = 0 if y is None else _half_up(formats.RRF_SCALE, formats.RRF_K + y)
-            matched = int(r["matched_bytes"] or 0) if x is not None else 0
-            fused.append({**r, "exact_rank": x, "lexical_rank": y, "units": a + b, "matched_bytes": matched, "fallback": r["fallback"] if x is not None else None, "score": r["score"] if y is not None else None})
-        fused.sort(key=lambda r: (-r["units"], -r["matched_bytes"], r["source_id"], r["document_id"], r["start_byte"]))
+            if x is not None or y is not None:
+                matched = int(r["matched_bytes"] or 0) if x is not None else 0
+                held.append({**r, "exact_rank": x, "lexical_rank": y, "matched_bytes": matched, "fallback": r["fallback"] if x is not None else None, "score": r["score"] if y is not None else None})
+        fused = fuse_rows(held)
         found = keep_first((k, r["document_id"], r["start_byte"], r["end_byte"], r["content_sha256"]) for k, r in enumerate(fused, 1))
         hits = sum(h is not None for h, _, _ in found)
         done = [d >= min(e, most) for d, e in zip(depth, ends)]
@@ -288,14 +294,7 @@ def deepen(rows: list[dict], limit: int) -> tuple[list[dict], str, int, int]:
             break
         target += step
     reason = LIMIT_REACHED if hits >= limit else WORK_EXHAUSTED if any(e > most for e in ends) else UNIQUE_EXHAUSTED
-    kept, out = set(), []
-    for k, (r, (hit, of, why)) in enumerate(zip(fused, found), 1):
-        if hit is not None and hit <= limit:
-            kept.add(k)
-        elif of not in kept:
-            continue
-        out.append({**r, "fused_rank": k, "hit": hit, "duplicate_of": of, "reason": why})
-    return out, reason, *depth
+    return visible(fused, found, limit), reason, *depth
 
 
 def _half_up(numerator: int, denominator: int) -> int:
@@ -332,7 +331,11 @@ def hits(exact: DataFrame, lexical: DataFrame, spans: DataFrame, limit: int = fo
         return out.astype({c: "Int64" for c in ("hit", "duplicate_of", "exact_rank", "lexical_rank")} | {"fallback": "boolean"})
 
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in on)
-    found = rows.groupBy("query_id").applyInPandas(run, f"{types}, {HIT_COLUMNS}")
+    return explained(rows.groupBy("query_id").applyInPandas(run, f"{types}, {HIT_COLUMNS}"))
+
+
+def explained(found: DataFrame) -> DataFrame:
+    """Hits with lists, the explanation of each score."""
     entry = lambda name, rank, units, score: F.when(rank.isNotNull(), F.struct(name.alias("retriever"), rank.alias("rank"), units.alias("contribution_units"), score.alias("backend_score")))
     none = F.lit(None).cast("double")
     first = entry(F.when(F.col("fallback"), "exact_fallback").otherwise("exact"), F.col("exact_rank"), exact_units(F.col("exact_rank")), none)
@@ -350,9 +353,10 @@ def report(found: DataFrame, queries: dict[str, str], mode: str = "auto") -> Dat
         raw = any(kind == "quoted" and not phrase_quote(t) for t, kind in q.atoms)
         rows.append((k, mode, "lexical", ["exact", *(["exact_fallback"] if raw else []), "lexical"]))
     asked = found.sparkSession.createDataFrame(rows, "query_id string, requested_mode string, effective_mode string, retrievers array<string>")
-    each = found.groupBy("query_id").agg(*[F.first(c).alias(c) for c in ("stop_reason", "examined_exact", "examined_lexical")])
+    counts = [c for c in ("examined_exact", "examined_fallback", "examined_lexical") if c in found.columns]
+    each = found.groupBy("query_id").agg(*[F.first(c).alias(c) for c in ("stop_reason", *counts)])
     joined = asked.join(each, "query_id", "left")  # a row for each query on either side
-    return joined.withColumns({"stop_reason": F.coalesce("stop_reason", F.lit(UNIQUE_EXHAUSTED)), "examined_exact": F.coalesce("examined_exact", F.lit(0)), "examined_lexical": F.coalesce("examined_lexical", F.lit(0))})
+    return joined.withColumns({"stop_reason": F.coalesce("stop_reason", F.lit(UNIQUE_EXHAUSTED))} | {c: F.coalesce(c, F.lit(0)) for c in counts})
 
 
 def search(passages: DataFrame, queries: dict[str, str], limit: int = formats.RESULTS_DEFAULT, scope: Column | None = None) -> DataFrame:

@@ -13,6 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formats
+from .scopes import STAMP_BYTES, TITLE_BYTES, URI_BYTES
+
 
 class DeletionRefused(RuntimeError):
     """A snapshot that would delete too much without confirmation; code is empty or mass_delete."""
@@ -31,6 +34,21 @@ def check_snapshot(ready: DataFrame, failures: DataFrame) -> None:
         raise ValueError("a failure has no code or detail")
 
 
+def check_documents(ready: DataFrame) -> None:
+    """Documents have a URI and a known chunk kind, no field beyond its bounds, and a body of UTF-8 without NUL."""
+    text = F.col("body").cast("string")
+    bad = {
+        "source_uri": ~F.coalesce(F.octet_length("source_uri"), F.lit(0)).between(1, URI_BYTES),
+        "title": F.coalesce(F.octet_length("title"), F.lit(0)) > TITLE_BYTES,
+        "chunk_kind": ~F.coalesce(F.col("chunk_kind").isin(*sorted(set(formats.EXTENSIONS.values()))), F.lit(False)),
+        "source_updated_at": F.coalesce(F.octet_length("source_updated_at"), F.lit(0)) > STAMP_BYTES,
+        "body": F.col("body").isNull() | (F.octet_length("body") > formats.FILE_BYTES_MAX) | ~F.coalesce(F.is_valid_utf8(text), F.lit(True)) | F.coalesce(F.contains(text, F.lit("\0")), F.lit(False)),
+    }
+    wrong = ready.select("connector_key", *(c.alias(n) for n, c in bad.items())).where(reduce(lambda a, b: a | b, (F.col(n) for n in bad))).first()
+    if wrong is not None:
+        raise ValueError(f"{bytes(wrong['connector_key'])!r} has a {next(n for n in bad if wrong[n])} that is out of bounds")
+
+
 def observed_keys(ready: DataFrame, failures: DataFrame) -> DataFrame:
     return ready.select("connector_key").union(failures.select("connector_key")).distinct()
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, hashing
 from ..functions import text as T
-from ..operators import audit, chunker, evidence, retrieval, scopes, snapshot
+from ..operators import audit, budget, chunker, evidence, retrieval, scopes, snapshot
 from ..sources import filesystem
 
 QUERIES: dict = {}
@@ -267,6 +267,67 @@ def search_explained(spark, sf_dir):
     return each.select("query_id", "hit", "retriever", F.col("rank").cast("long").alias("rank"), "contribution_units", "backend_score")
 
 
+#: Queries whose exact lists take turns: identifiers, phrases and the scan, with and without raw quotes.
+PAGED = {"b1": '"+=+"', "b2": 'mail7.example.com "the"', "b3": '"in the" "license"', "b4": "repo://src1/1.txt 1.txt 7.txt", "b5": '"th" src3/13.txt "e, "', "b6": '"zzqx"', "b7": '"or" "se"'}
+
+
+def _lists_sql() -> str:
+    """Candidate lists of PAGED: src(query_id, k, pos, doc), asked(query_id, n, raw) and hit(query_id, doc)."""
+    plans = {k: budget.lists_of(q) for k, q in PAGED.items()}
+    names = ", ".join(f"('{k}', '{t}')" for k, p in plans.items() for t in p.identifiers)
+    phrases = ", ".join(f"('{k}', {p.phrase(i)}, {list(t)!r})" for k, p in plans.items() for i, t in enumerate(p.phrases))
+    asked = ", ".join(f"('{k}', {p.count}, {p.raw})" for k, p in plans.items())
+    atoms = ", ".join(f"('{k}', '{t}')" for k, q in PAGED.items() for t, _ in T.parse_query(q).atoms)
+    return f"""{_D}, {_LITS}, {_STATS}, asked(query_id, n, raw) AS (VALUES {asked}), atom(query_id, atom) AS (VALUES {atoms}),
+hit AS MATERIALIZED (SELECT DISTINCT query_id, doc_id AS doc FROM d JOIN atom ON contains(title, atom) OR contains(uri, atom) OR contains(body, atom)),
+name(query_id, literal) AS (VALUES {names}), lit AS (SELECT DISTINCT doc_id, x.literal AS literal FROM (SELECT doc_id, unnest(p) AS x FROM pl)),
+one AS (SELECT query_id, 0 AS k, doc_id, count(*) AS a, sum(strlen(literal)) AS b, max(strlen(literal)) AS c FROM name JOIN lit USING (literal) GROUP BY ALL),
+phrase(query_id, k, toks) AS (VALUES {phrases}),
+each AS (SELECT query_id, k, doc_id, n, sum(CASE WHEN t[i:i + len(toks) - 1] = toks THEN 1 ELSE 0 END) AS f FROM phrase, (SELECT doc_id, n, a AS t FROM len UNION ALL SELECT doc_id, n, b FROM len UNION ALL SELECT doc_id, n, c FROM len) AS z, unnest(range(1, len(t) + 1)) AS u(i) WHERE t[i] = toks[1] GROUP BY ALL HAVING f > 0),
+w AS (SELECT query_id, k, ln((total - df + 0.5) / (df + 0.5)) AS raw_idf FROM (SELECT query_id, k, count(*) AS df FROM each GROUP BY ALL), (SELECT count(*) AS total FROM d)),
+two AS (SELECT query_id, k, doc_id, round(-CASE WHEN raw_idf <= 0 THEN 1e-6 ELSE raw_idf END * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len)))), 9) AS s FROM each JOIN w USING (query_id, k)),
+every AS (SELECT query_id, k, row_number() OVER (PARTITION BY query_id, k ORDER BY a DESC, b DESC, c DESC, source, doc_id) AS pos, doc_id AS doc FROM one JOIN d USING (doc_id)
+  UNION ALL SELECT query_id, k, row_number() OVER (PARTITION BY query_id, k ORDER BY s, source, doc_id), doc_id FROM two JOIN d USING (doc_id)
+  UNION ALL SELECT query_id, n - 1, p, doc_id FROM asked, (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS p FROM d)),
+src AS MATERIALIZED (SELECT * FROM every WHERE pos <= 500)"""
+
+
+#: A step of a round visits one list; a round begins with step -1 and ends with step n.
+@query(
+    "WITH RECURSIVE " + _lists_sql() + """, slot AS (SELECT query_id, n, unnest(range(n)) AS k FROM asked),
+docs AS MATERIALIZED (SELECT query_id, n, list(coalesce(l, []) ORDER BY k) AS docs FROM slot LEFT JOIN (SELECT query_id, k, list(doc ORDER BY pos) AS l FROM src GROUP BY ALL) USING (query_id, k) GROUP BY ALL),
+m AS MATERIALIZED (SELECT query_id, list(doc) AS m FROM hit SEMI JOIN src USING (query_id, doc) GROUP BY 1),
+base AS MATERIALIZED (SELECT query_id, n, docs, coalesce(m, []) AS m FROM docs LEFT JOIN m USING (query_id)),
+st(query_id, it, wanted, turn, step, share, pt, ended, seen, found, read, got, scanned) AS (
+  SELECT query_id, 0, 50, 0, -1, 0, list_transform(docs, lambda x: 0), list_transform(docs, lambda x: false), []::BIGINT[], 0, 0, 0, 0 FROM base
+  UNION ALL
+  SELECT query_id, it + 1,
+    CASE WHEN act = 'more' THEN wanted + 50 ELSE wanted END, CASE WHEN act = 'end' THEN (turn + 1) % n ELSE turn END,
+    CASE act WHEN 'begin' THEN 0 WHEN 'more' THEN -1 WHEN 'end' THEN -1 ELSE step + 1 END,
+    CASE WHEN act = 'begin' THEN (wanted - found + open - 1) // open ELSE share END,
+    CASE WHEN act = 'page' THEN list_transform(pt, lambda x, i: CASE WHEN i = j THEN x + len(page) ELSE x END) ELSE pt END,
+    CASE WHEN act = 'page' THEN list_transform(ended, lambda x, i: CASE WHEN i = j THEN len(page) < size ELSE x END) ELSE ended END,
+    CASE WHEN act = 'page' THEN list_concat(seen, fresh) ELSE seen END,
+    CASE WHEN act = 'page' THEN found + len(list_filter(fresh, lambda x: list_contains(m, x))) ELSE found END,
+    CASE WHEN act = 'page' THEN read + len(page) ELSE read END,
+    CASE WHEN act = 'page' THEN got + len(page) WHEN act = 'begin' THEN 0 ELSE got END,
+    CASE WHEN act = 'page' AND j = n THEN scanned + len(page) ELSE scanned END
+  FROM (SELECT *, list_filter(page, lambda x: NOT list_contains(seen, x)) AS fresh FROM (
+    SELECT *, docs[j][pt[j] + 1:pt[j] + size] AS page FROM (
+      SELECT *, least(share, 500 - read) AS size, (turn + greatest(step, 0)) % n + 1 AS j, len(list_filter(ended, lambda x: NOT x)) AS open,
+        CASE WHEN step = -1 AND found < wanted AND read < 500 AND list_contains(ended, false) THEN 'begin'
+             WHEN step = n AND got > 0 THEN 'end'
+             WHEN step IN (-1, n) THEN CASE WHEN read < 500 AND list_contains(ended, false) AND wanted < 500 THEN 'more' ELSE 'stop' END
+             WHEN ended[(turn + step) % n + 1] OR read >= 500 THEN 'skip' ELSE 'page' END AS act
+      FROM st JOIN base USING (query_id)))) WHERE act <> 'stop')
+SELECT query_id, read::BIGINT AS read, found::BIGINT AS found, CASE WHEN raw THEN scanned ELSE 0 END::BIGINT AS scanned, NOT list_contains(ended, false) AS exhausted
+FROM (SELECT * FROM st QUALIFY it = max(it) OVER (PARTITION BY query_id)) JOIN asked USING (query_id)"""
+)
+def search_budgeted(spark, sf_dir):
+    """how far each query's candidate lists are read in turns, within one budget of 500, and what they hold."""
+    return budget.reads(budget.passage_lists(whole_passages(spark, sf_dir), PAGED, 9), PAGED)
+
+
 @query("SELECT doc_id FROM documents WHERE lang IS NULL OR NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def missing_targets(spark, sf_dir):
     """Rows without the row they refer to (documents without a label, or with a null key)."""
@@ -360,8 +421,8 @@ def table_digest(spark, sf_dir):
 
 _OLD_KEY = "CASE WHEN lang = 'fr' THEN 'old/' ELSE '' END || source || '/' || doc_id || '.txt'"
 _PRIOR = f"""{_D}, cur AS (SELECT source || '/' || doc_id || '.txt' AS key, sha256(body) AS hash, strlen(body) AS n, lang, doc_id FROM d),
-ready AS (SELECT * FROM cur WHERE lang IS DISTINCT FROM 'it' AND strlen(key) % 10 <> 9),
-fail AS (SELECT key FROM cur WHERE lang IS DISTINCT FROM 'it' AND strlen(key) % 10 = 9),
+ready AS (SELECT * FROM cur WHERE lang IS DISTINCT FROM 'it' AND strlen(key) % 10 <> 1),
+fail AS (SELECT key FROM cur WHERE lang IS DISTINCT FROM 'it' AND strlen(key) % 10 = 1),
 heads AS (SELECT {_OLD_KEY} AS key, CASE WHEN lang = 'de' THEN sha256(body || 'x') ELSE sha256(body) END AS hash, doc_id AS id, strlen(body) % 50 <> 0 AS active FROM d WHERE lang <> 'es'
           UNION ALL SELECT 'pages/' || page_id, sha256(url), -page_id - 1, true FROM pages),
 obs AS (SELECT key FROM ready UNION SELECT key FROM fail),
@@ -380,7 +441,7 @@ def _prior(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("body"))
     key = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     cur = d.withColumn("key", key).where(~F.col("lang").eqNullSafe("it"))
-    bad = F.octet_length("key") % 10 == 9
+    bad = F.octet_length("key") % 10 == 1
     ready = cur.where(~bad).select(F.col("key").alias("connector_key"), F.sha2("body", 256).alias("revision_sha256"), F.sha2("body", 256).alias("body_sha256"), F.octet_length("body").alias("body_len"))
     failures = cur.where(bad).select(F.col("key").alias("connector_key"), F.lit("io").alias("code"), F.lit("unreadable").alias("detail"))
     old = F.when(F.col("lang") == "fr", F.concat(F.lit("old/"), key)).otherwise(key)

@@ -3,43 +3,52 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import formats
 from ..functions.hashing import body_sha256, chunker_fingerprint, citation, derive_source_id, name_uuid_column, parse_citation, pipeline_fingerprint, quote_bloom_column, revision_sha256
 from ..functions.text import QueryError, parse_query, passage_literals
-from ..operators import audit, evidence, retrieval, scopes, snapshot
+from ..operators import audit, budget, evidence, retrieval, scopes, slices, snapshot
 from ..operators.chunker import chunk
+from ..sources.drift import probe
+from ..sources.filesystem import split
 from . import cursor
 from .store import Store, StoreError
 
-HEADS = "source_id string, connector_key binary, document_id string, source_uri string, title string, chunk_kind string, active boolean, revision_sha256 string, body_sha256 string, generation_id long"
+HEADS = "source_id string, connector_key binary, document_id string, source_uri string, title string, chunk_kind string, active boolean, revision_sha256 string, body_sha256 string, generation_id long, passages int, tokens long"
 CHANGES = "generation_id long, document_id string, prior string, next string, next_state string"
 BLOBS = "body_sha256 string, body binary"
 VERSIONS = "document_id string, revision_sha256 string, body_sha256 string, source_uri string, title string, chunk_kind string, metadata_json string, source_updated_at string, indexed_at string"
 CHUNKS = "body_sha256 string, chunk_kind string, ordinal int, start_byte long, end_byte long, start_line long, end_line long, body_text string, content_sha256 string"
 GENERATIONS = "id long, state string, committed_at string, pipeline_fingerprint string"
 ERRORS = "generation_id long, source_id string, connector_key binary, code string, detail string"
-#: The search index: a row for each passage of a version, its tokens and its literals.
-ENTRIES = "document_id string, revision_sha256 string, ordinal int, start_byte long, end_byte long, content_sha256 string, len int, bloom binary"
-POSTINGS = "term string, document_id string, revision_sha256 string, ordinal int, f long"
-LITERALS = "literal string, field string, document_id string, revision_sha256 string, ordinal int"
-INDEX = {"entries": ENTRIES, "postings": POSTINGS, "literals": LITERALS}
+#: The search index: a row for each passage of a version, its tokens, its literals and its bloom's bits, and how
+#: many passages and tokens each version has.
+ENTRIES = "document_id string, revision_sha256 string, ordinal int, start_byte long, end_byte long, content_sha256 string, len int"
+POSTINGS = "term string, document_id string, revision_sha256 string, ordinal int, start_byte long, len int, f long"
+LITERALS = "literal string, field string, document_id string, revision_sha256 string, ordinal int, start_byte long"
+SIZES = "document_id string, revision_sha256 string, passages int, tokens long"
+INDEX = {"entries": ENTRIES, "postings": POSTINGS, "literals": LITERALS, "sizes": SIZES, "slices": slices.SLICES}
 TABLES = {"heads": HEADS, "changes": CHANGES, "blobs": BLOBS, "versions": VERSIONS, "chunks": CHUNKS, "generations": GENERATIONS, "errors": ERRORS} | INDEX
 #: Tables that only grow, by files added to the manifest.
 APPENDED = ("changes", "blobs", "versions", "chunks", "generations", "errors", *INDEX)
-PASSAGE = ["document_id", "revision_sha256", "ordinal"]
+PASSAGE = slices.PASSAGE
+#: So many folders of one level are merged into one of the next; heads' changes of 1 / FOLD of the base's bytes are folded into it.
+FAN, FOLD = 8, 4
 #: Bytes of a page's JSON, and of the keys that a status reads.
 RESPONSE_BYTES, KEY_BYTES = 512 * 1024, 64 << 20
 
 
 class EvidenceError(RuntimeError):
-    """code: scope_denied, not_found, invalid_bound, bound_below_passage, corrupt, deadline, invalid_deadline,
-    invalid_mode or response_too_large."""
+    """code: scope_denied, not_found, invalid_bound, bound_below_passage, corrupt, invalid_deadline, invalid_mode or
+    response_too_large."""
 
     def __init__(self, code: str):
         super().__init__(code)
@@ -63,7 +72,7 @@ class Engine:
             raise StoreError("the index exists")
         index_id, project_id = index_id or str(uuid.uuid4()), str(uuid.uuid5(uuid.NAMESPACE_URL, project))
         meta = {"index_id": index_id, "project": project, "project_id": project_id, "source_id": derive_source_id(index_id, project_id), "scope_revision": 0, "epoch": 0, "generation": None}
-        meta |= {"pipeline_fingerprint": pipeline_fingerprint(), "last_success_at": None, "last_error": None}
+        meta |= {"pipeline_fingerprint": pipeline_fingerprint(), "last_success_at": None, "last_error": None, "passages": 0, "tokens": 0}
         tables = {n: {"files": [], "schema": spark.createDataFrame([], ddl).schema.json()} for n, ddl in TABLES.items()}
         engine.store.commit({"meta": meta, "tables": tables}, None)
         return engine
@@ -77,7 +86,22 @@ class Engine:
         return m
 
     def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        return self.store.table(name, manifest or self.pin())
+        m = manifest or self.pin()
+        return self._current(m["tables"]["heads"]) if name == "heads" else self.store.table(name, m)
+
+    def _current(self, entry: dict) -> DataFrame:
+        """The heads: a base folder, and later ones with the heads that changed since, of which the last of a key counts.
+        A key without active (null) is no more."""
+        part = lambda files: self.store.table("heads", {"tables": {"heads": entry | {"files": files}}})
+        base, later = entry["files"][:1], entry["files"][1:]
+        if not later:
+            return part(base)
+        newest = self._newest(part(later))
+        return part(base).join(newest.select("connector_key"), "connector_key", "left_anti").unionByName(newest.where("active IS NOT NULL"))
+
+    @staticmethod
+    def _newest(heads: DataFrame) -> DataFrame:
+        return heads.groupBy("connector_key").agg(F.max_by(F.struct(*heads.columns), "generation_id").alias("h")).select("h.*")
 
     def prepare(self, files: DataFrame) -> DataFrame:
         """Files with body and revision hash and length."""
@@ -86,34 +110,48 @@ class Engine:
         return rows.withColumn("revision_sha256", revision_sha256(F.col("body"), F.col("source_uri"), F.col("title"), meta, F.col("source_updated_at")))
 
     def plan(self, files: DataFrame, failures: DataFrame | None = None) -> dict:
-        """What ingest would do; nothing is written."""
+        """What ingest would do; no generation is written."""
         m = self.pin()
-        ready, failures = self.prepare(files), self._failures(failures)
-        snapshot.check_snapshot(ready, failures)
-        return snapshot.plan_counts(self.table("heads", m), ready, failures).first().asDict()
+        staged = self._stage(files, failures)
+        try:
+            ready, failures = self._staged(staged)
+            snapshot.check_snapshot(ready, failures)
+            return snapshot.plan_counts(self.table("heads", m), ready, failures).first().asDict()
+        finally:
+            self.store.remove(staged)
 
-    def _failures(self, failures: DataFrame | None) -> DataFrame:
-        return self.spark.createDataFrame([], "connector_key binary, code string, detail string") if failures is None else failures
+    def _stage(self, files: DataFrame, failures: DataFrame | None) -> str:
+        """Documents and failures of one reading as a folder."""
+        rows = self.prepare(files)
+        if "code" not in rows.columns:
+            rows = rows.withColumns({"code": F.lit(None).cast("string"), "detail": F.lit(None).cast("string")})
+        if failures is not None:
+            rows = rows.unionByName(failures.select("connector_key", "code", "detail"), allowMissingColumns=True)
+        return self.store.put(rows, "staged")["files"][0]
+
+    def _staged(self, folder: str) -> tuple[DataFrame, DataFrame]:
+        return split(self.spark.read.parquet(f"{self.store.path}/{folder}"))
 
     def ingest(self, files: DataFrame, failures: DataFrame | None = None, confirmed: snapshot.Confirmations = snapshot.Confirmations(), strict: bool = False, gone: DataFrame | None = None, quota: int | None = None) -> dict:
-        """Applies a snapshot as a new generation, or as none if nothing changes. With gone, a table of
-        connector_key, files are only what changed and gone what was deleted: heads of other keys stay as they are
-        and are read only to be counted and carried on.
+        """Applies a snapshot as a new generation, or as none if nothing changes. files may hold its failures too, as rows
+        with a code and a detail (see filesystem.observe). With gone, a table of connector_key, files are only what
+        changed and gone what was deleted: heads of other keys stay as they are and are read only to be counted.
 
-        The snapshot is staged once, so that what is planned is what is applied, whatever its files do meanwhile.
+        The snapshot is staged once, documents and failures from one reading, so that what is planned is what is applied,
+        whatever its files do meanwhile.
         """
-        failures = self._failures(failures)
         with self.store.lock():
             m = self.pin()
-            staged = self.store.put(self.prepare(files), "staged")["files"][0]
+            staged = self._stage(files, failures)
             try:
-                return self._commit(m, self.spark.read.parquet(f"{self.store.path}/{staged}"), failures, confirmed, strict, gone, quota)
+                return self._commit(m, *self._staged(staged), confirmed, strict, gone, quota)
             finally:
                 self.store.remove(staged)
 
     def _commit(self, m: dict, ready: DataFrame, failures: DataFrame, confirmed: snapshot.Confirmations, strict: bool, gone: DataFrame | None, quota: int | None) -> dict:
         meta, source, heads = m["meta"], m["meta"]["source_id"], self.table("heads", m)
         snapshot.check_snapshot(ready, failures)
+        snapshot.check_documents(ready)
         touched, others = heads, None
         if gone is not None:
             keys = ready.select("connector_key").union(failures.select("connector_key")).union(gone.select("connector_key")).distinct()
@@ -122,44 +160,71 @@ class Engine:
         if strict and plan["failed_documents"]:
             raise StoreError("strict ingest with failures")
         snapshot.enforce(plan, confirmed)
-        if quota is not None:
-            snapshot.preflight(plan["estimated_write_bytes"], self.store.size(), quota, None)
+        snapshot.preflight(plan["estimated_write_bytes"], self.store.size(), quota, self.store.free())
         accepted = plan["projected_active_documents"] - plan["carried_forward_documents"]
         tables, generation = dict(m["tables"]), None
         if plan["would_create_generation"]:
             generation = (meta["generation"] or 0) + 1
-            self._apply(tables, heads, touched, ready, failures, source, generation, plan)
-            meta = meta | {"generation": generation, "epoch": meta["epoch"] + 1}
+            sizes = self._apply(tables, heads, touched, ready, failures, source, generation, plan)
+            meta = meta | {"generation": generation, "epoch": meta["epoch"] + 1} | {k: meta[k] + sizes[k] for k in ("passages", "tokens")}
+            for name in ("heads", *APPENDED):
+                self._compact(tables, name)
         bad = None if not plan["failed_documents"] else failures.orderBy("connector_key").select("code", "detail").first()
         meta = meta | snapshot.source_status(meta, accepted, None if bad is None else bad.asDict(), _now())
         self.store.commit({"meta": meta, "tables": tables}, m["version"])
         return plan | {"generation": generation, "state": snapshot.ingest_state(plan["failed_documents"], accepted, generation)}
 
-    def _apply(self, tables: dict, heads: DataFrame, touched: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int, plan: dict) -> None:
+    def _apply(self, tables: dict, heads: DataFrame, touched: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int, plan: dict) -> dict:
+        """Adds a generation's rows to tables; by how many passages and tokens the active documents grow. Only heads that
+        change are written."""
         fate = snapshot.classify(touched, ready, failures).select("connector_key", "status", "document_id")
         moved = snapshot.renames(touched, ready, failures).select(F.col("old_key").alias("connector_key"))
         fresh = name_uuid_column(F.concat_ws("/", F.lit(source), F.hex("connector_key")))
         changed = ready.join(fate.where(F.col("status").isin("new", "changed", "renamed", "reactivated")), "connector_key").withColumn("document_id", F.coalesce("document_id", fresh))
         staged = self.store.put(changed.drop("status", "body_len"), "staged")["files"][0]
         changed = self.spark.read.parquet(f"{self.store.path}/{staged}")
-        g = F.lit(generation).cast("long")
-        new_heads = changed.select(F.lit(source).alias("source_id"), "connector_key", "document_id", "source_uri", "title", "chunk_kind", F.lit(True).alias("active"), "revision_sha256", "body_sha256", g.alias("generation_id"))
-        lost = fate.where("status = 'tombstoned'").select("connector_key")
-        rest = heads.join(moved, "connector_key", "left_anti").join(changed.select("connector_key"), "connector_key", "left_anti")
-        dead = rest.join(lost, "connector_key").withColumns({"active": F.lit(False), "revision_sha256": F.lit(None).cast("string"), "body_sha256": F.lit(None).cast("string"), "generation_id": g})
-        names = [f.split()[0] for f in HEADS.split(", ")]
-        alive = rest.join(lost, "connector_key", "left_anti")
-        every = alive.select(names).unionByName(dead.select(names)).unionByName(new_heads)
-        prior = heads.select("document_id", F.col("revision_sha256").alias("prior"))
-        log = new_heads.select("document_id", F.col("revision_sha256").alias("next"), F.lit("active").alias("next_state")).unionByName(dead.select("document_id", F.lit(None).cast("string").alias("next"), F.lit("tombstoned").alias("next_state")))
-        self._add(tables, "changes", log.join(prior, "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"))
         if plan["changed_documents"]:
             self._store_texts(tables, changed)
+        g, none = F.lit(generation).cast("long"), F.lit(None)
+        sized = changed.join(self.table("sizes", {"tables": tables}), ["document_id", "revision_sha256"], "left").fillna(0, ["passages", "tokens"])
+        new_heads = sized.select(F.lit(source).alias("source_id"), "connector_key", "document_id", "source_uri", "title", "chunk_kind", F.lit(True).alias("active"), "revision_sha256", "body_sha256", g.alias("generation_id"), "passages", "tokens")
+        empty = {"revision_sha256": none.cast("string"), "body_sha256": none.cast("string"), "generation_id": g, "passages": F.lit(0), "tokens": F.lit(0).cast("long")}
+        dead = touched.join(fate.where("status = 'tombstoned'").select("connector_key"), "connector_key").withColumns(empty | {"active": F.lit(False)})
+        left = touched.join(moved, "connector_key").withColumns(empty | {"active": none.cast("boolean")})
+        names = [f.split()[0] for f in HEADS.split(", ")]
+        delta = self._add(tables, "heads", dead.select(names).unionByName(left.select(names)).unionByName(new_heads))
+        prior = touched.join(delta.select("connector_key"), "connector_key", "left_semi")
+        log = delta.where("active IS NOT NULL").select("document_id", F.col("revision_sha256").alias("next"), F.when(F.col("active"), "active").otherwise("tombstoned").alias("next_state"))
+        self._add(tables, "changes", log.join(prior.select("document_id", F.col("revision_sha256").alias("prior")), "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"))
         self._add(tables, "generations", self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS))
         if plan["failed_documents"]:
             self._add(tables, "errors", failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail"))
-        tables["heads"] = self.store.put(every, "heads") | {"schema": tables["heads"]["schema"]}
         self.store.remove(staged)
+        total = lambda rows: rows.where("active").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passages", "tokens")]).first()
+        after, before = total(delta), total(prior)
+        return {c: after[c] - before[c] for c in ("passages", "tokens")}
+
+    def _compact(self, tables: dict, name: str) -> None:
+        """Merges FAN folders of one level into one of the next, so that a table has some folders for each power of FAN and a row
+        is written again as often as there are levels. Heads keep the last change of a key; changes of 1 / FOLD of the base's
+        bytes are folded into a new base. What was there stays for readers of older generations, until vacuum()."""
+        entry = tables[name]
+        part = lambda files: self.store.table(name, {"tables": {name: entry | {"files": files}}})
+        fixed = 1 if name == "heads" else 0
+        while True:
+            later = entry["files"][fixed:]
+            full = next((x for x in sorted({self.store.level(f) for f in later}) if sum(self.store.level(f) == x for f in later) >= FAN), None)
+            if full is None:
+                break
+            merged = [f for f in later if self.store.level(f) == full]
+            rows = self._newest(part(merged)) if name == "heads" else _ordered(name, part(merged))
+            new = self.store.put(rows, name, full + 1)["files"]
+            entry = entry | {"files": [f for f in entry["files"] if f not in merged] + new}
+        if name == "heads" and len(entry["files"]) > 1:
+            base, *later = [self.store.size(f) for f in entry["files"]]
+            if len(later) >= FAN // 2 and FOLD * sum(later) >= base:
+                entry = entry | {"files": self.store.put(self._current(entry), name)["files"]}
+        tables[name] = entry
 
     def _store_texts(self, tables: dict, changed: DataFrame) -> None:
         """Adds the bodies, versions, passages and index rows of changed documents that the store lacks; what it has
@@ -196,83 +261,169 @@ class Engine:
     def passages(self, manifest: dict | None = None) -> DataFrame:
         """The active passages."""
         m = manifest or self.pin()
-        return self._heads(m).join(self.table("chunks", m), ["body_sha256", "chunk_kind"])
+        return self._heads(m).drop("passages").join(self.table("chunks", m), ["body_sha256", "chunk_kind"])
 
     def _heads(self, m: dict) -> DataFrame:
-        return self.table("heads", m).where("active").select("source_id", "document_id", "source_uri", "title", "chunk_kind", "revision_sha256", "body_sha256")
+        return self.table("heads", m).where("active").select("source_id", "document_id", "source_uri", "title", "chunk_kind", "revision_sha256", "body_sha256", "passages")
 
-    def entries(self, manifest: dict | None = None) -> DataFrame:
-        """The index entries of the active passages, with their heads' columns."""
-        m = manifest or self.pin()
-        return self._heads(m).join(self.table("entries", m), ["document_id", "revision_sha256"])
+    def find(self, queries: dict[str, str], limit: int = formats.RESULTS_DEFAULT, manifest: dict | None = None, exhaustive: bool = False, scope: Column | None = None) -> DataFrame:
+        """The hits of queries from the stored index. Of postings and literals only the rows of the queries' terms and
+        identifiers are read, statistics are the manifest's, and texts are read of candidates alone.
 
-    def find(self, queries: dict[str, str], limit: int = formats.RESULTS_DEFAULT, manifest: dict | None = None) -> DataFrame:
-        """retrieval.hits of queries from the stored index: postings of the queries' terms alone are read for the
-        scores, and the texts of those passages whose bloom, title or URI may hold an atom for the exact matches."""
+        The exact list is read within its budget (budget.hits, whose rows of fused_rank 0 tell about each query). exhaustive
+        instead ranks every passage that holds an atom, found by the sliced blooms, titles and URIs (retrieval.hits). scope
+        is a condition on heads, which holds before any limit; statistics are of all documents."""
         m = manifest or self.pin()
-        entries, keys = self.entries(m), ["source_id", "document_id", "start_byte"]
-        lexical = retrieval.bm25_from_counts(self._counts(entries, queries, m), lambda: entries.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")), queries, entries.select(*keys))
-        near = entries.where(retrieval.may_match(queries)).select("source_id", "document_id", "source_uri", "title", "body_sha256", "chunk_kind", "ordinal")
-        texts = self.table("chunks", m).select("body_sha256", "chunk_kind", "ordinal", "start_byte", "end_byte", "body_text", "content_sha256")
-        exact = retrieval.exact_matches(scopes.checked(near.join(texts, ["body_sha256", "chunk_kind", "ordinal"])), queries)
-        return retrieval.hits(exact, lexical, entries, limit)
-
-    def _counts(self, entries: DataFrame, queries: dict[str, str], m: dict) -> DataFrame | None:
-        """(identity, len, term, f) of the queries' terms in the active passages."""
-        phrases = retrieval.phrases_of(retrieval.query_terms(queries))
+        heads = self._heads(m) if scope is None else self._heads(m).where(scope)
+        scores = self._scores(heads, retrieval.query_terms(queries), m, scope is not None)
+        if exhaustive:
+            near = self._near(heads, sorted({t for q in queries.values() for t, _ in parse_query(q).atoms}), m)
+            exact = retrieval.exact_matches(scopes.checked(self._texts(near, m)), queries)
+            found = exact.select(*retrieval.IDENTITY).union(scores.select(*retrieval.IDENTITY)).distinct()
+            return retrieval.hits(exact, scores, self._spans(found, heads, m), limit)
+        return budget.hits(self._candidates(heads, queries, m), self._ranked(scores, heads, m), queries, limit)
+
+    def _ranked(self, scores: DataFrame, heads: DataFrame, m: dict) -> DataFrame:
+        """The best scores of each query with their passages' spans."""
+        best = retrieval.best(scores, ["score"]).where(F.col("rank") <= formats.CANDIDATES_MAX)
+        return best.join(self._spans(best.select(*retrieval.IDENTITY).distinct(), heads, m), retrieval.IDENTITY)
+
+    def _candidates(self, heads: DataFrame, queries: dict[str, str], m: dict) -> DataFrame:
+        """The lists of budget.hits, with what their texts hold of the atoms."""
+        at = ["source_id", "document_id", "start_byte"]
+        live = heads.select("source_id", "document_id", "revision_sha256")
+        held = [budget.identifier_candidates(self.table("literals", m).join(live, ["document_id", "revision_sha256"]), queries).drop("n")]
+        plans = {k: budget.lists_of(q) for k, q in queries.items()}
+        phrases = [(f"{k}\x1f{p.phrase(i)}", 0, " ".join(t), 1) for k, p in plans.items() for i, t in enumerate(p.phrases)]
+        if phrases:
+            own = F.split("query_id", "\x1f")
+            scored = self._scores(heads, phrases, m, False).select(own[0].alias("query_id"), own[1].cast("int").alias("list"), *at, "score")
+            held.append(budget.top(scored, ["score"]).select("query_id", "list", "place", *at))
+        hinted = reduce(DataFrame.unionByName, held)
+        first = heads.where("passages > 0").orderBy("source_id", "document_id").limit(formats.CANDIDATES_MAX)
+        scanned = self._texts(first, m).orderBy(*at).limit(formats.CANDIDATES_MAX)
+        texts = scopes.checked(self._texts(self._placed(hinted.select(*at).distinct(), heads), m).unionByName(scanned).dropDuplicates(at))
+        lists = hinted
+        if any(p.atoms for p in plans.values()):
+            lists = lists.unionByName(budget.scan_candidates(scanned, queries))
+        spans = texts.select(*at, "end_byte", "content_sha256")
+        return lists.join(spans, at).join(retrieval.exact_matches(texts, queries), ["query_id", *at], "left")
+
+    def _placed(self, found: DataFrame, heads: DataFrame) -> DataFrame:
+        """Identities with their heads' columns."""
+        return heads.join(found, ["source_id", "document_id"])
+
+    def _texts(self, rows: DataFrame, m: dict) -> DataFrame:
+        """The passages of heads, or with start_byte those that start there."""
+        on = ["body_sha256", "chunk_kind", *(["start_byte"] if "start_byte" in rows.columns else [])]
+        held = rows.select("source_id", "document_id", "source_uri", "title", *on)
+        return held.join(self.table("chunks", m).select("body_sha256", "chunk_kind", "start_byte", "end_byte", "body_text", "content_sha256"), on).drop("body_sha256", "chunk_kind")
+
+    def _spans(self, found: DataFrame, heads: DataFrame, m: dict) -> DataFrame:
+        """(identity, end_byte, content_sha256) of identities, without their texts."""
+        chunks = self.table("chunks", m).select("body_sha256", "chunk_kind", "start_byte", "end_byte", "content_sha256")
+        return self._placed(found, heads).join(chunks, ["body_sha256", "chunk_kind", "start_byte"]).select(*retrieval.IDENTITY, "end_byte", "content_sha256")
+
+    def _near(self, heads: DataFrame, atoms: list[str], m: dict) -> DataFrame:
+        """Heads' columns and start_byte of the passages that may hold an atom: by their blooms' bits, by title or URI, and all
+        where an atom has no trigram."""
+        entries = self.table("entries", m).select(*PASSAGE, "start_byte")
+        named = reduce(lambda a, b: a | b, [F.contains(F.col(c), F.lit(t)) for t in atoms for c in ("title", "source_uri")], F.lit(any(len(t.encode()) < 3 for t in atoms)))
+        near = heads.where(named).join(entries, ["document_id", "revision_sha256"])
+        if long := [t for t in atoms if len(t.encode()) >= 3]:
+            bits = slices.may_hold(self.table("slices", m), long).select(*PASSAGE).distinct()
+            near = near.unionByName(heads.join(bits, ["document_id", "revision_sha256"]).join(entries, PASSAGE).select(near.columns))
+        return near.dropDuplicates(["source_id", "document_id", "start_byte"])
+
+    def _scores(self, heads: DataFrame, terms: list[tuple], m: dict, scoped: bool) -> DataFrame:
+        """retrieval.bm25_of_terms from the postings of the terms; scores are of all documents, rows of the heads alone."""
+        meta = m["meta"]
+        stats = lambda: self.spark.range(1).select(F.lit(meta["passages"]).alias("n"), F.lit(meta["tokens"] / max(1, meta["passages"])).alias("avg_len"))
+        every = self._heads(m) if scoped else heads
+        empty = self.table("postings", m).join(every.select("source_id", "document_id"), "document_id").select(*retrieval.IDENTITY).limit(0)
+        scores = retrieval.bm25_of_terms(self._counts(every, retrieval.phrases_of(terms), m), stats, terms, empty)
+        return scores.join(heads.select("source_id", "document_id"), ["source_id", "document_id"], "left_semi") if scoped else scores
+
+    def _counts(self, heads: DataFrame, phrases: list[tuple[str, ...]], m: dict) -> DataFrame | None:
+        """(identity, len, term, f) of phrases in the passages of heads."""
         if not phrases:
             return None
         keys = ["source_id", "document_id", "start_byte"]
         words = sorted({t for p in phrases for t in p})
         held = self.table("postings", m).where(F.col("term").isin(words))  # pushed to the scan; files are sorted by term
-        live = held.join(entries.select(*PASSAGE, *keys[::2], "len", "body_sha256", "chunk_kind", "title", "source_uri"), PASSAGE)
+        live = held.join(heads, ["document_id", "revision_sha256"])
         counts = live.where(F.col("term").isin([p[0] for p in phrases if len(p) == 1])).select(*keys, "len", "term", "f")
         for p in (p for p in phrases if len(p) > 1):  # the index tells which passages hold all tokens; their texts tell how often in a row
-            whole = live.where(F.col("term").isin(list(p))).groupBy(*keys, "len", "ordinal", "body_sha256", "chunk_kind", "title", "source_uri").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(p)))
-            texts = retrieval.index_fields(whole.join(self.table("chunks", m).select("body_sha256", "chunk_kind", "ordinal", "body_text"), ["body_sha256", "chunk_kind", "ordinal"]))
+            whole = live.where(F.col("term").isin(list(p))).groupBy(*keys, "len", "body_sha256", "chunk_kind", "title", "source_uri").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(p)))
+            texts = retrieval.index_fields(whole.join(self.table("chunks", m).select("body_sha256", "chunk_kind", "start_byte", "body_text"), ["body_sha256", "chunk_kind", "start_byte"]))
             counts = counts.unionByName(texts.select(*keys, "len", F.lit(" ".join(p)).alias("term"), retrieval.phrase_count(list(p)).cast("long").alias("f")).where("f > 0"))
         return counts
 
     def search(self, text: str, limit: int = formats.RESULTS_DEFAULT, deadline_ms: int | None = None) -> DataFrame:
         """Hits in order with their citations and texts; duplicates as further rows that name their hit. A stored
-        passage among them that is not what its hashes say fails the query. With a deadline the work is done here,
-        and stopped when the time is over."""
-        if deadline_ms is not None and not formats.DEADLINE_MIN_MS <= deadline_ms <= formats.DEADLINE_MAX_MS:
-            raise EvidenceError("invalid_deadline")
+        passage among them that is not what its hashes say fails the query. With a deadline the work is done here, see answer()."""
         m = self.pin()
-        found = self.find({"q": text}, limit, m).drop("content_sha256", "end_byte")
-        rows = found.join(scopes.checked(self.passages(m)), retrieval.IDENTITY)
+        if deadline_ms is None:
+            return self._cited(self.find({"q": text}, limit, m), m).orderBy("fused_rank")
+        found, _ = self.answer(text, limit, deadline_ms, m)
+        return found
+
+    def _cited(self, found: DataFrame, m: dict) -> DataFrame:
+        """Found passages with their texts and citations."""
         cited = citation(F.lit(m["meta"]["index_id"]), F.col("source_id"), F.col("document_id"), F.col("revision_sha256"), F.col("start_byte"), F.col("end_byte"))
-        rows = rows.withColumn("citation", cited).orderBy("fused_rank")
-        return rows if deadline_ms is None else self._in_time(rows, deadline_ms)
+        return found.join(scopes.checked(self.passages(m)), retrieval.IDENTITY).withColumn("citation", cited)
 
-    def _in_time(self, rows: DataFrame, deadline_ms: int) -> DataFrame:
-        """rows, read now; their jobs are cancelled at the deadline. rows are at most two candidate lists."""
+    def answer(self, text: str, limit: int = formats.RESULTS_DEFAULT, deadline_ms: int | None = formats.DEADLINE_DEFAULT_MS, manifest: dict | None = None) -> tuple[DataFrame, dict]:
+        """(hits as search() has them, why it stopped and what it examined) of one query, ranked step by step: the exact
+        candidates, then the lexical list. When the time is over the step's jobs are cancelled, and what has been ranked by then is told,
+        with the stop reason deadline. None is no deadline. Texts of hits are read in any case."""
+        if deadline_ms is not None and not formats.DEADLINE_MIN_MS <= deadline_ms <= formats.DEADLINE_MAX_MS:
+            raise EvidenceError("invalid_deadline")
+        end = None if deadline_ms is None else time.monotonic() + deadline_ms / 1000
+        m = manifest or self.pin()
+        heads, queries = self._heads(m), {"q": text}
+        steps = [lambda: self._candidates(heads, queries, m), lambda: self._ranked(self._scores(heads, retrieval.query_terms(queries), m, False), heads, m).withColumns({"list": F.lit(-1), "place": F.col("rank")})]
+        records, late = [], False
+        for step in steps:
+            got = None if late else self._in_time(step(), end)
+            late |= got is None
+            records += [r.asDict() for r in got or ()]
+        blank = dict.fromkeys((*budget.MATCHED, "score"))
+        told, *rows = budget.rank(budget.lists_of(text), [blank | r for r in records], limit, late)
+        types = ", ".join(f"{n} {t}" for n, t in zip(retrieval.IDENTITY, ("string", "string", "long")))
+        local = self.spark.createDataFrame([tuple("q" if n == "query_id" else r.get(n) for n in ("query_id", *budget.NAMES)) for r in rows], f"query_id string, {types}, {budget.BUDGET_COLUMNS}")
+        found = self._cited(retrieval.explained(local), m).orderBy("fused_rank")
+        return self.spark.createDataFrame(found.collect(), found.schema), {k: told[k] for k in ("stop_reason", "examined_exact", "examined_lexical", "examined_fallback")}
+
+    def _in_time(self, rows: DataFrame, end: float | None) -> list | None:
+        """rows, of at most some candidate lists, read now; None if the time ended first, when their jobs are cancelled."""
         sc, group, over, done = self.spark.sparkContext, uuid.uuid4().hex, threading.Event(), threading.Event()
 
         def stop() -> None:
-            if not done.wait(deadline_ms / 1000):
+            if not done.wait(max(0.0, end - time.monotonic())):
                 over.set()
-                sc.cancelJobGroup(group)
-                while not done.wait(0.1):  # jobs that begin after the deadline
+                while not done.is_set():  # also jobs that begin after the deadline
                     sc.cancelJobGroup(group)
+                    done.wait(0.1)
 
+        if end is None:
+            return rows.collect()
+        if time.monotonic() >= end:
+            return None
         sc.setJobGroup(group, "search", interruptOnCancel=True)
         threading.Thread(target=stop, daemon=True).start()
         try:
-            found = rows.collect()
+            return rows.collect()
         except Exception:
             if not over.is_set():
                 raise
+            return None
         finally:
             done.set()
             sc.setLocalProperty("spark.jobGroup.id", None)
-        if over.is_set():
-            raise EvidenceError("deadline")
-        return self.spark.createDataFrame(found, rows.schema)
 
-    def page(self, text: str, limit: int = formats.RESULTS_DEFAULT, after: str | None = None, mode: str = "auto", explain: bool = False, deadline_ms: int | None = None) -> dict:
-        """A page of a search: the best RESULTS_MAX hits are ranked, and limit of them from the cursor on are told, up
+    def page(self, text: str, limit: int = formats.RESULTS_DEFAULT, after: str | None = None, mode: str = "auto", explain: bool = False, deadline_ms: int | None = formats.DEADLINE_DEFAULT_MS) -> dict:
+        """A page of an answer: the best RESULTS_MAX hits are ranked, and limit of them from the cursor on are told, up
         to PAGE_BODY_BYTES of text and RESPONSE_BYTES of JSON. A cursor holds only for the query and state it was made for."""
         if mode not in retrieval.MODES:
             raise EvidenceError("invalid_mode")
@@ -283,7 +434,7 @@ class Engine:
         state = cursor.State(meta["index_id"], meta["scope_revision"], meta["epoch"], meta["generation"])
         config, asked = cursor.config_fingerprint("1"), cursor.query_fingerprint("v1", meta["project_id"], text, mode, explain)
         offset = cursor.decode(after, state, config, asked) if after else 0
-        rows = self.search(text, formats.RESULTS_MAX, deadline_ms)
+        rows, stopped = self.answer(text, formats.RESULTS_MAX, deadline_ms, m)
         found = rows.collect()  # at most two candidate lists
         total = sum(r["hit"] is not None for r in found)
         local = self.spark.createDataFrame(found, rows.schema).coalesce(1)
@@ -298,22 +449,24 @@ class Engine:
             for r in own
         ]
         told = retrieval.report(local, {"q": text}, mode).first().asDict()
-        out = {"results": results, "stop_reason": told["stop_reason"], "retrievers": told["retrievers"], "requested_mode": mode, "effective_mode": told["effective_mode"], "generation": meta["generation"], "epoch": meta["epoch"]}
+        out = {"results": results, **stopped, "retrievers": told["retrievers"], "requested_mode": mode, "effective_mode": told["effective_mode"], "generation": meta["generation"], "epoch": meta["epoch"]}
         out = evidence.trim(out | {"truncated": offset + len(results) < min(total, offset + limit)}, RESPONSE_BYTES)
         if out is None:
             raise EvidenceError("response_too_large")
         end = offset + len(out["results"])
         return out | {"next": cursor.encode(end, state, config, asked) if end < total and end < formats.RESULTS_MAX else None}
 
-    def get(self, cited: str, most: int = formats.GET_DEFAULT) -> dict:
-        """The bytes of a citation with its neighbours, of the revision it was made for."""
+    def get(self, cited: str, most: int = formats.GET_DEFAULT, root: str | None = None) -> dict:
+        """The bytes of a citation with its neighbours, of the revision it was made for. With the root of its directory also
+        what its file says now: source_state, hash_verification and cited_verification."""
         m = self.pin()
         c = parse_citation(cited)
         if not 1 <= most <= formats.GET_MAX:
             raise EvidenceError("invalid_bound")
         if c["index_id"] != m["meta"]["index_id"] or c["source_id"] != m["meta"]["source_id"]:
             raise EvidenceError("scope_denied")
-        if self.table("heads", m).where(F.col("document_id") == c["document_id"]).isEmpty():
+        head = self.table("heads", m).where(F.col("document_id") == c["document_id"]).first()
+        if head is None:
             raise EvidenceError("scope_denied")
         v = self.table("versions", m).where((F.col("document_id") == c["document_id"]) & (F.col("revision_sha256") == c["revision"])).first()
         if v is None:
@@ -331,7 +484,19 @@ class Engine:
         r = self.table("blobs", m).where(F.col("body_sha256") == v["body_sha256"]).select((F.sha2("body", 256) == F.col("body_sha256")).alias("whole"), part).first()
         if r is None or not r["whole"]:
             raise EvidenceError("corrupt")
-        return {"source_uri": v["source_uri"], "title": v["title"], "start": s, "end": e, "cited": (c["start"], c["end"]), "content": bytes(r["part"]).decode("utf-8"), "layout": chunker_fingerprint(v["chunk_kind"])}
+        seen = {} if root is None else self._seen(head, c["revision"], root, m)
+        return seen | {"source_uri": v["source_uri"], "title": v["title"], "start": s, "end": e, "cited": (c["start"], c["end"]), "content": bytes(r["part"]).decode("utf-8"), "layout": chunker_fingerprint(v["chunk_kind"])}
+
+    def _seen(self, head: Row, cited: str, root: str, m: dict) -> dict:
+        """What the file of a head says of it and of a cited revision."""
+        own = (F.col("document_id") == head["document_id"]) & (F.col("revision_sha256") == head["revision_sha256"])
+        now = self.table("versions", m).where(own).join(self.table("blobs", m).select("body_sha256", F.octet_length("body").alias("size")), "body_sha256").select("document_id", "revision_sha256", "body_sha256", "source_updated_at", "size")
+        target = now.withColumn("connector_key", F.lit(bytes(head["connector_key"])))
+        found = probe(target, root, verify=True).join(now.select("document_id", "revision_sha256"), "document_id")
+        state, same = F.col("state"), F.col("content_matches")
+        told = {"source_state": evidence.source_state(state, same), "hash_verification": evidence.hash_verification(state, same), "cited_verification": evidence.cited_verification(F.lit(cited), F.col("revision_sha256"), state, same)}
+        row = found.select(*(c.alias(k) for k, c in told.items())).first()
+        return dict.fromkeys(told, "missing_since_ingest") if row is None else row.asDict()  # a head without a revision is of a file that was gone
 
     def project(self) -> dict:
         meta = self.pin()["meta"]
@@ -357,9 +522,9 @@ class Engine:
         return out | {"health": health[: scopes.ISSUES], "key_bytes": keys["key_bytes"], "drift_possible": not keys["over_budget"]}
 
     def refresh(self, files, confirmed: snapshot.Confirmations = snapshot.Confirmations()) -> dict:
-        """Ingests the snapshot that files() gives, once; what was committed last stays readable whatever happens."""
+        """Ingests the snapshot that files() gives, a frame as filesystem.observe has it, once; what was committed last stays readable whatever happens."""
         try:
-            done = self.ingest(*files(), confirmed=confirmed)
+            done = self.ingest(files(), confirmed=confirmed)
         except Exception as error:  # whatever it is, the last generation is as it was
             return {"policy": "once_per_task", "state": "stale", "problem": scopes.truncated(f"{type(error).__name__}: {error}", 1024)}
         if done["state"] == "success":
@@ -388,18 +553,23 @@ class Engine:
         got = {(r["query_id"], r["source_uri"], r["content_sha256"]) for r in found.select("query_id", "source_uri", "content_sha256").collect()}
         return next((r["query"] for r in picked if (str(r["place"]), r["source_uri"], r["content_sha256"]) in got), None)
 
-    def drift(self, root: str, verify: bool = False) -> DataFrame:
-        """(document_id, state) of the active documents against the files under root, probed in tasks."""
-        from ..sources.drift import probe
-
+    def drift(self, root: str, verify: bool = False, deadline_ms: int | None = formats.DRIFT_DEADLINE_MS) -> DataFrame:
+        """(document_id, state, content_matches) of the active documents against the files under root, probed in tasks
+        within a time for each (None: however long it takes); unknown is what there was no time for."""
         m = self.pin()
         heads = self.table("heads", m).where("active")
         made = self.table("versions", m).join(self.table("blobs", m).select("body_sha256", F.octet_length("body").alias("size")), "body_sha256").select("document_id", "revision_sha256", "source_updated_at", "size")
-        return probe(heads.join(made, ["document_id", "revision_sha256"]), root, verify)
+        return probe(heads.join(made, ["document_id", "revision_sha256"]), root, verify, deadline_ms)
 
-    def doctor(self) -> DataFrame:
+    def _statistics(self, heads: DataFrame, sizes: DataFrame, meta: dict) -> DataFrame:
+        """What the manifest says of the active passages, where their sizes add up to something else."""
+        live = heads.where("active").select("document_id", "revision_sha256").join(sizes, ["document_id", "revision_sha256"])
+        found = live.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passages", "tokens")])
+        return found.where((F.col("passages") != meta["passages"]) | (F.col("tokens") != meta["tokens"]))
+
+    def doctor(self, manifest: dict | None = None) -> DataFrame:
         """(audit, detail) of every violation."""
-        m = self.pin()
+        m = manifest or self.pin()
         t = {n: self.table(n, m) for n in TABLES}
         changes = t["changes"]
         live = t["heads"].select("document_id", F.col("revision_sha256").alias("next"), F.when(F.col("active"), "active").otherwise("tombstoned").alias("next_state"), "generation_id")
@@ -410,7 +580,8 @@ class Engine:
             ("versions", scopes.missing_targets(t["versions"], t["blobs"], "body_sha256").select("document_id", "revision_sha256")), ("revisions", audit.revision_violations(t["versions"], t["blobs"])),
             ("layout_blobs", scopes.missing_targets(t["chunks"].select("body_sha256", "chunk_kind").distinct(), t["blobs"], "body_sha256")),
             ("generation_ids", scopes.generation_counts(t["generations"]).where("coalesce(last, 0) <> n")),
-            *((f"index_{n}", audit.parity(t[n], rows)) for n, rows in index_rows(t["versions"], t["chunks"]).items()),
+            *((f"index_{n}", audit.parity(*((slices.unsliced(x) if n == "slices" else x) for x in (t[n], rows)))) for n, rows in index_rows(t["versions"], t["chunks"]).items()),
+            ("statistics", self._statistics(t["heads"], t["sizes"], m["meta"])),
         ]
         out = None
         for name, rows in found:
@@ -420,17 +591,32 @@ class Engine:
 
 
 def index_rows(versions: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-    """The index tables' rows for the passages of versions: entries with token counts and blooms, postings in order of
-    term, so that a scan for a term skips most of a file, and literals. A term that most passages hold is split by range."""
+    """The index tables' rows for the passages of versions: entries with token counts, postings and literals in order of
+    term, so that a scan for a term skips most of a file, sizes, and the blooms' slices. A term that most passages hold is
+    split by range."""
     rows = versions.select("document_id", "revision_sha256", "body_sha256", "chunk_kind", "source_uri", "title").join(chunks, ["body_sha256", "chunk_kind"])
-    indexed = retrieval.index_fields(rows)
     size = sum((F.size(n) for n in retrieval.FIELDS), F.lit(0)).alias("len")
-    entries = indexed.select(*PASSAGE, "start_byte", "end_byte", "content_sha256", size, quote_bloom_column(F.col("body_text")).alias("bloom"))
-    postings = indexed.select(*PASSAGE, F.explode(F.concat(*retrieval.FIELDS)).alias("term")).groupBy("term", *PASSAGE).agg(F.count(F.lit(1)).alias("f"))
-    literals = rows.select(*PASSAGE, F.inline(passage_literals(F.col("title"), F.col("source_uri"), F.col("body_text"))))
-    by_range = lambda df, key: df.repartitionByRange(key, *PASSAGE).sortWithinPartitions(key, *PASSAGE)
-    order = {n: [f.split()[0] for f in ddl.split(", ")] for n, ddl in INDEX.items()}
-    return {"entries": entries.select(order["entries"]), "postings": by_range(postings, "term").select(order["postings"]), "literals": by_range(literals, "literal").select(order["literals"])}
+    indexed = retrieval.index_fields(rows).select("*", size)
+    entries = indexed.select(*PASSAGE, "start_byte", "end_byte", "content_sha256", "len")
+    postings = indexed.select(*PASSAGE, "start_byte", "len", F.explode(F.concat(*retrieval.FIELDS)).alias("term")).groupBy("term", *PASSAGE, "start_byte", "len").agg(F.count(F.lit(1)).alias("f"))
+    literals = rows.select(*PASSAGE, "start_byte", F.inline(passage_literals(F.col("title"), F.col("source_uri"), F.col("body_text"))))
+    sizes = entries.groupBy("document_id", "revision_sha256").agg(F.count(F.lit(1)).cast("int").alias("passages"), F.sum("len").alias("tokens"))
+    bits = slices.sliced(rows.select(*PASSAGE, quote_bloom_column(F.col("body_text")).alias("bloom")))
+    made = {"entries": entries, "postings": postings, "literals": literals, "sizes": sizes, "slices": bits}
+    return {n: _ordered(n, df.select([f.name for f in _fields(INDEX[n])])) for n, df in made.items()}
+
+
+def _fields(ddl: str):
+    return StructType.fromDDL(ddl)
+
+
+#: Tables that are written in order of a column, so that a scan for a value skips most of a file.
+ORDERED = {"postings": ["term", *PASSAGE], "literals": ["literal", *PASSAGE], "slices": ["bit", "block"]}
+
+
+def _ordered(name: str, rows: DataFrame) -> DataFrame:
+    keys = ORDERED.get(name)
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else rows
 
 
 def _parses(text: str) -> bool:

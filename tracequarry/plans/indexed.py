@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import citation
-from ..operators import audit, evidence, retrieval, snapshot
+from ..functions.text import parse_query
+from ..operators import audit, budget, evidence, retrieval, snapshot
 from ..sources import filesystem
 from . import catalog
 from .engine import Engine
@@ -60,7 +61,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     p = catalog.load(spark, sf_dir, "pages")
     first = d.where("lang <> 'es'").select(*_files(old, was)).unionByName(p.select(*_files(F.concat(F.lit("pages/"), F.col("page_id").cast("string")), F.col("url"))))
     gone = d.where("lang <> 'es'").where(F.octet_length("body") % 50 == 0).select(old.cast("binary").alias("connector_key"))
-    now, bad = d.where(~F.col("lang").eqNullSafe("it")), F.octet_length(key) % 10 == 9
+    now, bad = d.where(~F.col("lang").eqNullSafe("it")), F.octet_length(key) % 10 == 1
     failures = now.where(bad).select(key.cast("binary").alias("connector_key"), F.lit("io").alias("code"), F.lit("unreadable").alias("detail"))
     return first, gone, now.where(~bad).select(*_files(key, F.col("body"))), failures
 
@@ -78,6 +79,19 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, _ENGINES[own])
 
 
+def short_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An index of the documents that are one passage each (1 to 1,200 bytes), so that SQL knows its passages."""
+    own = (spark.sparkContext.applicationId, f"{sf_dir} short")
+    if own not in _ENGINES:
+        e = Engine.create(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+        d = catalog.load(spark, sf_dir, "documents").where(F.octet_length("text").between(1, 1200))
+        key = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+        e.ingest(d.select(*_files(key, F.col("text"))))
+        _ENGINES[own] = e.store.path
+    return Engine(spark, _ENGINES[own])
+
+
+_SHORT = lambda sql: sql.replace("FROM documents)", "FROM documents WHERE strlen(text) BETWEEN 1 AND 1200)")
 _FINAL = catalog._PRIOR + """, fin AS (SELECT key, CASE WHEN status IN ('unchanged', 'carried') THEN 1 ELSE 3 END AS generation_id, status <> 'tombstoned' AS active, status FROM fate WHERE status <> 'failed'
           UNION ALL SELECT key, 2, false, 'inactive' FROM heads WHERE NOT active AND key NOT IN (SELECT key FROM ready)),
 now AS (SELECT fin.*, CASE WHEN status IN ('unchanged', 'changed', 'renamed', 'reactivated', 'new') THEN r.hash WHEN status = 'carried' THEN h.hash END AS hash FROM fin LEFT JOIN ready r USING (key) LEFT JOIN heads h USING (key))"""
@@ -170,7 +184,7 @@ def index_postings(spark, sf_dir):
     return e.table("postings", m).join(short, ["document_id", "revision_sha256"]).select("source_uri", "term", "f")
 
 
-AUDITS = ["replay", "heads", "orphan_heads", "generations", "blobs", "chunks", "layouts", "versions", "revisions", "layout_blobs", "generation_ids", "index_entries", "index_postings", "index_literals"]
+AUDITS = ["replay", "heads", "orphan_heads", "generations", "blobs", "chunks", "layouts", "versions", "revisions", "layout_blobs", "generation_ids", "index_entries", "index_postings", "index_literals", "index_sizes", "index_slices", "statistics"]
 
 
 @query(f"SELECT unnest({AUDITS!r}) AS audit, 0::BIGINT AS violations")
@@ -182,13 +196,75 @@ def index_doctor(spark, sf_dir):
     return names.join(found, "audit", "full_outer").select("audit", F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
+@query(_SHORT(catalog._BM25) + " SELECT query_id, uri AS source_uri, round(c.score, 9) AS score FROM c JOIN need USING (query_id, k) JOIN d USING (doc_id)")
+def index_scores(spark, sf_dir):
+    """Scores from the stored postings and the sums that commits have kept."""
+    e = short_engine(spark, sf_dir)
+    m = e.pin()
+    heads = e.table("heads", m).where("active")
+    found = e._scores(e._heads(m), retrieval.query_terms(catalog.SEARCHES), m, False)
+    return found.join(heads.select("document_id", "source_uri"), "document_id").select("query_id", "source_uri", F.round("score", 9).alias("score"))
+
+
+@query(_SHORT(f"WITH {catalog._D}, {catalog._EXACT} SELECT query_id, uri AS source_uri, matched_atoms::INTEGER AS matched_atoms, matched_bytes::INTEGER AS matched_bytes, fallback FROM ex JOIN d USING (doc_id)"))
+def index_matches(spark, sf_dir):
+    """Every passage that holds an atom, found by the sliced blooms, titles and URIs."""
+    e = short_engine(spark, sf_dir)
+    m = e.pin()
+    atoms = sorted({t for q in catalog.SEARCHES.values() for t, _ in parse_query(q).atoms})
+    near = e._texts(e._near(e._heads(m), atoms, m), m)
+    found = retrieval.exact_matches(near, catalog.SEARCHES).join(near.select(*retrieval.IDENTITY, "source_uri"), retrieval.IDENTITY)
+    return found.select("query_id", "source_uri", "matched_atoms", "matched_bytes", "fallback")
+
+
+@query(
+    _SHORT(f"WITH {catalog._D}, {catalog._LITS}, a(query_id, atom) AS (VALUES ('x1', 'mail7.example.com'), ('x1', '1.txt'), ('x2', '7.txt')), l AS (SELECT DISTINCT doc_id, x.literal AS literal FROM (SELECT doc_id, unnest(p) AS x FROM pl)) ")
+    + "SELECT query_id, uri AS source_uri, count(*)::BIGINT AS n FROM a JOIN l ON literal = atom JOIN d USING (doc_id) GROUP BY ALL"
+)
+def index_identifiers(spark, sf_dir):
+    """Passages whose stored literals equal identifiers of queries, without a scan of entries or texts."""
+    e = short_engine(spark, sf_dir)
+    m = e.pin()
+    asked = {"x1": "mail7.example.com 1.txt", "x2": "7.txt"}
+    live = e.table("literals", m).join(e._heads(m), ["document_id", "revision_sha256"])
+    found = budget.identifier_candidates(live, asked, None).join(e._heads(m).select("document_id", "source_uri"), "document_id")
+    return found.select("query_id", "source_uri", F.col("n").cast("long").alias("n"))
+
+
+def damaged(e: Engine, m: dict) -> dict:
+    """A manifest whose bodies, generations, heads and statistics are not what the others say; it is not committed."""
+    def changed(name, rows):
+        return {name: e.store.put(rows.select(e.table(name, m).columns), f"damaged-{name}") | {"schema": m["tables"][name]["schema"]}}
+
+    blobs = e.table("blobs", m).withColumn("body", F.when(F.octet_length("body") % 7 == 3, F.concat("body", F.lit(b"!"))).otherwise(F.col("body")))
+    again = e.table("generations", m).unionByName(e.table("generations", m).where("id = 1").withColumn("id", F.lit(9).cast("long")))
+    moved = e.table("heads", m).withColumn("generation_id", F.when(F.octet_length("connector_key") % 3 == 0, F.col("generation_id") + 1).otherwise(F.col("generation_id")))
+    tables = m["tables"] | changed("blobs", blobs) | changed("generations", again) | changed("heads", moved)
+    return {"meta": m["meta"] | {"tokens": m["meta"]["tokens"] + 1}, "tables": tables}
+
+
+@query(
+    f"WITH {_FINAL}, b AS (SELECT CASE WHEN lang = 'de' THEN body || 'x' ELSE body END AS body FROM d WHERE lang <> 'es' UNION SELECT url FROM pages UNION SELECT body FROM d JOIN ready ON ready.doc_id = d.doc_id), "
+    "h AS (SELECT DISTINCT sha256(body) AS hash FROM b WHERE strlen(body) % 7 = 3), v AS (SELECT DISTINCT key, hash FROM (SELECT key, hash FROM heads UNION SELECT key, hash FROM ready)) "
+    "SELECT 'blobs' AS audit, count(*) AS violations FROM h UNION ALL SELECT 'revisions', count(*) FROM v SEMI JOIN h USING (hash) UNION ALL SELECT 'heads', count(*) FROM now WHERE strlen(key) % 3 = 0 "
+    "UNION ALL VALUES ('generations', 1), ('generation_ids', 1), ('statistics', 1), ('replay', 0), ('versions', 0), ('index_postings', 0), ('index_slices', 0)"
+)
+def index_damage(spark, sf_dir):
+    """What the audits tell of an index with planted damage: changed bodies, a generation too many,
+    heads of a wrong generation and a wrong sum."""
+    e = engine(spark, sf_dir)
+    names = ["blobs", "revisions", "heads", "generations", "generation_ids", "statistics", "replay", "versions", "index_postings", "index_slices"]
+    found = e.doctor(damaged(e, e.pin())).where(F.col("audit").isin(names)).groupBy("audit").agg(F.count(F.lit(1)).alias("violations"))
+    return spark.createDataFrame([(n,) for n in names], "audit string").join(found, "audit", "left").select("audit", F.coalesce("violations", F.lit(0)).alias("violations"))
+
+
 @query(f"SELECT unnest({sorted(catalog.SEARCHES)!r}) AS query_id, true AS same_hits")
 def index_search(spark, sf_dir):
     """Searches through the stored index, whose gate and guards are in the way, give the hits of a scan of all passages."""
     e = engine(spark, sf_dir)
     m = e.pin()
     plain = lambda df: df.select("query_id", "fused_rank", "hit", "duplicate_of", "reason", "document_id", "start_byte", "units", "exact_rank", "lexical_rank", F.round("score", 9).alias("score"), "stop_reason")
-    one, two = plain(e.find(catalog.SEARCHES, manifest=m)), plain(retrieval.search(e.passages(m), catalog.SEARCHES))
+    one, two = plain(e.find(catalog.SEARCHES, manifest=m, exhaustive=True)), plain(retrieval.search(e.passages(m), catalog.SEARCHES))
     differ = audit.parity(one, two).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     asked = spark.createDataFrame([(q,) for q in catalog.SEARCHES], "query_id string")
     return asked.join(differ, "query_id", "left").select("query_id", F.col("n").isNull().alias("same_hits"))
@@ -244,7 +320,7 @@ _TREE = "t AS (SELECT r_name || '.txt' AS key, r_name || chr(10) AS body, NULL::
 def directory_snapshot(spark, sf_dir):
     """What a walk of a tree finds, leaves out and refuses."""
     root = _tree(spark, sf_dir)
-    files, failures = filesystem.snapshot(spark, root, estimated=filesystem.estimate(root))
+    files, failures = filesystem.split(filesystem.observe(spark, root, estimated=filesystem.estimate(root)))
     names = [F.col(c) for c in ("source_uri", "title", "chunk_kind")]
     read = files.select(F.col("connector_key").cast("string").alias("key"), *names, F.sha2("body", 256).alias("body_sha256"), F.lit(None).cast("string").alias("code"))
     none = F.lit(None).cast("string")
@@ -258,7 +334,7 @@ def directory_snapshot(spark, sf_dir):
 def directory_drift(spark, sf_dir):
     """Indexed documents against a tree whose files have changed, gone, been touched or become links."""
     root, e = _tree(spark, sf_dir), Engine.create(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
-    e.ingest(*filesystem.snapshot(spark, root))
+    e.ingest(filesystem.observe(spark, root))
     for n in catalog.load(spark, sf_dir, "nation").collect():  # 25 files
         path = os.path.join(root, f"R{n['n_regionkey']}", f"n{n['n_nationkey']}.md")
         kind = n["n_nationkey"] % 5
@@ -271,7 +347,7 @@ def directory_drift(spark, sf_dir):
             os.remove(path)
             if kind == 4:
                 os.symlink(os.path.join(root, "bad.txt"), path)
-    seen = e.drift(root, verify=True).join(e.table("heads").select("document_id", "source_uri"), "document_id")
+    seen = e.drift(root, verify=True, deadline_ms=None).join(e.table("heads").select("document_id", "source_uri"), "document_id")
     return seen.select("source_uri", "state", "content_matches", evidence.source_state(F.col("state"), F.col("content_matches")).alias("source_state"))
 
 
@@ -279,7 +355,7 @@ def directory_drift(spark, sf_dir):
 def directory_get(spark, sf_dir):
     """Citations of a tree's files resolved to the bytes that were indexed, the files being gone."""
     root, e = _tree(spark, sf_dir), Engine.create(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
-    e.ingest(*filesystem.snapshot(spark, root))
+    e.ingest(filesystem.observe(spark, root))
     shutil.rmtree(root)
     m = e.pin()
     cited = citation(F.lit(m["meta"]["index_id"]), F.col("source_id"), F.col("document_id"), F.col("revision_sha256"), F.col("start_byte"), F.col("end_byte"))

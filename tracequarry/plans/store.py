@@ -63,9 +63,9 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in entry["files"]])
 
-    def put(self, df: DataFrame, name: str) -> dict:
-        """Writes df as a new folder; it belongs to no generation until a manifest names it."""
-        folder = f"data/{name}/{uuid.uuid4().hex}"
+    def put(self, df: DataFrame, name: str, level: int = 0) -> dict:
+        """Writes df as a new folder; it belongs to no generation until a manifest names it. level is how often its rows have been merged."""
+        folder = f"data/{name}/{level}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
         return {"files": [folder], "schema": df.schema.json()}
 
@@ -86,8 +86,29 @@ class Store:
         """Deletes a folder that no manifest names."""
         self._fs.delete(self._path(f"{self.path}/{folder}"), True)
 
-    def size(self) -> int:
-        return int(self._fs.getContentSummary(self._path(self.path)).getLength())
+    @staticmethod
+    def level(folder: str) -> int:
+        return int(folder.rsplit("/", 1)[-1].split("-")[0])
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes all manifests but the last keep, and the folders that none of these names; how many. Readers of
+        older generations lose them."""
+        known = self.versions()
+        named = {f for v in known[-keep:] for t in self.manifest(v)["tables"].values() for f in t["files"]}
+        for v in known[:-keep]:
+            self.remove(f"manifests/{v:012d}.json")
+        root, gone = self._path(f"{self.path}/data"), 0
+        for table in self._fs.listStatus(root) if self._fs.exists(root) else []:
+            for folder in self._fs.listStatus(table.getPath()):
+                name = f"data/{table.getPath().getName()}/{folder.getPath().getName()}"
+                if name not in named:
+                    self.remove(name)
+                    gone += 1
+        return gone
+
+    def size(self, folder: str | None = None) -> int:
+        """Bytes of the store, or of one of its folders."""
+        return int(self._fs.getContentSummary(self._path(f"{self.path}/{folder}" if folder else self.path)).getLength())
 
     def free(self) -> int:
         return int(self._fs.getStatus().getRemaining())

@@ -6,6 +6,7 @@ include, exclude, sensitive, default and .gitignore rules, and aborts when a bud
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import re
 import stat
@@ -127,68 +128,102 @@ def path_rules(path: Column) -> dict[str, Column]:
 
 @dataclass
 class Walk:
-    files: list[tuple] = field(default_factory=list)  # (key, path, size, mtime_ns)
+    files: list[tuple] = field(default_factory=list)  # (key, size, mtime_ns)
     issues: list[tuple] = field(default_factory=list)  # (key, code, detail)
     total: int = 0
 
 
+_FOLDER = os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW
+
+
+def open_root(root: str) -> int:
+    """A descriptor of the root folder, opened name by name from / on, none of which may be a link."""
+    top = os.open("/", _FOLDER)
+    try:
+        return open_below(top, [p for p in os.path.abspath(root).split("/") if p], _FOLDER)
+    except OSError as error:
+        raise DiscoveryError("root_unreadable", root) from error
+    finally:
+        os.close(top)
+
+
+def open_below(folder: int, parts: list, flags: int) -> int:
+    """A descriptor of what parts name below an open folder, each opened relative to the one before and never
+    through a link, so that a folder that is replaced by a link meanwhile leads nowhere else."""
+    held = os.dup(folder)
+    for k, name in enumerate(parts):
+        try:
+            following = os.open(name, flags if k == len(parts) - 1 else _FOLDER, dir_fd=held)
+        finally:
+            os.close(held)
+        held = following
+    return held
+
+
+def may_match_below(pattern: str, folder: str) -> bool:
+    """Whether a path below folder can match an include, name by name; ** stands for any names."""
+
+    def fits(names: list[str], parts: list[str]) -> bool:
+        if not parts or not names:
+            return bool(names)
+        return names[0] == "**" or (fnmatch.fnmatchcase(parts[0], names[0]) and fits(names[1:], parts[1:]))
+
+    return fits([n for n in pattern.split("/") if n], folder.split("/"))
+
+
 def walk(root: str, options: Options = Options()) -> Walk:
-    """Names of a tree's documents, in byte order."""
-    part = os.path.sep
-    for name in os.path.abspath(root).split(os.path.sep):
-        part = os.path.join(part, name)
-        if os.path.islink(part):
-            raise DiscoveryError("root_unreadable", part)
-    if not os.path.isdir(root):
-        raise DiscoveryError("root_unreadable", root)
+    """Names of a tree's documents, in byte order. Folders are opened relative to their parents' descriptors."""
     out, seen = Walk(), [0, 0]
     excludes, includes = Ignore(list(options.excludes)), Ignore(list(options.includes))
 
-    def may_descend(path: str) -> bool:
-        return any(p.lstrip("/").startswith((path + "/", "**/")) or p.lstrip("/") in ("**", "**/*") for p in options.includes)
-
     def left_out(path: str, is_dir: bool, stack: list[Ignore]) -> bool:
-        if excludes.matched(path, is_dir):
-            return True
-        wanted = bool(includes.matched(path, is_dir)) or (is_dir and may_descend(path))
-        if options.includes and not wanted:
-            return True
-        if sensitive(path) and not (wanted and options.allow_sensitive):
-            return True
-        if wanted:
-            return False
-        if default_excluded(path, is_dir):
-            return True
-        return next((m for s in reversed(stack) if (m := s.matched(path, is_dir)) is not None), False)
-
-    def visit(folder: str, relative: str, depth: int, stack: list[Ignore]) -> None:
+        """The first rule that holds decides; then the innermost .gitignore with an opinion."""
+        wanted = bool(includes.matched(path, is_dir)) or (is_dir and any(may_match_below(p, path) for p in options.includes))
+        rules = (
+            (excludes.matched(path, is_dir), True),
+            (options.includes and not wanted, True),
+            (sensitive(path) and not (wanted and options.allow_sensitive), True),
+            (wanted, False),
+            (default_excluded(path, is_dir), True),
+        )
+        opinions = (m for s in reversed(stack) if (m := s.matched(path, is_dir)) is not None)
+        return next((verdict for holds, verdict in rules if holds), next(opinions, False))
+
+    def ignore_file(folder: int, relative: str) -> list[Ignore]:
+        try:
+            fd = os.open(".gitignore", os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK, dir_fd=folder)
+        except OSError:
+            return []
+        with os.fdopen(fd, encoding="utf-8", errors="surrogateescape") as f:
+            info = os.fstat(f.fileno())
+            if not stat.S_ISREG(info.st_mode):
+                return []
+            if info.st_size > 1 << 20:
+                raise DiscoveryError("ignore_file_too_large", relative)
+            return [Ignore(f.readlines(), relative)]
+
+    def visit(folder: int, relative: str, depth: int, stack: list[Ignore]) -> None:
         if depth > options.max_depth:
             raise DiscoveryError("depth_budget", relative)
         seen[1] += 1
         if seen[1] > options.max_directories:
             raise DiscoveryError("directory_budget", relative)
-        before = os.lstat(folder)
-        names = sorted(os.listdir(os.fsencode(folder)))
+        before = os.fstat(folder)
+        names = sorted(map(os.fsencode, os.listdir(folder)))
         if len(names) > options.max_entries_per_directory:
             raise DiscoveryError("directory_entries_budget", relative)
         seen[0] += len(names)
         if seen[0] > options.max_entries:
             raise DiscoveryError("entry_budget", relative)
-        ignore = os.path.join(folder, ".gitignore")
-        if os.path.isfile(ignore) and not os.path.islink(ignore):
-            if os.path.getsize(ignore) > 1 << 20:
-                raise DiscoveryError("ignore_file_too_large", relative)
-            with open(ignore, encoding="utf-8", errors="surrogateescape") as f:
-                stack = [*stack, Ignore(f.readlines(), relative)]
-        after = os.lstat(folder)
-        if (before.st_dev, before.st_ino, before.st_mtime_ns) != (after.st_dev, after.st_ino, after.st_mtime_ns) or not stat.S_ISDIR(after.st_mode):
+        stack = [*stack, *ignore_file(folder, relative)]
+        after = os.fstat(folder)
+        if (before.st_dev, before.st_ino, before.st_mtime_ns) != (after.st_dev, after.st_ino, after.st_mtime_ns):
             raise DiscoveryError("directory_changed", relative)
         for raw in names:
             name = os.fsdecode(raw)
             path = f"{relative}/{name}" if relative else name
-            full = os.path.join(folder, name)
             try:
-                info = os.lstat(full)
+                info = os.stat(name, dir_fd=folder, follow_symlinks=False)
             except OSError:
                 out.issues.append((os.fsencode(path), "unreadable", "the entry can't be read"))
                 continue
@@ -196,7 +231,14 @@ def walk(root: str, options: Options = Options()) -> Walk:
             if not (is_dir or stat.S_ISREG(info.st_mode)) or name == ".gitignore" or left_out(path, is_dir, stack):
                 continue
             if is_dir:
-                visit(full, path, depth + 1, stack)
+                try:
+                    inner = os.open(name, _FOLDER, dir_fd=folder)
+                except OSError as error:  # no folder any more, or not to be read
+                    raise DiscoveryError("directory_unreadable", path) from error
+                try:
+                    visit(inner, path, depth + 1, stack)
+                finally:
+                    os.close(inner)
             elif formats.chunk_kind(path):
                 if info.st_size > options.max_file_bytes:
                     out.issues.append((os.fsencode(path), "oversize", f"{info.st_size} bytes"))
@@ -204,9 +246,13 @@ def walk(root: str, options: Options = Options()) -> Walk:
                 out.total += info.st_size
                 if len(out.files) >= options.max_files or out.total > options.max_bytes:
                     raise DiscoveryError("source_budget", path)
-                out.files.append((os.fsencode(path), full, info.st_size, info.st_mtime_ns))
+                out.files.append((os.fsencode(path), info.st_size, info.st_mtime_ns))
 
-    visit(root, "", 0, [])
+    top = open_root(root)
+    try:
+        visit(top, "", 0, [])
+    finally:
+        os.close(top)
     out.files.sort()
     out.issues.sort()
     return out
@@ -221,37 +267,44 @@ FILES = "connector_key binary, source_uri string, title string, chunk_kind strin
 FAILURES = "connector_key binary, code string, detail string"
 
 
-def snapshot(spark: SparkSession, root: str, options: Options = Options(), estimated: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, failures). Bodies are read in tasks; a file that changed, vanished, is no UTF-8 or holds
-    NUL is a failure. The root must be a path that all executors see. estimated is what estimate() gave: a
-    tree that has grown beyond it since is refused."""
+def observe(spark: SparkSession, root: str, options: Options = Options(), estimated: dict | None = None) -> DataFrame:
+    """A row for each file below root: a document, or with code and detail a failure. Bodies are read in tasks; a file
+    that changed, vanished, is no UTF-8 or holds NUL is a failure. Every reading of the frame reads the files again, so
+    documents and failures belong together only within one; Engine.ingest stages one.
+
+    The root must be a path that all executors see. estimated is what estimate() gave: a tree that has grown
+    beyond it since is refused."""
     from ..functions.hashing import display_title
 
     found = walk(root, options)
     if estimated is not None and (len(found.files) > estimated["files"] or found.total > estimated["bytes"]):
         raise DiscoveryError("estimate_exceeded", f"{len(found.files)} files of {found.total} bytes")
-    rows = [(k, p, n, t) for k, p, n, t in found.files]
-    listed = spark.createDataFrame(rows, "connector_key binary, path string, size long, mtime_ns long")
+    listed = spark.createDataFrame(found.files, "connector_key binary, size long, mtime_ns long")
 
     def read(batches):
         for pdf in batches:
-            out = []
-            for key, path, size, mtime in pdf.itertuples(index=False):
-                body, code = _read(path, size, mtime)
+            out, top = [], open_root(root)
+            for key, size, mtime in pdf.itertuples(index=False):
                 key = bytes(key)
-                out.append((key, source_uri(key), display_title(key), formats.chunk_kind(path), body, format_mtime(mtime), code))
+                body, code = _read(top, key, size, mtime)
+                out.append((key, source_uri(key), display_title(key), formats.chunk_kind(os.fsdecode(key)), body, format_mtime(mtime), code))
+            os.close(top)
             yield pd.DataFrame(out, columns=["connector_key", "source_uri", "title", "chunk_kind", "body", "source_updated_at", "code"])
 
-    read_rows = listed.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism))).mapInPandas(read, FILES + ", code string")
-    files = read_rows.where("code is null").drop("code")
-    bad = read_rows.where("code is not null").select("connector_key", "code", F.concat(F.lit("the file is "), "code").alias("detail"))
-    return files, bad.unionByName(spark.createDataFrame(found.issues, FAILURES))
+    read_rows = listed.repartition(max(1, min(len(found.files), spark.sparkContext.defaultParallelism))).mapInPandas(read, FILES + ", code string")
+    observed = read_rows.withColumn("detail", F.when(F.col("code").isNotNull(), F.concat(F.lit("the file is "), "code")))
+    return observed.unionByName(spark.createDataFrame(found.issues, FAILURES), allowMissingColumns=True)
+
+
+def split(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of one reading."""
+    return observed.where("code IS NULL").drop("code", "detail"), observed.where("code IS NOT NULL").select("connector_key", "code", "detail")
 
 
-def _read(path: str, size: int, mtime: int) -> tuple[bytes | None, str | None]:
+def _read(top: int, key: bytes, size: int, mtime: int) -> tuple[bytes | None, str | None]:
     for _ in range(2):  # once more if it changes meanwhile
         try:
-            fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW)
+            fd = open_below(top, key.split(b"/"), os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
             with os.fdopen(fd, "rb") as f:
                 body = f.read()
                 info = os.fstat(f.fileno())
