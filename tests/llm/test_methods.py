@@ -239,7 +239,7 @@ def test_lines_count_distinct_documents(spark):
     line = " ".join(f"notice{chr(97 + i)}" for i in range(24))
     rows = [(i // 3, f"{line}\nown{i // 3}", "h") for i in range(30)] + [(100 + i, f"{line}\nown{i}", "g") for i in range(12)] + [(None, line, "n")] * 40
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {(r.doc_id, r.n_line_words_removed) for r in line_quality.quality_report(docs, limit=10).collect()}
+    got = {(r.doc_id, r.n_line_words_removed) for r in line_quality.quality_report(docs, 10, 0).collect()}
     assert {x for i, x in got if i is not None and i < 100} == {0} and {x for i, x in got if i is not None and i >= 100} == {24} and (None, 0) in got
 
 
@@ -311,6 +311,44 @@ def test_language_sample_is_bounded(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = collections.Counter(r.lang for r in langid.training_rows(d, F.lit(True), 300).collect())
     assert 200 < got["en"] < 400 and got["fr"] == 40 and set(got) == {"en", "fr"}
+    repeated = d.limit(0).unionByName(spark.createDataFrame([(1, "same", "en")] * 2000 + [(i, f"text {i}", "en") for i in range(2, 42)], d.schema))
+    assert langid.training_rows(repeated, F.lit(True), 100).count() == 41  # 41 documents, whatever their rows
+    some = langid.training_rows(spark.createDataFrame([(i, "x" * 1000, "en") for i in range(1000)], d.schema), F.lit(True), 1000, 100_000)
+    assert 50 < some.count() < 200
+
+
+def test_training_like_plain_descent():
+    """The averaged table's scores against embeddings averaged and classified one row at a time."""
+    texts, langs = ["abc abd", "xyz xyw", "abd abc abe", "xyw xyz", "abe", "xyv"] * 5, ["a", "x"] * 15
+    model = langid.train(texts, langs)
+    labels = sorted(set(langs))
+    assert model.labels == labels
+    order = np.random.default_rng(langid.SEED).permutation(len(texts))
+    used = order[len(order) // 5 :]
+    embed, out, bias = langid.descend([langid.bag(t) for t in texts], np.array([labels.index(x) for x in langs]), 2, used, _after(langid.SEED, len(texts)))
+    for t in texts[:6]:
+        ids, w = langid.bag(t)
+        raw = (w @ embed[ids]) @ out + bias
+        p = np.exp((raw - raw.max()) / model.temperature)
+        lang, score = model.predict(t)
+        assert lang == labels[int(p.argmax())] == t[0] and abs(score - p.max() / p.sum()) < 1e-4
+
+
+def _after(seed, n):
+    rng = np.random.default_rng(seed)
+    rng.permutation(n)
+    return rng
+
+
+def test_many_items_in_little_memory(monkeypatch):
+    """Groups of passages change no result."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, f"{' '.join(rng.choices(words, k=12))}? {' '.join(rng.choices(words, k=3))}") for k in range(300)]
+    texts = [" ".join(rng.choices(words, k=80)) + " " + items[k][1] for k in range(40)]
+    whole = decontam.Index(items).matches(texts)
+    monkeypatch.setattr(decontam, "WORK", 500)
+    assert decontam.Index(items).matches(texts) == whole and sum(map(len, whole)) >= 40
 
 
 # --- SentencePiece ---

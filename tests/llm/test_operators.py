@@ -262,7 +262,14 @@ def test_shards_change_no_score(spark):
 def test_html_blocks():
     b = host_suffix.blocks
     assert b('<div class="ad">x</div><article><p>k<br>l <i>m</i>&amp;&#33;<form>f</form></p><div class=comments><p>c</p></div></article><footer>f') == [(True, "k l m&!")]
-    assert b("<nav>open<article>in</article>") == [(True, "in")] and b("<script>'<p>x'</script>y") == [(False, "y")]
+    assert b("<nav>open<article>in</article>") == [(True, "in")] and b("<article><nav>m<p>in</article>") == [(True, "m"), (True, "in")] and b("<article><p>in<nav>torn") == [(True, "in")]
+    assert b('<div id="wrapper" class="has-sidebar"><p>Hello</p></div>') == b('<div class="no-sidebar"><p>Hello</p></div>') == [(False, "Hello")]
+    assert b("<!--><p>first</p><!-- x --><p>second</p><!---><p>third</p><!-- y --!>z") == [(False, "first"), (False, "second"), (False, "third"), (False, "z")]
+    assert b("<nav><a>m</a><p>text") == [(False, "m"), (False, "text")] and b("<nav><nav>m</nav></nav><p>text") == [(False, "text")]
+    for kind in ("reader-comments", "user-comments", "related-articles", "comments"):
+        assert b(f'<article><p>k</p><div class="{kind}"><p>c</p></div></article>') == [(True, "k")]
+    assert b('<article><header>h</header><p>k</p><p class="share price">s</p></article>') == [(True, "k"), (True, "s")]
+    assert b("<script>'<p>x'</script>y") == [(False, "y")]
 
 
 def test_host_boilerplate(spark):
@@ -330,7 +337,7 @@ def test_short_lines_recur(spark):
     docs = documents(spark, texts)
     left = {r.doc_id: r.text for r in corpus_pipeline.recurring_lines(spark, docs, SF_DIR).collect()}
     assert left == {0: texts[0]} | {i: t.replace("And ornd.\n", "").replace("Les.\n", "") for i, t in enumerate(texts) if i}
-    assert {r.n_dropped for r in line_templates.dedup_report(docs).collect()} == {0}  # as the SQL has it
+    assert {(r.doc_id == 0, r.n_lines, r.n_dropped) for r in line_templates.dedup_report(docs).collect()} == {(True, 7, 0), (False, 7, 2)}
 
 
 def test_frequent_lines_go(spark):
@@ -343,8 +350,8 @@ def test_frequent_lines_go(spark):
             own = " ".join(f"{host}{chr(0x4E00 + i)}word{chr(0x4E00 + k)}" for k in range(5 if i % 3 == 0 else 40))
             rows.append((len(rows), f"{own}\n{line}", "en", host, 0, 0.0, ""))
     docs = spark.createDataFrame(rows, COLUMNS)
-    for limit, hosts in ((line_quality.LINE_LIMIT, {"large"}), (11, {"large", "even", "small", None}), (12, {"large", "even"})):
-        got = {r.doc_id: (r.n_words, r.n_line_words_removed, r.base_failed, r.kept) for r in line_quality.quality_report(docs, limit).collect()}
+    for limit, hosts in (((50, 0), {"large"}), ((11, 0), {"large", "even", "small", None}), ((12, 99), {"large", "even"}), ((12, 100), set()), ((), {"large", "even", "small", None})):
+        got = {r.doc_id: (r.n_words, r.n_line_words_removed, r.base_failed, r.kept) for r in line_quality.quality_report(docs, *limit).collect()}
         want = {}
         for k, text, _, host, *_ in rows:
             n, lost = len(text.split()), 25 if host in hosts else 0
@@ -397,6 +404,16 @@ def test_stages_on_odd_tables(spark, stage):
     import corpus_pipeline
 
     _, f = corpus_pipeline.STAGES[stage]
-    d = odd_documents(spark).where("doc_id is not null")
-    assert f(spark, d, SF_DIR).count() >= 6
+    clash = ["drops", "_lines", "n_lines", "n_dropped", "n_dropped_", "batch", "part", "leaf", "component", "size", "toxic", "predicted", "lines"]
+    d = odd_documents(spark).select("*", *(F.lit(k).alias(c) for k, c in enumerate(clash)))
+    out = f(spark, d, SF_DIR)
+    if stage < 4:
+        assert out.dtypes == d.dtypes
+    rows = out.collect()
+    kept = {r.doc_id for r in rows}
+    assert {2, 3, 4, 6, 7, 8} <= kept and (stage == 2 or 5 in kept) and len(rows) >= 7
+    if stage < 4:
+        assert all([r[c] for c in clash] == [*range(len(clash))] for r in rows)
+        want = {(r.doc_id, r.text) for r in d.collect()}
+        assert {(r.doc_id, r.text) for r in rows} <= want and (None, "no id here") in {(r.doc_id, r.text) for r in rows}
     assert f(spark, d.limit(0), SF_DIR).count() == 0

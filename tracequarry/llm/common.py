@@ -26,6 +26,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP_PATTERN, -1), lambda w: w != "")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """names, with underscores behind while a column has them."""
+    out, taken = [], [t.lower() for t in taken]
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder. An unset one is chosen only where driver and executors are
     one process; on a cluster a folder of the driver's machine would be of no use to the executors."""

@@ -37,6 +37,8 @@ BLOCK = 4
 SHINGLE = 5
 QUESTION, ANSWER = 0.5, 0.6
 INDEX_CHARS = 8_000_000
+#: Sums of blocks, and summands, held at once: about 100 MB.
+WORK = 4_000_000
 #: ASCII other than letters and digits goes to a space.
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -96,12 +98,21 @@ class Index:
         self.parts = [question_and_answer(t) for _, t in self.items]
 
     def may_reach(self, passage: np.ndarray, term: np.ndarray, n: int, theta: float) -> np.ndarray:
-        """Numbers of the passages, of n, with a block whose summed maxima reach theta; rows are distinct (passage, term)."""
+        """Numbers of the passages, of n, with a block whose summed maxima reach theta; rows are distinct (passage, term) in
+        order of passage. Passages are taken together as long as they have at most WORK sums and summands."""
         sizes = self.block_start[term + 1] - self.block_start[term]
-        rows = np.repeat(np.arange(len(term)), sizes)
-        at = np.arange(len(rows)) - np.repeat(sizes.cumsum() - sizes, sizes) + self.block_start[term][rows]
-        sums = np.bincount(passage[rows] * self.n_blocks + self.block_id[at], self.block_top[at], n * self.n_blocks)
-        return np.flatnonzero((sums.reshape(n, self.n_blocks) >= theta - 1e-9).any(1))
+        work = np.bincount(passage, sizes + 0.0, n) + self.n_blocks
+        group = (work.cumsum() // WORK).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if n else np.zeros(1, np.int64)
+        found = []
+        for s, e in zip(edges, edges[1:]):
+            a, b = np.searchsorted(passage, [s, e])
+            own = sizes[a:b]
+            rows = np.repeat(np.arange(a, b), own)
+            at = np.arange(len(rows)) - np.repeat(own.cumsum() - own, own) + self.block_start[term[rows]]
+            sums = np.bincount((passage[rows] - s) * self.n_blocks + self.block_id[at], self.block_top[at], (e - s) * self.n_blocks)
+            found.append(np.flatnonzero((sums.reshape(e - s, self.n_blocks) >= theta - 1e-9).any(1)) + s)
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def wand(self, query: list[int], theta: float) -> list[tuple[int, float]]:
         """All (item number, score) of score theta or more, by block-max WAND over the query's postings."""
@@ -198,6 +209,16 @@ class Index:
         return found
 
 
+_HELD: list = []
+
+
+def _index(shared) -> Index:
+    """The index of a broadcast, built once in a worker."""
+    if not _HELD or _HELD[0] is not shared.value:
+        _HELD[:] = [shared.value, Index(*shared.value)]
+    return _HELD[1]
+
+
 def _bags(batches):
     for b in batches:
         bags = [terms(t) for t in b.column(1).to_pylist()]
@@ -231,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            index = Index(*shared.value)
+            index = _index(shared)
             for b in sliced(batches, 1, rows=400):
                 rows = [(d, index.items[i][0], *x) for d, own in zip(b.column(0).to_pylist(), index.matches(b.column(1).to_pylist(), theta)) for i, x in sorted(own.items())]
                 cols = list(zip(*rows)) or [()] * 5
@@ -249,7 +270,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, theta: float = THRE
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            index = Index(*shared.value)
+            index = _index(shared)
             for b in sliced(batches, at, rows=400):
                 yield b.filter(pa.array([not m for m in index.matches(b.column(at).to_pylist(), theta)], pa.bool_()))
 

@@ -39,17 +39,18 @@ PAGES = 3
 RAW = frozenset("script style noscript template textarea select svg iframe object math canvas audio video title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-GONE = frozenset("nav footer aside form head menu dialog button fieldset".split())
-GONE_OUTSIDE = frozenset("header".split())
+GONE = frozenset("nav header footer aside form head menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 MAIN_NAMES = frozenset("main article post story entry".split())
 _GONE_NAME = re.compile(r"(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|promo\w*|related|share|sharing|social|comments?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|widget|login|signup|search|disqus|complementary|contentinfo)", re.I)
 #: What a name may have beside it and still mean the same; other words beside it say more than it does inside an article.
-_PLAIN_NAME = re.compile(r"(?:box|area|bar|block|container|container-fluid|content|form|group|inner|item|items|links?|lists?|outer|panel|row|section|slot|thread|unit|wrap|wrapper|left|right|top|bottom|main-?nav|site|page|global|inline|small|large|js|clearfix|hidden|visible|\d+)", re.I)
+_PLAIN_NAME = re.compile(r"(?:box|area|bar|block|container|container-fluid|content|form|group|inner|item|items|links?|lists?|outer|panel|row|section|slot|thread|unit|wrap|wrapper|left|right|top|bottom|main-?nav|site|page|global|articles|posts|stories|news|readers?|users?|visitors?|inline|small|large|js|clearfix|hidden|visible|\d+)", re.I)
+#: A name that one of these begins tells of a wrapper how it is, not what it is.
+_STATE = re.compile(r"(?:has|no|with|without|is|not|show|hide)(?=[_-])", re.I)
 #: Attributes by the states of the format: a value is quoted only if it begins with the quote.
 _ATTRIBUTES = r"""(?>=\s*+(?:"[^"]*"|'[^']*'|[^\s"'<>][^\s<>]*+)?|[^=<>]++)*+"""
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>"
     r"|<(?P<raw>" + "|".join(sorted(RAW)) + rf")\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?=[\s/>]){_ATTRIBUTES})>",
     re.S | re.I,
@@ -58,7 +59,7 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']
 
 
 def gone(tag: str, rest: str, inside: bool) -> bool:
-    if tag in GONE or (tag in GONE_OUTSIDE and not inside):
+    if tag in GONE:
         return True
     if not rest or tag in ("html", "body", "main"):
         return False
@@ -68,7 +69,7 @@ def gone(tag: str, rest: str, inside: bool) -> bool:
 def gone_name(value: str, inside: bool) -> bool:
     """Whether a class, id or role names what goes. Outside an article one word of it is enough, unless the main
     text is named beside it; inside, all its words must be such names or plain additions, so that "share price" stays."""
-    words = re.split(r"[\s_-]+", value.strip())
+    words = [w for name in value.split() if not _STATE.match(name) for w in re.split(r"[_-]+", name)]
     named = [bool(_GONE_NAME.fullmatch(w)) for w in words]
     if not any(named):
         return False
@@ -77,6 +78,19 @@ def gone_name(value: str, inside: bool) -> bool:
     return MAIN_NAMES.isdisjoint(value.lower().split())
 
 
+def unclosed(pieces: list) -> set[int]:
+    """Numbers of the pieces that open an element and have no end tag of their own; the innermost one has the next."""
+    open_: dict[str, list[int]] = {}
+    for k, m in enumerate(pieces):
+        if tag := m.group("tag"):
+            own = open_.setdefault(tag.lower(), [])
+            if not m.group("end"):
+                own.append(k)
+            elif own:
+                own.pop()
+    return {k for own in open_.values() for k in own}
+
+
 def blocks(html: str | None) -> list[tuple[bool, str]]:
     """(inside article or main, text) of the page's blocks that structure alone doesn't remove."""
     found: list[tuple[bool, str]] = []
@@ -92,7 +106,11 @@ def blocks(html: str | None) -> list[tuple[bool, str]]:
 
     at = 0
     html = html or ""
-    for m in _PIECE.finditer(html):
+    pieces = list(_PIECE.finditer(html))
+    left_open = unclosed(pieces)
+    mains = [k for k, m in enumerate(pieces) if (m.group("tag") or "").lower() in MAIN and not m.group("end")]
+    torn = any(k in left_open for k in mains)  # the page ends within its main text
+    for k, m in enumerate(pieces):
         if not skip and m.start() > at:
             parts.append(html[at : m.start()])
         at = m.end()
@@ -111,7 +129,8 @@ def blocks(html: str | None) -> list[tuple[bool, str]]:
             if tag not in MAIN or inside or end or gone(tag, rest, inside > 0):
                 continue
             skip, depth = "", 0  # an article ends what was left open before it
-        if not end and tag not in VOID and gone(tag, rest, inside > 0):
+        endless = k in left_open and (not mains or (inside > 0 and not torn))  # nobody knows how far it reaches, so it takes nothing away
+        if not end and tag not in VOID and not endless and gone(tag, rest, inside > 0):
             if tag not in INLINE:
                 close()
             skip, depth = tag, 1

@@ -6,7 +6,8 @@ stochastic gradient descent in numpy. A temperature fitted on held-back rows cal
 probability, below which a prediction can be rejected.
 
 Training rows are bounded: of the LANGUAGES most frequent languages those doc_ids whose hash is in the
-share that gives about PER_LANGUAGE rows a language, and only texts of at most LEARNED_BYTES bytes.
+share that gives about PER_LANGUAGE documents a language and about SAMPLE_BYTES in all, and only texts of
+at most LEARNED_BYTES bytes.
 Every text is scored whole, in slices of bounded bytes, so very long texts need no more memory than
 themselves. Defined results: null texts and texts without a letter (Unicode category L) are `und` with
 score 0; rows that repeat a doc_id are scored each, and the least of their texts in a language is
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, sliced
 
-PER_LANGUAGE, LANGUAGES, LEARNED_BYTES = 1000, 500, 100_000
+PER_LANGUAGE, LANGUAGES, LEARNED_BYTES, SAMPLE_BYTES = 1000, 500, 100_000, 64_000_000
 #: Calibrated probability under which the report calls a prediction rejected.
 REJECTED = 0.5
 BUCKETS = 1 << 16
@@ -123,14 +124,18 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
     return Model(labels, np.ascontiguousarray(table.transpose(2, 0, 1)), bias.astype(np.float64), temperature)
 
 
-def training_rows(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, lang, text) of about per_language rows a language, all where there are no more, chosen by
-    hash of doc_id before any text moves; a language's rows are only counted."""
+def training_rows(docs: DataFrame, usable, per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, lang, text) of about per_language documents a language, all where there are no more, and of about
+    most_bytes in all, chosen by hash of doc_id before any text moves. A language's documents and bytes are only counted:
+    repeated rows are one document."""
     rows = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= LEARNED_BYTES))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"), F.avg(F.octet_length("text")).alias("size"))
+    counts = counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    shares = {lang: min(1.0, 1.1 * per_language / n) for lang, n, _ in counts}  # the count may be some hundredths too large
+    scale = min(1.0, most_bytes / max(1.0, sum(shares[lang] * n * size for lang, n, size in counts)))
     within = F.lit(False)
-    for lang, n in counts:
-        last = min(2**63 - 1, int(per_language / n * 2**64) - 2**63)
+    for lang, share in shares.items():
+        last = min(2**63 - 1, int(share * scale * 2**64) - 2**63)
         within = within | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= F.lit(last).cast("long")))
     return rows.where(within).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # repeated rows collapse before they move
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import ensure_checkpoint_dir, partitions, saved
+from .common import ensure_checkpoint_dir, free_names, partitions, saved
 
 #: Rows before this time are the starting layout's; a file holds one row more for so many rows of the table.
 CUTOFF_MICROS, ROWS_A_FILE = 1_710_892_800_000_000, 1100  # 2024-03-20 00:00:00
@@ -65,22 +65,12 @@ def last(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(best).select("key", "best.seen", "best.at", "best.day", "best.row")
 
 
-def _free(taken: list[str], *names: str) -> list[str]:
-    """names, with underscores behind while a column has them."""
-    out, taken = [], [t.lower() for t in taken]
-    for n in names:
-        while n in taken:
-            n += "_"
-        out.append(n)
-    return out
-
-
 class Layout:
     """Day files below root, of rows_a_file rows each, of rows with the columns of like."""
 
     def __init__(self, like: DataFrame, root: str, rows_a_file: int):
         self.spark, self.root, self.rows_a_file = like.sparkSession, root.rstrip("/"), rows_a_file
-        self.day, self.file = _free(like.columns, "layout_day", "layout_file")
+        self.day, self.file = free_names(like.columns, "layout_day", "layout_file")
         self.columns = like.columns
         self.schema = StructType([*like.schema.fields]).add(self.day, LongType()).add(self.file, LongType())
 

@@ -1,8 +1,8 @@
 """Quality rules from cross-document line frequency.
 
 Lines are normalised (lower case, digits as 0, white space as one space, trimmed) and hashed. For
-each host the distinct documents that hold a line are counted; lines above the host's limit are
-removed, and a document that keeps too small a share of its words is rejected. Per-document rules
+each host the distinct documents that hold a line are counted; lines above the host's limit, a share of
+its documents with a small floor, are removed, and a document that keeps too small a share of its words is rejected. Per-document rules
 come first. DataFrame functions only.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its own;
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import GAP_PATTERN, WHITE, saved, words
 
-#: A line is boilerplate of its host in more documents than this.
-LINE_LIMIT = 50
+#: A line is boilerplate of its host in more documents than LINE_FLOOR that are more than LINE_SHARE percent of the host's.
+LINE_FLOOR, LINE_SHARE = 10, 10
 #: A document is depleted if less than this percentage of its words is left.
 LEAST_LEFT = 30
 WINDOW = 8
@@ -101,26 +101,34 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return saved(text_lines(docs).select("doc_id", host_of(docs), F.inline(both)))[0]
 
 
-def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(source, key) of the lines in more than limit distinct documents of a host.
+def frequent_lines(lines: DataFrame, hosts: DataFrame, floor: int = LINE_FLOOR, share: int = LINE_SHARE) -> DataFrame:
+    """(source, key) of the lines in more than floor distinct documents of a host that are more than share percent of
+    its documents. hosts: source and documents.
 
     Documents are made distinct by (source, key, doc_id), which spreads a common line; the counts are
-    then partial ones for each task, so a line that a third of all documents hold is a row of each.
+    then partial ones for each task, so a line that a third of all documents hold is a row of each. Only lines above the
+    floor meet their host's number.
     """
     each = lines.select("source", "key", "doc_id").distinct()
-    return each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > limit).select("source", "key")
+    often = each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > floor)
+    return often.join(hosts, "source").where(100 * F.col("d") > share * F.col("documents")).select("source", "key")
 
 
-def removed_words(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+def host_sizes(docs: DataFrame) -> DataFrame:
+    """(source, documents): the distinct documents of each host."""
+    return docs.select(host_of(docs), "doc_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def removed_words(lines: DataFrame, hosts: DataFrame, floor: int = LINE_FLOOR, share: int = LINE_SHARE) -> DataFrame:
     """(doc_id, n_removed) for documents that lose a line: the words of all its occurrences."""
-    hit = lines.join(frequent_lines(lines, limit), ["source", "key"], "left_semi")
+    hit = lines.join(frequent_lines(lines, hosts, floor, share), ["source", "key"], "left_semi")
     return hit.groupBy("doc_id").agg(F.sum("words").alias("n_removed"))
 
 
-def quality_report(docs: DataFrame, limit: int = LINE_LIMIT, least_left: int = LEAST_LEFT) -> DataFrame:
+def quality_report(docs: DataFrame, floor: int = LINE_FLOOR, share: int = LINE_SHARE, least_left: int = LEAST_LEFT) -> DataFrame:
     stats = base_stats(docs)
     lost = F.coalesce("n_removed", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    left = stats.join(removed_words(host_lines(docs), limit), "doc_id", "left")
+    left = stats.join(removed_words(host_lines(docs), host_sizes(docs), floor, share), "doc_id", "left")
     depleted = 100 * (F.col("n_words") - lost) < least_left * F.col("n_words")
     return left.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), lost.cast("long").alias("n_line_words_removed"))

@@ -14,7 +14,7 @@ OP4 = rf"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, list_transform({_words("lines[i]")}, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
       FROM d, unnest(range(1, len(lines) + 1)) AS u(i)),
-k AS (SELECT *, len(tokens) AS size, tokens[1] AS a, tokens[2] AS b, tokens[3] AS c FROM l WHERE len(tokens) >= 3),
+k AS (SELECT *, len(tokens) AS size, tokens[1] AS a, coalesce(tokens[2], '') AS b, coalesce(tokens[3], '') AS c FROM l WHERE len(tokens) >= 1),
 act AS (SELECT size, a, b, c FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
 cand AS (SELECT k.* FROM k SEMI JOIN act USING (size, a, b, c)),
 tok AS (SELECT doc_id, pos, size, a, b, c, p, tokens[p] AS token FROM cand, unnest(range(1, size + 1)) AS u(p)),
@@ -39,7 +39,9 @@ again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id,
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM again, unnest(range(i, i + 8)) AS u(p) GROUP BY 1),
 ln AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '{GAP}', ' ', 'g')) AS key, len({_words("x")}) AS words
        FROM d, unnest(lines) AS u(x)),
-freq AS (SELECT source, key FROM ln GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
+host AS (SELECT source, count(DISTINCT doc_id) AS documents FROM d GROUP BY 1),
+often AS (SELECT source, key, count(DISTINCT doc_id) AS n FROM ln GROUP BY ALL HAVING n > 10),
+freq AS (SELECT source, key FROM often JOIN host USING (source) WHERE 100 * n > 10 * documents),
 lost AS (SELECT doc_id, sum(words)::BIGINT AS lost FROM ln SEMI JOIN freq USING (source, key) GROUP BY 1),
 s AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{GAP}', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
