@@ -68,21 +68,21 @@ def renames(heads: DataFrame, ready: DataFrame, failures: DataFrame) -> DataFram
 
 
 def classify(heads: DataFrame, ready: DataFrame, failures: DataFrame) -> DataFrame:
-    """(connector_key, status, document_id, body_len): unchanged, changed, reactivated, renamed, new,
-    tombstoned, carried or failed. A rename counts as changed; its key is the new one."""
+    """(connector_key, status, document_id, body_len, old_key): unchanged, changed, reactivated, renamed, new,
+    tombstoned, carried or failed. A rename counts as changed; its key is the new one, and old_key the one before."""
     moved = renames(heads, ready, failures)
     known = heads.select("connector_key", "active", F.col("revision_sha256").alias("old_revision"), F.col("document_id").alias("old_document"))
-    kept = ready.join(known, "connector_key", "left").join(moved.select(F.col("new_key").alias("connector_key"), F.col("document_id").alias("moved_document")), "connector_key", "left")
+    kept = ready.join(known, "connector_key", "left").join(moved.select(F.col("new_key").alias("connector_key"), F.col("document_id").alias("moved_document"), "old_key"), "connector_key", "left")
     status = (
         F.when(F.col("moved_document").isNotNull(), "renamed").when(F.col("old_document").isNull(), "new").when(~F.col("active"), "reactivated")
         .when(F.col("old_revision").eqNullSafe(F.col("revision_sha256")), "unchanged").otherwise("changed")
     )
-    rows = kept.select("connector_key", status.alias("status"), F.coalesce("moved_document", "old_document").alias("document_id"), F.col("body_len").cast("long").alias("body_len"))
+    rows = kept.select("connector_key", status.alias("status"), F.coalesce("moved_document", "old_document").alias("document_id"), F.col("body_len").cast("long").alias("body_len"), "old_key")
     gone = unseen_heads(heads, ready, failures).join(moved.select(F.col("old_key").alias("connector_key")), "connector_key", "left_anti")
-    none = F.lit(0).cast("long").alias("body_len")
-    lost = gone.select("connector_key", F.lit("tombstoned").alias("status"), "document_id", none)
+    none = F.lit(0).cast("long").alias("body_len"), F.lit(None).cast(ready.schema["connector_key"].dataType).alias("old_key")
+    lost = gone.select("connector_key", F.lit("tombstoned").alias("status"), "document_id", *none)
     failed = failures.select("connector_key").join(heads.where("active").select("connector_key", "document_id"), "connector_key", "left")
-    bad = failed.select("connector_key", F.when(F.col("document_id").isNotNull(), "carried").otherwise("failed").alias("status"), "document_id", none)
+    bad = failed.select("connector_key", F.when(F.col("document_id").isNotNull(), "carried").otherwise("failed").alias("status"), "document_id", *none)
     return rows.unionByName(lost).unionByName(bad)
 
 
@@ -97,7 +97,11 @@ def mass_guard(prior: Column, absent: Column) -> Column:
 def plan_counts(heads: DataFrame, ready: DataFrame, failures: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """The plan as one row of counts, guards and the write estimate. others: active heads that the snapshot says
     nothing about, which stay; they count as active before and after."""
-    c = classify(heads, ready, failures)
+    return fate_counts(classify(heads, ready, failures), heads, failures, others)
+
+
+def fate_counts(c: DataFrame, heads: DataFrame, failures: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """plan_counts from what classify() has found."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     changed = F.col("status").isin("new", "changed", "renamed", "reactivated")
     counts = c.agg(

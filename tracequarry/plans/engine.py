@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -149,14 +150,22 @@ class Engine:
                 self.store.remove(staged)
 
     def _commit(self, m: dict, ready: DataFrame, failures: DataFrame, confirmed: snapshot.Confirmations, strict: bool, gone: DataFrame | None, quota: int | None) -> dict:
-        meta, source, heads = m["meta"], m["meta"]["source_id"], self.table("heads", m)
+        heads = self.table("heads", m)
         snapshot.check_snapshot(ready, failures)
         snapshot.check_documents(ready)
         touched, others = heads, None
         if gone is not None:
             keys = ready.select("connector_key").union(failures.select("connector_key")).union(gone.select("connector_key")).distinct()
             touched, others = heads.join(keys, "connector_key", "left_semi"), heads.join(keys, "connector_key", "left_anti").where("active")
-        plan = snapshot.plan_counts(touched, ready, failures, others).first().asDict()
+        staged = self.store.put(snapshot.classify(touched, ready, failures), "staged")["files"][0]
+        try:
+            return self._apply_plan(m, ready, failures, touched, others, self.spark.read.parquet(f"{self.store.path}/{staged}"), confirmed, strict, quota)
+        finally:
+            self.store.remove(staged)
+
+    def _apply_plan(self, m: dict, ready: DataFrame, failures: DataFrame, touched: DataFrame, others: DataFrame | None, fate: DataFrame, confirmed: snapshot.Confirmations, strict: bool, quota: int | None) -> dict:
+        meta = m["meta"]
+        plan = snapshot.fate_counts(fate, touched, failures, others).first().asDict()
         if strict and plan["failed_documents"]:
             raise StoreError("strict ingest with failures")
         snapshot.enforce(plan, confirmed)
@@ -165,7 +174,7 @@ class Engine:
         tables, generation = dict(m["tables"]), None
         if plan["would_create_generation"]:
             generation = (meta["generation"] or 0) + 1
-            sizes = self._apply(tables, heads, touched, ready, failures, source, generation, plan)
+            sizes = self._apply(tables, touched, ready, failures, fate, meta["source_id"], generation, plan)
             meta = meta | {"generation": generation, "epoch": meta["epoch"] + 1} | {k: meta[k] + sizes[k] for k in ("passages", "tokens")}
             for name in ("heads", *APPENDED):
                 self._compact(tables, name)
@@ -174,14 +183,13 @@ class Engine:
         self.store.commit({"meta": meta, "tables": tables}, m["version"])
         return plan | {"generation": generation, "state": snapshot.ingest_state(plan["failed_documents"], accepted, generation)}
 
-    def _apply(self, tables: dict, heads: DataFrame, touched: DataFrame, ready: DataFrame, failures: DataFrame, source: str, generation: int, plan: dict) -> dict:
+    def _apply(self, tables: dict, touched: DataFrame, ready: DataFrame, failures: DataFrame, fate: DataFrame, source: str, generation: int, plan: dict) -> dict:
         """Adds a generation's rows to tables; by how many passages and tokens the active documents grow. Only heads that
         change are written."""
-        fate = snapshot.classify(touched, ready, failures).select("connector_key", "status", "document_id")
-        moved = snapshot.renames(touched, ready, failures).select(F.col("old_key").alias("connector_key"))
+        moved = fate.where("old_key IS NOT NULL").select(F.col("old_key").alias("connector_key"))
         fresh = name_uuid_column(F.concat_ws("/", F.lit(source), F.hex("connector_key")))
-        changed = ready.join(fate.where(F.col("status").isin("new", "changed", "renamed", "reactivated")), "connector_key").withColumn("document_id", F.coalesce("document_id", fresh))
-        staged = self.store.put(changed.drop("status", "body_len"), "staged")["files"][0]
+        changed = ready.drop("body_len").join(fate.where(F.col("status").isin("new", "changed", "renamed", "reactivated")).select("connector_key", "document_id"), "connector_key").withColumn("document_id", F.coalesce("document_id", fresh))
+        staged = self.store.put(changed, "staged")["files"][0]
         changed = self.spark.read.parquet(f"{self.store.path}/{staged}")
         if plan["changed_documents"]:
             self._store_texts(tables, changed)
@@ -244,16 +252,20 @@ class Engine:
         self._add(tables, "blobs", blobs.select("body_sha256", "body"))
         added = self._add(tables, "versions", versions.select([f.split()[0] for f in VERSIONS.split(", ")]))
         self._add(tables, "chunks", cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_anti")))
-        for name, rows in index_rows(added, self.table("chunks", {"tables": tables})).items():
-            self._add(tables, name, rows)
+        self._add_all(tables, index_rows(added, self.table("chunks", {"tables": tables})))
 
     def _refuse(self, what: str, rows: DataFrame) -> None:
         if not rows.isEmpty():
             raise StoreError(f"a stored {what} differs from the one of the same name in the snapshot")
 
+    def _add_all(self, tables: dict, rows: dict[str, DataFrame]) -> None:
+        """Writes rows of several tables at once; each is a job of its own."""
+        with ThreadPoolExecutor(len(rows)) as pool:
+            list(pool.map(lambda item: self._add(tables, *item), rows.items()))
+
     def _add(self, tables: dict, name: str, rows: DataFrame) -> DataFrame:
         """Writes rows as a further file of a table; returns what was written."""
-        schema = self.spark.createDataFrame([], TABLES[name]).schema
+        schema = StructType.fromDDL(TABLES[name])
         entry = self.store.put(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]), name)
         tables[name] = {"files": tables[name]["files"] + entry["files"], "schema": tables[name]["schema"]}
         return self.spark.read.schema(schema).parquet(f"{self.store.path}/{entry['files'][0]}")
@@ -538,8 +550,7 @@ class Engine:
             tables = dict(m["tables"]) | {n: {"files": [], "schema": m["tables"][n]["schema"]} for n in ("chunks", *INDEX)}
             layouts = self.table("versions", m).select("body_sha256", "chunk_kind").distinct().join(self.table("blobs", m), "body_sha256").withColumn("kind", F.col("chunk_kind"))
             self._add(tables, "chunks", chunk(layouts, ["body_sha256", "kind"]).withColumnRenamed("kind", "chunk_kind"))
-            for name, rows in index_rows(self.table("versions", m), self.table("chunks", {"tables": tables})).items():
-                self._add(tables, name, rows)
+            self._add_all(tables, index_rows(self.table("versions", m), self.table("chunks", {"tables": tables})))
             self.store.commit({"meta": m["meta"] | {"epoch": m["meta"]["epoch"] + 1}, "tables": tables}, m["version"])
 
     def suggest(self, most: int = 32) -> str | None:

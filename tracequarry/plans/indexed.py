@@ -246,7 +246,7 @@ def damaged(e: Engine, m: dict) -> dict:
 @query(
     f"WITH {_FINAL}, b AS (SELECT CASE WHEN lang = 'de' THEN body || 'x' ELSE body END AS body FROM d WHERE lang <> 'es' UNION SELECT url FROM pages UNION SELECT body FROM d JOIN ready ON ready.doc_id = d.doc_id), "
     "h AS (SELECT DISTINCT sha256(body) AS hash FROM b WHERE strlen(body) % 7 = 3), v AS (SELECT DISTINCT key, hash FROM (SELECT key, hash FROM heads UNION SELECT key, hash FROM ready)) "
-    "SELECT 'blobs' AS audit, count(*) AS violations FROM h UNION ALL SELECT 'revisions', count(*) FROM v SEMI JOIN h USING (hash) UNION ALL SELECT 'heads', count(*) FROM now WHERE strlen(key) % 3 = 0 "
+    "SELECT 'blobs' AS audit, count(*) AS violations FROM h UNION ALL SELECT 'revisions', count(*) FROM v SEMI JOIN h USING (hash) UNION ALL SELECT 'heads', 2 * count(*) FROM now WHERE strlen(key) % 3 = 0 "
     "UNION ALL VALUES ('generations', 1), ('generation_ids', 1), ('statistics', 1), ('replay', 0), ('versions', 0), ('index_postings', 0), ('index_slices', 0)"
 )
 def index_damage(spark, sf_dir):
