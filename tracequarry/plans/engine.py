@@ -203,14 +203,14 @@ class Engine:
         delta = self._add(tables, "heads", dead.select(names).unionByName(left.select(names)).unionByName(new_heads))
         prior = touched.join(delta.select("connector_key"), "connector_key", "left_semi")
         log = delta.where("active IS NOT NULL").select("document_id", F.col("revision_sha256").alias("next"), F.when(F.col("active"), "active").otherwise("tombstoned").alias("next_state"))
-        self._add(tables, "changes", log.join(prior.select("document_id", F.col("revision_sha256").alias("prior")), "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state"))
-        self._add(tables, "generations", self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS))
+        more = {"changes": log.join(prior.select("document_id", F.col("revision_sha256").alias("prior")), "document_id", "left").select(g.alias("generation_id"), "document_id", "prior", "next", "next_state")}
+        more["generations"] = self.spark.createDataFrame([(generation, "committed", _now(), pipeline_fingerprint())], GENERATIONS)
         if plan["failed_documents"]:
-            self._add(tables, "errors", failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail"))
+            more["errors"] = failures.select(g.alias("generation_id"), F.lit(source).alias("source_id"), "connector_key", "code", "detail")
+        self._add_all(tables, more)
         self.store.remove(staged)
-        total = lambda rows: rows.where("active").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passages", "tokens")]).first()
-        after, before = total(delta), total(prior)
-        return {c: after[c] - before[c] for c in ("passages", "tokens")}
+        signed = lambda rows, sign: rows.where("active").select(*[(F.lit(sign) * F.col(c)).cast("long").alias(c) for c in ("passages", "tokens")])
+        return signed(delta, 1).unionByName(signed(prior, -1)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passages", "tokens")]).first().asDict()
 
     def _compact(self, tables: dict, name: str) -> None:
         """Merges FAN folders of one level into one of the next, so that a table has some folders for each power of FAN and a row
@@ -240,24 +240,23 @@ class Engine:
         m = {"tables": dict(tables)}
         known = {n: self.table(n, m) for n in ("blobs", "versions", "chunks")}
         made = changed.select("document_id", "revision_sha256", "body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at", F.lit(_now()).alias("indexed_at"))
-        self._refuse("blob", snapshot.collisions(changed, known["blobs"], ["body_sha256"], ["body"]))
-        self._refuse("version", snapshot.collisions(made, known["versions"], ["document_id", "revision_sha256"], ["body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at"]))
+        different = {"blob": snapshot.collisions(changed, known["blobs"], ["body_sha256"], ["body"])}
+        different["version"] = snapshot.collisions(made, known["versions"], ["document_id", "revision_sha256"], ["body_sha256", "source_uri", "title", "chunk_kind", "metadata_json", "source_updated_at"])
         blobs = changed.select("body_sha256", "body").dropDuplicates(["body_sha256"]).join(known["blobs"].select("body_sha256"), "body_sha256", "left_anti")
         layouts = changed.select("body_sha256", "chunk_kind", "body").dropDuplicates(["body_sha256", "chunk_kind"])
         cut = lambda rows: chunk(rows.withColumn("kind", F.col("chunk_kind")), ["body_sha256", "kind"]).withColumnRenamed("kind", "chunk_kind")
         there = known["chunks"].select("body_sha256", "chunk_kind").distinct()
         again = cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_semi"))
-        self._refuse("layout", again.exceptAll(known["chunks"].join(layouts.select("body_sha256", "chunk_kind"), ["body_sha256", "chunk_kind"], "left_semi").select(again.columns)))
+        different["layout"] = again.exceptAll(known["chunks"].join(layouts.select("body_sha256", "chunk_kind"), ["body_sha256", "chunk_kind"], "left_semi").select(again.columns))
+        found = reduce(DataFrame.unionByName, [rows.select(F.lit(what).alias("what")) for what, rows in different.items()]).first()
+        if found is not None:
+            raise StoreError(f"a stored {found['what']} differs from the one of the same name in the snapshot")
         versions = made.join(known["versions"].select("document_id", "revision_sha256"), ["document_id", "revision_sha256"], "left_anti")
         self._add(tables, "blobs", blobs.select("body_sha256", "body"))
         added = self._add(tables, "versions", versions.select([f.split()[0] for f in VERSIONS.split(", ")]))
         self._add(tables, "chunks", cut(layouts.join(there, ["body_sha256", "chunk_kind"], "left_anti")))
         self._add_all(tables, index_rows(added, self.table("chunks", {"tables": tables})))
 
-    def _refuse(self, what: str, rows: DataFrame) -> None:
-        if not rows.isEmpty():
-            raise StoreError(f"a stored {what} differs from the one of the same name in the snapshot")
-
     def _add_all(self, tables: dict, rows: dict[str, DataFrame]) -> None:
         """Writes rows of several tables at once; each is a job of its own."""
         with ThreadPoolExecutor(len(rows)) as pool:
