@@ -217,17 +217,20 @@ def index_matches(spark, sf_dir):
     return found.select("query_id", "source_uri", "matched_atoms", "matched_bytes", "fallback")
 
 
+#: Identifiers of titles, URIs and texts.
+NAMED = {"x1": "mail7.example.com 1.txt repo://src1/1.txt", "x2": " ".join(f"{k}.txt" for k in range(3, 19)), "x3": " ".join(f"{k}.txt" for k in range(10, 200, 13))}
+
+
 @query(
-    _SHORT(f"WITH {catalog._D}, {catalog._LITS}, a(query_id, atom) AS (VALUES ('x1', 'mail7.example.com'), ('x1', '1.txt'), ('x2', '7.txt')), l AS (SELECT DISTINCT doc_id, x.literal AS literal FROM (SELECT doc_id, unnest(p) AS x FROM pl)) ")
+    _SHORT(f"WITH {catalog._D}, {catalog._LITS}, a(query_id, atom) AS (SELECT k, unnest(string_split(q, ' ')) FROM (VALUES {', '.join(f"('{k}', '{q}')" for k, q in NAMED.items())}) AS v(k, q)), l AS (SELECT DISTINCT doc_id, x.literal AS literal FROM (SELECT doc_id, unnest(p) AS x FROM pl)) ")
     + "SELECT query_id, uri AS source_uri, count(*)::BIGINT AS n FROM a JOIN l ON literal = atom JOIN d USING (doc_id) GROUP BY ALL"
 )
 def index_identifiers(spark, sf_dir):
     """Passages whose stored literals equal identifiers of queries, without a scan of entries or texts."""
     e = short_engine(spark, sf_dir)
     m = e.pin()
-    asked = {"x1": "mail7.example.com 1.txt", "x2": "7.txt"}
     live = e.table("literals", m).join(e._heads(m), ["document_id", "revision_sha256"])
-    found = budget.identifier_candidates(live, asked, None).join(e._heads(m).select("document_id", "source_uri"), "document_id")
+    found = budget.identifier_candidates(live, NAMED, None).join(e._heads(m).select("document_id", "source_uri"), "document_id")
     return found.select("query_id", "source_uri", F.col("n").cast("long").alias("n"))
 
 
