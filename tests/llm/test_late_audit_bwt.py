@@ -200,7 +200,7 @@ def repeated_texts(seed):
     return texts + ["a" * 400, "a" * 49, "a" * 50, "ab" * 200, "b" + "ab" * 60, "", None, passage * 3, passage * 40]
 
 
-@pytest.mark.parametrize("shard", [1_500_000, 300])
+@pytest.mark.parametrize("shard", [1_000_000, 300])
 def test_byte_repeats_like_plain_version(spark, monkeypatch, shard):
     monkeypatch.setattr(bwt_merge, "SHARD_BYTES", shard)
     texts = repeated_texts(shard)

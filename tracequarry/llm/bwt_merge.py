@@ -43,7 +43,7 @@ from .packed import _BASE, _INVERSE, STEADY_BYTES, _powers, in_sorted, low, mix,
 
 SPAN, SEED = 50, 20
 #: Bytes of fragments sorted at once, and bytes of text whose fragments a part merges.
-SHARD_BYTES, MERGED_BYTES = 1_500_000, 8_000_000
+SHARD_BYTES, MERGED_BYTES = 1_000_000, 4_000_000
 #: Seeds in 1 of RARE documents of a sample of about SAMPLE documents of up to SAMPLE_BYTES are taken last, at most FREQUENT of them.
 SAMPLE, SAMPLE_BYTES, RARE, FREQUENT = 600, 100_000, 100, 50_000
 _CHUNK = 1 << 15
