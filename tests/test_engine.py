@@ -708,3 +708,26 @@ def test_documents_are_checked(spark, tmp_path):
         with pytest.raises(ValueError, match=column):
             e.ingest(good.withColumn(column, value))
     assert e.status()["generation"] is None and e.ingest(good)["generation"] == 1
+
+
+def test_postings_are_kept_by_blocks(spark, tmp_path):
+    """Postings take less than the texts they are of, give every term of every passage, and damage to them is told."""
+    from tracequarry.operators import postings
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(0, ""), *((i, " ".join(rng.choices(words, k=150))) for i in range(1, 400))]))
+    m = e.pin()
+    size = lambda name: sum(e.store.size(f) for f in m["tables"][name]["files"])
+    assert size("postings") < size("chunks")
+    got = {(r.document_id, r.ordinal, r.term): r.f for r in postings.postings_of(e.table("postings", m)).collect()}
+    fields = retrieval.index_fields(e.passages(m)).select("document_id", "ordinal", F.explode(F.concat(*retrieval.FIELDS)).alias("term"))
+    assert got == {(r.document_id, r.ordinal, r.term): r["count"] for r in fields.groupBy("document_id", "ordinal", "term").count().collect()}
+    moved = F.when(F.col("term") != "w7", F.col("slots")).otherwise(F.transform("slots", lambda x: (x + 1).cast("smallint")))
+    changed = {"moved": moved, "term": F.col("slots"), "all": F.col("slots")}
+    for what, slots in changed.items():
+        rows = e.table("postings", m).withColumn("slots", slots)
+        rows = rows.withColumn("term", F.when(F.col("term") == "w7", "w7x").otherwise(F.col("term"))) if what == "term" else rows.where("members IS NULL") if what == "all" else rows
+        other = {"meta": m["meta"], "tables": m["tables"] | {"postings": e.store.put(rows, "postings") | {"schema": m["tables"]["postings"]["schema"]}}}
+        assert {r.audit for r in e.doctor(other).collect()} == {"index_postings"}, what
