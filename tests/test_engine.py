@@ -731,3 +731,9 @@ def test_postings_are_kept_by_blocks(spark, tmp_path):
         rows = rows.withColumn("term", F.when(F.col("term") == "w7", "w7x").otherwise(F.col("term"))) if what == "term" else rows.where("members IS NULL") if what == "all" else rows
         other = {"meta": m["meta"], "tables": m["tables"] | {"postings": e.store.put(rows, "postings") | {"schema": m["tables"]["postings"]["schema"]}}}
         assert {r.audit for r in e.doctor(other).collect()} == {"index_postings"}, what
+
+
+def test_budgeted_lists_are_made_once(spark):
+    """The lists, their texts and their matches come from six scans at most, one for terms and phrases together, and the lists are not made again."""
+    lists = indexed.budget.passage_lists(catalog.whole_passages(spark, "/root/testdata/sf0.001"), catalog.PAGED, 9)
+    assert lists._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6
