@@ -737,3 +737,24 @@ def test_budgeted_lists_are_made_once(spark):
     """The lists, their texts and their matches come from six scans at most, one for terms and phrases together, and the lists are not made again."""
     lists = indexed.budget.passage_lists(catalog.whole_passages(spark, "/root/testdata/sf0.001"), catalog.PAGED, 9)
     assert lists._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6
+
+
+def test_a_build_moves_no_texts(spark, tmp_path):
+    """Bodies and passages are not shuffled to find what the store lacks or to make the index, copies and known bodies included."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"{rng.getrandbits(64):016x}" for _ in range(2500))
+    bodies = [text() for _ in range(50)]
+    rows = list(enumerate(bodies + bodies[:10]))
+    moved = lambda: sum(x.totalShuffleWrite() for x in (s.apply(0) for s in [spark._jsc.sc().statusStore().executorList(True)]))
+    e = Engine.create(spark, str(tmp_path / "i"))
+    files = text_corpus(spark, rows).localCheckpoint()
+    before = moved()
+    e.ingest(files)
+    assert moved() - before < sum(len(t) for _, t in rows)
+    more = text_corpus(spark, rows + [(99, bodies[3]), (100, text())]).localCheckpoint()
+    before = moved()
+    e.ingest(more)
+    assert moved() - before < sum(len(t) for _, t in rows)
+    m = e.pin()
+    assert e.doctor(m).isEmpty() and (e.table("blobs", m).count(), e.table("versions", m).count()) == (51, 62)
+    assert e.table("chunks", m).select("body_sha256").distinct().count() == 51 and not os.listdir(tmp_path / "i" / "data" / "staged")[1:]
