@@ -758,3 +758,17 @@ def test_a_build_moves_no_texts(spark, tmp_path):
     m = e.pin()
     assert e.doctor(m).isEmpty() and (e.table("blobs", m).count(), e.table("versions", m).count()) == (51, 62)
     assert e.table("chunks", m).select("body_sha256").distinct().count() == 51 and not os.listdir(tmp_path / "i" / "data" / "staged")[1:]
+
+
+def test_postings_of_some_passages(spark, tmp_path):
+    """Postings of some documents come from their blocks' groups; those of others never become rows."""
+    from tracequarry.operators import postings
+
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(0, ""), (1, "a b a"), (2, "b c"), (3, "a c c c")]))
+    m = e.pin()
+    some = e.table("heads", m).where("source_uri like '%1%' or source_uri like '%3%'").select("document_id", "revision_sha256", "source_uri")
+    rows = lambda df: sorted((r.source_uri, r.term, r.f) for r in df.collect())
+    got = postings.postings_among(e.table("postings", m), some)
+    assert rows(got) == rows(postings.postings_of(e.table("postings", m)).join(some, ["document_id", "revision_sha256"])) and rows(got)
+    assert "Generate explode(" not in got._jdf.queryExecution().optimizedPlan().toString() and "inline" not in got._jdf.queryExecution().optimizedPlan().toString()
