@@ -772,3 +772,33 @@ def test_postings_of_some_passages(spark, tmp_path):
     got = postings.postings_among(e.table("postings", m), some)
     assert rows(got) == rows(postings.postings_of(e.table("postings", m)).join(some, ["document_id", "revision_sha256"])) and rows(got)
     assert "Generate explode(" not in got._jdf.queryExecution().optimizedPlan().toString() and "inline" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_build_keeps_no_shuffles_and_texts_once(spark, tmp_path, monkeypatch):
+    """Shuffle files go with their jobs, whether or not the driver collects garbage; while the index is written no staged folder holds bodies,
+    and bodies that are dealt out in several rounds all arrive."""
+    from tracequarry.plans import engine, store
+
+    monkeypatch.setattr(engine, "ROUND_BYTES", 2000)
+    e = Engine.create(spark, str(tmp_path / "i"))
+    put, staged, rounds = e.store.put, [], []
+
+    def watched(df, name, level=0):
+        there = tmp_path / "i" / "data" / "staged"
+        if name == "postings":
+            staged.extend("body" in e.store.folder(f"data/staged/{f}").columns for f in os.listdir(there))
+        rounds.append(name == "staged" and "body" in df.columns)
+        return put(df, name, level)
+
+    monkeypatch.setattr(e.store, "put", watched)
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    kept = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, setting = kept(), spark.conf.get(store.TIDY)
+    rng = random.Random(3)
+    e.ingest(text_corpus(spark, [(i, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(50))) for i in range(60)]))
+    end = time.time() + 20
+    while kept() - before and time.time() < end:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert not kept() - before and spark.conf.get(store.TIDY) == setting
+    assert staged and not any(staged) and sum(rounds) == 1 + engine.ROUNDS
+    assert e.doctor().isEmpty() and e.table("blobs").count() == 60
