@@ -802,3 +802,17 @@ def test_a_build_keeps_no_shuffles_and_texts_once(spark, tmp_path, monkeypatch):
     assert not kept() - before and spark.conf.get(store.TIDY) == setting
     assert staged and not any(staged) and sum(rounds) == 1 + engine.ROUNDS
     assert e.doctor().isEmpty() and e.table("blobs").count() == 60
+
+
+def test_exhaustive_search_deals_texts_out_in_rounds(spark, tmp_path, monkeypatch):
+    """An exhaustive search's ranking reads no texts, and rounds lose no passage that holds an atom."""
+    from tracequarry.plans import engine
+
+    monkeypatch.setattr(engine, "ROUND_BYTES", 3000)
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha {i} needle{i % 3}") for i in range(40)]))
+    m = e.pin()
+    assert len(e._text_rounds(m)) > 1 and e.staged_passages(m).count() == e.passages(m).count() == 40
+    found = e.find({"a": '"needle1"'}, 50, m, exhaustive=True)
+    assert "body_text" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("hit IS NOT NULL AND exact_rank IS NOT NULL").count() == 13
