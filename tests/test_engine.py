@@ -816,3 +816,26 @@ def test_exhaustive_search_deals_texts_out_in_rounds(spark, tmp_path, monkeypatc
     found = e.find({"a": '"needle1"'}, 50, m, exhaustive=True)
     assert "body_text" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("hit IS NOT NULL AND exact_rank IS NOT NULL").count() == 13
+
+
+def test_bodies_are_stored_as_their_passages(spark, tmp_path):
+    """A body is kept once, in its passages, and comes back byte by byte; its size is told without a text, and a body that the store
+    knows in another layout is compared with that one."""
+    e = Engine.create(spark, str(tmp_path / "i"))
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["été", "日本", "alpha", "b.", "c\n\nd", "x\r\n"]) for _ in range(n))
+    texts = ["", "a", "ab\n", "﻿", "﻿# marked " + words(900), "é" * 5000, words(3000), words(3000).replace(" ", ""), "\n" * 4000, "﻿z"]
+    rows = text_corpus(spark, list(enumerate(texts + texts[4:7])))
+    kinds = rows.withColumn("chunk_kind", F.when(F.col("connector_key").cast("string").rlike("s/1[0-9]"), "markdown").otherwise(F.col("chunk_kind")))
+    e.ingest(kinds)
+    m = e.pin()
+    assert {bytes(r.body) for r in e.table("blobs", m).collect()} == {t.encode() for t in texts}
+    assert all(r.bytes == len(r.body) for r in e.table("blobs", m).collect()) and e.doctor().isEmpty()
+    assert max(len(r.body or b"") for r in e.store.table("blobs", m).collect()) <= 3
+    assert "body_text" not in e.table("blobs", m).select("body_sha256", "bytes")._jdf.queryExecution().optimizedPlan().toString()
+    other = e.table("chunks", m).withColumn("body_text", F.when(F.col("start_byte") > 0, F.lit("other")).otherwise(F.col("body_text")))
+    tables = m["tables"] | {"chunks": e.store.put(other, "chunks") | {"schema": m["tables"]["chunks"]["schema"]}}
+    e.store.commit({"meta": m["meta"], "tables": tables}, m["version"])
+    assert "blobs" in {r.audit for r in e.doctor().collect()}
+    with pytest.raises(StoreError, match="differs"):
+        e.ingest(kinds.unionByName(text_corpus(spark, [(99, texts[7])]).withColumn("chunk_kind", F.lit("sql"))))
