@@ -839,3 +839,18 @@ def test_bodies_are_stored_as_their_passages(spark, tmp_path):
     assert "blobs" in {r.audit for r in e.doctor().collect()}
     with pytest.raises(StoreError, match="differs"):
         e.ingest(kinds.unionByName(text_corpus(spark, [(99, texts[7])]).withColumn("chunk_kind", F.lit("sql"))))
+
+
+def test_blooms_are_kept_once_for_each_layout(spark, tmp_path):
+    """Copies share their blooms, a search by them finds every copy, and a rebuild has the same."""
+    e = Engine.create(spark, str(tmp_path / "i"))
+    rows = [(i, f"alpha+{i % 3} beta " * 200) for i in range(12)]
+    e.ingest(text_corpus(spark, rows))
+    e.ingest(text_corpus(spark, rows + [(40, rows[1][1]), (41, "gamma+1")]))
+    for _ in range(2):
+        m = e.pin()
+        members = e.table("slices", m).where("bit = -1").select(F.explode("members").alias("m")).count()
+        assert members == e.table("chunks", m).count() < e.table("entries", m).count() / 3
+        found = e.find({"q": '"a+1 b"'}, 50, m, exhaustive=True).select("document_id").distinct().join(e.table("heads", m), "document_id")
+        assert {r.source_uri for r in found.collect()} == {f"repo://s/{i}.txt" for i in (1, 4, 7, 10, 40)} and e.doctor().isEmpty()
+        e.rebuild()
