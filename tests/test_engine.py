@@ -854,3 +854,35 @@ def test_blooms_are_kept_once_for_each_layout(spark, tmp_path):
         found = e.find({"q": '"a+1 b"'}, 50, m, exhaustive=True).select("document_id").distinct().join(e.table("heads", m), "document_id")
         assert {r.source_uri for r in found.collect()} == {f"repo://s/{i}.txt" for i in (1, 4, 7, 10, 40)} and e.doctor().isEmpty()
         e.rebuild()
+
+
+def test_staged_texts_go_round_by_round(spark, tmp_path, monkeypatch):
+    """A round's bodies go when they have been cut, and a round's passages when they have been indexed; rounds share a table's folder."""
+    from tracequarry.plans import engine
+
+    monkeypatch.setattr(engine, "ROUND_BYTES", 20_000)
+    e = Engine.create(spark, str(tmp_path / "i"))
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(120))) for i in range(120)]
+    there = lambda: {f: e.store.folder(f"data/staged/{f}").columns for f in os.listdir(tmp_path / "i" / "data" / "staged")}
+    size = lambda column: sum(e.store.size(f"data/staged/{f}") for f, names in there().items() if column in names)
+    put, extend, bodies, passages = e.store.put, e.store.extend, [], []
+
+    def watched(df, name, level=0):
+        if name == "staged" and "body_text" in df.columns:
+            bodies.append(size("body"))
+        return put(df, name, level)
+
+    def extended(df, name, folder):
+        if name == "postings":
+            passages.append(size("body_text"))
+        return extend(df, name, folder)
+
+    monkeypatch.setattr(e.store, "put", watched)
+    monkeypatch.setattr(e.store, "extend", extended)
+    e.ingest(text_corpus(spark, texts).repartition(16))
+    assert len(bodies) > 2 and bodies == sorted(bodies, reverse=True) and bodies[-1] < bodies[0] / 2
+    assert len(passages) == engine.INDEXED - 1 and passages == sorted(passages, reverse=True) and passages[-1] < passages[0] / 1.5
+    m = e.pin()
+    assert all(len(t["files"]) == 1 for n, t in m["tables"].items() if n in ("chunks", "postings", "slices")) and not there()
+    assert e.doctor(m).isEmpty() and e.table("chunks", m).select("body_sha256").distinct().count() == 120
