@@ -886,3 +886,29 @@ def test_staged_texts_go_round_by_round(spark, tmp_path, monkeypatch):
     m = e.pin()
     assert all(len(t["files"]) == 1 for n, t in m["tables"].items() if n in ("chunks", "postings", "slices")) and not there()
     assert e.doctor(m).isEmpty() and e.table("chunks", m).select("body_sha256").distinct().count() == 120
+
+
+def test_sql_cuts_as_the_chunker_does():
+    """The passages that the SQL of index_matches cuts are chunker.cut's, on odd texts too."""
+    import duckdb
+
+    from tracequarry.operators.chunker import cut
+
+    rng = random.Random(3)
+    parts = ["a", "bc ", "\n", "\n\n", ". ", "? ", "é", "日本", "　", " ", "\r\n", "\t", "😀", "\x1c", "\x02", "word " * 8, ".", "\x0b\n", " \n"]
+    texts = ["", "﻿", "﻿abc" * 900, "x" * 5000, "é" * 5000, "\n" * 4000, "😀" * 2000, "é. " * 2000, " \n" * 1000 + "a\n" * 1500]
+    texts += ["".join(rng.choices(rng.sample(parts, rng.randint(1, 8)), k=rng.randint(100, 3000))) for _ in range(40)]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, source varchar, lang varchar, text varchar)")
+    con.executemany("insert into documents values (?, 's', 'en', ?)", list(enumerate(texts)))
+    rows = con.sql(f"WITH RECURSIVE {catalog._D}, {indexed._CUTS} SELECT doc_id, s, e, part FROM cuts JOIN psg USING (doc_id, s) WHERE ordinal >= 0").fetchall()
+    assert sorted(rows) == [(i, s, e, t.encode()[s:e].decode()) for i, t in enumerate(texts) for s, e in cut(t.encode(), "plain-text")]
+
+
+def test_matches_are_of_whole_documents(spark):
+    """index_matches finds atoms in every passage of the documents, not in short ones alone."""
+    import __spark_entry__
+
+    assert differences(spark, __spark_entry__.queries()["index_matches"], __spark_entry__.oracle_sql()["index_matches"])[:2] == ([], [])
+    rows = __spark_entry__.queries()["index_matches"](spark, "/root/testdata/sf0.001").collect()
+    assert max(r.start_byte for r in rows) > 1200
