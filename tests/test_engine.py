@@ -888,6 +888,55 @@ def test_staged_texts_go_round_by_round(spark, tmp_path, monkeypatch):
     assert e.doctor(m).isEmpty() and e.table("chunks", m).select("body_sha256").distinct().count() == 120
 
 
+def test_a_round_reads_its_bodies_once(spark, tmp_path, monkeypatch):
+    """A round's passages, those of layouts that the store knows under another kind included, come from one reading of its staged bodies."""
+    e = Engine.create(spark, str(tmp_path / "i"))
+    rows = text_corpus(spark, [(i, f"alpha {i} " * 300) for i in range(6)])
+    e.ingest(rows)
+    put, scans = e.store.put, []
+
+    def watched(df, name, level=0):
+        if name == "staged" and "body_text" in df.columns:
+            scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return put(df, name, level)
+
+    monkeypatch.setattr(e.store, "put", watched)
+    e.ingest(rows.unionByName(text_corpus(spark, [(i + 10, f"alpha {i} " * 300) for i in range(6)]).withColumn("chunk_kind", F.lit("markdown"))))
+    assert set(scans) == {1} and e.doctor().isEmpty()
+
+
+def test_postings_are_audited_by_sums(spark):
+    """The audit of postings adds hashes up where the rows are: a block deals out its members and a row of sums, not a row for each term, and each
+    kind of damage is told."""
+    from tracequarry.operators import postings
+
+    rows = [(f"d{i}", "r", 0, 0, 3, ["b", f"a{i}", "b"]) for i in range(500)] + [("e", "r", 0, 0, 0, [])]
+    p = spark.createDataFrame(rows, "document_id string, revision_sha256 string, ordinal int, start_byte long, len int, tokens array<string>").coalesce(1)
+    blocks = postings.posted(p).localCheckpoint()
+    told = postings.stored_digests(blocks)
+    assert sorted(told.collect()) == sorted(postings.digests(p.withColumn("tokens", F.reverse("tokens"))).collect())
+    assert "MapInArrow" in told._jdf.queryExecution().optimizedPlan().toString()
+    wrong = {"counts": F.transform("counts", lambda x: x + 1), "slots": F.transform("slots", lambda x: (x - 1).cast("smallint")), "term": F.concat("term", F.lit("x")), "members": F.lit(None).cast(blocks.schema["members"].dataType)}
+    for name, value in wrong.items():
+        changed = postings.stored_digests(blocks.withColumn(name, F.when(F.col("term").isNull() if name == "members" else F.col("term") == "a7", value).otherwise(F.col(name))))
+        assert set(changed.collect()) != set(told.collect()), name
+
+
+def test_audits_keep_no_shuffles(spark, tmp_path):
+    """An audit's shuffles and the doctor's staged texts go as it ends; vacuum() deletes what it told."""
+    e = Engine.create(spark, str(tmp_path / "i"))
+    e.ingest(text_corpus(spark, [(i, f"alpha {i} " * 100) for i in range(20)]))
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    kept = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = kept()
+    told = e.doctor()
+    end = time.time() + 20
+    while kept() - before and time.time() < end:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert not kept() - before and told.isEmpty()
+    assert not os.listdir(tmp_path / "i" / "data" / "staged") and not os.listdir(tmp_path / "i" / "data" / "bodies")
+
+
 def test_sql_cuts_as_the_chunker_does():
     """The passages that the SQL of index_matches cuts are chunker.cut's, on odd texts too."""
     import duckdb

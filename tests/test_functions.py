@@ -1,3 +1,5 @@
+import random
+import re
 import sqlite3
 
 import pytest
@@ -153,3 +155,23 @@ def test_ignore_rules():
 def test_problem_codes():
     assert problem_codes(0, None, 0, 0, 0, []) == ["NO_SOURCE", "NO_ACTIVE_GENERATION"]
     assert problem_codes(1, 1, 2, 0, 1, ["partial"]) == ["NO_SEARCHABLE_PASSAGES", "INCOMPLETE_GENERATION", "SOURCE_SYNC_PARTIAL"]
+
+
+def test_literals_pass_over_plain_words(spark):
+    """Runs with a mark are found without listing plain words, and are those that a list of all runs has."""
+    rng = random.Random(4)
+    bodies = ["plain words only 12", "a.b c -- x- -x é.é a_b\nc:d/e .a. ..", *("".join(rng.choice("ab1._:/- é\n") for _ in range(rng.randint(0, 80))) for _ in range(300))]
+    every = [list(dict.fromkeys(r for r in re.findall(text.IDENTIFIER, b) if 2 <= len(r) <= 128 and re.search("[A-Za-z0-9]", r) and re.search("[_.:/-]", r)))[:64] for b in bodies]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, t string").select("i", text.identifier_literals(F.col("t")).alias("l"))
+    assert [r.l for r in rows.orderBy("i").collect()] == every
+    assert spark.range(1).select(F.regexp_extract_all(F.lit(bodies[0]), F.lit(text.MARKED), F.lit(0))).first()[0] == []
+
+
+def test_trigrams_are_looked_up_in_a_table():
+    """Texts' trigrams are not sorted: known ones have their place in a table, one for all texts, and more than KEPT begin it anew."""
+    trigrams = hashing.Trigrams()
+    texts = [b"", b"ab", b"abc", b"abcabcabc", "日本é".encode(), bytes(range(256))]
+    assert hashing.quote_blooms(texts, trigrams) == [hashing.quote_bloom(t) for t in texts]
+    assert trigrams.places[int.from_bytes(b"abc", "big")] and not trigrams.places[int.from_bytes(b"abb", "big")]
+    trigrams.KEPT = 5
+    assert hashing.quote_blooms([b"xyzxyz"], trigrams) == [hashing.quote_bloom(b"xyzxyz")] and len(trigrams.bits) == 4
